@@ -10,6 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import new_key, once, scan_text
 
@@ -246,7 +247,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col
             out = [b"".join(map(of, array("I", x or b""))) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, out_col])
 
-    return df.mapInArrow(run, df.schema.add(out_col, "binary"))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out_col, BinaryType())]))
 
 
 def round_trip_digests(df: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
