@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, token_counts
+from . import bpe, decontam, simhash, token_counts
 from .common import table
 
 
@@ -18,6 +18,15 @@ def op5_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary, limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_segment_tree, op5_token_counts)}
+def op7_winnowing(spark, sf_dir):
+    return decontam.contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_simhash_components(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex16("fingerprint").alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op4_bpe_segment_tree, op5_token_counts, op7_winnowing, op8_simhash_components)}
 
 ORACLES: dict[str, str] = {}
