@@ -55,18 +55,23 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def slices(batch: pa.RecordBatch, text_col: str):
-    """(part of the batch, its texts as a large string array without nulls), each of about SLICE_BYTES."""
-    texts = pc.fill_null(batch.column(text_col).cast(pa.large_string()), "")
-    ends = np.cumsum(np.asarray(pc.binary_length(texts)))
+def row_slices(batch: pa.RecordBatch, column: pa.Array):
+    """Parts of a batch with about SLICE_BYTES of a string or binary column each."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64))
     at, n = 0, batch.num_rows
     while at < n:
         base = int(ends[at - 1]) if at else 0
         to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
-        yield batch.slice(at, to - at), texts.slice(at, to - at)
+        yield batch.slice(at, to - at)
         at = to
 
 
+def slices(batch: pa.RecordBatch, text_col: str):
+    """(part of the batch, its texts as a large string array without nulls), each of about SLICE_BYTES."""
+    for part in row_slices(batch, batch.column(text_col)):
+        yield part, pc.fill_null(part.column(text_col).cast(pa.large_string()), "")
+
+
 def text_bytes(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of the texts end to end, and the n + 1 offsets."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]

@@ -4,10 +4,23 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontam, simhash, token_counts
+from . import bpe, decontam, quality_rules, simhash, token_counts, url_filter
 from .common import table
 
 
+#: Rules on hosts and paths, and domains blocked where no rule fits (a stated list, as a parameter).
+RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+BLOCKED_DOMAINS = [f"{name}.example.{end}" for name in ("adult-x", "casino-win", "spam-farm") for end in ("com", "net", "org")]
+
+
+def op2_divergence_rules(spark, sf_dir):
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
+def op3_bloom_cascade(spark, sf_dir):
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES, BLOCKED_DOMAINS)
+
+
 def op4_bpe_segment_tree(spark, sf_dir):
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -27,6 +40,6 @@ def op8_simhash_components(spark, sf_dir):
     return found.select("doc_id", simhash.hex16("fingerprint").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_segment_tree, op5_token_counts, op7_winnowing, op8_simhash_components)}
+QUERIES = {f.__name__: f for f in (op2_divergence_rules, op3_bloom_cascade, op4_bpe_segment_tree, op5_token_counts, op7_winnowing, op8_simhash_components)}
 
 ORACLES: dict[str, str] = {}
