@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import new_key, once, scan_text
+from .common import new_key, once, row_slices, scan_text
 
 #: Pre-tokens remembered by a Python worker; at this many only those of the present texts stay.
-CACHE_ENTRIES = 1 << 19
+CACHE_ENTRIES = 1 << 17
 #: A leaf of the segment tree is a rank and, in its low bits, a byte position.
 SHIFT = 32
 MASK, NONE = (1 << SHIFT) - 1, np.int64(1 << 62)
@@ -244,8 +244,9 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col
     def run(batches):
         of = once(key, lambda: {r: t for t, r in shared.value.items()}).__getitem__
         for batch in batches:
-            out = [b"".join(map(of, array("I", x or b""))) for x in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, out_col])
+            for part in row_slices(batch, batch.column(ids_col)):
+                out = [b"".join(map(of, array("I", x or b""))) for x in part.column(ids_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, out_col])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out_col, BinaryType())]))
 

@@ -200,3 +200,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     )
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id"), F.col("text"))
     return texts.join(F.broadcast(chosen), "doc_id")
+
+
+def with_holdout(scored: DataFrame, held_out: Column) -> DataFrame:
+    """doc_id, held_out, score, predicted (1 from a score of 0.5 on)."""
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

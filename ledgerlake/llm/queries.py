@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontam, quality_rules, simhash, token_counts, url_filter
-from .common import table
+from . import bpe, decontam, quality_knn, quality_rules, simhash, token_counts, toxicity, url_filter
+from .common import id_crc, table, with_holdout
+
+
+def op1_nb_ngrams(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, id_crc("doc_id") % 5 != 0)
+    return with_holdout(toxicity.score_texts(docs, model), id_crc("doc_id") % 5 == 0)
 
 
 #: Rules on hosts and paths, and domains blocked where no rule fits (a stated list, as a parameter).
@@ -31,6 +37,12 @@ def op5_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary, limit=512)
 
 
+def op6_knn_votes(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_knn.fit(docs, labels, id_crc("doc_id") % 3 != 1)
+    return with_holdout(quality_knn.score_texts(docs, model), id_crc("doc_id") % 3 == 1)
+
+
 def op7_winnowing(spark, sf_dir):
     return decontam.contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +52,6 @@ def op8_simhash_components(spark, sf_dir):
     return found.select("doc_id", simhash.hex16("fingerprint").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_divergence_rules, op3_bloom_cascade, op4_bpe_segment_tree, op5_token_counts, op7_winnowing, op8_simhash_components)}
+QUERIES = {f.__name__: f for f in (op1_nb_ngrams, op2_divergence_rules, op3_bloom_cascade, op4_bpe_segment_tree, op5_token_counts, op6_knn_votes, op7_winnowing, op8_simhash_components)}
 
 ORACLES: dict[str, str] = {}
