@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontam, quality_knn, quality_rules, simhash, token_counts, toxicity, url_filter
+from . import bpe, decontam, html_text, quality_knn, quality_rules, simhash, token_counts, toxicity, url_filter, warc
 from .common import id_crc, table, with_holdout
 
 
@@ -52,6 +52,14 @@ def op8_simhash_components(spark, sf_dir):
     return found.select("doc_id", simhash.hex16("fingerprint").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_nb_ngrams, op2_divergence_rules, op3_bloom_cascade, op4_bpe_segment_tree, op5_token_counts, op6_knn_votes, op7_winnowing, op8_simhash_components)}
+def op9_host_suffix_array(spark, sf_dir):
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op10_warc_zstd(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_nb_ngrams, op2_divergence_rules, op3_bloom_cascade, op4_bpe_segment_tree, op5_token_counts, op6_knn_votes, op7_winnowing, op8_simhash_components, op9_host_suffix_array, op10_warc_zstd)}
 
 ORACLES: dict[str, str] = {}

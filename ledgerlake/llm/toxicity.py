@@ -14,7 +14,7 @@ BUCKETS = 1 << 20
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 8_000
 #: A bucket needs so many labelled texts, and a log-count ratio so many standard errors from zero.
-MIN_TEXTS, MIN_ERRORS = 3, 4.0
+MIN_TEXTS, MIN_ERRORS = 3, 3.0
 L2, STEPS = 1e-3, 400
 
 
