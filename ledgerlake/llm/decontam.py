@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORDISH, find_words, mix, scan_text, text_bytes, word_hashes
+from .common import LOWER, WORDISH, filter_text, find_words, mix, scan_text, text_bytes, word_hashes
 
 #: Words in a window; every shared span of so many words is found.
 SPAN = 10
@@ -162,8 +162,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return scan_text(docs, [id_col], text_col, make, "n_words long, n_hit long, spans array<struct<from: int, to: int>>, items array<string>")
 
 
-def clean_mask(benchmark: DataFrame):
-    """A function of texts that is true for those without any hit word, for ``filter_text``."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents without any hit word, with all columns."""
     matcher = Matcher(benchmark)
 
     def keep(texts):
@@ -171,7 +171,7 @@ def clean_mask(benchmark: DataFrame):
         total = np.concatenate([[0], np.cumsum(hit)])
         return total[bounds[1:]] == total[bounds[:-1]]
 
-    return keep
+    return filter_text(docs, text_col, keep)
 
 
 def contamination_digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
