@@ -72,7 +72,7 @@ class Model:
             votes = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** 4
             total = votes.sum(1)
             share = (votes * self.labels[near]).sum(1) / np.maximum(total, 1e-12)
-            out[at : at + BLOCK] = np.where(total > 1e-9, share, prior)
+            out[at : at + BLOCK] = np.clip(np.where(total > 1e-9, share, prior), 0, 1)
         return out
 
 

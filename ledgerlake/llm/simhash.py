@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, discard, find_words, materialise, scan_text, text_bytes
+from .common import LOWER, NOT_SPACE, discard, find_words, materialise, new_key, scan_text, text_bytes
 
 SHINGLE = 4
 SEED = 42
@@ -230,6 +230,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = near_duplicates(docs, id_col, text_col).select(id_col, "component_id")
     kept = materialise(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).count(), "kept")
-    ids = kept.select(F.col(id_col).alias("_kept_id"))
-    out = docs.join(ids, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    name = f"_kept_{new_key()}"  # no column of the documents has this name
+    out = docs.join(kept.select(F.col(id_col).alias(name)), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
     return out.dropDuplicates([id_col, text_col]) if kept.where("count > 1").limit(1).count() else out
