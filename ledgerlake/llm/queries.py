@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontam, html_text, quality_knn, quality_rules, simhash, token_counts, toxicity, url_filter, warc
+from . import bpe, decontam, html_text, oracles, quality_knn, quality_rules, simhash, token_counts, toxicity, url_filter, warc
 from .common import id_crc, table, with_holdout
 
 
@@ -62,4 +62,9 @@ def op10_warc_zstd(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_nb_ngrams, op2_divergence_rules, op3_bloom_cascade, op4_bpe_segment_tree, op5_token_counts, op6_knn_votes, op7_winnowing, op8_simhash_components, op9_host_suffix_array, op10_warc_zstd)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_divergence_rules": oracles.rules(),
+    "op3_bloom_cascade": oracles.urls(RULES, BLOCKED_DOMAINS),
+    "op7_winnowing": oracles.PASSAGES,
+    "op10_warc_zstd": oracles.ARCHIVES,
+}
