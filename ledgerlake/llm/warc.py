@@ -46,11 +46,13 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def train_dictionary(records: DataFrame) -> bytes:
-    """A dictionary for archives of such records, from the start of at most DICTIONARY_ROWS payloads; empty if there are too few."""
-    rows = records.where(F.col("record_type") == "response").select(F.substring("payload", 1, DICTIONARY_PART).alias("p"), F.xxhash64("digest").alias("h"))
-    parts = [bytes(r.p) for r in rows.orderBy("h", "p").limit(DICTIONARY_ROWS).collect() if len(r.p) >= 64]
-    if len(parts) < 16:
+    """A dictionary for archives of such records, from the start of at most DICTIONARY_ROWS different payloads (those with the least
+    hashes); empty if there are too few. Tasks send the driver hashes first, then the chosen payloads alone."""
+    some = records.where((F.col("record_type") == "response") & (F.length("payload") >= 64)).select(F.xxhash64("digest").alias("h"), F.substring("payload", 1, DICTIONARY_PART).alias("p"))
+    least = [r.h for r in some.select("h").distinct().orderBy("h").limit(DICTIONARY_ROWS).collect()]
+    if len(least) < 16:
         return b""
+    parts = [bytes(r.p) for r in some.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("p").alias("p")).orderBy("h").collect()]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, parts)) // 10), parts).as_bytes()
     except zstandard.ZstdError:
