@@ -200,3 +200,22 @@ def ewma_vol_target(returns: DataFrame, target: float, half_life: float, cap: fl
     vol = numbered.withColumn("vol", F.when(F.col("i") > least, F.sqrt(var) * ROOT)).drop("i")
     month = Window.partitionBy("series_id", F.date_trunc("month", "date")).orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return vol.withColumn("scale", F.first(F.when(F.col("vol") > 0, F.least(F.lit(cap), F.lit(target) / F.col("vol"))), ignorenulls=True).over(month))
+
+
+def spell_stats(positions: DataFrame) -> DataFrame:
+    """Invested spells of (series_id, date, position, ret, cash): length, return, and return over cash."""
+    runs = islands(positions, ["series_id"], F.col("position") > 0)
+    grown = lambda c: F.product(1 + F.col(c))
+    return runs.groupBy("series_id", "island").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("length"), (grown("ret") - 1).alias("ret"), (grown("ret") - grown("cash")).alias("excess"))
+
+
+def health_checks(summary: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """(level, scope, message) of each rule that a series (series_id, max_drawdown, volatility, sharpe) breaks."""
+    d = F.col
+    rules = [
+        ("alert", d("max_drawdown") < -limits["drawdown"], "drawdown beyond the limit"),
+        ("warning", d("volatility") > limits["volatility"], "volatility over the limit"),
+        ("warning", d("sharpe") < limits["sharpe"], "Sharpe ratio under the limit"),
+    ]
+    found = F.array(*(F.when(broken, F.struct(F.lit(level).alias("level"), F.lit(text).alias("message"))) for level, broken, text in rules))
+    return summary.select(d("series_id").alias("scope"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("x.level", "scope", "x.message")
