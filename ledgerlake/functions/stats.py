@@ -42,3 +42,15 @@ def sharpe_error(sr: Column, n: Column, skew: Column, kurtosis: Column) -> Colum
     """Standard error of a per-period Sharpe ratio under skew and (non-excess) kurtosis."""
     inner = F.greatest(F.lit(1.0) - skew * sr + (kurtosis - 1) / 4 * sr * sr, F.lit(1e-12))
     return F.sqrt(inner / F.greatest(n - 1, F.lit(1)))
+
+
+def safe_corr(x: Column | str, y: Column | str) -> Column:
+    """Correlation as an aggregate of the rows that have both; null, not an error, where either does not vary."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
+def safe_beta(y: Column | str, x: Column | str) -> Column:
+    """Slope of y on x as an aggregate; null where x does not vary."""
+    return F.covar_samp(y, x) / F.nullif(F.var_samp(x), F.lit(0.0))

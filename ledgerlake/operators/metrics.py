@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.stats import YEAR, phi, phi_inverse, sharpe_error
+from ..functions.stats import YEAR, phi, phi_inverse, safe_beta, safe_corr, sharpe_error
 from .timeseries import by, full, islands, running, running_product
 
 
@@ -109,7 +109,7 @@ def with_bench(returns: DataFrame, bench: DataFrame, how: str = "inner") -> Data
 
 def beta_alpha(returns: DataFrame, bench: DataFrame, rf: float = 0.0) -> DataFrame:
     x, b = excess(rf), F.col("bench") - ((1 + rf) ** (1 / YEAR) - 1)
-    m = with_bench(returns, bench).groupBy("series_id").agg(F.count("*").alias("n"), (F.covar_samp(x, b) / F.var_samp(b)).alias("beta"), F.avg(x).alias("mx"), F.avg(b).alias("mb"), F.corr("ret", "bench").alias("corr"))
+    m = with_bench(returns, bench).groupBy("series_id").agg(F.count("*").alias("n"), safe_beta(x, b).alias("beta"), F.avg(x).alias("mx"), F.avg(b).alias("mb"), safe_corr("ret", "bench").alias("corr"))
     return m.where("n >= 10").select("series_id", "beta", ((F.col("mx") - F.col("beta") * F.col("mb")) * YEAR).alias("alpha"), "corr")
 
 
@@ -185,7 +185,8 @@ def rolling_correlations(returns: DataFrame, n: int) -> DataFrame:
     """Of every pair of series a < b on common dates."""
     a = returns.select("date", F.col("series_id").alias("a"), F.col("ret").alias("x"))
     b = returns.select("date", F.col("series_id").alias("b"), F.col("ret").alias("y"))
-    return a.join(b, "date").where("a < b").select("a", "b", "date", full(F.corr("x", "y"), by("a", "b"), n).alias("corr"))
+    w = by("a", "b")
+    return a.join(b, "date").where("a < b").select("a", "b", "date", (full(F.covar_pop("x", "y"), w, n) / F.nullif(full(F.stddev_pop("x"), w, n) * full(F.stddev_pop("y"), w, n), F.lit(0.0))).alias("corr"))
 
 
 def ewma_vol_target(returns: DataFrame, target: float, half_life: float, cap: float, least: int = 20) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import YEAR, phi
+from ..functions.stats import YEAR, phi, safe_beta, safe_corr
 from .timeseries import by, running
 
 
@@ -95,7 +95,7 @@ def tracking(live: DataFrame, model: DataFrame, least: int = 5) -> DataFrame:
     diff = F.col("ret") - F.col("model")
     return both.groupBy("series_id").agg(
         F.count("*").alias("n"), (F.product(1 + F.col("ret")) - F.product(1 + F.col("model"))).alias("shortfall"), (F.stddev_samp(diff) * F.sqrt(F.lit(float(YEAR)))).alias("tracking_error"),
-        F.corr("ret", "model").alias("corr"), (F.covar_samp("ret", "model") / F.var_samp("model")).alias("beta"),
+        safe_corr("ret", "model").alias("corr"), safe_beta("ret", "model").alias("beta"),
     ).where(F.col("n") >= least)
 
 

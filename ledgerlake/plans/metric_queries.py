@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import ERF_A, ERF_P
+from ..functions.stats import ERF_A, ERF_P, safe_corr
 from ..operators import metrics as m
 from ..operators import timeseries as ts
 from ..sources import testdata as v
@@ -242,7 +242,7 @@ def spells(spark, d):
 @query(f"{RET}, a AS (SELECT series_id, date, ret, lag(ret) OVER ({OF}) AS p FROM returns) SELECT series_id, CAST(year(date) AS INTEGER) AS year, {r('corr(ret, p)')} AS autocorr FROM a GROUP BY 1, 2 HAVING count(*) >= 200")
 def autocorr_by_year(spark, d):
     x = v.returns(spark, d).withColumn("p", F.lag("ret").over(m.W()))
-    return rounded(x.groupBy("series_id", F.year("date").alias("year")).agg(F.count("*").alias("n"), F.corr("ret", "p").alias("autocorr")).where("n >= 200").drop("n"))
+    return rounded(x.groupBy("series_id", F.year("date").alias("year")).agg(F.count("*").alias("n"), safe_corr("ret", "p").alias("autocorr")).where("n >= 200").drop("n"))
 
 
 @query(f"{RET}, e AS (SELECT series_id, avg(ret) AS m, stddev_samp(ret) AS s, quantile_cont(ret, 0.01) AS q FROM returns GROUP BY 1) SELECT series_id, {r('avg(CASE WHEN abs(ret - m) > 3 * s THEN 1.0 ELSE 0.0 END)')} AS beyond_3sd, {r('pow(product(1 + ret) FILTER (WHERE ret > q), 252.0 / count(*) FILTER (WHERE ret > q)) - 1')} AS cagr_without_worst FROM returns JOIN e USING (series_id) GROUP BY 1")
@@ -393,7 +393,7 @@ def rank_correlation(spark, d):
     s = v.returns(spark, d).groupBy("series_id", F.year("date").alias("y")).agg(F.count("*").alias("n"), (F.avg("ret") / F.stddev_samp("ret")).alias("sr")).where("n > 20")
     s = s.withColumn("nx", F.lead("sr").over(ts.by("series_id", order="y"))).where("nx is not null")
     everything = Window.partitionBy(F.lit(0))  # a few figures a series and year
-    return rounded(s.select(F.rank().over(everything.orderBy("sr")).alias("a"), F.rank().over(everything.orderBy("nx")).alias("b")).agg(F.corr("a", "b").alias("spearman"), F.count("*").alias("n")))
+    return rounded(s.select(F.rank().over(everything.orderBy("sr")).alias("a"), F.rank().over(everything.orderBy("nx")).alias("b")).agg(safe_corr("a", "b").alias("spearman"), F.count("*").alias("n")))
 
 
 @query(f"{RET} SELECT date, {r('max(ret) FILTER (WHERE series_id = chr(65))', 8)} AS a, {r('max(ret) FILTER (WHERE series_id = chr(78))', 8)} AS n, {r('max(ret) FILTER (WHERE series_id = chr(82))', 8)} AS r FROM returns GROUP BY 1")

@@ -53,13 +53,13 @@ def validate_cashflows(spark, d):
     return rounded(good.groupBy(F.expr("substr(note, 3)").alias("kind")).agg(F.sum("value").alias("value")), 2)
 
 
-MARKS = "mk AS (SELECT symbol, date, close * 1.5 AS price FROM prices WHERE day(date) = 9 UNION ALL SELECT DISTINCT symbol, DATE '2030-01-01', 7.0 FROM prices)"
+MARKS = "mk AS (SELECT symbol, date, floor(close) + 0.25 AS price FROM prices WHERE day(date) = 9 UNION ALL SELECT DISTINCT symbol, DATE '2030-01-01', 7.0 FROM prices)"
 
 
 @query(f"{PX}, {MARKS} SELECT coalesce(p.symbol, m.symbol) AS symbol, coalesce(p.date, m.date) AS date, {r('coalesce(m.price, p.close)', 5)} AS close FROM prices p FULL JOIN mk m ON p.symbol = m.symbol AND p.date = m.date")
 def apply_marks(spark, d):
     p = v.prices(spark, d)
-    marks = p.where("day(date) = 9").select("symbol", "date", (F.col("close") * 1.5).alias("price")).union(p.select("symbol").distinct().selectExpr("symbol", "date'2030-01-01'", "7.0D"))
+    marks = p.where("day(date) = 9").select("symbol", "date", (F.floor("close") + F.lit(0.25)).cast("double").alias("price")).union(p.select("symbol").distinct().selectExpr("symbol", "date'2030-01-01'", "7.0D"))
     return rounded(jn.apply_marks(p, marks), 5)
 
 
@@ -131,7 +131,7 @@ def point_in_time_facts(spark, d):
     return rounded(fu.known_values(cal, q, ["cik"], "value", 150).select("cik", "date", "value"), 2)
 
 
-@query(f"{RET}, {MOMENTS}, sp AS (SELECT stddev_samp(sr) AS spread FROM s), h AS (SELECT series_id, sr, se, spread * 2.4930651 AS k FROM s, sp) SELECT series_id, {r(phi_sql('((sr - k) / se)'), 4)} AS dsr FROM h")
+@query(f"{RET}, {MOMENTS}, sp AS (SELECT stddev_samp(sr) AS spread FROM s), h AS (SELECT series_id, sr, se, spread * 2.5306028932016846 AS k FROM s, sp) SELECT series_id, {r(phi_sql('((sr - k) / se)'), 4)} AS dsr FROM h")
 def deflated_sharpe(spark, d):
     return rounded(si.deflated_sharpe(v.returns(spark, d), 100).select("series_id", "dsr"), 4)
 
