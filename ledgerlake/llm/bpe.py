@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import zlib
 from array import array
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import new_key, once, row_slices, scan_text
+from .common import once, row_slices, scan_text, small_batches, tidy
 
 #: Pre-tokens remembered by a Python worker; at this many only those of the present texts stay.
 CACHE_ENTRIES = 1 << 17
@@ -218,6 +219,11 @@ def encode(self, found: list[list[str]]) -> list[bytes]:
         return [b"".join(map(self.__getitem__, pieces)) for pieces in found]
 
 
+def vocabulary_key(what: str, ranks: dict[bytes, int]) -> str:
+    """The same for the same ranks, so that a worker's tables serve later runs too."""
+    return f"{what}-{len(ranks)}-{zlib.crc32(b' '.join(ranks))}-{zlib.crc32(array('I', ranks.values()).tobytes())}"
+
+
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids): the ids of every whole text, packed as little-endian unsigned 32-bit integers.
 
@@ -225,7 +231,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
     rows give repeated results; a null id stays null. ``ranks`` (bounded by the vocabulary file) is broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(ranks)
-    key = new_key()
+    key = vocabulary_key("ids", ranks)
 
     def make(texts):
         ids, find = once(key, lambda: PieceIds(shared.value)), regex.compile(pattern).findall
@@ -238,8 +244,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
 def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds the bytes that the packed ids stand for; null ids give empty bytes. ``out_col`` replaces a column of that name."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)
-    df = df.drop(out_col)
-    key = new_key()
+    df = small_batches(df.drop(out_col))
+    key = vocabulary_key("bytes", ranks)
 
     def run(batches):
         of = once(key, lambda: {r: t for t, r in shared.value.items()}).__getitem__
@@ -247,6 +253,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col
             for part in row_slices(batch, batch.column(ids_col)):
                 out = [b"".join(map(of, array("I", x or b""))) for x in part.column(ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, out_col])
+            tidy()
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out_col, BinaryType())]))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds at a time (a single longer text is a step of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: An odd multiplier of the polynomial word hash.
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -142,9 +144,9 @@ _ONCE: dict[str, object] = {}
 
 
 def once(key: str, build):
-    """What ``build()`` returns, kept for the later tasks of the same Python worker; the four last keys stay."""
+    """What ``build()`` returns, kept for the later tasks of the same Python worker; the two last keys stay."""
     if key not in _ONCE:
-        while len(_ONCE) >= 4:
+        while len(_ONCE) >= 2:
             _ONCE.pop(next(iter(_ONCE)))
         _ONCE[key] = build()
     return _ONCE[key]
@@ -154,6 +156,30 @@ def new_key() -> str:
     return uuid.uuid4().hex
 
 
+def tidy() -> None:
+    """Gives memory that a batch has used back to the system: a worker lives on for other tasks and other operators."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
+except OSError:
+    _LIBC = None
+
+#: Rows of an Arrow batch between the JVM and Python, unless the session sets its own number.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Texts are long, so batches of the default number of rows would hold tens of MB on both sides; a number set by the user stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def scan_text(df: DataFrame, keep: list[str], text_col: str, make, schema: str) -> DataFrame:
     """``keep`` columns and what ``make(texts) -> dict of arrays`` returns for each row, in Arrow batches.
 
@@ -169,9 +195,10 @@ def scan_text(df: DataFrame, keep: list[str], text_col: str, make, schema: str)
                     [*(part.column(c) for c in keep), *(v if isinstance(v, pa.Array) else pa.array(v) for v in made.values())],
                     [*keep, *made],
                 )
+            tidy()
 
     kept = [f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in keep]
-    return picked.mapInArrow(run, ", ".join([*kept, schema]))
+    return small_batches(picked).mapInArrow(run, ", ".join([*kept, schema]))
 
 
 def filter_text(df: DataFrame, text_col: str, keep_mask) -> DataFrame:
@@ -181,8 +208,9 @@ def filter_text(df: DataFrame, text_col: str, keep_mask) -> DataFrame:
         for batch in batches:
             for part, texts in slices(batch, text_col):
                 yield part.filter(pa.array(keep_mask(texts)))
+            tidy()
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, limit: int) -> DataFrame:
