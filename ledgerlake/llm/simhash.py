@@ -231,5 +231,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = near_duplicates(docs, id_col, text_col).select(id_col, "component_id")
     kept = materialise(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).count(), "kept")
     name = f"_kept_{new_key()}"  # no column of the documents has this name
-    out = docs.join(kept.select(F.col(id_col).alias(name)), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
+    # texts are dealt by id at every size of the kept ids, and never sorted: only the ids are held
+    ids = kept.select(F.col(id_col).alias(name)).hint("shuffle_hash")
+    out = docs.join(ids, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
     return out.dropDuplicates([id_col, text_col]) if kept.where("count > 1").limit(1).count() else out
