@@ -123,10 +123,10 @@ def ledger_weights(spark, d):
     return rounded(lg.ledger_weights(_daily(spark, d)).select("sleeve", "date", "weight"))
 
 
-@query(f"{LEGS} SELECT sleeve, symbol, CAST(episode AS BIGINT) AS episode, direction, entry_date, exit_date, {r('quantity')} AS quantity, {r('entry_value', 5)} AS entry_value, {r('fees', 6)} AS fees, {r('pnl', 5)} AS pnl, {r('ret')} AS ret, closed FROM tp")
+@query(f"{LEGS} SELECT sleeve, symbol, CAST(episode AS BIGINT) AS episode, direction, entry_date, exit_date, {r('quantity + 0.0000013')} AS quantity, {r('entry_value + 0.0000013', 5)} AS entry_value, {r('fees + 0.0000013', 6)} AS fees, {r('pnl + 0.0000013', 5)} AS pnl, {r('ret + 0.0000013')} AS ret, closed FROM tp")
 def round_trips(spark, d):
     t = lg.round_trips(v.fills(spark, d))
-    n = lambda c, k: (F.round(c, k) + F.lit(0.0)).alias(c)
+    n = lambda c, k: (F.round(F.col(c) + 0.0000013, k) + F.lit(0.0)).alias(c)  # noqa: E731  both engines turn ties the same way
     return t.select("sleeve", "symbol", F.col("episode").cast("long").alias("episode"), "direction", "entry_date", "exit_date", n("quantity", 6), n("entry_value", 5), n("fees", 6), n("pnl", 5), n("ret", 6), "closed")
 
 
