@@ -223,12 +223,12 @@ def hex16(col: str) -> Column:
     return F.lpad(F.lower(F.hex(col)), 16, "0")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near-duplicates of smaller id: one document of each component stays, with all columns.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near=near_duplicates) -> DataFrame:
+    """The documents without near-duplicates of smaller id: one document of each component of ``near`` stays, with all columns.
 
     Rows with a null id stay only where their component has no id at all. Ids should be unique; of rows that repeat both id and text, one stays.
     """
-    found = near_duplicates(docs, id_col, text_col).select(id_col, "component_id")
+    found = near(docs, id_col, text_col).select(id_col, "component_id")
     kept = materialise(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).count(), "kept")
     name = f"_kept_{new_key()}"  # no column of the documents has this name
     # texts are dealt by id at every size of the kept ids, and never sorted: only the ids are held
