@@ -53,8 +53,13 @@ def build_calendar(spark, d):
 
 
 @query(f"{FP}, {POS} SELECT sleeve, symbol, date, {r('qty')} AS qty, {r('mark')} AS mark FROM val WHERE year(date) = 1998")
+def positions_daily_1998(spark, d):
+    return positions_daily(spark, d).where("year(date) = 1998")
+
+
+@query()
 def positions_daily(spark, d):
-    return rounded(_positions(spark, d).where("year(date) = 1998").select("sleeve", "symbol", "date", "qty", "mark"))
+    return rounded(_positions(spark, d).select("sleeve", "symbol", "date", "qty", "mark"))
 
 
 @query(f"{FP}, {POS} SELECT sleeve, date, {r('sum(value)', 3)} AS value FROM val GROUP BY 1, 2")
