@@ -198,10 +198,17 @@ def plan_weights(spark, d):
 
 
 @query(f"{lq.FILLS}, o AS (SELECT sleeve, symbol, side, abs(qty) AS quantity, CASE WHEN seq % 2 = 0 THEN 'open' ELSE 'close' END AS timing, CASE WHEN seq % 7 = 0 THEN 'limit' ELSE 'market' END AS kind FROM fills WHERE seq <= 40), n AS (SELECT symbol, timing, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) AS q, string_agg(DISTINCT CAST(sleeve AS VARCHAR), ', ' ORDER BY CAST(sleeve AS VARCHAR)) AS strategies FROM o WHERE kind = 'market' GROUP BY 1, 2) SELECT symbol, timing, CASE WHEN q > 0 THEN 'BUY' ELSE 'SELL' END AS side, abs(q) AS quantity, 'market' AS kind, strategies FROM n WHERE q <> 0 UNION ALL SELECT symbol, timing, side, quantity, kind, CAST(sleeve AS VARCHAR) FROM o WHERE kind <> 'market'")
+def net_orders_first_fills(spark, d):
+    return od.net_orders(_orders(v.fills(spark, d).where("seq <= 40")))
+
+
+@query()
 def net_orders(spark, d):
-    f = v.fills(spark, d).where("seq <= 40")
-    o = f.select("sleeve", "symbol", "side", F.abs("qty").alias("quantity"), F.when(F.col("seq") % 2 == 0, "open").otherwise("close").alias("timing"), F.when(F.col("seq") % 7 == 0, "limit").otherwise("market").alias("kind"))
-    return od.net_orders(o)
+    return od.net_orders(_orders(v.fills(spark, d)))
+
+
+def _orders(fills):
+    return fills.select("sleeve", "symbol", "side", F.abs("qty").alias("quantity"), F.when(F.col("seq") % 2 == 0, "open").otherwise("close").alias("timing"), F.when(F.col("seq") % 7 == 0, "limit").otherwise("market").alias("kind"))
 
 
 @query("WITH e AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) SELECT day, (SELECT count(*) FROM generate_series(day::TIMESTAMP + INTERVAL 1 DAY, TIMESTAMP '2024-02-15', INTERVAL 1 DAY) g(x) WHERE isodow(x) <= 5) AS stale FROM e")
