@@ -140,6 +140,25 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """The hash of n words from each position on, where n words follow."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(words) - n + 1, np.uint64)
+    for j in range(n):
+        total += mix(words[j : len(words) - n + 1 + j] + np.uint64(j))
+    return mix(total)
+
+
+def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which values occur in a sorted array."""
+    if not len(among):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(among, values)
+    at[at == len(among)] = 0
+    return among[at] == values
+
+
 _ONCE: dict[str, object] = {}
 
 

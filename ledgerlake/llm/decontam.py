@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORDISH, filter_text, find_words, mix, scan_text, text_bytes, word_hashes
+from .common import LOWER, WORDISH, filter_text, find_words, gram_hashes, member, scan_text, text_bytes, word_hashes
 
 #: Words in a window; every shared span of so many words is found.
 SPAN = 10
@@ -17,16 +17,6 @@ K = 5
 BLOCK_BYTES = 8 << 20
 
 
-def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """The hash of n words from each position on, where n words follow."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    total = np.zeros(len(words) - n + 1, np.uint64)
-    for j in range(n):
-        total += mix(words[j : len(words) - n + 1 + j] + np.uint64(j))
-    return mix(total)
-
-
 def starts_of(bounds: np.ndarray, n: int, total: int) -> np.ndarray:
     """Whether n words of the same text follow from each position on."""
     sizes = np.diff(bounds)
@@ -104,14 +94,6 @@ class Index:
                     items[t].update(owner[first[k] : first[k + 1]].tolist())
 
 
-def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    if not len(among):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(among, values)
-    at[at == len(among)] = 0
-    return among[at] == values
-
-
 class Matcher:
     """The benchmark's blocks against texts. A single block stays in memory; of several, one at a time does."""
 

@@ -1,9 +1,12 @@
 import hashlib
 import io
+import random
 import re
 import struct
+import time
 from html import unescape
 
+import numpy as np
 import pytest
 import zstandard
 
@@ -59,19 +62,105 @@ def test_the_host_suffix_array_finds_repeated_stretches(spark):
     assert all(texts[100 + i].startswith("welcome") for i in range(3))  # one page a host: nothing repeats
 
 
-def test_suffix_ranks_sort_as_slices_do():
-    import numpy as np
-
-    x = np.random.default_rng(3).integers(0, 3, 200)
-    ranks = html_text.suffix_ranks(x, 8)
-    keys = [tuple(x[i : i + 8]) for i in range(len(x))]
-    order = sorted(set(keys))
-    assert ranks.tolist() == [order.index(k) for k in keys]
-
-
-def test_groups_of_a_large_host_lose_no_page(spark, pages, monkeypatch):
-    monkeypatch.setattr(html_text, "GROUP_PAGES", 3)
-    assert html_text.extract_main_text(pages).count() == pages.count()
+def test_the_suffix_array_sorts_suffixes():
+    rng = np.random.default_rng(3)
+    for n, kinds in ((0, 3), (1, 3), (200, 3), (300, 1)):
+        x = np.append(rng.integers(0, kinds, n), 99) if n else np.zeros(0, np.int64)
+        order, common = html_text.suffix_array(x)
+        suffixes = [tuple(x[i:]) for i in range(len(x))]
+        assert order.tolist() == sorted(range(len(x)), key=lambda i: suffixes[i])
+        for k in range(1, len(x)):
+            a, b = suffixes[order[k - 1]], suffixes[order[k]]
+            assert common[k] == next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
+
+
+def brute_texts(rows):
+    """Main texts by plain counting: every stretch of a host's words outside articles, and the different pages that have it."""
+    pages = [(r[1], html_text.page_blocks(r[2] or "")) for r in rows]
+    host = lambda url: re.match("[^/?#]*", url.split("://", 1)[1])[0].lower() if url and "://" in url else ""
+    seen, n = {}, html_text.MIN_WORDS
+
+    def stretches(blocks):
+        segments, at = [], 0
+        for text, kind in blocks:
+            words = text.split(" ")
+            if not segments or segments[-1][0] != (kind == 2):
+                segments.append((kind == 2, at, []))
+            segments[-1][2].extend(words)
+            at += len(words)
+        for inside, begin, words in segments:
+            for i in range(len(words) - n + 1):
+                yield inside, begin + i, tuple(words[i : i + n])
+
+    for url, blocks in pages:
+        whole = " ".join(t for t, _ in blocks)
+        for inside, _, words in stretches(blocks):
+            if not inside:
+                seen.setdefault((host(url), words), set()).add(whole)
+    out = []
+    for url, blocks in pages:
+        covered = {i + k for _, i, words in stretches(blocks) if len(seen.get((host(url), words), ())) >= html_text.MIN_PAGES for k in range(n)}
+        wanted, at, kept = 2 if any(k == 2 for _, k in blocks) else 1, 0, []
+        for text, kind in blocks:
+            for w in text.split(" "):
+                if kind == wanted and at not in covered:
+                    kept.append(w)
+                at += 1
+        out.append(" ".join(kept))
+    return out
+
+
+def site(seed, n=60):
+    """Pages of three hosts, with and without articles, that share banners, notices inside articles, quotes and whole copies."""
+    rng = random.Random(seed)
+    words = lambda k: " ".join(f"w{rng.randrange(60)}" for _ in range(k))
+    shared, quote = [words(k) for k in (9, 10, 14, 40)], words(30)
+    out = []
+    for i in range(n):
+        a, b = (rng.choice([*shared, words(5), ""]) for _ in range(2))
+        body = f"<p>{words(rng.randrange(40))}</p><p>{rng.choice([quote, '', shared[3]])}</p>"
+        body = f"<article>{body}</article>" if rng.random() < 0.5 else body
+        out.append((i, f"http://h{rng.randrange(3)}.example/{i}", f"<div>{a}</div><nav>{b}</nav>{body}<div>{rng.choice(shared)}</div>"))
+    return out + [(n + i, *out[i][1:]) for i in range(5)]
+
+
+@pytest.mark.parametrize(("limit", "seed"), [(2_000_000, 1), (-1, 2)])
+def test_texts_match_plain_counting_in_any_order(spark, limit, seed, monkeypatch):
+    monkeypatch.setattr(html_text, "MAX_BROADCAST_RUNS", limit)
+    data = site(seed)
+    want = {r[0]: t for r, t in zip(data, brute_texts(data))}
+    removed = sum("<article>" in r[2] for r in data if want[r[0]] != " ".join(t for t, k in html_text.page_blocks(r[2]) if k == 2))
+    assert removed  # the array decides inside articles too
+    for parts in (1, 7):
+        random.Random(parts).shuffle(data)
+        df = rows(spark, data).repartition(parts)
+        assert {r.page_id: r.text for r in html_text.extract_main_text(df).collect()} == want
+
+
+def test_a_large_host_is_one_host(spark):
+    """A notice on 3 of many pages of a host is found wherever those pages lie; text of articles stays, however often it stands there."""
+    notice, story = " ".join(f"notice{i}" for i in range(12)), " ".join(f"story{i}" for i in range(30))
+    data = [(i, "http://big.example/", f"<p>says page {i}</p>" + (f"<div>{notice}</div>" if i in (3, 900, 1999) else "")) for i in range(2000)]
+    data += [(5000 + i, "http://big.example/", f"<main><p>{story}</p><p>number {i}</p></main>") for i in range(20)]
+    texts = {r.page_id: r.text for r in html_text.extract_main_text(rows(spark, data).repartition(16)).collect()}
+    assert all(texts[i] == f"says page {i}" for i in range(2000)) and all(texts[5000 + i] == f"{story} number {i}" for i in range(20))
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a '\">", "<div", "<div>", "</p>", "<", "<!--", "</script", "<script>", "<p class='ad'>x", "<div>" * 9 + "</ul>", "<a b c = ", '"', "<a x=\"'\">", "&amp", "<b <b>", "<textarea></textare"])
+def test_hostile_markup_takes_linear_time(piece):
+    page = piece * ((1 << 20) // len(piece))
+    began = time.process_time()
+    html_text.page_blocks(page)
+    assert time.process_time() - began < 4  # a quadratic scan takes minutes
+
+
+def test_tags_with_quotes_and_odd_ends():
+    texts = lambda h: " | ".join(t for t, k in html_text.page_blocks(h) if k)
+    assert texts('<p title="a > b">one</p><p title="hidden class=ad">two</p>') == "one | two"
+    assert texts("<p class=ad>x<p>y</p><div class='ad'><p>z</div>last") == "y | last"
+    assert texts('a < b <3 <b "open>c</b> d') == 'a < b <3 c d'
+    assert texts("<SCRIPT>if (a</scripts>b)</Script >after<!-- <p> -->end<!DOCTYPE x>") == "afterend"
+    assert texts("x<textarea>never closed") == "x" and texts("tail <p") == "tail <p"
 
 
 def check_archives(df):
