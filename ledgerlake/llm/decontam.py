@@ -7,14 +7,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORDISH, filter_text, find_words, gram_hashes, member, scan_text, text_bytes, word_hashes
+from .common import LOWER, WORDISH, find_words, gram_hashes, materialise, mix, new_key, small_batches, slices, text_bytes, word_hashes
 
 #: Words in a window; every shared span of so many words is found.
 SPAN = 10
 #: Words in a k-gram. A fingerprint is the least of the SPAN - K + 1 k-gram hashes of a window.
 K = 5
-#: Benchmark text in one broadcast index; a larger benchmark is matched in blocks of this size.
-BLOCK_BYTES = 8 << 20
+#: Bits (a power of two) of the map of benchmark fingerprints that all executors get, at most: 32 MB. A fuller map lets more document
+#: windows through to the join, which decides alone.
+MAX_BITS = 28
+#: Document windows in one batch that goes to the join, and contaminated texts whose keys are sent to all executors.
+BATCH_WINDOWS, MAX_BROADCAST_ROWS = 20_000, 500_000
 
 
 def starts_of(bounds: np.ndarray, n: int, total: int) -> np.ndarray:
@@ -48,112 +51,150 @@ def words_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, i: int, n:
     return b" ".join(data[a:b].tobytes() for a, b in zip(starts[i : i + n].tolist(), ends[i : i + n].tolist()))
 
 
-class Index:
-    """Windows of one block of the benchmark: fingerprints, and for each window length the sorted hashes, texts and items."""
-
-    def __init__(self, items: list[tuple[str, str]]):
-        self.ids = sorted({i for i, _ in items})
-        number = {x: k for k, x in enumerate(self.ids)}
-        owner = np.array([number[i] for i, _ in items], np.int32)
-        data, starts, ends, bounds, hashes = normal_words(pa.array([t for _, t in items], pa.large_string()))
-        sizes = np.diff(bounds)
-        of_word = np.repeat(owner, sizes)
-        size_of_word = np.repeat(sizes, sizes)
-        self.windows = {}
-        for n in sorted({min(SPAN, int(s)) for s in sizes if s}):
-            grams = gram_hashes(hashes, n)
-            at = np.flatnonzero(starts_of(bounds, n, len(grams)) & ((size_of_word >= SPAN) if n == SPAN else (size_of_word == n))[: len(grams)])
-            order = at[np.argsort(grams[at], kind="stable")]
-            keys = grams[order]
-            texts = [words_at(data, starts, ends, i, n) for i in order.tolist()]
-            if any(a == b and s != t for a, b, s, t in zip(keys[1:].tolist(), keys.tolist(), texts[1:], texts)):
-                raise ValueError("two windows share a 64-bit hash; change the order of BASE")
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            self.windows[n] = (keys[first], [texts[i] for i in first.tolist()], np.append(first, len(keys)), of_word[order])
-        self.prints = np.unique(winnow(hashes)[starts_of(bounds, SPAN, len(hashes) - SPAN + 1)]) if SPAN in self.windows else np.zeros(0, np.uint64)
-
-    def match(self, data, starts, ends, bounds, hashes, mark: np.ndarray, items: list[set]) -> None:
-        """Adds 1 to ``mark`` at the start of each occurring window and takes 1 at its end; adds its items to the text's set."""
-        for n, (keys, texts, first, owner) in self.windows.items():
-            inside = starts_of(bounds, n, len(hashes) - n + 1)
-            if n == SPAN:  # only windows whose fingerprint the benchmark has can be shared ones
-                inside &= member(winnow(hashes), self.prints)
-            at = np.flatnonzero(inside)
-            if not len(at):
-                continue
-            lo, hi = at[0], at[-1]
-            grams = gram_hashes(hashes[lo : hi + n], n)[at - lo]
-            slot = np.searchsorted(keys, grams)
-            slot[slot == len(keys)] = 0
-            found = keys[slot] == grams
-            text_of = np.searchsorted(bounds, at[found], "right") - 1
-            for i, k, t in zip(at[found].tolist(), slot[found].tolist(), text_of.tolist()):
-                if words_at(data, starts, ends, i, n) == texts[k]:
-                    mark[i] += 1
-                    mark[i + n] -= 1
-                    items[t].update(owner[first[k] : first[k + 1]].tolist())
-
-
-class Matcher:
-    """The benchmark's blocks against texts. A single block stays in memory; of several, one at a time does."""
-
-    def __init__(self, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-        rows = benchmark.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).alias("t"))
-        size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-        blocks = -(-size // BLOCK_BYTES)
-        context = benchmark.sparkSession.sparkContext
-        part = F.pmod(F.xxhash64("i", "t"), F.lit(max(1, blocks)))
-        self.blocks = [context.broadcast(Index([(r.i, r.t) for r in rows.where(part == b).collect()])) for b in range(blocks)]
-
-    def __call__(self, texts: pa.LargeStringArray):
-        """(n_words, spans of hit words, ids of occurring items) of each text."""
-        data, starts, ends, bounds, hashes = normal_words(texts)
-        mark = np.zeros(len(starts) + 1, np.int64)
-        ids: list[set] = [set() for _ in range(len(texts))]
-        for block in self.blocks:
-            index, own = block.value, [set() for _ in range(len(texts))]
-            index.match(data, starts, ends, bounds, hashes, mark, own)
-            for all_ids, new in zip(ids, own, strict=True):
-                all_ids.update(index.ids[k] for k in new)
-            if len(self.blocks) > 1:
-                del index, block._value
-        hit = np.cumsum(mark[:-1]) > 0
-        return np.diff(bounds), hit, bounds, ids
+def windows_in(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows of n words start, and their fingerprints: the least k-gram of SPAN words, the whole of a shorter window."""
+    prints = winnow(hashes) if n == SPAN else gram_hashes(hashes, n)
+    at = np.flatnonzero(starts_of(bounds, n, len(prints)))
+    return at, mix(prints[at] + np.uint64(n))
+
+
+def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(print, n, window, item) of each different window of the items: SPAN words in a row, or a shorter item as a whole."""
+
+    def make(batches):
+        for batch in batches:
+            for part, texts in slices(batch, "_text"):
+                data, starts, ends, bounds, hashes = normal_words(texts)
+                sizes = np.diff(bounds)
+                for n in sorted({min(SPAN, int(x)) for x in sizes if x}):
+                    at, prints = windows_in(hashes, bounds, n)
+                    owner = np.searchsorted(bounds, at, "right") - 1
+                    own = (sizes[owner] == n) | (n == SPAN)
+                    for k in range(0, int(own.sum()), BATCH_WINDOWS):
+                        i = np.flatnonzero(own)[k : k + BATCH_WINDOWS]
+                        texts_ = [words_at(data, starts, ends, x, n) for x in at[i].tolist()]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(prints[i].view(np.int64)), pa.array(np.full(len(i), n, np.int32)), pa.array(texts_, pa.binary()), part.column("_item").take(pa.array(owner[i]))],
+                            ["print", "n", "window", "item"],
+                        )
+
+    rows = benchmark.select(F.col(id_col).cast("string").alias("_item"), F.col(text_col).alias("_text"))
+    return small_batches(rows).mapInArrow(make, "print long, n int, window binary, item string").distinct()
+
+
+class PrintMap:
+    """A bit for each fingerprint of the benchmark, and the window lengths that occur. It has every fingerprint, and maybe others."""
+
+    def __init__(self, windows: DataFrame):
+        prints = windows.select("print").distinct()
+        self.power = int(np.clip(np.ceil(np.log2(64 * max(1, prints.count()))), 6, MAX_BITS))
+        place = F.shiftrightunsigned("print", 64 - self.power)
+        rows = prints.groupBy(F.shiftright(place, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(print, {64 - self.power}) % 64 as int))")).alias("v")).toArrow()
+        self.words = np.zeros(1 << (self.power - 6), np.uint64)
+        self.words[rows.column("w").to_numpy()] = rows.column("v").to_numpy().view(np.uint64)
+        self.lengths = sorted(r.n for r in windows.select("n").distinct().collect())
+
+    def __call__(self, prints: np.ndarray) -> np.ndarray:
+        place = prints >> np.uint64(64 - self.power)
+        return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def candidate_windows(docs: DataFrame, windows: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    """A row of each document: ``keep``, _key (of texts with candidates, else null), n_words. And a row of each candidate: _key, print,
+    n, place, window. Candidates are the windows whose fingerprint the map of the benchmark has; equal texts of a task give them once.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(PrintMap(windows))
+    rows = docs.select(*keep, F.col(text_col).alias("_text"), F.md5(text_col).alias("_key"))
+    names = [*keep, "_key", "n_words", "print", "n", "place", "window"]
+
+    def make(batches):
+        known, seen = shared.value, set()
+        for batch in batches:
+            for part, texts in slices(batch, "_text"):
+                data, starts, ends, bounds, hashes = normal_words(texts)
+                keys, fits = part.column("_key").to_pylist(), np.zeros(len(texts), bool)
+                new = np.array([k not in seen for k in keys], bool)
+                nulls = [pa.nulls(0, part.schema.field(c).type) for c in keep]
+                for n in known.lengths:
+                    at, prints = windows_in(hashes, bounds, n)
+                    hit = known(prints)
+                    at, prints = at[hit], prints[hit]
+                    owner = np.searchsorted(bounds, at, "right") - 1
+                    fits[owner] = True
+                    at, prints, owner = at[new[owner]], prints[new[owner]], owner[new[owner]]
+                    for k in range(0, len(at), BATCH_WINDOWS):
+                        a, p, o = (x[k : k + BATCH_WINDOWS] for x in (at, prints, owner))
+                        yield pa.RecordBatch.from_arrays(
+                            [*(pa.nulls(len(a), x.type) for x in nulls), part.column("_key").take(pa.array(o)), pa.nulls(len(a), pa.int64()), pa.array(p.view(np.int64)), pa.array(np.full(len(a), n, np.int32)),
+                             pa.array(a - bounds[o]), pa.array([words_at(data, starts, ends, x, n) for x in a.tolist()], pa.binary())], names,
+                        )
+                seen.update(k for k, f in zip(keys, fits.tolist()) if f)
+                if keep:
+                    none = [pa.nulls(len(texts), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.binary())]
+                    key = pa.array([k if f else None for k, f in zip(keys, fits.tolist())], pa.string())
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), key, pa.array(np.diff(bounds)), *none], names)
+
+    kept = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
+    return small_batches(rows).mapInArrow(make, kept + "_key string, n_words long, print long, n int, place long, window binary")
+
+
+def join_windows(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """(_key, place, n, item) of each document window that is one of the benchmark's: equal fingerprints, then equal words.
+
+    Fingerprint and words are one join key, so a common k-gram is not one group. Equal texts of several tasks are dropped first."""
+    once = found.where("window is not null").select("_key", "print", "n", "place", "window").distinct()
+    return once.join(windows, ["print", "n", "window"]).select("_key", "place", "n", "item")
+
+
+def spans_of(places: DataFrame) -> DataFrame:
+    """(_key, n_hit, spans) from (_key, at: array of places, n: array of lengths): hits extended to whole shared spans."""
+    span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+
+    def merge(batches):
+        for batch in batches:
+            spans, hits = [], []
+            for at, n in zip(batch.column("at"), batch.column("n"), strict=True):
+                a, b = at.values.to_numpy(), at.values.to_numpy() + n.values.to_numpy()
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], np.maximum.accumulate(b[order])
+                first = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+                begin, end = a[first], b[np.append(first[1:], len(a)) - 1]
+                hits.append(int((end - begin).sum()))
+                spans.append([{"from": x, "to": y} for x, y in zip(begin.tolist(), end.tolist())])
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(hits, pa.int64()), pa.array(spans, span)], ["_key", "n_hit", "spans"])
+
+    return places.mapInArrow(merge, "_key string, n_hit long, spans array<struct<from: int, to: int>>")
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_hit, spans, items): the hit words of every whole text, as spans [from, to) of word numbers, and the items.
 
-    A window is SPAN consecutive words of an item, or a shorter item as a whole. Null and empty texts have no words; items
-    without words have no window; a null item id is shown as "null". Repeated rows give repeated results; of items with the
-    same id, any occurring window counts. The benchmark is broadcast in blocks of at most BLOCK_BYTES (one item may be longer).
+    A window is SPAN consecutive words of an item, or a shorter item as a whole. Documents and items are winnowed, their windows
+    joined on fingerprint and words, and the hits of a text merged to spans. Null and empty texts have no words; items without
+    words have no window. Items of the same id are one item; a null id is an item of its own, null in ``items``. Repeated rows give
+    repeated results; empty tables give empty results or no hits. Other columns of any name do not matter.
     """
-    matcher = Matcher(benchmark)
-    span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-
-    def make(texts):
-        n_words, hit, bounds, ids = matcher(texts)
-        total = np.concatenate([[0], np.cumsum(hit)])
-        n_hit = total[bounds[1:]] - total[bounds[:-1]]
-        spans: list = [[] for _ in range(len(texts))]
-        for t in np.flatnonzero(n_hit).tolist():
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[bounds[t] : bounds[t + 1]].astype(np.int8), [0]])))
-            spans[t] = [{"from": a, "to": b} for a, b in edge.reshape(-1, 2).tolist()]
-        return {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "spans": pa.array(spans, span), "items": pa.array([sorted(x) for x in ids], pa.list_(pa.string()))}
-
-    return scan_text(docs, [id_col], text_col, make, "n_words long, n_hit long, spans array<struct<from: int, to: int>>, items array<string>")
+    windows = materialise(benchmark_windows(benchmark), "windows")
+    found = materialise(candidate_windows(docs, windows, [id_col], text_col), "candidates")
+    hits = materialise(join_windows(found, windows), "hits")
+    places = hits.select("_key", "place", "n").distinct().groupBy("_key").agg(F.collect_list(F.struct("place", "n")).alias("x"))
+    items = hits.select("_key", "item").distinct().groupBy("_key").agg(F.array_sort(F.transform(F.collect_list(F.struct("item")), lambda x: x["item"])).alias("items"))
+    marks = spans_of(places.select("_key", F.col("x.place").alias("at"), F.col("x.n").alias("n"))).join(items, "_key")
+    rows = found.where("window is null").select(id_col, "_key", "n_words")
+    clean = rows.where("_key is null").select(id_col, "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<struct<from: int, to: int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    judged = rows.where("_key is not null").join(materialise(marks, "passages"), "_key", "left")
+    empty = lambda c: F.coalesce(c, F.array()).alias(c)
+    return clean.union(judged.select(id_col, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), empty("spans"), empty("items")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents without any hit word, with all columns."""
-    matcher = Matcher(benchmark)
-
-    def keep(texts):
-        _, hit, bounds, _ = matcher(texts)
-        total = np.concatenate([[0], np.cumsum(hit)])
-        return total[bounds[1:]] == total[bounds[:-1]]
-
-    return filter_text(docs, text_col, keep)
+    """The documents without any hit word, with all columns. Null and empty texts stay; repeated rows stay or go together."""
+    windows = materialise(benchmark_windows(benchmark), "windows")
+    hits = join_windows(candidate_windows(docs, windows, [], text_col), windows)
+    name = f"_key_{new_key()}"  # no column of the documents has this name
+    keys = materialise(hits.select(F.col("_key").alias(name)).distinct(), "contaminated")
+    keys_ = keys.hint("broadcast" if keys.count() <= MAX_BROADCAST_ROWS else "shuffle_hash")
+    return docs.join(keys_, F.md5(F.col(text_col)) == F.col(name), "left_anti")
 
 
 def contamination_digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def brute_hits(text, windows):
             if tuple(w[q : q + n]) in windows:
                 items |= windows[tuple(w[q : q + n])]
                 hit[q : q + n] = [True] * n
-    return len(w), sum(hit), sorted(items)
+    return len(w), sum(hit), sorted(items, key=lambda x: (x is None, x))
 
 
 def windows_of(benchmark):
@@ -112,25 +112,33 @@ def windows_of(benchmark):
         w = WORD.findall((r.text or "").translate(LOW))
         n = min(10, len(w))
         for q in range(len(w) - n + 1 if n else 0):
-            out[tuple(w[q : q + n])].add("null" if r.item_id is None else str(r.item_id))
+            out[tuple(w[q : q + n])].add(None if r.item_id is None else str(r.item_id))
     return out
 
 
-@pytest.mark.parametrize("block", [8 << 20, 700])
-def test_passages_match_brute_force(spark, documents, benchmark, odd_documents, no_documents, block, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
-    extra = spark.createDataFrame([(None, "no id at ALL"), (900, "word1"), (901, None), (902, ""), (903, "word5 word6 word7 word8 word9 word10 word11 word12 word13 word14 word15"), (903, "same row")], "item_id long, text string")
+@pytest.mark.parametrize(("bits", "batch"), [(28, 20_000), (6, 7)])
+def test_passages_match_brute_force(spark, documents, benchmark, odd_documents, no_documents, bits, batch, monkeypatch):
+    monkeypatch.setattr(decontam, "MAX_BITS", bits)  # a map that is full lets all windows through to the join
+    monkeypatch.setattr(decontam, "BATCH_WINDOWS", batch)
+    extra = spark.createDataFrame([(None, "no id at ALL"), (900, "word1"), (901, None), (902, ""), (903, "word5 word6 word7 word8 word9 word10 word11 word12 word13 word14 word15"), (903, "same row"), (904, "same row")], "item_id long, text string")
     bench = benchmark.select("item_id", "text").union(extra)
     windows = windows_of(bench)
     for df in (documents, odd_documents, no_documents):
         found = decontam.find_passages(df, bench).collect()
         want = sorted(((r.doc_id, *brute_hits(r.text, windows)) for r in df.select("doc_id", "text").collect()), key=str)
-        assert sorted(((r.doc_id, r.n_words, r.n_hit, sorted(r["items"])) for r in found), key=str) == want
+        assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in found), key=str) == want
         assert all(sum(s["to"] - s["from"] for s in r.spans) == r.n_hit for r in found)
     kept = decontam.drop_contaminated(documents, bench)
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in documents.collect() if not brute_hits(r.text, windows)[1]}
 
 
+def test_windows_of_equal_fingerprints_are_told_apart(spark):
+    """Where all fingerprints collide, the join still compares words."""
+    windows = spark.createDataFrame([(7, 2, bytearray(b"a b"), "i"), (7, 2, bytearray(b"c d"), None), (7, 3, bytearray(b"c d"), "k")], "print long, n int, window binary, item string")
+    found = spark.createDataFrame([("x", 7, 2, 0, bytearray(b"a b")), ("x", 7, 2, 5, bytearray(b"c d")), ("y", 7, 2, 1, bytearray(b"b a")), ("y", 7, 2, 1, None)], "_key string, print long, n int, place long, window binary")
+    assert sorted(map(tuple, decontam.join_windows(found, windows).collect())) == [("x", 0, 2, "i"), ("x", 5, 2, None)]
+
+
 def test_an_empty_benchmark_hits_nothing(documents, benchmark):
     found = decontam.contamination_digests(documents, benchmark.where("false"))
     assert found.where("contaminated").count() == 0 and found.count() == documents.count()
