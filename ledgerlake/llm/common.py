@@ -83,6 +83,23 @@ def text_bytes(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: Keys that ``join_skewed`` sends to all executors, at most.
+HOT_KEYS, HOT_ROWS = 100_000, 1_000
+
+
+def join_skewed(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` (``total`` of them) with ``table``, which has a row for each key and in ``_rows`` how many rows have it.
+
+    A key that many rows share is not one task's work: keys of HOT_ROWS rows and of a HOT_KEYS-th of all rows, so HOT_KEYS keys at
+    most, are broadcast, and the other keys alone are joined by a shuffle. ``rows`` is read twice.
+    """
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot, cold = table.where(F.col("_rows") >= least).drop("_rows"), table.where(F.col("_rows") < least).drop("_rows")
+    often = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return often.unionByName(rest)
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of words ``[^\x20\x09-\x0D]+`` (UTF-8 continuation and lead bytes are never white space here).

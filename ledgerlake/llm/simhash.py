@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, discard, find_words, materialise, new_key, scan_text, text_bytes
+from .common import LOWER, NOT_SPACE, discard, find_words, join_skewed, materialise, mix, new_key, scan_text, text_bytes
 
 SHINGLE = 4
 SEED = 42
@@ -18,6 +18,8 @@ BITS = 4
 GROUPS = ((0, 21), (21, 21), (42, 22))
 #: Pairs that one vectorised step compares.
 PAIR_BLOCK = 1 << 21
+#: Rows of a cell that one task compares; a larger cell is cut into blocks, and each two blocks meet in a task of their own.
+CELL_ROWS = 1 << 15
 
 
 def shingle_bytes(texts: pa.LargeStringArray, size: int):
@@ -140,16 +142,49 @@ def link_cells(cell: np.ndarray, print_: np.ndarray, native: np.ndarray) -> tupl
     return values[moved], values[labels[moved]]
 
 
+def cell_counts(prints: DataFrame) -> DataFrame:
+    """(cell, rows). There are under 450,000 cells, three groups of 3**10 * 2 or 3**11 count vectors."""
+
+    def count(batches):
+        for batch in batches:
+            cell, n = np.unique(grid_cells(np.asarray(batch.column(0)).view(np.uint64))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "rows"])
+
+    return prints.mapInArrow(count, "cell long, rows long").groupBy("cell").agg(F.sum("rows").alias("rows"))
+
+
+def deal(cell: np.ndarray, prints: np.ndarray, large: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, part): rows of a large cell go to a block by their hash, and with it to the part of each two blocks it is one of.
+
+    ``blocks`` are the counts of blocks of the ``large`` cells, in order. Rows of other cells are part 0 alone."""
+    at = np.searchsorted(large, cell)
+    at[at == len(large)] = 0
+    k = np.where(large[at] == cell, blocks[at], 1) if len(large) else np.ones(len(cell), np.int64)
+    row = np.repeat(np.arange(len(cell)), k)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
+    own = (mix(prints[row] + np.uint64(7)) % k[row].astype(np.uint64)).astype(np.int64)
+    return row, np.minimum(own, other) * k[row] + np.maximum(own, other)
+
+
 def links(prints: DataFrame) -> DataFrame:
-    """(a, b): links between different fingerprints that connect exactly what all links connect. ``prints`` are distinct longs."""
+    """(a, b): links between different fingerprints that connect exactly what all links connect. ``prints`` are distinct longs.
+
+    Cells of over CELL_ROWS rows are cut, so no task holds a whole large cell; the number of comparisons stays that of the grid.
+    """
+    sizes = cell_counts(prints).where(F.col("rows") > CELL_ROWS).orderBy("cell").toArrow()
+    large = sizes.column("cell").to_numpy().astype(np.int64)
+    blocks = -(-2 * sizes.column("rows").to_numpy().astype(np.int64) // CELL_ROWS)
 
     def spread(batches):
         for batch in batches:
             values = np.asarray(batch.column(0)).view(np.uint64)
-            for k in range(0, len(values), 1 << 14):
-                part = values[k : k + (1 << 14)]
-                cell, row, native = grid_cells(part)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(part[row].view(np.int64)), pa.array(native)], ["cell", "fingerprint", "native"])
+            for k in range(0, len(values), 1 << 12):
+                part = values[k : k + (1 << 12)]
+                cell, of, native = grid_cells(part)
+                row, piece = deal(cell, part[of], large, blocks)
+                for i in range(0, len(row), 1 << 19):
+                    r = row[i : i + (1 << 19)]
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[r] | piece[i : i + (1 << 19)] << 26), pa.array(part[of[r]].view(np.int64)), pa.array(native[r])], ["cell", "fingerprint", "native"])
 
     def meet(batches):
         held: list[tuple] = []
@@ -209,14 +244,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint zero and link like others. Null ids are never the least id; a component of null ids alone has none. Repeated
     rows give repeated results. An empty table gives an empty result.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col), "prints")
-    nodes = prints.groupBy("fingerprint").agg(F.min(id_col).alias("least"))
-    roots = components(links(nodes.select("fingerprint")))
-    linked = roots.union(roots.select("root", "root").distinct()).toDF("fingerprint", "root")
-    known = nodes.join(linked, "fingerprint", "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    of_root = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = known.join(of_root, "root").select("fingerprint", "component_id")
-    return prints.join(of_print, "fingerprint").select(id_col, "fingerprint", "component_id")
+    prints = materialise(fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text"), "prints")
+    nodes = materialise(prints.groupBy("fingerprint").agg(F.min("_id").alias("least"), F.count("*").alias("_rows")), "nodes")
+    out = with_components(prints, nodes, components(links(nodes.select("fingerprint"))), "fingerprint")
+    return out.select(F.col("_id").alias(id_col), "fingerprint", "component_id")
+
+
+def with_components(rows: DataFrame, nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the least id of their component. ``nodes`` has a row for each ``key``, its least id and how many rows have it in
+    ``_rows``; ``roots`` has (node, root) of the linked ones. Rows and nodes are written tables."""
+    linked = roots.union(roots.select("root", "root").distinct()).toDF(key, "root")
+    known = materialise(nodes.join(linked, key, "left").select(key, "least", "_rows", "root"), "known")
+    of_root = known.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    of_root = materialise(of_root.withColumnRenamed("n", "_rows"), "roots")
+    size = known.agg(F.count("*").alias("nodes"), F.sum("_rows").alias("rows")).first()
+    within = join_skewed(known.where("root is not null").select(key, "root", F.col("_rows").alias("n")), of_root, "root", size.nodes)
+    alone = known.where("root is null").select(key, F.col("least").alias("component_id"), F.col("_rows").alias("n"))
+    of_key = materialise(within.select(key, "component_id", "n").union(alone).withColumnRenamed("n", "_rows"), "components")
+    return join_skewed(rows, of_key, key, size.rows or 0)
 
 
 def hex16(col: str) -> Column:

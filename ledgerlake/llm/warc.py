@@ -192,7 +192,8 @@ def parse_record(raw: bytes) -> tuple:
 def read_archives(paths: DataFrame, folder: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the files in column ``path``.
 
-    A file is streamed by one task, which holds a record at a time. A broken file raises ArchiveError.
+    Files are dealt over as many tasks as there are files, also where their list is a few rows; a task streams a file and holds a
+    record at a time. A broken file raises ArchiveError. No files give no records.
     """
 
     def run(batches):
@@ -212,7 +213,8 @@ def read_archives(paths: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return paths.select("path").repartition("path").mapInArrow(run, schema)
+    files = paths.select("path").distinct()
+    return files.repartition(max(1, files.count()), "path").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerlake.llm import decontam, simhash
+from ledgerlake.llm import common, decontam, simhash
 
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
@@ -57,6 +57,24 @@ def test_components_of_odd_rows(odd_documents, no_documents):
     check(no_documents)
 
 
+def test_large_cells_and_hot_keys_are_cut(spark, monkeypatch):
+    """Two thousand fingerprints about one centre, in cells cut into many blocks, and keys that count as hot."""
+    monkeypatch.setattr(simhash, "CELL_ROWS", 64)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rng = np.random.default_rng(1)
+    centre, prints = int(rng.integers(2**63)), set()
+    while len(prints) < 2000:
+        prints.add(centre ^ sum(1 << int(b) for b in set(rng.integers(0, 64, rng.integers(1, 7)))))
+    u = np.array(sorted(prints), np.uint64)
+    found = simhash.components(simhash.links(spark.createDataFrame([(int(x),) for x in u.view(np.int64)], "fingerprint long").repartition(4)))
+    root = {np.uint64(r.node % 2**64): r.root % 2**64 for r in found.collect()}
+    want = brute_roots(u.tolist())
+    classes = {(root.get(np.uint64(p), p), want[p]) for p in u.tolist()}
+    assert len(classes) == len({a for a, _ in classes}) == len({b for _, b in classes})
+    texts = ["same text again and again"] * 9 + ["another text of its own"] * 2 + ["", None]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=6), st.lists(st.tuples(st.integers(0, 5), st.lists(st.integers(0, 63), max_size=5)), max_size=60))
 def test_grid_loses_no_link(bases, changes):
