@@ -41,18 +41,18 @@ def rules() -> str:
     word = "[^\\x20\\x09-\\x0D]+"
     common = ", ".join(f"len(list_filter(lw, lambda x: x = '{w}'))" for w in q.COMMON_WORDS)
 
-    def far(column: str, least: int, most: float, width: int) -> str:
+    def far(column: str, enough: str, most: float, width: int) -> str:
         p, r = f"({column}[i] / pn)", "(ref[i] / rn)"
         m = f"(({p} + {r}) / 2)"
         term = f"CASE WHEN {p} > 0 THEN {p} * log2({p} / {m}) ELSE 0 END + CASE WHEN {r} > 0 THEN {r} * log2({r} / {m}) ELSE 0 END"
-        return f"""SELECT doc_id, min(sqrt(greatest(jsd, 0))) > {most} AS far FROM (SELECT doc_id, lang, sum({term}) / 2 AS jsd FROM (SELECT doc_id, {column}, list_sum({column})::DOUBLE AS pn FROM f WHERE list_sum({column}) >= {least}),
- (SELECT lang, [{", ".join(f"sum({column}[{i}])" for i in range(1, width + 1))}] AS ref, sum(list_sum({column}))::DOUBLE AS rn FROM k WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang HAVING sum(list_sum({column})) > 0), range(1, {width + 1}) s(i) GROUP BY doc_id, lang) GROUP BY doc_id"""
+        return f"""SELECT row, sqrt(greatest(sum({term}) / 2, 0)) > {most} AS far FROM (SELECT row, lang, {column}, list_sum({column})::DOUBLE AS pn FROM k WHERE {enough} AND list_sum({column}) > 0) JOIN
+ (SELECT lang, [{", ".join(f"sum({column}[{i}])" for i in range(1, width + 1))}] AS ref, sum(list_sum({column}))::DOUBLE AS rn FROM k WHERE NOT base_failed GROUP BY lang HAVING sum(list_sum({column})) > 0) USING (lang), range(1, {width + 1}) s(i) GROUP BY row"""
 
-    return rf"""WITH d AS (SELECT doc_id, lang, text, regexp_extract_all({t}, '{word}') AS w FROM documents), f AS (SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {gone("[#*$%&|<>]")} AS n_symbols,
- len(list_filter(string_split({t}, chr(10)), lambda x: regexp_matches(x, '{word}'))) - len(list_distinct(list_filter(string_split({t}, chr(10)), lambda x: regexp_matches(x, '{word}')))) AS n_dup_lines, [{", ".join(chars)}] AS chars, [{common}] AS common
+    return rf"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(lang, '') AS lang, text, regexp_extract_all({t}, '{word}') AS w FROM documents), f AS (SELECT row, doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {gone("[#*$%&|<>]")} AS n_symbols,
+ len(list_filter(string_split({t}, chr(10)), lambda x: regexp_matches(x, '{word}'))) - len(list_distinct(list_filter(string_split({t}, chr(10)), lambda x: regexp_matches(x, '{word}')))) AS n_dup_lines, [{", ".join(chars)}] AS chars, list_append([{common}], len(w) - list_sum([{common}])) AS common
  FROM (SELECT *, list_filter(list_transform(w, lambda x: lower(x)), lambda x: strlen(x) <= {q.LONGEST}) AS lw FROM d)),
- wn AS (SELECT doc_id, i, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)), rp AS (SELECT doc_id, i FROM wn QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
- rw AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM rp) GROUP BY 1),
- k AS (SELECT f.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed FROM f LEFT JOIN rw USING (doc_id)),
- c AS ({far("chars", q.MIN_CHARS, q.MAX_CLASS_DISTANCE, len(chars))}), o AS ({far("common", q.MIN_COMMON, q.MAX_WORD_DISTANCE, len(q.COMMON_WORDS))})
- SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(c.far, false) AND NOT coalesce(o.far, false) AS kept FROM k LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)"""
+ wn AS (SELECT row, i, w[i:i + 4] AS g FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)), rp AS (SELECT row, i FROM wn QUALIFY count(*) OVER (PARTITION BY row, g) > 1),
+ rw AS (SELECT row, count(DISTINCT p) AS n_repeat_words FROM (SELECT row, unnest(range(i, i + 5)) AS p FROM rp) GROUP BY 1),
+ k AS (SELECT f.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed FROM f LEFT JOIN rw USING (row)),
+ c AS ({far("chars", f"list_sum(chars) >= {q.MIN_CHARS}", q.MAX_CLASS_DISTANCE, len(chars))}), o AS ({far("common", f"n_words >= {q.MIN_WORDS}", q.MAX_WORD_DISTANCE, len(q.COMMON_WORDS) + 1)})
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(c.far, false) AND NOT coalesce(o.far, false) AS kept FROM k LEFT JOIN c USING (row) LEFT JOIN o USING (row)"""

@@ -8,10 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
-#: 64-bit words that a level may have and still be sent along as a literal. Beyond this, keys are joined instead.
-MAX_WORDS = 1 << 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,10 +43,11 @@ def domains(host: Column) -> Column:
 
 
 class Level:
-    """One Bloom filter: bits as 64-bit words, and how many hashes."""
+    """One Bloom filter: its bits, a byte string, and how many hashes. It goes to the tasks as one binary literal of about 1.4
+    bits for each key and halving of the error, whatever its size."""
 
-    def __init__(self, words: np.ndarray, bits: int, hashes: int):
-        self.words, self.bits, self.hashes = words, bits, hashes
+    def __init__(self, data: bytes, bits: int, hashes: int):
+        self.data, self.bits, self.hashes = data, bits, hashes
 
     @staticmethod
     def places(key: Column, bits: int, hashes: int, depth: int) -> list[Column]:
@@ -57,10 +56,10 @@ class Level:
         return [F.pmod(a + F.lit(i) * b + F.lit(i * i), F.lit(bits)) for i in range(hashes)]
 
     def has(self, key: Column, depth: int) -> Column:
-        array = F.lit(self.words)
-        out = F.lit(True)
+        data, out = F.lit(self.data), F.lit(True)
         for place in self.places(key, self.bits, self.hashes, depth):
-            out &= F.getbit(F.get(array, (F.shiftright(place, 6)).cast("int")), (place % 64).cast("int")) == 1
+            byte = F.conv(F.hex(data.substr((F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            out &= F.getbit(byte, (place % 8).cast("int")) == 1
         return out
 
 
@@ -76,8 +75,8 @@ class Cascade:
         self.levels = levels
 
     @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame) -> Cascade | None:
-        """From two DataFrames of one string column ``key``. None if a level would be larger than MAX_WORDS words."""
+    def build(cls, listed: DataFrame, universe: DataFrame) -> Cascade:
+        """From two DataFrames of one string column ``key``; null keys are passed over. The driver gets the filters' bits alone."""
         listed = materialise(listed.where("key is not null").distinct(), "listed")
         others = materialise(universe.where("key is not null").distinct().join(listed, "key", "left_anti"), "others")
         inside, outside, levels = listed, others, []
@@ -86,17 +85,16 @@ class Cascade:
             p = 0.5 if levels else min(0.5, max(1e-9, n / max(1, m) * math.sqrt(0.5)))
             bits = max(64, math.ceil(n * -math.log(p) / math.log(2) ** 2))
             hashes, depth = max(1, round(bits / n * math.log(2))) if bits > 64 else 4, len(levels)
-            if bits > 64 * MAX_WORDS:
-                return None
             place = F.explode(F.array(*Level.places(F.col("key"), bits, hashes, depth)))
-            rows = inside.select(place.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v")).collect()
-            words = np.zeros(-(-bits // 64), np.int64)
-            for r in rows:
-                words[r.w] = r.v
-            level = Level(words, bits, hashes)
+            rows = inside.select(place.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v")).toArrow()
+            words = np.zeros(-(-bits // 64), "<u8")
+            words[rows.column("w").to_numpy()] = rows.column("v").to_numpy().view(np.uint64)
+            level = Level(words.tobytes(), bits, hashes)
             levels.append(level)
             inside, outside = outside.where(level.has(F.col("key"), depth)), inside
             n = inside.count()
+        discard(listed)
+        discard(others)
         return cls(levels)
 
     def has(self, key: Column) -> Column:
@@ -112,7 +110,8 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], listed: list[str] | Data
     ``rules`` maps ``host/path`` to allow or block; a rule fits its host and all subdomains if the path starts with the rule's,
     and the longest fitting rule decides. Other URLs are blocked if their host or a parent domain is in ``listed`` (strings, or
     a DataFrame with a column ``key``), decided by the cascade over all hosts of the corpus. A null URL and one without ``://``
-    have an empty host and path and are allowed. Repeated rows give repeated results.
+    have an empty host and path and are allowed. Repeated rows give repeated results, an empty table an empty one; other columns of
+    any name do not matter.
     """
     spark: SparkSession = pages.sparkSession
     host, path = url_parts(F.col(url_col))
@@ -120,12 +119,7 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], listed: list[str] | Data
     keys = listed if isinstance(listed, DataFrame) else spark.createDataFrame([(x,) for x in listed], "key string")
     universe = parts.select("host").distinct().select(F.explode(domains(F.col("host"))).alias("key"))
     cascade = Cascade.build(keys.select("key"), universe)
-    if cascade is not None:
-        judged = parts.withColumn("_listed", F.exists(domains(F.col("host")), cascade.has))
-    else:  # the list is too large to send along: mark the distinct hosts by a join on their domains
-        hosts = parts.select("host").distinct()
-        marked = hosts.select("host", F.explode(domains(F.col("host"))).alias("key")).join(keys.select("key").distinct(), "key", "left_semi").select("host").distinct()
-        judged = parts.join(marked.withColumn("_listed", F.lit(True)), "host", "left")
+    judged = parts.withColumn("_listed", F.exists(domains(F.col("host")), cascade.has))
     rule = rule_of(F.col("host"), F.col("path"), rules)
     ruled = judged.select(id_col, "host", "path", rule.alias("rule"), F.coalesce("_listed", F.lit(False)).alias("_listed"))
     by_rule = F.create_map(*(F.lit(x) for pair in rules.items() for x in pair))[F.col("rule")] if rules else F.lit(None).cast("string")
