@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeseries import by, running
+from .timeseries import asof_forward, by, running
 
 #: Shares under this size are none.
 TINY = 1e-9
@@ -23,45 +23,86 @@ def split_restate(fills: DataFrame, splits: DataFrame) -> DataFrame:
     return factor.withColumn("qty", F.col("qty") * F.col("factor")).withColumn("price", F.col("price") / F.col("factor"))
 
 
+def build_calendar(days: DataFrame, *events: DataFrame, inception: str | None = None, end: str | None = None) -> DataFrame:
+    """(date, i): the trading days from the first event (or inception) to ``end``, numbered from 0; the first event's own day opens
+    the calendar where no trading day falls on it. A calendar is days, so one task numbers it."""
+    first = events[0].select("date")
+    for e in events[1:]:
+        first = first.union(e.select("date"))
+    least = F.min("date")
+    first = first.agg((F.least(least, F.lit(inception).cast("date")) if inception else least).alias("date")).where("date is not null")
+    if end:
+        first, days = first.where(F.col("date") <= F.lit(end).cast("date")), days.where(F.col("date") <= F.lit(end).cast("date"))
+    opened = days.select("date").distinct().join(F.broadcast(first.select(F.col("date").alias("_first"))), F.col("date") >= F.col("_first")).select("date")
+    return opened.union(first).distinct().withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")).cast("long") - 1)
+
+
+def on_calendar(rows: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Rows booked on the first calendar day at or after their own, on the last day at most: none is lost."""
+    return asof_forward(rows, calendar, out="_booked").withColumn("date", F.col("_booked")).select(rows.columns)
+
+
+def multipliers(rows: DataFrame, instruments: DataFrame | None) -> DataFrame:
+    """``rows`` with the multiplier (else 1) and future flag (else false) of their symbol; instruments are one row a symbol."""
+    if instruments is None:
+        return rows.withColumns({"multiplier": F.lit(1.0), "future": F.lit(False)})
+    known = instruments.select("symbol", F.col("multiplier").cast("double").alias("multiplier"), (F.col("kind") == "future").alias("future"))
+    return rows.join(F.broadcast(known), "symbol", "left").withColumns({"multiplier": F.coalesce("multiplier", F.lit(1.0)), "future": F.coalesce("future", F.lit(False))})
+
+
 def daily_fills(fills: DataFrame) -> DataFrame:
-    """Signed quantity, notional and fees of each sleeve, symbol and day, and its last fill price."""
-    return fills.groupBy(*KEY, "date").agg(
-        F.sum("qty").alias("traded"), F.sum(F.col("qty") * F.col("price")).alias("notional"), F.sum("fees").alias("fees"), F.max_by("price", "seq").alias("fill_price"),
-    )
+    """Signed quantity, notional and fees of each sleeve, symbol and day."""
+    return fills.groupBy(*KEY, "date").agg(F.sum("qty").alias("traded"), F.sum(F.col("qty") * F.col("price")).alias("notional"), F.sum("fees").alias("fees"))
 
 
 def grid(keys: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Every key with every calendar day from its first day on; ``keys`` has a column ``first``."""
+    """Every key with every calendar day from its first day on; ``keys`` has a column ``first``. A calendar is days, so it is broadcast."""
     return keys.join(F.broadcast(calendar.select("date")), F.col("date") >= F.col("first")).drop("first")
 
 
-def positions_daily(fills: DataFrame, prices: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(sleeve, symbol, date, qty, mark, value, traded notional, fees) on every calendar day since the first fill.
+def marks(booked: DataFrame, prices: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(symbol, date, mark) on every calendar day: the last close at or before it, on the calendar or not, else the last fill price of
+    any sleeve. ``booked`` are fills on calendar days."""
+    fill = booked.groupBy("symbol", "date").agg(F.max_by("price", F.struct("seq", "sleeve")).alias("fill"))
+    symbols = fill.select("symbol").distinct()
+    none = F.lit(None).cast("double")
+    rows = symbols.join(F.broadcast(calendar.select("date"))).select("symbol", "date", none.alias("close"), none.alias("fill"), F.lit(1).alias("wanted"))
+    rows = rows.union(prices.join(symbols, "symbol", "left_semi").select("symbol", "date", "close", none, F.lit(0))).union(fill.select("symbol", "date", none, "fill", F.lit(0)))
+    w = running(Window.partitionBy("symbol").orderBy("date", "wanted"))
+    mark = F.coalesce(F.last("close", True).over(w), F.last("fill", True).over(w))
+    return rows.withColumn("mark", mark).where("wanted = 1").select("symbol", "date", "mark")
 
-    The mark is the last close on or before the day, else the last fill price.
+
+def positions_daily(fills: DataFrame, prices: DataFrame, calendar: DataFrame, dividends: DataFrame | None = None, instruments: DataFrame | None = None) -> DataFrame:
+    """(sleeve, symbol, date, qty, mark, value, notional, fees, income, pnl, future) on every calendar day since the first fill.
+
+    Fills and dividends off the calendar are booked on the next day, or the last. Value and traded notional carry the multiplier.
+    Income is the dividend a share times the quantity held the day before, not for futures. Profit is the change of value less
+    traded notional plus income. ``instruments``: (symbol, multiplier, kind); ``dividends``: (symbol, date, dividend).
     """
-    day = daily_fills(fills)
+    booked = on_calendar(fills, calendar)
+    day = daily_fills(booked)
     dense = grid(day.groupBy(*KEY).agg(F.min("date").alias("first")), calendar)
-    w = running(by(*KEY))
-    rows = dense.join(day, [*KEY, "date"], "left").join(prices.select("symbol", "date", "close"), ["symbol", "date"], "left")
-    qty = F.sum(F.coalesce("traded", F.lit(0.0))).over(w)
+    rows = multipliers(dense.join(day, [*KEY, "date"], "left").join(marks(booked, prices, calendar), ["symbol", "date"], "left"), instruments)
+    w = by(*KEY)
+    if dividends is None:
+        rows = rows.withColumn("dividend", F.lit(0.0))
+    else:
+        span = calendar.agg(F.min("date").alias("a"), F.max("date").alias("b"))
+        within = dividends.where("dividend > 0").join(F.broadcast(span), F.col("date").between(F.col("a"), F.col("b"))).select("symbol", "date", "dividend")
+        rows = rows.join(on_calendar(within, calendar).groupBy("symbol", "date").agg(F.sum("dividend").alias("dividend")), ["symbol", "date"], "left")
+    qty = F.sum(F.coalesce("traded", F.lit(0.0))).over(running(w))
     out = rows.select(
-        *KEY, "date", F.when(F.abs(qty) <= TINY, F.lit(0.0)).otherwise(qty).alias("qty"),
-        F.coalesce(F.last("close", True).over(w), F.last("fill_price", True).over(w)).alias("mark"),
-        F.coalesce("notional", F.lit(0.0)).alias("notional"), F.coalesce("fees", F.lit(0.0)).alias("fees"),
-    )
-    return out.withColumn("value", F.col("qty") * F.col("mark"))
+        *KEY, "date", F.when(F.abs(qty) <= TINY, F.lit(0.0)).otherwise(qty).alias("qty"), "mark", "multiplier", "future",
+        (F.coalesce("notional", F.lit(0.0)) * F.col("multiplier")).alias("notional"), F.coalesce("fees", F.lit(0.0)).alias("fees"), F.when(~F.col("future"), F.col("dividend")).alias("dividend"),
+    ).withColumn("value", F.col("qty") * F.col("mark") * F.col("multiplier"))
+    out = out.withColumn("income", F.lag("qty", 1, 0.0).over(w) * F.coalesce("dividend", F.lit(0.0)) * F.col("multiplier"))
+    return out.withColumn("pnl", F.col("value") - F.lag("value", 1, 0.0).over(w) - F.col("notional") + F.col("income")).drop("multiplier", "dividend")
 
 
-def dividend_credit(positions: DataFrame, dividends: DataFrame) -> DataFrame:
-    """Dividend a share on the ex-date times the quantity held at the previous close."""
-    held = positions.withColumn("before", F.lag("qty", 1, 0.0).over(by(*KEY)))
-    return held.join(dividends, ["symbol", "date"]).select(*KEY, "date", (F.col("before") * F.col("dividend")).alias("credit"))
-
-
-def position_pnl(positions: DataFrame) -> DataFrame:
-    """Change of value less traded notional."""
-    return positions.withColumn("pnl", F.col("value") - F.lag("value", 1, 0.0).over(by(*KEY)) - F.col("notional"))
+def dividend_credit(positions: DataFrame) -> DataFrame:
+    """(sleeve, symbol, date, credit): dividends paid on what was held at the previous close."""
+    return positions.where("income <> 0").select(*KEY, "date", F.col("income").alias("credit"))
 
 
 def sleeve_flows(cashflows: DataFrame) -> DataFrame:
@@ -72,20 +113,24 @@ def sleeve_flows(cashflows: DataFrame) -> DataFrame:
 
 
 def sleeve_daily(positions: DataFrame, cashflows: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(sleeve, date, flow_in, flow_out, income, fees, cash, value, nav, long, short, n_positions, pnl) on every calendar day."""
+    """(sleeve, date, flow_in, flow_out, income, fees, cash, value, nav, long, short, n_positions, pnl) on every calendar day.
+
+    Flows off the calendar are booked on the next day, or the last. Income is that of the journal and of dividends. NAV is all money
+    in, less what was spent, plus positions; cash is NAV less positions other than futures, whose notional ties up no money.
+    """
+    part = lambda c: F.sum(F.when(c, F.col("value")).otherwise(F.lit(0.0)))
     book = positions.groupBy("sleeve", "date").agg(
-        F.sum("value").alias("value"), F.sum("notional").alias("notional"), F.sum("fees").alias("fees"),
+        F.sum("value").alias("value"), part(F.col("future")).alias("futures"), F.sum("notional").alias("notional"), F.sum("fees").alias("fees"), F.sum("income").alias("dividends"),
         F.sum(F.greatest("value", F.lit(0.0))).alias("long"), F.sum(F.least("value", F.lit(0.0))).alias("short"), F.sum((F.col("qty") != 0).cast("long")).alias("n_positions"),
     )
-    flows = sleeve_flows(cashflows)
+    flows = sleeve_flows(on_calendar(cashflows, calendar))
     ids = flows.select("sleeve").union(book.select("sleeve")).distinct()
-    first = calendar.agg(F.min("date").alias("first"))
-    dense = grid(ids.join(F.broadcast(first)), calendar)
+    dense = grid(ids.join(F.broadcast(calendar.agg(F.min("date").alias("first")))), calendar)
     rows = dense.join(book, ["sleeve", "date"], "left").join(flows, ["sleeve", "date"], "left").na.fill(0.0).na.fill(0)
     w = by("sleeve")
-    cash = F.sum(F.col("flow_in") + F.col("flow_out") + F.col("income") - F.col("notional") - F.col("fees")).over(running(w))
-    out = rows.withColumn("cash", cash).withColumn("nav", F.col("cash") + F.col("value"))
-    return out.withColumn("pnl", F.col("nav") - F.lag("nav", 1, 0.0).over(w) - F.col("flow_in") - F.col("flow_out"))
+    money = F.sum(F.col("flow_in") + F.col("flow_out") + F.col("income") + F.col("dividends") - F.col("notional") - F.col("fees")).over(running(w))
+    out = rows.withColumn("nav", money + F.col("value")).withColumn("income", F.col("income") + F.col("dividends")).withColumn("cash", F.col("nav") - F.col("value") + F.col("futures"))
+    return out.withColumn("pnl", F.col("nav") - F.lag("nav", 1, 0.0).over(w) - F.col("flow_in") - F.col("flow_out")).drop("dividends", "futures")
 
 
 def twr_returns(daily: DataFrame, least: float = 1.0, keys: tuple[str, ...] = ("sleeve",)) -> DataFrame:
@@ -104,10 +149,12 @@ def twr_returns(daily: DataFrame, least: float = 1.0, keys: tuple[str, ...] = ("
     return state.withColumn("ret", F.when(funded & (base > least), (nav - out) / F.nullif(base, F.lit(0.0)) - 1)).drop("_event", "_state")
 
 
-def book_total(daily: DataFrame, cashflows: DataFrame) -> DataFrame:
-    """The sleeves summed by day; transfers between sleeves cancel, and what does not cancel counts by its sign."""
+def book_total(daily: DataFrame, cashflows: DataFrame, calendar: DataFrame) -> DataFrame:
+    """The sleeves summed by day; transfers between sleeves cancel, and what does not cancel counts by its sign. Deposits and
+    withdrawals of a day are net within a sleeve."""
+    cashflows = on_calendar(cashflows, calendar)
     moved = cashflows.where("type = 'transfer'").groupBy("date").agg(F.sum("value").alias("net"))
-    own = cashflows.where("external and type <> 'transfer'").groupBy("date").agg(F.sum(F.greatest("value", F.lit(0.0))).alias("own_in"), F.sum(F.least("value", F.lit(0.0))).alias("own_out"))
+    own = cashflows.where("external and type <> 'transfer'").groupBy("date", "sleeve").agg(F.sum("value").alias("value")).groupBy("date").agg(F.sum(F.greatest("value", F.lit(0.0))).alias("own_in"), F.sum(F.least("value", F.lit(0.0))).alias("own_out"))
     total = daily.groupBy("date").agg(*(F.sum(c).alias(c) for c in ("cash", "value", "nav", "long", "short", "pnl")))
     rows = total.join(own, "date", "left").join(moved, "date", "left").na.fill(0.0, ["own_in", "own_out", "net"])
     return rows.withColumn("flow_in", F.col("own_in") + F.greatest("net", F.lit(0.0))).withColumn("flow_out", F.col("own_out") + F.least("net", F.lit(0.0))).drop("own_in", "own_out", "net")
@@ -137,43 +184,65 @@ def episodes(fills: DataFrame) -> DataFrame:
     return legs(fills).withColumn("episode", F.sum((F.col("before") == 0).cast("int")).over(running(w)))
 
 
-def round_trips(fills: DataFrame) -> DataFrame:
-    """Flat-to-flat episodes of each sleeve and symbol. Net of fees, without dividends.
+def round_trips(fills: DataFrame, calendar: DataFrame | None = None, instruments: DataFrame | None = None) -> DataFrame:
+    """Flat-to-flat episodes of each sleeve and symbol, closed or open. Net of fees, without dividends, with the multiplier.
 
-    For a closed episode the average-cost profit is exit value less entry value, so it needs sums alone.
+    For a closed episode the average-cost profit is exit value less entry value, so it needs sums alone. With a calendar, dates are
+    booked days and ``bars`` counts them. ``quantity`` is the largest position.
     """
-    e = episodes(fills).withColumn("after", F.col("before") + F.col("q"))
-    first = F.min(F.struct("seq", "leg", "q"))["q"]
+    rows = fills if calendar is None else on_calendar(fills, calendar)
+    e = multipliers(episodes(rows), instruments).withColumn("after", F.col("before") + F.col("q"))
     last_after = F.max(F.struct("seq", "leg", "after"))["after"]
-    side = F.signum(F.first("q0"))
     e = e.withColumn("q0", F.first("q").over(Window.partitionBy(*KEY, "episode").orderBy("seq", "leg")))
     enters = F.col("q") * F.col("q0") > 0
-    value = F.abs(F.col("q")) * F.col("price")
+    value = F.abs(F.col("q")) * F.col("price") * F.col("multiplier")
     part = lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0.0))
+    price = lambda v, q: v / F.nullif(q * F.col("multiplier"), F.lit(0.0))
     out = e.groupBy(*KEY, "episode").agg(
-        F.when(first > 0, "long").otherwise("short").alias("direction"), F.min("date").alias("entry_date"), F.max("date").alias("exit_date"), F.max("seq").alias("exit_seq"),
-        part(enters, F.abs("q")).alias("quantity"), part(enters, value).alias("entry_value"), part(~enters, value).alias("exit_value"), F.sum("fee").alias("fees"),
-        (F.abs(last_after) <= TINY).alias("closed"), side.alias("side"),
+        F.when(F.max("q0") > 0, "long").otherwise("short").alias("direction"), F.min("date").alias("entry_date"), F.max("date").alias("exit_date"), F.max("seq").alias("exit_seq"),
+        F.max(F.abs("after")).alias("quantity"), part(enters, value).alias("entry_value"), part(~enters, value).alias("exit_value"), F.sum("fee").alias("fees"),
+        part(enters, F.abs("q")).alias("entry_qty"), part(~enters, F.abs("q")).alias("exit_qty"), F.count("*").alias("fills"), F.max("multiplier").alias("multiplier"),
+        (F.abs(last_after) <= TINY).alias("closed"), F.signum(F.max("q0")).alias("side"),
     )
     pnl = F.col("side") * (F.col("exit_value") - F.col("entry_value")) - F.col("fees")
-    done = out.withColumn("pnl", F.when(F.col("closed"), pnl)).withColumn("ret", F.when(F.col("closed"), pnl / F.nullif("entry_value", F.lit(0.0))))
-    return done.withColumn("days", F.datediff("exit_date", "entry_date")).drop("side")
+    done = out.withColumns({
+        "pnl": F.when(F.col("closed"), pnl), "ret": F.when(F.col("closed"), pnl / F.nullif("entry_value", F.lit(0.0))), "days": F.datediff("exit_date", "entry_date"),
+        "entry_price": price(F.col("entry_value"), F.col("entry_qty")), "exit_price": price(F.col("exit_value"), F.col("exit_qty")),
+    }).drop("side", "entry_qty", "exit_qty", "multiplier")
+    if calendar is None:
+        return done
+    at = lambda c: F.broadcast(calendar.select(F.col("date").alias(f"{c}_date"), F.col("i").alias(f"_{c}")))
+    return done.join(at("entry"), "entry_date").join(at("exit"), "exit_date").withColumn("bars", F.col("_exit") - F.col("_entry")).select(*done.columns, "bars")
 
 
-def open_positions(fills: DataFrame, marks: DataFrame) -> DataFrame:
-    """Average cost of what is held: a fold over the ordered legs of each open episode (adding averages in, reducing keeps the price)."""
-    e = episodes(fills)
-    rows = e.groupBy(*KEY, "episode").agg(F.array_sort(F.collect_list(F.struct("seq", "leg", "q", "price"))).alias("legs"), F.sum("q").alias("qty"), F.sum("fee").alias("fees"), F.min("date").alias("since"))
-    start = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("cost"))
+def open_positions(fills: DataFrame, last: DataFrame, calendar: DataFrame, nav: DataFrame | None = None, instruments: DataFrame | None = None) -> DataFrame:
+    """What each sleeve holds at the calendar's end, with its average cost: a fold over the ordered legs of each open episode.
 
-    def step(acc: Column, x: Column) -> Column:
-        adds = acc.q * x.q >= 0
-        left = acc.q + x.q
-        return F.struct(left.alias("q"), F.when(adds, acc.cost + x.q * x.price).otherwise(F.when(F.abs(left) <= TINY, F.lit(0.0)).otherwise(acc.cost * left / acc.q)).alias("cost"))
+    Adding averages in, reducing realises profit at the average. ``last``: (symbol, last); ``nav``: (sleeve, nav) gives the weights.
+    Returns quantity, avg_cost, last, market_value, unrealized, unrealized_pct, realized (net of fees), entry_date, days, bars, weight.
+    """
+    e = episodes(on_calendar(fills, calendar))
+    whole = e.groupBy(*KEY, "episode").agg(F.sum("q").alias("quantity"), F.array_sort(F.collect_list(F.struct("seq", "leg", "q", "price"))).alias("legs"), F.sum("fee").alias("fees"), F.min("date").alias("entry_date"))
+    start = F.struct(*(F.lit(0.0).alias(c) for c in ("q", "avg", "realized")))
 
-    held = rows.where(F.abs("qty") > TINY).withColumn("cost", F.aggregate("legs", start, step)["cost"]).drop("legs")
-    return held.join(F.broadcast(marks.select("symbol", "mark")), "symbol", "left").select(
-        *KEY, "qty", (F.col("cost") / F.col("qty")).alias("average_cost"), (F.col("qty") * F.col("mark") - F.col("cost")).alias("unrealised"), "fees", "since",
+    def step(acc: Column, x: Column) -> Column:
+        adds, left = acc.q * x.q >= 0, acc.q + x.q
+        return F.struct(
+            left.alias("q"), F.when(adds, (acc.avg * F.abs(acc.q) + x.price * F.abs(x.q)) / F.abs(left)).otherwise(acc.avg).alias("avg"),
+            F.when(adds, acc.realized).otherwise(acc.realized + (x.price - acc.avg) * F.abs(x.q) * F.signum(acc.q)).alias("realized"),
+        )
+
+    held = multipliers(whole.where(F.abs("quantity") > TINY).withColumn("x", F.aggregate("legs", start, step)).drop("legs"), instruments)
+    held = held.join(F.broadcast(last.select("symbol", "last")), "symbol", "left")
+    held = held.withColumn("nav", F.lit(None).cast("double")) if nav is None else held.join(F.broadcast(nav.select("sleeve", "nav")), "sleeve", "left")
+    end = F.broadcast(calendar.agg(F.max("date").alias("_end"), F.max("i").alias("_last")))
+    held = held.join(F.broadcast(calendar.select(F.col("date").alias("entry_date"), "i")), "entry_date").join(end)
+    gain = (F.col("last") - F.col("x.avg")) * F.col("quantity") * F.col("multiplier")
+    value = F.col("quantity") * F.col("last") * F.col("multiplier")
+    return held.select(
+        *KEY, "quantity", F.col("x.avg").alias("avg_cost"), "last", value.alias("market_value"), gain.alias("unrealized"),
+        (gain / F.nullif(F.col("x.avg") * F.abs("quantity") * F.col("multiplier"), F.lit(0.0))).alias("unrealized_pct"), (F.col("x.realized") * F.col("multiplier") - F.col("fees")).alias("realized"),
+        "entry_date", F.datediff("_end", "entry_date").alias("days"), (F.col("_last") - F.col("i")).alias("bars"), F.when(F.abs("nav") > 1.0, value / F.col("nav")).alias("weight"),
     )
 
 
@@ -190,11 +259,48 @@ def flows_by_period(cashflows: DataFrame, unit: str = "month") -> DataFrame:
     return rows.withColumn("cumulative", F.sum("net").over(running(by("sleeve", order="period"))))
 
 
-def ledger_warnings(daily: DataFrame, fills: DataFrame, prices: DataFrame) -> DataFrame:
-    """(scope, message): NAV at or under zero with positions, profit before any funding, symbols without prices."""
+def ledger_warnings(daily: DataFrame, fills: DataFrame, prices: DataFrame, cashflows: DataFrame | None = None, end: str | None = None, least: float = 1.0) -> DataFrame:
+    """(scope, message): NAV at or under ``least`` with positions, value or profit before any money came in, symbols without prices,
+    and entries dated after ``end``."""
     funded = F.sum(F.col("flow_in")).over(running(by("sleeve")))
     sleeve = F.concat(F.lit("sleeve "), F.col("sleeve").cast("string"))
-    broke = daily.where("nav <= 0 and n_positions > 0").groupBy("sleeve").count().select(sleeve.alias("scope"), F.lit("NAV at or below zero with open positions").alias("message"))
-    early = daily.withColumn("_funded", funded).where("_funded = 0 and pnl <> 0").groupBy("sleeve").count().select(sleeve.alias("scope"), F.lit("profit or loss before funding").alias("message"))
+    broke = daily.where(F.col("nav") <= least).where("abs(value) > 0").groupBy("sleeve").count().select(sleeve.alias("scope"), F.lit("NAV at or below zero with open positions").alias("message"))
+    early = daily.withColumn("_funded", funded).where("_funded = 0 and (abs(value) > 0 or abs(pnl) > 0.005)").groupBy("sleeve").count().select(sleeve.alias("scope"), F.lit("profit or loss before funding").alias("message"))
     bare = fills.select("symbol").distinct().join(prices.select("symbol").distinct(), "symbol", "left_anti").select(F.col("symbol").alias("scope"), F.lit("no prices").alias("message"))
-    return broke.union(early).union(bare)
+    out = broke.union(early).union(bare)
+    if end is None:
+        return out
+    dates = fills.select("date") if cashflows is None else fills.select("date").union(cashflows.select("date"))
+    late = dates.agg(F.max("date").alias("d")).where(F.col("d") > F.lit(end).cast("date")).select(F.lit("journal").alias("scope"), F.lit("entries dated after the end").alias("message"))
+    return out.union(late)
+
+
+def capital_summary(daily: DataFrame, cashflows: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Money in and out of each sleeve, its NAV, profit, income, fees and time-weighted return. ``daily`` has returns.
+
+    Income leaves out the journal's fee rows, which count as fees. For a whole book, give the book's rows under one sleeve.
+    """
+    booked = on_calendar(cashflows, calendar)
+    part = lambda c: F.sum(F.when(F.expr(c), F.col("value")).otherwise(F.lit(0.0)))
+    money = booked.groupBy("sleeve").agg(
+        part("type = 'deposit'").alias("deposited"), F.abs(part("type = 'withdrawal'")).alias("withdrawn"), part("type = 'transfer' and value > 0").alias("transfers_in"), F.abs(part("type = 'transfer' and value < 0")).alias("transfers_out"),
+        part("external").alias("net_invested"), part("type = 'fee'").alias("_fee"), F.min(F.when(F.col("external"), F.col("date"))).alias("first_flow"),
+    )
+    end = daily.groupBy("sleeve").agg(F.max_by("nav", "date").alias("nav"), F.sum("income").alias("income"), F.sum("fees").alias("fees"), (F.product(1 + F.col("ret")) - 1).alias("time_weighted"))
+    return end.join(money, "sleeve", "left").select(
+        "sleeve", "deposited", "withdrawn", "transfers_in", "transfers_out", "net_invested", "nav", (F.col("nav") - F.col("net_invested")).alias("pnl"), (F.col("income") - F.col("_fee")).alias("income"),
+        (F.col("fees") - F.col("_fee")).alias("fees"), "time_weighted", "first_flow",
+    )
+
+
+def kpis(daily: DataFrame) -> DataFrame:
+    """The figures of each sleeve's last day, and its returns of the month, the year and since inception. ``daily`` has returns."""
+    last = daily.withColumn("_end", F.max("date").over(Window.partitionBy("sleeve")))
+    since = lambda unit: F.coalesce(F.product(F.when(F.col("date") >= F.trunc("_end", unit), 1 + F.col("ret"))), F.lit(1.0)) - 1
+    at = lambda c: F.max_by(c, "date")
+    x = last.groupBy("sleeve").agg(
+        at("nav").alias("nav"), F.sum(F.col("flow_in") + F.col("flow_out")).alias("net_invested"), at("pnl").alias("day_pnl"), at("cash").alias("cash"), at(F.col("long") - F.col("short")).alias("gross"),
+        at(F.col("long") + F.col("short")).alias("net"), at("ret").alias("day_return"), since("month").alias("mtd"), since("year").alias("ytd"), (F.coalesce(F.product(1 + F.col("ret")), F.lit(1.0)) - 1).alias("itd"), F.max("date").alias("as_of"),
+    )
+    share = lambda c: (F.col(c) / F.nullif("nav", F.lit(0.0))).alias(c)
+    return x.select("sleeve", "nav", "net_invested", (F.col("nav") - F.col("net_invested")).alias("pnl"), "day_pnl", "cash", share("gross"), share("net"), "day_return", "mtd", "ytd", "itd", "as_of")

@@ -13,13 +13,14 @@ from ..operators import ledger, metrics, orders, simulation
 class Book:
     """Lazy accounts of fills, flows and prices. Each property is a DataFrame; nothing runs until a caller asks for rows."""
 
-    def __init__(self, fills: DataFrame, cashflows: DataFrame, prices: DataFrame, backtests: DataFrame | None = None):
+    def __init__(self, fills: DataFrame, cashflows: DataFrame, prices: DataFrame, backtests: DataFrame | None = None, dividends: DataFrame | None = None, instruments: DataFrame | None = None):
         self.fills, self.cashflows, self.prices, self.backtests = fills, cashflows, prices, backtests
-        self.calendar = prices.select("date").distinct()
+        self.dividends, self.instruments = dividends, instruments
+        self.calendar = ledger.build_calendar(prices.select("date"), fills, cashflows)
 
     @cached_property
     def positions(self) -> DataFrame:
-        return ledger.positions_daily(self.fills, self.prices, self.calendar)
+        return ledger.positions_daily(self.fills, self.prices, self.calendar, self.dividends, self.instruments)
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -27,11 +28,11 @@ class Book:
 
     @cached_property
     def total(self) -> DataFrame:
-        return ledger.twr_returns(ledger.book_total(self.daily, self.cashflows).withColumn("sleeve", F.lit("__total__")))
+        return ledger.twr_returns(ledger.book_total(self.daily, self.cashflows, self.calendar).withColumn("sleeve", F.lit("__total__")))
 
     @cached_property
     def round_trips(self) -> DataFrame:
-        return ledger.round_trips(self.fills)
+        return ledger.round_trips(self.fills, self.calendar, self.instruments)
 
     def live_returns(self) -> DataFrame:
         """(series_id, date, ret) of each sleeve, funded days only."""
@@ -54,9 +55,8 @@ class Book:
         return metrics.trade_summary(self.round_trips.where("closed"), "sleeve")
 
     def attribution(self) -> DataFrame:
-        """Profit of each symbol in each sleeve, in each sleeve, and in all."""
-        p = ledger.position_pnl(self.positions)
-        return p.rollup("sleeve", "symbol").agg(F.sum("pnl").alias("pnl"))
+        """Profit, dividends included, of each symbol in each sleeve, in each sleeve, and in all."""
+        return self.positions.rollup("sleeve", "symbol").agg(F.sum("pnl").alias("pnl"))
 
     def tracking(self) -> DataFrame:
         return simulation.tracking(self.live_returns(), self.backtests)
@@ -67,7 +67,14 @@ class Book:
         end = self.daily.groupBy("sleeve").agg(F.max("date").alias("date"), F.max_by("nav", "date").alias("amount"))
         return orders.money_weighted(out.unionByName(end), "sleeve")
 
+    def capital_summary(self) -> DataFrame:
+        """Money in and out, NAV, profit, and money- and time-weighted returns of each sleeve."""
+        return ledger.capital_summary(self.daily, self.cashflows, self.calendar).join(self.money_weighted().select("sleeve", "annual", "period"), "sleeve", "left")
+
+    def kpis(self) -> DataFrame:
+        return ledger.kpis(self.daily)
+
     def warnings(self) -> DataFrame:
-        return ledger.ledger_warnings(self.daily, self.fills, self.prices).union(
+        return ledger.ledger_warnings(self.daily, self.fills, self.prices, self.cashflows).union(
             ledger.unbalanced_transfers(self.cashflows).select(F.col("date").cast("string"), F.lit("transfers do not balance"))
         ).distinct()

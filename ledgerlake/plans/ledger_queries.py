@@ -8,58 +8,64 @@ from pyspark.sql import functions as F
 from ..operators import ledger as lg
 from ..operators import metrics as m
 from ..sources import testdata as v
-from .registry import query, r, rounded
+from .registry import f, fine, query, r, rounded
 
 CUM = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-FILLS, FLOWS, FP = v.with_views("fills"), v.with_views("cashflows"), v.with_views("fills", "prices", "cashflows")
-CAL = "cal AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)"
-DAY = "dy AS (SELECT sleeve, symbol, date, sum(qty) AS traded, sum(qty * price) AS notional, sum(fees) AS fees, max_by(price, seq) AS fill_price FROM fills GROUP BY 1, 2, 3)"
-POS = f"""{CAL}, {DAY}, k AS (SELECT sleeve, symbol, min(date) AS first FROM dy GROUP BY 1, 2), g AS (SELECT sleeve, symbol, date FROM k JOIN cal ON date >= first),
- raw AS (SELECT g.*, coalesce(traded, 0) AS traded, coalesce(notional, 0) AS notional, coalesce(fees, 0) AS fees, close, fill_price FROM g LEFT JOIN dy USING (sleeve, symbol, date) LEFT JOIN prices USING (symbol, date)),
- pos AS (SELECT sleeve, symbol, date, CASE WHEN abs(sum(traded) OVER w) <= 1e-9 THEN 0 ELSE sum(traded) OVER w END AS qty, coalesce(last_value(close IGNORE NULLS) OVER w, last_value(fill_price IGNORE NULLS) OVER w) AS mark, notional, fees FROM raw WINDOW w AS (PARTITION BY sleeve, symbol ORDER BY date {CUM})),
- val AS (SELECT *, qty * mark AS value FROM pos)"""
-SLEEVE = f"""{FP}, {POS}, bk AS (SELECT sleeve, date, sum(value) AS value, sum(notional) AS notional, sum(fees) AS fees, sum(greatest(value, 0)) AS long, sum(least(value, 0)) AS short, count(*) FILTER (WHERE qty <> 0) AS n_positions FROM val GROUP BY 1, 2),
- fl AS (SELECT sleeve, date, sum(CASE WHEN external AND value > 0 THEN value ELSE 0 END) AS flow_in, sum(CASE WHEN external AND value < 0 THEN value ELSE 0 END) AS flow_out, sum(CASE WHEN external THEN 0 ELSE value END) AS income FROM cashflows GROUP BY 1, 2),
+FILLS, FLOWS = v.with_views("fills"), v.with_views("cashflows")
+FP = v.with_views("fills", "prices", "cashflows", "dividends", "instruments")
+#: The book's calendar, and fills, flows and dividends booked on it.
+CAL = """fst AS (SELECT least((SELECT min(date) FROM fills), (SELECT min(date) FROM cashflows)) AS d), cal AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem, fst WHERE CAST(l_shipdate AS DATE) >= d UNION SELECT d FROM fst),
+ ci AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM cal), fin AS (SELECT max(date) AS z FROM cal)"""
+BOOKED = f"""{CAL}, bf AS (SELECT f.* EXCLUDE (date), coalesce(c.date, z) AS date FROM fills f ASOF LEFT JOIN cal c ON f.date <= c.date, fin), bc AS (SELECT f.* EXCLUDE (date), coalesce(c.date, z) AS date FROM cashflows f ASOF LEFT JOIN cal c ON f.date <= c.date, fin),
+ dv AS (SELECT symbol, coalesce(c.date, z) AS date, sum(dividend) AS dividend FROM (SELECT d.* FROM dividends d, fin, fst WHERE d.date BETWEEN d AND z) f ASOF LEFT JOIN cal c ON f.date <= c.date, fin GROUP BY 1, 2)"""
+DAY = "dy AS (SELECT sleeve, symbol, date, sum(qty) AS traded, sum(qty * price) AS notional, sum(fees) AS fees FROM bf GROUP BY 1, 2, 3), fp AS (SELECT symbol, date, last(price ORDER BY seq, sleeve) AS fill FROM bf GROUP BY 1, 2)"
+POS = f"""{BOOKED}, {DAY}, sc AS (SELECT symbol, cal.date FROM (SELECT DISTINCT symbol FROM bf) CROSS JOIN cal), m1 AS (SELECT sc.*, close FROM sc ASOF LEFT JOIN prices p ON sc.symbol = p.symbol AND sc.date >= p.date),
+ mk AS (SELECT m1.symbol, m1.date, coalesce(close, fill) AS mark FROM m1 ASOF LEFT JOIN fp ON m1.symbol = fp.symbol AND m1.date >= fp.date), k AS (SELECT sleeve, symbol, min(date) AS first FROM dy GROUP BY 1, 2), g AS (SELECT sleeve, symbol, date FROM k JOIN cal ON date >= first),
+ raw AS (SELECT g.*, coalesce(traded, 0) AS traded, coalesce(notional, 0) * multiplier AS notional, coalesce(fees, 0) AS fees, mark, multiplier, future, CASE WHEN future THEN 0 ELSE coalesce(dividend, 0) END AS dividend FROM g LEFT JOIN dy USING (sleeve, symbol, date) LEFT JOIN mk USING (symbol, date) LEFT JOIN instruments USING (symbol) LEFT JOIN dv USING (symbol, date)),
+ pos AS (SELECT *, CASE WHEN abs(sum(traded) OVER w) <= 1e-9 THEN 0 ELSE sum(traded) OVER w END AS qty FROM raw WINDOW w AS (PARTITION BY sleeve, symbol ORDER BY date {CUM})), vl AS (SELECT *, qty * mark * multiplier AS value FROM pos),
+ vi AS (SELECT *, coalesce(lag(qty) OVER w, 0) * dividend * multiplier AS income, value - coalesce(lag(value) OVER w, 0) - notional AS moved FROM vl WINDOW w AS (PARTITION BY sleeve, symbol ORDER BY date)), val AS (SELECT *, moved + income AS pnl FROM vi)"""
+SLEEVE = f"""{FP}, {POS}, bk AS (SELECT sleeve, date, sum(value) AS value, sum(CASE WHEN future THEN value ELSE 0 END) AS futures, sum(notional) AS notional, sum(fees) AS fees, sum(income) AS divs, sum(greatest(value, 0)) AS long, sum(least(value, 0)) AS short, count(*) FILTER (WHERE qty <> 0) AS n_positions FROM val GROUP BY 1, 2),
+ fl AS (SELECT sleeve, date, sum(CASE WHEN external AND value > 0 THEN value ELSE 0 END) AS flow_in, sum(CASE WHEN external AND value < 0 THEN value ELSE 0 END) AS flow_out, sum(CASE WHEN external THEN 0 ELSE value END) AS income FROM bc GROUP BY 1, 2),
  ids AS (SELECT sleeve FROM fl UNION SELECT sleeve FROM bk), gg AS (SELECT sleeve, date FROM ids CROSS JOIN cal),
- rw AS (SELECT gg.*, coalesce(value, 0) AS value, coalesce(notional, 0) AS notional, coalesce(fees, 0) AS fees, coalesce(long, 0) AS long, coalesce(short, 0) AS short, coalesce(n_positions, 0) AS n_positions, coalesce(flow_in, 0) AS flow_in, coalesce(flow_out, 0) AS flow_out, coalesce(income, 0) AS income FROM gg LEFT JOIN bk USING (sleeve, date) LEFT JOIN fl USING (sleeve, date)),
- cs AS (SELECT *, sum(flow_in + flow_out + income - notional - fees) OVER (PARTITION BY sleeve ORDER BY date {CUM}) AS cash FROM rw), nv AS (SELECT *, cash + value AS nav FROM cs),
- sl AS (SELECT *, nav - coalesce(lag(nav) OVER (PARTITION BY sleeve ORDER BY date), 0) - flow_in - flow_out AS pnl FROM nv)"""
-LEGS = f"""{FILLS}, a AS (SELECT *, sum(qty) OVER (PARTITION BY sleeve, symbol ORDER BY seq {CUM}) AS after FROM fills), b AS (SELECT *, coalesce(lag(after) OVER (PARTITION BY sleeve, symbol ORDER BY seq), 0) AS before FROM a),
+ rw AS (SELECT gg.*, coalesce(value, 0) AS value, coalesce(futures, 0) AS futures, coalesce(notional, 0) AS notional, coalesce(fees, 0) AS fees, coalesce(long, 0) AS long, coalesce(short, 0) AS short, coalesce(n_positions, 0) AS n_positions, coalesce(flow_in, 0) AS flow_in, coalesce(flow_out, 0) AS flow_out, coalesce(income, 0) + coalesce(divs, 0) AS income FROM gg LEFT JOIN bk USING (sleeve, date) LEFT JOIN fl USING (sleeve, date)),
+ nv AS (SELECT *, sum(flow_in + flow_out + income - notional - fees) OVER (PARTITION BY sleeve ORDER BY date {CUM}) + value AS nav FROM rw), cs AS (SELECT *, nav - value + futures AS cash FROM nv),
+ sl AS (SELECT *, nav - coalesce(lag(nav) OVER (PARTITION BY sleeve ORDER BY date), 0) - flow_in - flow_out AS pnl FROM cs)"""
+LEGS = f"""{FP}, {BOOKED}, a AS (SELECT *, sum(qty) OVER (PARTITION BY sleeve, symbol ORDER BY seq {CUM}) AS after FROM bf), b AS (SELECT *, coalesce(lag(after) OVER (PARTITION BY sleeve, symbol ORDER BY seq), 0) AS before FROM a),
  lg AS (SELECT sleeve, symbol, seq, 0 AS leg, date, price, before, CASE WHEN before * after < 0 THEN -before ELSE qty END AS q, CASE WHEN before * after < 0 THEN fees * abs(before / qty) ELSE fees END AS fee FROM b
  UNION ALL SELECT sleeve, symbol, seq, 1, date, price, 0, after, fees * abs(after / qty) FROM b WHERE before * after < 0),
  ep AS (SELECT *, sum(CASE WHEN before = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY sleeve, symbol ORDER BY seq, leg {CUM}) AS episode FROM lg),
- fq AS (SELECT *, first_value(q) OVER (PARTITION BY sleeve, symbol, episode ORDER BY seq, leg) AS q0 FROM ep),
- tr AS (SELECT sleeve, symbol, episode, CASE WHEN min(q0) > 0 THEN 'long' ELSE 'short' END AS direction, min(date) AS entry_date, max(date) AS exit_date, max(seq) AS exit_seq, sum(CASE WHEN q * q0 > 0 THEN abs(q) ELSE 0 END) AS quantity,
- sum(CASE WHEN q * q0 > 0 THEN abs(q) * price ELSE 0 END) AS entry_value, sum(CASE WHEN q * q0 > 0 THEN 0 ELSE abs(q) * price END) AS exit_value, sum(fee) AS fees, sum(q) = 0 AS closed, sign(min(q0)) AS side FROM fq GROUP BY 1, 2, 3),
- tp AS (SELECT *, CASE WHEN closed THEN side * (exit_value - entry_value) - fees END AS pnl, CASE WHEN closed THEN (side * (exit_value - entry_value) - fees) / entry_value END AS ret, date_diff('day', entry_date, exit_date) AS days FROM tr)"""
+ fq AS (SELECT ep.*, multiplier, first_value(q) OVER (PARTITION BY sleeve, ep.symbol, episode ORDER BY seq, leg) AS q0 FROM ep JOIN instruments USING (symbol)),
+ tr AS (SELECT sleeve, symbol, episode, CASE WHEN min(q0) > 0 THEN 'long' ELSE 'short' END AS direction, min(date) AS entry_date, max(date) AS exit_date, max(seq) AS exit_seq, max(abs(before + q)) AS quantity, count(*) AS fills,
+ sum(CASE WHEN q * q0 > 0 THEN abs(q) * price * multiplier ELSE 0 END) AS entry_value, sum(CASE WHEN q * q0 > 0 THEN 0 ELSE abs(q) * price * multiplier END) AS exit_value, sum(CASE WHEN q * q0 > 0 THEN abs(q) * multiplier END) AS entry_qty, sum(CASE WHEN q * q0 > 0 THEN NULL ELSE abs(q) * multiplier END) AS exit_qty,
+ sum(fee) AS fees, sum(q) = 0 AS closed, sign(min(q0)) AS side FROM fq GROUP BY 1, 2, 3),
+ tp AS (SELECT *, CASE WHEN closed THEN side * (exit_value - entry_value) - fees END AS pnl, CASE WHEN closed THEN (side * (exit_value - entry_value) - fees) / entry_value END AS ret, date_diff('day', entry_date, exit_date) AS days, entry_value / entry_qty AS entry_price, exit_value / exit_qty AS exit_price FROM tr)"""
 
 
 def calendar(spark, d):
-    return v.returns(spark, d).select("date").distinct()
+    return lg.build_calendar(v.returns(spark, d).select("date"), v.fills(spark, d), v.cashflows(spark, d))
 
 
 def _positions(spark, d):
-    return lg.positions_daily(v.fills(spark, d), v.prices(spark, d), calendar(spark, d))
+    return lg.positions_daily(v.fills(spark, d), v.prices(spark, d), calendar(spark, d), v.dividends(spark, d), v.instruments(spark, d))
 
 
 def _daily(spark, d):
     return lg.sleeve_daily(_positions(spark, d), v.cashflows(spark, d), calendar(spark, d))
 
 
-@query(f"WITH {CAL} SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS BIGINT) AS i FROM cal")
-def build_calendar(spark, d):
-    days = calendar(spark, d)
-    return days.select("date", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1).cast("long").alias("i"))
+def _trips(spark, d):
+    return lg.round_trips(v.fills(spark, d), calendar(spark, d), v.instruments(spark, d))
 
 
-@query(f"{FP}, {POS} SELECT sleeve, symbol, date, {r('qty')} AS qty, {r('mark')} AS mark FROM val WHERE year(date) = 1998")
-def positions_daily_1998(spark, d):
-    return positions_daily(spark, d).where("year(date) = 1998")
+@query(f"{v.with_views('fills', 'cashflows')}, {CAL} SELECT date, CAST(i AS BIGINT) AS i FROM ci")
+def build_calendar(spark, d):
+    return calendar(spark, d)
 
 
-@query()
+@query(f"{FP}, {POS} SELECT sleeve, symbol, date, {r('qty')} AS qty, {r('mark')} AS mark, {f('value')} AS value, {f('income')} AS income FROM val")
 def positions_daily(spark, d):
-    return rounded(_positions(spark, d).select("sleeve", "symbol", "date", "qty", "mark"))
+    x = _positions(spark, d).select("sleeve", "symbol", "date", "qty", "mark", "value", "income")
+    return x.select("sleeve", "symbol", "date", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("qty", "mark")), *((F.round(F.col(c) * 1024) / 1024 + F.lit(0.0)).alias(c) for c in ("value", "income")))
 
 
 @query(f"{FP}, {POS} SELECT sleeve, date, {r('sum(value)', 3)} AS value FROM val GROUP BY 1, 2")
@@ -67,16 +73,14 @@ def position_values(spark, d):
     return rounded(_positions(spark, d).groupBy("sleeve", "date").agg(F.sum("value").alias("value")), 3)
 
 
-@query(f"{FP}, {POS}, p AS (SELECT *, value - coalesce(lag(value) OVER (PARTITION BY sleeve, symbol ORDER BY date), 0) - notional AS pnl FROM val) SELECT sleeve, symbol, {r('sum(pnl)', 3)} AS pnl FROM p GROUP BY 1, 2")
+@query(f"{FP}, {POS} SELECT sleeve, symbol, {r('sum(pnl)', 3)} AS pnl FROM val GROUP BY 1, 2")
 def position_pnl(spark, d):
-    return rounded(lg.position_pnl(_positions(spark, d)).groupBy("sleeve", "symbol").agg(F.sum("pnl").alias("pnl")), 3)
+    return rounded(_positions(spark, d).groupBy("sleeve", "symbol").agg(F.sum("pnl").alias("pnl")), 3)
 
 
-@query(f"{FP}, {POS}, p AS (SELECT *, coalesce(lag(qty) OVER (PARTITION BY sleeve, symbol ORDER BY date), 0) AS before FROM val) SELECT sleeve, symbol, date, {r('before * 0.25')} AS credit FROM p WHERE day(date) = 15 AND month(date) IN (3, 6, 9, 12)")
+@query(f"{FP}, {POS} SELECT sleeve, symbol, date, {r('income')} AS credit FROM val WHERE income <> 0")
 def dividend_credit(spark, d):
-    p = _positions(spark, d)
-    days = p.select("symbol", "date").distinct().where("day(date) = 15 and month(date) in (3, 6, 9, 12)").withColumn("dividend", F.lit(0.25))
-    return rounded(lg.dividend_credit(p, days))
+    return rounded(lg.dividend_credit(_positions(spark, d)))
 
 
 @query(f"{FILLS}, s AS (SELECT DISTINCT symbol, DATE '1998-06-01' AS ex, 2.0 AS ratio FROM fills WHERE symbol < 'Brand#3'), x AS (SELECT f.sleeve, f.symbol, f.seq, qty, price, coalesce(product(ratio), 1.0) AS factor FROM fills f LEFT JOIN s ON s.symbol = f.symbol AND s.ex > f.date GROUP BY ALL) SELECT sleeve, symbol, {r('sum(qty * factor)')} AS qty, {r('avg(price / factor)')} AS price FROM x GROUP BY 1, 2")
@@ -116,10 +120,10 @@ def twr_returns(spark, d):
     return rounded(lg.twr_returns(_daily(spark, d)).select("sleeve", "date", "ret"))
 
 
-@query(f"""{SLEEVE}, mv AS (SELECT date, sum(value) AS net FROM cashflows WHERE type = 'transfer' GROUP BY 1), ow AS (SELECT date, sum(greatest(value, 0)) AS i, sum(least(value, 0)) AS o FROM cashflows WHERE external AND type <> 'transfer' GROUP BY 1),
+@query(f"""{SLEEVE}, mv AS (SELECT date, sum(value) AS net FROM bc WHERE type = 'transfer' GROUP BY 1), ow AS (SELECT date, sum(greatest(value, 0)) AS i, sum(least(value, 0)) AS o FROM (SELECT date, sleeve, sum(value) AS value FROM bc WHERE external AND type <> 'transfer' GROUP BY 1, 2) GROUP BY 1),
  t AS (SELECT date, sum(nav) AS nav, sum(pnl) AS pnl FROM sl GROUP BY 1) SELECT date, {r('nav', 2)} AS nav, {r('pnl', 2)} AS pnl, {r('coalesce(i, 0) + greatest(coalesce(net, 0), 0)', 3)} AS flow_in, {r('coalesce(o, 0) + least(coalesce(net, 0), 0)', 3)} AS flow_out FROM t LEFT JOIN mv USING (date) LEFT JOIN ow USING (date)""")
 def book_total(spark, d):
-    b = lg.book_total(_daily(spark, d), v.cashflows(spark, d))
+    b = lg.book_total(_daily(spark, d), v.cashflows(spark, d), calendar(spark, d))
     return b.select("date", *((F.round(c, k) + F.lit(0.0)).alias(c) for c, k in (("nav", 2), ("pnl", 2), ("flow_in", 3), ("flow_out", 3))))
 
 
@@ -128,11 +132,13 @@ def ledger_weights(spark, d):
     return rounded(lg.ledger_weights(_daily(spark, d)).select("sleeve", "date", "weight"))
 
 
-@query(f"{LEGS} SELECT sleeve, symbol, CAST(episode AS BIGINT) AS episode, direction, entry_date, exit_date, {r('quantity + 0.0000013')} AS quantity, {r('entry_value + 0.0000013', 5)} AS entry_value, {r('fees + 0.0000013', 6)} AS fees, {r('pnl + 0.0000013', 5)} AS pnl, {r('ret + 0.0000013')} AS ret, closed FROM tp")
+@query(f"""{LEGS} SELECT sleeve, symbol, CAST(episode AS BIGINT) AS episode, direction, entry_date, exit_date, {f('quantity')} AS quantity, {f('entry_value')} AS entry_value, {f('fees')} AS fees, {f('pnl')} AS pnl, round(ret * 1048576) / 1048576 + 0.0 AS ret, closed,
+ {f('entry_price')} AS entry_price, {f('exit_price')} AS exit_price, CAST(b.i - a.i AS BIGINT) AS bars, fills FROM tp JOIN ci a ON a.date = entry_date JOIN ci b ON b.date = exit_date""")
 def round_trips(spark, d):
-    t = lg.round_trips(v.fills(spark, d))
-    n = lambda c, k: (F.round(F.col(c) + 0.0000013, k) + F.lit(0.0)).alias(c)  # noqa: E731  both engines turn ties the same way
-    return t.select("sleeve", "symbol", F.col("episode").cast("long").alias("episode"), "direction", "entry_date", "exit_date", n("quantity", 6), n("entry_value", 5), n("fees", 6), n("pnl", 5), n("ret", 6), "closed")
+    t = _trips(spark, d).withColumn("episode", F.col("episode").cast("long"))
+    out = fine(t.select("sleeve", "symbol", "episode", "direction", "entry_date", "exit_date", "quantity", "entry_value", "fees", "pnl", F.col("ret") * 1024, "closed", "entry_price", "exit_price", "bars", "fills").toDF(
+        "sleeve", "symbol", "episode", "direction", "entry_date", "exit_date", "quantity", "entry_value", "fees", "pnl", "ret", "closed", "entry_price", "exit_price", "bars", "fills"))
+    return out.withColumn("ret", F.col("ret") / 1024)
 
 
 @query(f"""{LEGS}, cl AS (SELECT sleeve, exit_seq, symbol, ret, pnl, days FROM tp WHERE closed), od AS (SELECT *, row_number() OVER (PARTITION BY sleeve, symbol ORDER BY exit_seq, ret) AS i FROM cl), ls AS (SELECT *, i - row_number() OVER (PARTITION BY sleeve, symbol ORDER BY i) AS g FROM od WHERE ret <= 0),
@@ -140,20 +146,28 @@ def round_trips(spark, d):
  SELECT sleeve, symbol, count(*) AS trades, {r('avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END)')} AS win_rate, {r('avg(ret)')} AS avg_ret, {r('median(ret)')} AS median_ret, {r('avg(ret) FILTER (WHERE ret > 0) / nullif(abs(avg(ret) FILTER (WHERE ret <= 0)), 0)')} AS payoff,
  {r('sum(pnl) FILTER (WHERE pnl > 0) / nullif(abs(sum(pnl) FILTER (WHERE pnl < 0)), 0)')} AS profit_factor, {r('max(ret)')} AS best, {r('min(ret)')} AS worst, {r('avg(days)')} AS avg_days, coalesce(max(run), 0) AS max_losing_run FROM cl LEFT JOIN rn USING (sleeve, symbol) GROUP BY 1, 2""")
 def trade_summary(spark, d):
-    return rounded(m.trade_summary(lg.round_trips(v.fills(spark, d)).where("closed"), "sleeve", "symbol"))
+    return rounded(m.trade_summary(_trips(spark, d).where("closed"), "sleeve", "symbol"))
 
 
 @query(f"{LEGS} SELECT sleeve, count(*) FILTER (WHERE closed) AS closed_trips, {r('sum(pnl)', 2)} AS pnl, {r('avg(ret)')} AS avg_ret FROM tp GROUP BY 1")
 def trade_summary_by_strategy(spark, d):
-    t = lg.round_trips(v.fills(spark, d))
+    t = _trips(spark, d)
     out = t.groupBy("sleeve").agg(F.sum(F.col("closed").cast("long")).alias("closed_trips"), F.sum("pnl").alias("pnl"), F.avg("ret").alias("avg_ret"))
     return out.select("sleeve", "closed_trips", (F.round("pnl", 2) + F.lit(0.0)).alias("pnl"), (F.round("avg_ret", 6) + F.lit(0.0)).alias("avg_ret"))
 
 
-@query()
+@query(f"""{SLEEVE}, {LEGS[LEGS.index("a AS (SELECT *, sum(qty)"):LEGS.index(" tr AS (")]} og AS (SELECT sleeve, symbol, episode, sum(q) AS quantity, sum(fee) AS fees, min(date) AS entry_date, any_value(multiplier) AS mu, list({{'q': q::DOUBLE, 'p': price::DOUBLE, 'v': 0.0::DOUBLE, 'z': 0.0::DOUBLE}} ORDER BY seq, leg) AS legs FROM fq GROUP BY 1, 2, 3 HAVING abs(sum(q)) > 1e-9),
+ fo AS (SELECT *, list_reduce(list_prepend({{'q': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'v': 0.0::DOUBLE, 'z': 0.0::DOUBLE}}, legs), lambda a, x: {{'q': a.q + x.q, 'p': x.p, 'v': CASE WHEN a.q * x.q >= 0 THEN (a.v * abs(a.q) + x.p * abs(x.q)) / abs(a.q + x.q) ELSE a.v END, 'z': CASE WHEN a.q * x.q >= 0 THEN a.z ELSE a.z + (x.p - a.v) * abs(x.q) * sign(a.q) END}}) AS x FROM og),
+ ls AS (SELECT symbol, mark AS last FROM mk, fin WHERE date = z), nl AS (SELECT sleeve, max_by(nav, date) AS nav FROM sl GROUP BY 1)
+ SELECT sleeve, symbol, {f('quantity')} AS quantity, {f('x.v')} AS avg_cost, {f('last')} AS last, {f('quantity * last * mu')} AS market_value, {f('(last - x.v) * quantity * mu')} AS unrealized, {r('(last - x.v) * quantity / (x.v * abs(quantity))', 5)} AS unrealized_pct, {f('x.z * mu - fees')} AS realized, entry_date,
+ CAST(date_diff('day', entry_date, z) AS INTEGER) AS days, CAST((SELECT max(i) FROM ci) - ci.i AS BIGINT) AS bars, {r('quantity * last * mu / nav', 5)} AS weight FROM fo JOIN ls USING (symbol) JOIN nl USING (sleeve) JOIN ci ON ci.date = entry_date, fin""")
 def open_positions(spark, d):
-    marks = v.prices(spark, d).groupBy("symbol").agg(F.max_by("close", "date").alias("mark"))
-    return rounded(lg.open_positions(v.fills(spark, d), marks), 4)
+    cal, fills = calendar(spark, d), v.fills(spark, d)
+    last = lg.marks(lg.on_calendar(fills, cal), v.prices(spark, d), cal).groupBy("symbol").agg(F.max_by("mark", "date").alias("last"))
+    nav = _daily(spark, d).groupBy("sleeve").agg(F.max_by("nav", "date").alias("nav"))
+    x = lg.open_positions(fills, last, cal, nav, v.instruments(spark, d))
+    shares = {c: F.round(c, 5) + F.lit(0.0) for c in ("unrealized_pct", "weight")}
+    return fine(x.drop(*shares)).join(x.select("sleeve", "symbol", *(c.alias(k) for k, c in shares.items())), ["sleeve", "symbol"])
 
 
 @query(f"{FLOWS} SELECT date, {r('sum(value)', 4)} AS net FROM cashflows WHERE type = 'transfer' GROUP BY 1 HAVING abs(sum(value)) > 0.005")
@@ -166,23 +180,29 @@ def flows_by_period(spark, d):
     return rounded(lg.flows_by_period(v.cashflows(spark, d)), 3)
 
 
-@query(f"{SLEEVE}, w AS (SELECT *, sum(flow_in) OVER (PARTITION BY sleeve ORDER BY date {CUM}) AS fu FROM sl) SELECT DISTINCT 'sleeve ' || sleeve AS scope, 'NAV at or below zero with open positions' AS message FROM w WHERE nav <= 0 AND n_positions > 0 UNION ALL SELECT DISTINCT 'sleeve ' || sleeve, 'profit or loss before funding' FROM w WHERE fu = 0 AND pnl <> 0 UNION ALL SELECT DISTINCT symbol, 'no prices' FROM fills WHERE symbol NOT IN (SELECT symbol FROM prices)")
+@query(f"{SLEEVE}, w AS (SELECT *, sum(flow_in) OVER (PARTITION BY sleeve ORDER BY date {CUM}) AS fu FROM sl) SELECT DISTINCT 'sleeve ' || sleeve AS scope, 'NAV at or below zero with open positions' AS message FROM w WHERE nav <= 1 AND abs(value) > 0 UNION ALL SELECT DISTINCT 'sleeve ' || sleeve, 'profit or loss before funding' FROM w WHERE fu = 0 AND (abs(value) > 0 OR abs(pnl) > 0.005) UNION ALL SELECT DISTINCT symbol, 'no prices' FROM fills WHERE symbol NOT IN (SELECT symbol FROM prices) UNION ALL SELECT 'journal', 'entries dated after the end' FROM (SELECT max(date) AS d FROM (SELECT date FROM fills UNION ALL SELECT date FROM cashflows)) WHERE d > DATE '2001-06-01'")
 def ledger_warnings(spark, d):
-    return lg.ledger_warnings(_daily(spark, d), v.fills(spark, d), v.prices(spark, d))
+    return lg.ledger_warnings(_daily(spark, d), v.fills(spark, d), v.prices(spark, d), v.cashflows(spark, d), "2001-06-01")
+
+
+CAPITAL = f"""{TWR}, sm AS (SELECT sleeve, coalesce(sum(value) FILTER (WHERE type = 'deposit'), 0) AS deposited, abs(coalesce(sum(value) FILTER (WHERE type = 'withdrawal'), 0)) AS withdrawn, coalesce(sum(value) FILTER (WHERE type = 'transfer' AND value > 0), 0) AS transfers_in, abs(coalesce(sum(value) FILTER (WHERE type = 'transfer' AND value < 0), 0)) AS transfers_out,
+ coalesce(sum(value) FILTER (WHERE external), 0) AS net_invested, coalesce(sum(value) FILTER (WHERE type = 'fee'), 0) AS cf, min(date) FILTER (WHERE external) AS first_flow FROM bc GROUP BY 1),
+ en AS (SELECT sleeve, max_by(nav, date) AS nav, sum(income) AS income, sum(fees) AS fees, product(1 + ret) - 1 AS time_weighted FROM tw GROUP BY 1)"""
 
 
-@query(f"{FLOWS} SELECT coalesce(CAST(sleeve AS VARCHAR), 'total') AS scope, {r('sum(CASE WHEN external AND value > 0 THEN value ELSE 0 END)', 2)} AS deposited, {r('sum(CASE WHEN external AND value < 0 THEN value ELSE 0 END)', 2)} AS withdrawn, {r('sum(CASE WHEN external THEN value ELSE 0 END)', 2)} AS net FROM cashflows GROUP BY ROLLUP (sleeve)")
+@query(f"""{CAPITAL} SELECT sleeve, {r('deposited', 2)} AS deposited, {r('withdrawn', 2)} AS withdrawn, {r('transfers_in', 2)} AS transfers_in, {r('transfers_out', 2)} AS transfers_out, {r('net_invested', 2)} AS net_invested, {r('nav', 2)} AS nav, {r('nav - net_invested', 2)} AS pnl, {r('income - cf', 2)} AS income, {r('fees - cf', 2)} AS fees, {r('time_weighted', 5)} AS time_weighted, first_flow FROM en JOIN sm USING (sleeve)""")
 def capital_summary(spark, d):
-    c = v.cashflows(spark, d).withColumn("name", F.col("sleeve").cast("string"))
-    x, val = F.col("external"), F.col("value")
-    part = lambda q: F.round(F.sum(F.when(q, val).otherwise(0.0)), 2)
-    return c.rollup("name").agg(part(x & (val > 0)).alias("deposited"), part(x & (val < 0)).alias("withdrawn"), part(x).alias("net")).select(F.coalesce("name", F.lit("total")).alias("scope"), "deposited", "withdrawn", "net")
+    x = lg.capital_summary(lg.twr_returns(_daily(spark, d)), v.cashflows(spark, d), calendar(spark, d))
+    return rounded(x.drop("time_weighted"), 2).join(x.select("sleeve", (F.round("time_weighted", 5) + F.lit(0.0)).alias("time_weighted")), "sleeve")
 
 
-@query(f"{SLEEVE} SELECT sleeve, {r('max_by(nav, date)', 2)} AS nav, {r('max_by(pnl, date)', 2)} AS day_pnl, {r('max_by(cash, date)', 2)} AS cash, {r('sum(pnl)', 2)} AS total_pnl FROM sl GROUP BY 1")
+@query(f"""{TWR}, t AS (SELECT sleeve, max_by(nav, date) AS nav, sum(flow_in + flow_out) AS net_invested, max_by(pnl, date) AS day_pnl, max_by(cash, date) AS cash, max_by(long - short, date) AS gross, max_by(long + short, date) AS net, max_by(ret, date) AS day_return,
+ coalesce(product(1 + ret) FILTER (WHERE date >= date_trunc('month', z)), 1) - 1 AS mtd, coalesce(product(1 + ret) FILTER (WHERE date >= date_trunc('year', z)), 1) - 1 AS ytd, coalesce(product(1 + ret), 1) - 1 AS itd, any_value(z) AS as_of FROM tw, fin GROUP BY 1)
+ SELECT sleeve, {r('nav', 2)} AS nav, {r('net_invested', 2)} AS net_invested, {r('nav - net_invested', 2)} AS pnl, {r('day_pnl', 2)} AS day_pnl, {r('cash', 2)} AS cash, {r('gross / nav', 5)} AS gross, {r('net / nav', 5)} AS net, {r('day_return', 5)} AS day_return, {r('mtd', 5)} AS mtd, {r('ytd', 5)} AS ytd, {r('itd', 5)} AS itd, as_of FROM t""")
 def kpis(spark, d):
-    s = _daily(spark, d)
-    return rounded(s.groupBy("sleeve").agg(F.max_by("nav", "date").alias("nav"), F.max_by("pnl", "date").alias("day_pnl"), F.max_by("cash", "date").alias("cash"), F.sum("pnl").alias("total_pnl")), 2)
+    x = lg.kpis(lg.twr_returns(_daily(spark, d)))
+    money = ("nav", "net_invested", "pnl", "day_pnl", "cash")
+    return x.select("sleeve", "as_of", *((F.round(c, 2 if c in money else 5) + F.lit(0.0)).alias(c) for c in x.columns if c not in ("sleeve", "as_of")))
 
 
 @query(f"{FP}, {POS}, e AS (SELECT symbol, max_by(qty, date) AS qty, max_by(value, date) AS value FROM val GROUP BY sleeve, symbol) SELECT symbol, {r('sum(qty)')} AS qty, {r('sum(value)', 3)} AS value FROM e GROUP BY 1")

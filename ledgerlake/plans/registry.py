@@ -27,6 +27,16 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*((F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
 
 
+def fine(df: DataFrame) -> DataFrame:
+    """Doubles rounded to 1/1024: sums of decimals never lie halfway, so that every engine rounds them alike."""
+    return df.select(*((F.round(F.col(f"`{c}`") * 1024) / 1024 + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+def f(expression: str) -> str:
+    """The oracle's spelling of ``fine`` for one column."""
+    return f"round(({expression}) * 1024) / 1024 + 0.0"
+
+
 def r(expression: str, digits: int = DIGITS) -> str:
     """The oracle's spelling of ``rounded`` for one column."""
     return f"round({expression}, {digits}) + 0.0"
