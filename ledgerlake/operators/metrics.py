@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.stats import YEAR, phi, phi_inverse, safe_beta, safe_corr, sharpe_error
+from .rates import with_rf
 from .timeseries import by, full, islands, running, running_product
 
 
@@ -39,6 +40,7 @@ def excess(rf: float = 0.0) -> Column:
     return F.col("ret") - ((1 + rf) ** (1 / YEAR) - 1)
 
 
+
 def sharpe_of(x: Column) -> Column:
     sd = F.stddev_samp(x)
     return F.when((F.count(x) > 2) & (sd > 0), F.avg(x) / F.nullif(sd, F.lit(0.0)) * ROOT)
@@ -93,10 +95,10 @@ def moments(x: Column) -> dict[str, Column]:
     return {"n": F.count(x), "mean": F.avg(x), "sd": F.stddev_samp(x), "skew": F.skewness(x), "kurtosis": F.kurtosis(x) + 3}
 
 
-def sharpe_inference(returns: DataFrame, rf: float = 0.0, benchmark: float = 0.0, prob: float = 0.95) -> DataFrame:
+def sharpe_inference(returns: DataFrame, rf: DataFrame | float = 0.0, benchmark: float = 0.0, prob: float = 0.95) -> DataFrame:
     """Per-period Sharpe ratio, its standard error, the probability that the true one is over ``benchmark`` (yearly), and the years of
     record needed to say so with ``prob`` (infinite if it is not over it)."""
-    m = returns.groupBy("series_id").agg(*(c.alias(k) for k, c in moments(excess(rf)).items()))
+    m = with_rf(returns, rf).groupBy("series_id").agg(*(c.alias(k) for k, c in moments(F.col("ret") - F.col("rf")).items()))
     sr, sr0 = F.col("mean") / F.nullif("sd", F.lit(0.0)), benchmark / ROOT
     out = m.where("n >= 10").withColumn("sr", sr).withColumn("se", sharpe_error(F.col("sr"), F.col("n"), F.col("skew"), F.col("kurtosis")))
     need = 1 + (1 - F.col("skew") * F.col("sr") + (F.col("kurtosis") - 1) / 4 * F.pow("sr", F.lit(2))) * F.pow(F.lit(phi_inverse(prob)) / F.nullif(F.col("sr") - sr0, F.lit(0.0)), F.lit(2))
@@ -107,9 +109,9 @@ def with_bench(returns: DataFrame, bench: DataFrame, how: str = "inner") -> Data
     return returns.join(bench.select("date", F.col("ret").alias("bench")), "date", how)
 
 
-def beta_alpha(returns: DataFrame, bench: DataFrame, rf: float = 0.0) -> DataFrame:
-    x, b = excess(rf), F.col("bench") - ((1 + rf) ** (1 / YEAR) - 1)
-    m = with_bench(returns, bench).groupBy("series_id").agg(F.count("*").alias("n"), safe_beta(x, b).alias("beta"), F.avg(x).alias("mx"), F.avg(b).alias("mb"), safe_corr("ret", "bench").alias("corr"))
+def beta_alpha(returns: DataFrame, bench: DataFrame, rf: DataFrame | float = 0.0) -> DataFrame:
+    x, b = F.col("ret") - F.col("rf"), F.col("bench") - F.col("rf")
+    m = with_rf(with_bench(returns, bench), rf).groupBy("series_id").agg(F.count("*").alias("n"), safe_beta(x, b).alias("beta"), F.avg(x).alias("mx"), F.avg(b).alias("mb"), safe_corr("ret", "bench").alias("corr"))
     return m.where("n >= 10").select("series_id", "beta", ((F.col("mx") - F.col("beta") * F.col("mb")) * YEAR).alias("alpha"), "corr")
 
 
@@ -126,27 +128,44 @@ def days_since_peak(returns: DataFrame) -> DataFrame:
     return dd.groupBy("series_id").agg((F.count("*") - F.coalesce(F.max(F.when(F.col("drawdown") >= -1e-12, F.col("i"))), F.lit(0))).alias("days"))
 
 
-def perf_summary(returns: DataFrame, rf: float = 0.0) -> DataFrame:
-    """The tear sheet of each series: one grouped aggregate of days, one of months, one of episodes."""
-    dd = drawdown(clean_returns(returns))
-    r, x = F.col("ret"), excess(rf)
+def perf_summary(returns: DataFrame, rf: DataFrame | float = 0.0, bench: DataFrame | None = None) -> DataFrame:
+    """The tear sheet of each series, 30 figures, and 8 more against a benchmark (date, ret). ``rf``: (date, rf) or a yearly rate.
+
+    Only clean returns count. One grouped aggregate of days, one of months, one of episodes, one of the tail.
+    """
+    clean = with_rf(clean_returns(returns), rf)
+    dd = drawdown(clean).withColumn("i", F.row_number().over(W()))
+    r, x = F.col("ret"), F.col("ret") - F.col("rf")
     daily = dd.groupBy("series_id").agg(
-        F.count("*").alias("days"), (F.product(1 + r) - 1).alias("total_return"), cagr_of(r).alias("cagr"), (F.stddev_samp(r) * ROOT).alias("volatility"),
+        F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("days"), (F.product(1 + r) - 1).alias("total_return"), cagr_of(r).alias("cagr"), (F.stddev_samp(r) * ROOT).alias("volatility"),
         sharpe_of(x).alias("sharpe"), sortino_of(x).alias("sortino"), F.min("drawdown").alias("max_drawdown"), F.max_by("drawdown", "date").alias("current_drawdown"),
+        (F.count("*") - F.coalesce(F.max(F.when(F.col("drawdown") >= -1e-12, F.col("i"))), F.lit(0))).alias("days_since_peak"),
         F.sqrt(F.avg(F.pow("drawdown", F.lit(2)))).alias("ulcer"), F.percentile(r, F.lit(0.05)).alias("var95"), F.percentile(r, F.lit(0.01)).alias("var99"),
         F.percentile(r, F.lit(0.95)).alias("p95"), F.skewness(r).alias("skew"), F.kurtosis(r).alias("excess_kurtosis"), F.max(r).alias("best_day"), F.min(r).alias("worst_day"),
-        F.avg((r > 0).cast("double")).alias("hit_rate"), F.sum(r).alias("gain"), F.sum(F.when(r < 0, -r)).alias("pain"),
-    )
-    tail = returns.join(daily.select("series_id", "var95"), "series_id").where("ret <= var95").groupBy("series_id").agg(F.avg("ret").alias("cvar95"))
-    months = monthly_returns(returns).groupBy("series_id").agg(F.max("ret").alias("best_month"), F.min("ret").alias("worst_month"), F.avg((F.col("ret") > 0).cast("double")).alias("month_hit_rate"))
-    longest = underwater(returns).groupBy("series_id").agg(F.max("length").alias("longest_drawdown"))
-    out = daily.join(tail, "series_id", "left").join(months, "series_id", "left").join(longest, "series_id", "left")
-    return out.select(
-        "*", (F.col("cagr") / F.nullif(F.abs("max_drawdown"), F.lit(0.0))).alias("calmar"), (F.col("gain") / F.nullif("pain", F.lit(0.0))).alias("gain_to_pain"),
-        (F.col("p95") / F.nullif(F.abs("var95"), F.lit(0.0))).alias("tail_ratio"),
+        F.avg((r > 0).cast("double")).alias("hit_rate"), F.sum(F.when(r > 0, r)).alias("gain"), F.sum(F.when(r < 0, -r)).alias("pain"), (F.avg(x) * YEAR).alias("excess_return"),
+    ).where("days >= 2")
+    tail = clean.join(daily.select("series_id", "var95"), "series_id").where("ret <= var95").groupBy("series_id").agg(F.avg("ret").alias("cvar95"))
+    months = monthly_returns(clean).groupBy("series_id").agg(F.max("ret").alias("best_month"), F.min("ret").alias("worst_month"), F.avg((F.col("ret") > 0).cast("double")).alias("month_hit_rate"))
+    longest = underwater(clean).groupBy("series_id").agg(F.max("length").alias("longest_drawdown"))
+    out = daily.join(tail, "series_id", "left").join(months, "series_id", "left").join(longest, "series_id", "left").join(sharpe_inference(clean.drop("rf"), rf).select("series_id", "psr"), "series_id", "left")
+    if bench is not None:
+        act = F.col("ret") - F.coalesce("bench", F.lit(0.0))
+        both = with_bench(clean, bench, "left").groupBy("series_id").agg((F.stddev_samp(act) * ROOT).alias("tracking_error"), (F.avg(act) * YEAR).alias("_act"), (F.product(1 + F.coalesce("bench", F.lit(0.0))) - 1).alias("benchmark_return"))
+        both = both.withColumn("information_ratio", F.col("_act") / F.nullif("tracking_error", F.lit(0.0))).drop("_act")
+        out = out.join(beta_alpha(clean.drop("rf"), bench, rf), "series_id", "left").join(both, "series_id", "left").join(capture(clean, bench), "series_id", "left")
+    return out.na.fill(0, ["longest_drawdown"]).select(
+        "*", (F.col("days") / YEAR).alias("years"), F.when(F.col("max_drawdown") < 0, F.col("cagr") / F.abs("max_drawdown")).alias("calmar"), F.when(F.col("pain") > 0, F.coalesce("gain", F.lit(0.0)) / F.col("pain")).alias("gain_to_pain"),
+        F.when(F.col("var95") < 0, F.abs(F.col("p95") / F.col("var95"))).alias("tail_ratio"),
     ).drop("gain", "pain", "p95")
 
 
+def summary_frame(returns: DataFrame, rf: DataFrame | float = 0.0, bench: DataFrame | None = None) -> DataFrame:
+    """(series_id, metric, value): every number of ``perf_summary``, one row each."""
+    x = perf_summary(returns, rf, bench)
+    numbers = [c for c, t in x.dtypes if t in ("double", "bigint", "int")]
+    return x.select("series_id", *(F.col(c).cast("double").alias(c) for c in numbers)).unpivot("series_id", numbers, "metric", "value")
+
+
 def stats_row(returns: DataFrame, rf: float = 0.0, least: int = 20) -> DataFrame:
     dd = drawdown(returns)
     r = F.col("ret")
@@ -194,11 +213,18 @@ def ewma_vol_target(returns: DataFrame, target: float, half_life: float, cap: fl
     decay = 0.5 ** (1 / half_life)
     i = F.row_number().over(W())
     numbered = returns.withColumn("i", i)
-    # scaled sums: sum x^2 * decay^-i stays finite for some thousand days; the ratio cancels the scale
-    past = W().rowsBetween(Window.unboundedPreceding, -1)
-    up = F.pow(F.lit(1 / decay), F.col("i").cast("double"))
-    var = F.sum(F.col("ret") * F.col("ret") * up).over(past) / F.sum(up).over(past)
-    vol = numbered.withColumn("vol", F.when(F.col("i") > least, F.sqrt(var) * ROOT)).drop("i")
+    # over the last 60 half-lives, beyond which a weight is under 1e-18 of the first: sums scaled within blocks, so no power overflows
+    size = max(1, int(100 * half_life))
+    block = Window.partitionBy("series_id", "_b").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = numbered.withColumn("_b", F.floor(F.col("i") / size)).withColumn("_k", (F.col("i") % size).cast("double"))
+    up = F.pow(F.lit(1 / decay), F.col("_k"))
+    numbered = numbered.withColumn("_s", F.sum(F.col("ret") * F.col("ret") * up).over(block) / up).withColumn("_n", F.sum(up).over(block) / up)
+    ends = numbered.groupBy("series_id", "_b").agg(F.max_by("_s", "i").alias("_ps"), F.max_by("_n", "i").alias("_pn")).withColumn("_b", F.col("_b") + 1)
+    numbered = numbered.join(ends, ["series_id", "_b"], "left")  # the block before, faded by the days since its end
+    fade = F.pow(F.lit(decay), F.col("_k") + 1)
+    numbered = numbered.withColumn("_s", F.col("_s") + F.coalesce(F.col("_ps") * fade, F.lit(0.0))).withColumn("_n", F.col("_n") + F.coalesce(F.col("_pn") * fade, F.lit(0.0)))
+    var = F.lag("_s").over(W()) / F.lag("_n").over(W())
+    vol = numbered.withColumn("vol", F.when(F.col("i") > least, F.sqrt(var) * ROOT)).select(*returns.columns, "vol")
     month = Window.partitionBy("series_id", F.date_trunc("month", "date")).orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return vol.withColumn("scale", F.first(F.when(F.col("vol") > 0, F.least(F.lit(cap), F.lit(target) / F.col("vol"))), ignorenulls=True).over(month))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ledger import multipliers
+
 
 def business_days(start: Column, end: Column) -> Column:
     """Weekdays after ``start`` up to ``end``."""
@@ -14,19 +16,117 @@ def business_days(start: Column, end: Column) -> Column:
     return F.size(F.filter(span, lambda d: F.dayofweek(d).between(2, 6)))
 
 
-def plan_weights(targets: DataFrame, holdings: DataFrame, capital: float, drift: float = 0.1) -> DataFrame:
-    """(sleeve, symbol, side, quantity): targets (sleeve, symbol, weight, price) against holdings (sleeve, symbol, qty).
+def staleness(as_of: Column, today: Column) -> Column:
+    """Weekdays after the signal's close up to the last weekday before today."""
+    return business_days(as_of, F.date_sub(today, 1))
+
+
+def is_stale(signals: DataFrame, today: str) -> DataFrame:
+    """``signals`` (sleeve, as_of, next_trade) with ``stale``: a daily signal after one trading day; a monthly one, which names its next
+    trade date, from the month after that date on."""
+    day = F.lit(today).cast("date")
+    monthly = day >= F.trunc(F.add_months("next_trade", 1), "month")
+    return signals.withColumn("days", staleness(F.col("as_of"), day)).withColumn("stale", F.when(F.col("next_trade").isNotNull(), monthly).otherwise(F.col("days") > 1))
+
 
-    Whole shares, rounded down. A held symbol is traded only if its value is off by more than ``drift`` of the target value, or
-    if it has no target any more.
+def current_weights(signals: DataFrame, today: str) -> DataFrame:
+    """(sleeve, symbol, weight, change): of signal rows (sleeve, symbol, weight, next_weight, next_trade) the weights to hold today.
+
+    From the next trade date on those are the next weights. ``change``: due, scheduled, none, or null without a schedule.
     """
-    both = targets.join(holdings, ["sleeve", "symbol"], "full_outer").na.fill(0.0, ["qty", "weight"])
-    want = F.floor(F.col("weight") * capital / F.nullif("price", F.lit(0.0)))
-    x = both.withColumn("want", F.coalesce(want.cast("double"), F.lit(0.0)))
-    value = F.abs(F.col("want") - F.col("qty")) * F.coalesce("price", F.lit(1.0))
-    goes = (F.col("qty") == 0) | (F.col("weight") == 0) | (value > drift * F.col("weight") * capital)
-    move = F.col("want") - F.col("qty")
-    return x.where(goes & (move != 0)).select("sleeve", "symbol", F.when(move > 0, "BUY").otherwise("SELL").alias("side"), F.abs(move).alias("quantity"))
+    day, plan = F.lit(today).cast("date"), F.col("next_trade").isNotNull()
+    due = plan & (day >= F.col("next_trade"))
+    differs = F.max((F.coalesce("next_weight", F.lit(0.0)) != F.coalesce("weight", F.lit(0.0))).cast("int")).over(Window.partitionBy("sleeve")) == 1
+    change = F.when(due, "due").when(plan & differs, "scheduled").when(plan, "none")
+    return signals.select("sleeve", "symbol", F.coalesce(F.when(due, F.col("next_weight")).otherwise(F.col("weight")), F.lit(0.0)).alias("weight"), change.alias("change"))
+
+
+def last_prices(prices: DataFrame) -> DataFrame:
+    """(symbol, price): the last positive close."""
+    return prices.where("close > 0").groupBy("symbol").agg(F.max_by("close", "date").alias("price"))
+
+
+def sleeve_positions(positions: DataFrame) -> DataFrame:
+    """(sleeve, symbol, qty) held on the last day of each, none left out but the flat ones."""
+    return positions.groupBy("sleeve", "symbol").agg(F.max_by("qty", "date").alias("qty")).where("abs(qty) > 1e-9")
+
+
+def order_capital(account: float, invest: float, weights: DataFrame) -> DataFrame:
+    """(sleeve, capital): the account times the share that is invested times each sleeve's weight."""
+    return weights.select("sleeve", (F.lit(account * invest) * F.col("weight")).alias("capital"))
+
+
+def weight_table(targets: DataFrame, holdings: DataFrame, prices: DataFrame, capital: DataFrame, instruments: DataFrame | None = None) -> DataFrame:
+    """(sleeve, symbol, weight, qty, price, multiplier, future, capital, current, target_qty) of every target and holding.
+
+    Whole shares rounded down, futures to the nearest contract, halves to even. Without a price, current and target are null.
+    """
+    both = targets.where("weight > 0").select("sleeve", "symbol", "weight").join(holdings.where("abs(qty) > 1e-9").select("sleeve", "symbol", "qty"), ["sleeve", "symbol"], "full_outer").na.fill(0.0, ["qty", "weight"])
+    x = multipliers(both.join(prices.where("price > 0").select("symbol", "price"), "symbol", "left"), instruments).join(F.broadcast(capital), "sleeve")
+    units = F.col("capital") * F.col("weight") / (F.col("price") * F.col("multiplier"))
+    current = F.when(F.col("capital") > 0, F.col("qty") * F.col("price") * F.col("multiplier") / F.nullif("capital", F.lit(0.0)))
+    return x.withColumn("current", current).withColumn("target_qty", F.when(F.col("future"), F.bround(units, 0)).otherwise(F.floor(units + 1e-9).cast("double")))
+
+
+def plan_weights(targets: DataFrame, holdings: DataFrame, prices: DataFrame, capital: DataFrame, instruments: DataFrame | None = None, band: float = 0.1) -> DataFrame:
+    """(sleeve, symbol, side, quantity, price, value, reason): orders to the target weights.
+
+    A sleeve trades all its symbols if any of them enters or leaves, or if the largest gap of current and target weight is over the
+    band; else none. A symbol without a price is not sized.
+    """
+    w = Window.partitionBy("sleeve")
+    x = weight_table(targets, holdings, prices, capital, instruments)
+    flip = (F.col("weight") > 0) != (F.abs("qty") > 1e-9)
+    x = x.withColumn("flips", F.max(flip.cast("int")).over(w)).withColumn("drift", F.max(F.abs(F.col("current") - F.col("weight"))).over(w))
+    move = F.col("target_qty") - F.col("qty")
+    goes = (F.col("capital") > 0) & ((F.col("flips") == 1) | (F.col("drift") > band)) & (F.abs(move) >= 1e-9)
+    return x.where(goes).select(
+        "sleeve", "symbol", F.when(move > 0, "BUY").otherwise("SELL").alias("side"), F.abs(move).alias("quantity"), "price", (F.abs(move) * F.col("price") * F.col("multiplier")).alias("value"),
+        F.when(F.col("flips") == 1, "signal change").otherwise("drift").alias("reason"),
+    )
+
+
+def missing_vs_model(holdings: DataFrame, model: DataFrame) -> DataFrame:
+    """(sleeve, symbol, status): what is held but not in the model, what the model holds and the sleeve does not, and what both hold."""
+    both = holdings.where("qty > 1e-9").select("sleeve", "symbol", F.lit(True).alias("held")).join(model.select("sleeve", "symbol", F.coalesce("exit", F.lit("")).alias("exit")), ["sleeve", "symbol"], "full_outer")
+    status = F.when(F.col("exit").isNull(), "not in model").when(F.col("held").isNull(), F.when(F.col("exit") == "", "not held")).when(F.col("exit") != "", "exit").otherwise("hold")
+    return both.select("sleeve", "symbol", status.alias("status")).where("status is not null")
+
+
+def plan_stock_picks(model: DataFrame, entries: DataFrame, holdings: DataFrame, prices: DataFrame, capital: DataFrame, least: float = 0.02) -> DataFrame:
+    """(sleeve, symbol, side, quantity, kind, limit, reason): exits, protective orders of what stays, and entries while the cash lasts.
+
+    ``model``: (sleeve, symbol, exit, take_profit, stop); ``entries``: (sleeve, rank, symbol, weight). Cash is the capital less what is
+    kept. Entries are taken by rank, each of weight x capital or what cash is left, in whole shares; under ``least`` of the wanted
+    money the rest are left out. The fold runs over a sleeve's entries, a handful.
+    """
+    held = holdings.where("qty > 1e-9").select("sleeve", "symbol", "qty").join(prices.select("symbol", "price"), "symbol", "left").join(model.withColumn("known", F.lit(True)), ["sleeve", "symbol"], "left")
+    stays = F.col("known").isNotNull() & (F.coalesce("exit", F.lit("")) == "")
+    sell = lambda kind, limit, why, when: F.when(when, F.struct(F.lit(kind).alias("kind"), limit.alias("limit"), why.alias("reason")))
+    none = F.lit(None).cast("double")
+    sells = held.select("sleeve", "symbol", F.lit("SELL").alias("side"), F.col("qty").alias("quantity"), F.explode(F.array_compact(F.array(
+        sell("market on open", none, F.lit("not in model"), F.col("known").isNull()), sell("market on open", none, F.col("exit"), F.col("known").isNotNull() & ~stays),
+        sell("limit", F.round("take_profit", 2), F.lit("take profit"), stays & F.col("take_profit").isNotNull()), sell("stop", F.round("stop", 2), F.lit("stop loss"), stays & F.col("stop").isNotNull()),
+    ))).alias("x")).select("sleeve", "symbol", "side", "quantity", "x.kind", "x.limit", "x.reason")
+    kept = held.where(stays).groupBy("sleeve").agg(F.sum(F.col("qty") * F.coalesce("price", F.lit(0.0))).alias("kept"))
+    fresh = entries.join(held.select("sleeve", "symbol"), ["sleeve", "symbol"], "left_anti").join(prices.select("symbol", "price"), "symbol", "left")
+    queue = fresh.groupBy("sleeve").agg(F.array_sort(F.collect_list(F.struct("rank", "symbol", "weight", "price"))).alias("queue"))
+    queue = queue.join(F.broadcast(capital), "sleeve").join(kept, "sleeve", "left").withColumn("cash", F.greatest(F.col("capital") - F.coalesce("kept", F.lit(0.0)), F.lit(0.0)))
+    start = F.struct(F.col("cash").alias("cash"), F.lit(False).alias("stopped"), F.array().cast("array<struct<symbol:string,quantity:double>>").alias("buys"))
+
+    def step(acc: Column, b: Column) -> Column:
+        want = F.col("capital") * b.weight
+        money = F.least(want, acc.cash)
+        stop = acc.stopped | ((want > 0) & (money < least * want))
+        q = F.coalesce(F.floor(money / b.price + 1e-9).cast("double"), F.lit(0.0))
+        buys = ~stop & (q >= 1)
+        return F.struct(
+            F.when(buys, acc.cash - q * b.price).otherwise(acc.cash).alias("cash"), stop.alias("stopped"),
+            F.when(buys, F.concat(acc.buys, F.array(F.struct(b.symbol.alias("symbol"), q.alias("quantity"))))).otherwise(acc.buys).alias("buys"),
+        )
+
+    bought = queue.select("sleeve", F.explode(F.aggregate("queue", start, step)["buys"]).alias("b"))
+    return sells.unionByName(bought.select("sleeve", "b.symbol", F.lit("BUY").alias("side"), "b.quantity", F.lit("market on open").alias("kind"), none.alias("limit"), F.lit("entry").alias("reason")))
 
 
 def net_orders(orders: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import YEAR, expected_max_sharpe, phi
-from .metrics import sharpe_inference, with_bench
-from .timeseries import by
+from .metrics import sharpe_inference, sharpe_of, with_bench
+from .rates import with_rf
+from .timeseries import by, running
 
 
 def deflated_sharpe(returns: DataFrame, trials: int) -> DataFrame:
@@ -35,14 +36,27 @@ def capm_hac(returns: DataFrame, bench: DataFrame, lags: int = 10) -> DataFrame:
     return out.select("series_id", (F.col("alpha") * YEAR).alias("alpha"), "beta", (F.col("beta") / F.sqrt(F.col("sv") / F.pow(F.col("n") * F.col("vx"), F.lit(2)))).alias("beta_t"))
 
 
-def survival_gates(returns: DataFrame, is_end: str) -> DataFrame:
-    """(series_id, is_sr, oos_sr, g1..g3, passed): positive in sample, positive out of sample, and at least half of it kept."""
-    side = F.when(F.col("date") <= F.lit(is_end).cast("date"), "a").otherwise("b")
-    sr = F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0)) * F.sqrt(F.lit(float(YEAR)))
-    x = returns.withColumn("_side", side).groupBy("series_id").pivot("_side", ["a", "b"]).agg(sr)
-    g = x.select("series_id", F.col("a").alias("is_sr"), F.col("b").alias("oos_sr"))
-    g = g.withColumn("g1", F.col("is_sr") > 0).withColumn("g2", F.col("oos_sr") > 0).withColumn("g3", F.col("oos_sr") >= 0.5 * F.col("is_sr"))
-    return g.withColumn("passed", F.col("g1") & F.col("g2") & F.col("g3"))
+def survival_gates(returns: DataFrame, twice_cost: DataFrame, hold: DataFrame, start: str, end: str, rf: DataFrame | float = 0.0) -> DataFrame:
+    """Gates of each configuration (series_id, date, ret) within a design window, against buy and hold (date, ret) on the same days.
+
+    g1: Sharpe ratio at least that of buy and hold. g2: a shallower deepest drawdown. g3: positive Sharpe ratios in both halves. g4: g1
+    at twice the cost (``twice_cost``, as ``returns``). ``survives``: all of them.
+    """
+    span = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
+    middle = F.date_add(lo, F.floor(F.datediff(hi, lo) / 2).cast("int"))
+    x = returns.where(span).join(twice_cost.select("series_id", "date", F.col("ret").alias("twice")), ["series_id", "date"]).join(hold.select("date", F.col("ret").alias("hold")), "date")
+    w = by("series_id")
+    fall = lambda c: F.product(1 + F.col(c)).over(running(w))
+    x = with_rf(x, rf).withColumns({"_a": fall("ret"), "_b": fall("hold")})
+    depth = lambda c: F.col(c) / F.greatest(F.max(c).over(running(w)), F.lit(1.0)) - 1
+    x = x.withColumns({"_a": depth("_a"), "_b": depth("_b")})
+    sr = lambda c, when=None: sharpe_of(F.col(c) - F.col("rf") if when is None else F.when(when, F.col(c) - F.col("rf")))
+    s = x.groupBy("series_id").agg(
+        sr("ret").alias("sharpe"), sr("hold").alias("_hold"), F.min("_a").alias("max_drawdown"), F.min("_b").alias("_fall"), sr("ret", F.col("date") <= middle).alias("first_half"), sr("ret", F.col("date") > middle).alias("second_half"), sr("twice").alias("twice_cost"),
+    )
+    s = s.withColumns({"g1": F.col("sharpe") >= F.col("_hold"), "g2": F.col("max_drawdown") > F.col("_fall"), "g3": (F.col("first_half") > 0) & (F.col("second_half") > 0), "g4": F.col("twice_cost") >= F.col("_hold")})
+    return s.withColumn("survives", F.col("g1") & F.col("g2") & F.col("g3") & F.col("g4")).drop("_hold", "_fall")
 
 
 def truncation_audit(operator: Callable[[DataFrame], DataFrame], data: DataFrame, cut: str) -> DataFrame:

@@ -52,14 +52,35 @@ def spells(df: DataFrame, keys: list[str], value: str, order: str = "date") -> D
     return run.groupBy(*keys, "_run", value).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length")).drop("_run")
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], order: str = "date", strict: bool = False) -> DataFrame:
-    """Each left row with the latest right values at or before (``strict``: before) its time; equal right times: the greatest values."""
-    r = right.groupBy(*keys, order).agg(F.max(F.struct(*values)).alias("_right"))
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], order: str = "date", strict: bool = False, max_age: int | None = None, seq: str | None = None) -> DataFrame:
+    """Each left row with the latest right values at or before (``strict``: before) its time.
+
+    Of right rows of one time the last by ``seq`` counts, without one the greatest values. Over ``max_age`` days old they are null.
+    """
+    one = F.max_by(F.struct(*values), seq) if seq else F.max(F.struct(*values))
+    r = right.groupBy(*keys, order).agg(one.alias("_right"))
+    if max_age is not None:
+        r = r.withColumn("_right", F.struct(*(F.col(f"_right.{v}").alias(v) for v in values), F.col(order).alias("_at")))
     r = r.select(*keys, order, F.col("_right"), F.lit(0 if not strict else 2).alias("_side"), *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in (*keys, order)))
     both = left.select("*", F.lit(None).cast(r.schema["_right"].dataType).alias("_right"), F.lit(1).alias("_side")).unionByName(r)
     w = Window.partitionBy(*keys).orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumn("_right", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
-    return seen.select(*left.columns, *(F.col(f"_right.{v}").alias(v) for v in values))
+    if max_age is None:
+        return seen.select(*left.columns, *(F.col(f"_right.{v}").alias(v) for v in values))
+    young = F.datediff(order, "_right._at") <= max_age
+    return seen.select(*left.columns, *(F.when(young, F.col(f"_right.{v}")).alias(v) for v in values))
+
+
+def asof_days(left: DataFrame, right: DataFrame, values: list[str], order: str = "date") -> DataFrame:
+    """``asof_backward`` without a key: it is done on the different days, which are few, and joined to the rows by day."""
+    days = left.select(order).distinct().withColumn("_k", F.lit(1))
+    found = asof_backward(days, right.withColumn("_k", F.lit(1)), ["_k"], values, order).drop("_k")
+    return left.join(found, order).select(*left.columns, *values)
+
+
+def asof_membership(days: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """``days`` with ``members``: the list of the last change (date, members) at or before the day; null before the first."""
+    return asof_backward(days, changes, keys, ["members"])
 
 
 def asof_forward(left: DataFrame, calendar: DataFrame, order: str = "date", out: str = "snapped") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ERF_A, ERF_P, safe_corr
 from ..operators import metrics as m
+from ..operators import rates as rt
 from ..operators import timeseries as ts
 from ..sources import testdata as v
 from .registry import query, r, rounded
@@ -134,20 +135,66 @@ def days_since_peak(spark, d):
     return m.days_since_peak(v.returns(spark, d))
 
 
-@query(f"""{ISLAND}, a AS (SELECT series_id, count(*) AS days, product(1 + ret) - 1 AS total_return, pow(product(1 + ret), 252.0 / count(*)) - 1 AS cagr, stddev_samp(ret) * sqrt(252) AS volatility, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe,
- avg(ret) / sqrt(avg(pow(least(ret, 0.0), 2))) * sqrt(252) AS sortino, min(drawdown) AS max_drawdown, max_by(drawdown, date) AS current_drawdown, sqrt(avg(drawdown * drawdown)) AS ulcer, quantile_cont(ret, 0.05) AS var95, quantile_cont(ret, 0.01) AS var99, quantile_cont(ret, 0.95) AS p95,
- (avg(pow(ret, 3)) - 3 * avg(ret) * avg(pow(ret, 2)) + 2 * pow(avg(ret), 3)) / pow(var_pop(ret), 1.5) AS skew, kurtosis_pop(ret) AS excess_kurtosis, max(ret) AS best_day, min(ret) AS worst_day, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, sum(ret) / sum(-ret) FILTER (WHERE ret < 0) AS gain_to_pain FROM d GROUP BY 1),
+#: The daily risk-free rate on the days of the returns.
+RF = """yl AS (SELECT date, least(25, greatest(0, yield)) / 100 AS y FROM yields), rc AS (SELECT DISTINCT date FROM returns), ra AS (SELECT rc.date, y FROM rc ASOF LEFT JOIN yl ON rc.date >= yl.date),
+ rb AS (SELECT date, coalesce(lag(y) OVER (ORDER BY date), first_value(y IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS b, coalesce(date_diff('day', lag(date) OVER (ORDER BY date), date), 1) AS g FROM ra), rf AS (SELECT date, coalesce(pow(1 + b, g / 365.0) - 1, 0) AS rf FROM rb)"""
+PERF = f"""{v.with_views("returns", "bench", "yields")}{ISLAND[len(RET):]}, {RF}, xr AS (SELECT d.*, coalesce(rf, 0) AS rf, ret - coalesce(rf, 0) AS x, row_number() OVER (PARTITION BY series_id ORDER BY date) AS i FROM d LEFT JOIN rf USING (date)),
+ a AS (SELECT series_id, min(date) AS start, max(date) AS fin, count(*) AS days, product(1 + ret) - 1 AS total_return, pow(product(1 + ret), 252.0 / count(*)) - 1 AS cagr, stddev_samp(ret) * sqrt(252) AS volatility, avg(x) / stddev_samp(x) * sqrt(252) AS sharpe,
+ avg(x) / sqrt(avg(pow(least(x, 0.0), 2))) * sqrt(252) AS sortino, min(drawdown) AS max_drawdown, max_by(drawdown, date) AS current_drawdown, count(*) - coalesce(max(i) FILTER (WHERE drawdown >= -1e-12), 0) AS days_since_peak, sqrt(avg(drawdown * drawdown)) AS ulcer, quantile_cont(ret, 0.05) AS var95, quantile_cont(ret, 0.01) AS var99, quantile_cont(ret, 0.95) AS p95,
+ (avg(pow(ret, 3)) - 3 * avg(ret) * avg(pow(ret, 2)) + 2 * pow(avg(ret), 3)) / pow(var_pop(ret), 1.5) AS skew, kurtosis_pop(ret) AS excess_kurtosis, max(ret) AS best_day, min(ret) AS worst_day, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, sum(ret) FILTER (WHERE ret > 0) / sum(-ret) FILTER (WHERE ret < 0) AS gain_to_pain, avg(x) * 252 AS excess_return FROM xr GROUP BY 1),
  t AS (SELECT series_id, avg(ret) AS cvar95 FROM returns JOIN a USING (series_id) WHERE ret <= var95 GROUP BY 1), mo AS (SELECT series_id, date_trunc('month', date) AS mon, product(1 + ret) - 1 AS x FROM returns GROUP BY 1, 2),
- mm AS (SELECT series_id, max(x) AS best_month, min(x) AS worst_month, avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) AS month_hit_rate FROM mo GROUP BY 1), l AS (SELECT series_id, max(length) AS longest_drawdown FROM e GROUP BY 1)
- SELECT series_id, days, longest_drawdown, """ + ", ".join(f"{r(c, 5)} AS {c}" for c in "total_return cagr volatility sharpe sortino max_drawdown current_drawdown ulcer var95 var99 skew excess_kurtosis best_day worst_day hit_rate gain_to_pain cvar95 best_month worst_month month_hit_rate".split()) + f", {r('cagr / abs(max_drawdown)', 5)} AS calmar, {r('p95 / abs(var95)', 5)} AS tail_ratio FROM a JOIN t USING (series_id) JOIN mm USING (series_id) JOIN l USING (series_id)")
+ mm AS (SELECT series_id, max(x) AS best_month, min(x) AS worst_month, avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) AS month_hit_rate FROM mo GROUP BY 1), l AS (SELECT series_id, max(length) AS longest_drawdown FROM e GROUP BY 1),
+ pq AS (SELECT series_id, count(*) AS n, avg(x) / stddev_samp(x) AS sr, (avg(pow(x, 3)) - 3 * avg(x) * avg(pow(x, 2)) + 2 * pow(avg(x), 3)) / pow(var_pop(x), 1.5) AS g3, kurtosis_pop(x) + 3 AS g4 FROM xr GROUP BY 1), pp AS (SELECT series_id, {phi_sql('(sr / sqrt(greatest(1 - g3 * sr + (g4 - 1) / 4 * sr * sr, 1e-12) / (n - 1)))')} AS psr FROM pq),
+ jb AS (SELECT series_id, xr.date, xr.ret, b.ret AS b, x, b.ret - rf AS y FROM xr JOIN bench b USING (date)), ba AS (SELECT series_id, covar_samp(x, y) / var_samp(y) AS beta, (avg(x) - covar_samp(x, y) / var_samp(y) * avg(y)) * 252 AS alpha, corr(ret, b) AS corr FROM jb GROUP BY 1),
+ jl AS (SELECT series_id, xr.ret - coalesce(b.ret, 0) AS act, coalesce(b.ret, 0) AS b FROM xr LEFT JOIN bench b USING (date)), te AS (SELECT series_id, stddev_samp(act) * sqrt(252) AS tracking_error, avg(act) * 252 / (stddev_samp(act) * sqrt(252)) AS information_ratio, product(1 + b) - 1 AS benchmark_return FROM jl GROUP BY 1),
+ cb AS (SELECT series_id, date_trunc('month', date) AS mon, product(1 + ret) - 1 AS x, product(1 + b) - 1 AS b FROM jb GROUP BY 1, 2), cp AS (SELECT series_id, avg(x) FILTER (WHERE b > 0) / avg(b) FILTER (WHERE b > 0) AS up_capture, avg(x) FILTER (WHERE b < 0) / avg(b) FILTER (WHERE b < 0) AS down_capture FROM cb GROUP BY 1),
+ pf AS (SELECT *, days / 252.0 AS years, cagr / abs(max_drawdown) AS calmar, p95 / abs(var95) AS tail_ratio FROM a JOIN t USING (series_id) JOIN mm USING (series_id) JOIN l USING (series_id) JOIN pp USING (series_id) JOIN ba USING (series_id) JOIN te USING (series_id) JOIN cp USING (series_id))"""
+FIGURES = (
+    "total_return cagr volatility sharpe sortino max_drawdown current_drawdown ulcer var95 var99 skew excess_kurtosis best_day worst_day hit_rate gain_to_pain excess_return cvar95 best_month worst_month month_hit_rate psr "
+    "beta alpha corr tracking_error information_ratio benchmark_return up_capture down_capture years calmar tail_ratio"
+).split()
+COUNTS = ("days", "days_since_peak", "longest_drawdown")
+
+
+def _rf(spark, d):
+    return rt.risk_free_daily(v.returns(spark, d), v.yields(spark, d))
+
+
+@query(f"{PERF} SELECT series_id, start, fin AS \"end\", {', '.join(COUNTS)}, {', '.join(f'{r(c, 5)} AS {c}' for c in FIGURES)} FROM pf")
 def perf_summary(spark, d):
-    return rounded(m.perf_summary(v.returns(spark, d)), 5)
+    return rounded(m.perf_summary(v.returns(spark, d), _rf(spark, d), v.bench(spark, d)), 5)
 
 
-@query(f"{RET}, {DRAWDOWN}, a AS (SELECT series_id, {r('pow(product(1 + ret), 252.0 / count(*)) - 1')} AS cagr, {r('min(drawdown)')} AS max_drawdown FROM d GROUP BY 1) SELECT series_id, metric, value FROM a UNPIVOT (value FOR metric IN (cagr, max_drawdown))")
+@query(f"{PERF}, u AS (SELECT series_id, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in (*COUNTS, *FIGURES))} FROM pf) SELECT series_id, metric, {r('value', 4)} AS value FROM u UNPIVOT (value FOR metric IN ({', '.join((*COUNTS, *FIGURES))}))")
 def summary_frame(spark, d):
-    t = rounded(m.stats_row(v.returns(spark, d)).select("series_id", "cagr", "max_drawdown"))
-    return t.unpivot("series_id", ["cagr", "max_drawdown"], "metric", "value")
+    return rounded(m.summary_frame(v.returns(spark, d), _rf(spark, d), v.bench(spark, d)), 4)
+
+
+@query(f"{v.with_views('returns', 'yields')}, {RF} SELECT date, {r('rf', 9)} AS rf FROM rf")
+def risk_free_daily(spark, d):
+    return rounded(_rf(spark, d), 9)
+
+
+@query(f"{v.with_views('prices', 'dividends')}, x AS (SELECT symbol, date, (close + coalesce(dividend, 0)) / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM prices LEFT JOIN dividends USING (symbol, date)) SELECT symbol, date, {r('ret')} AS ret FROM x WHERE ret IS NOT NULL")
+def benchmark_total_return(spark, d):
+    return rounded(rt.benchmark_total_return(v.prices(spark, d), v.dividends(spark, d)))
+
+
+@query(f"""{v.with_views('prices', 'yields', 'returns')}, {RF}, tr AS (SELECT symbol, date, close * (1 + 0.0001 * date_diff('day', DATE '1995-01-01', date)) AS close FROM prices WHERE day(date) % 4 <> 0), x AS (SELECT p.symbol AS market, p.date, p.close, tr.close AS tr FROM prices p LEFT JOIN tr USING (symbol, date)),
+ y AS (SELECT market, date, close, coalesce(tr / lag(tr) OVER w - 1, close / lag(close) OVER w - 1) AS ret FROM x WINDOW w AS (PARTITION BY market ORDER BY date)) SELECT market, date, {r('close')} AS close, {r('ret')} AS ret, {r('coalesce(rf, 0)', 9)} AS cash FROM y LEFT JOIN rf USING (date) WHERE ret IS NOT NULL""")
+def build_market(spark, d):
+    p = v.prices(spark, d).withColumnRenamed("symbol", "market")
+    total = p.where("day(date) % 4 <> 0").withColumn("close", F.col("close") * (1 + 0.0001 * F.datediff("date", F.lit("1995-01-01").cast("date"))))
+    x = rt.build_market(p, total, _rf(spark, d))
+    return x.select("market", "date", *((F.round(c, k) + F.lit(0.0)).alias(c) for c, k in (("close", 6), ("ret", 6), ("cash", 9))))
+
+
+@query(f"{v.with_views('prices')}, ch AS (SELECT CAST(substr(symbol, 7, 1) AS INTEGER) AS k, date, list_sort(list(symbol)) AS members FROM prices WHERE day(date) = 2 GROUP BY 1, 2), dy AS (SELECT k, date FROM (SELECT DISTINCT k FROM ch), (SELECT DISTINCT date FROM prices)) SELECT dy.k, dy.date, len(members) AS n, members[1] AS first FROM dy ASOF LEFT JOIN ch ON dy.k = ch.k AND dy.date >= ch.date")
+def asof_membership(spark, d):
+    p = v.prices(spark, d)
+    changes = p.where("day(date) = 2").groupBy(F.expr("cast(substr(symbol, 7, 1) as int)").alias("k"), "date").agg(F.array_sort(F.collect_list("symbol")).alias("members"))
+    days = changes.select("k").distinct().join(F.broadcast(p.select("date").distinct()))
+    return ts.asof_membership(days, changes, ["k"]).select("k", "date", F.when(F.col("members").isNotNull(), F.size("members").cast("long")).alias("n"), F.get("members", F.lit(0)).alias("first"))
 
 
 @query(f"{RET}, {DRAWDOWN} SELECT series_id, count(*) AS n, {r('pow(product(1 + ret), 252.0 / count(*)) - 1')} AS cagr, {r('stddev_samp(ret) * sqrt(252)')} AS volatility, {r('avg(ret) / stddev_samp(ret) * sqrt(252)')} AS sharpe, {r('avg(ret) / sqrt(avg(pow(least(ret, 0.0), 2))) * sqrt(252)')} AS sortino, {r('min(drawdown)')} AS max_drawdown FROM d GROUP BY 1 HAVING count(*) >= 20")
@@ -339,19 +386,17 @@ def inner_align(spark, d):
 
 @query(f"{BOTH} SELECT r.series_id, r.date, {r('b.ret', 6)} AS bench FROM (SELECT series_id, date + INTERVAL 1 DAY AS d1, date FROM returns) r ASOF LEFT JOIN bench b ON r.date >= b.date")
 def asof_backward(spark, d):
-    b = v.bench(spark, d).withColumn("one", F.lit(1)).withColumnRenamed("ret", "bench")
-    left = v.returns(spark, d).select("series_id", "date").withColumn("one", F.lit(1))
-    return rounded(ts.asof_backward(left, b, ["one"], ["bench"]).select("series_id", "date", "bench"))
+    return rounded(ts.asof_days(v.returns(spark, d).select("series_id", "date"), v.bench(spark, d).withColumnRenamed("ret", "bench"), ["bench"]))
 
 
 MON = "mon AS (SELECT symbol, date, close FROM prices WHERE day(date) = 1)"
 
 
-@query(f"{PX}, {MON} SELECT p.symbol, p.date, {r('m.close')} AS known FROM prices p ASOF LEFT JOIN mon m ON p.symbol = m.symbol AND p.date > m.date")
+@query(f"{PX}, {MON} SELECT p.symbol, p.date, {r("CASE WHEN date_diff('day', m.date, p.date) <= 60 THEN m.close END")} AS known FROM prices p ASOF LEFT JOIN mon m ON p.symbol = m.symbol AND p.date > m.date")
 def asof_strict_after(spark, d):
     p = v.prices(spark, d)
     known = p.where("day(date) = 1").select("symbol", "date", F.col("close").alias("known"))
-    return rounded(ts.asof_backward(p.select("symbol", "date"), known, ["symbol"], ["known"], strict=True))
+    return rounded(ts.asof_backward(p.select("symbol", "date"), known, ["symbol"], ["known"], strict=True, max_age=60))
 
 
 @query(f"{PX}, {MON}, j AS (SELECT p.symbol, p.date, m.date AS matched, m.close AS near, row_number() OVER (PARTITION BY p.symbol, p.date ORDER BY abs(date_diff('day', p.date, m.date)), m.date) AS k FROM prices p LEFT JOIN mon m ON p.symbol = m.symbol AND abs(date_diff('day', p.date, m.date)) <= 7) SELECT symbol, date, matched, {r('near')} AS near FROM j WHERE k = 1")

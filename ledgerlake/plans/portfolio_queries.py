@@ -189,20 +189,72 @@ def exposure_switches(spark, d):
     return rounded(x.groupBy("config", "symbol").agg(F.avg("position").alias("in_market"), F.sum((F.col("cost") > 0).cast("long")).alias("switches")))
 
 
-@query(f"{PX}, o AS (SELECT symbol, max_by(close, date) AS price, CAST(substr(symbol, 7) AS INTEGER) AS k FROM prices GROUP BY 1) SELECT CAST(1 AS INTEGER) AS sleeve, symbol, 'BUY' AS side, floor(0.04 * 1e6 / price) AS quantity FROM o WHERE k % 2 = 0 AND floor(0.04 * 1e6 / price) > 0 UNION ALL SELECT 1, symbol, 'SELL', 10.0 FROM o WHERE k % 2 = 1")
+#: Signals of five sleeves on the brands, with next weights and trade dates; holdings are the sums of the sleeves' fills.
+SIGNALS = """sg AS (SELECT s.sleeve, o.symbol, CASE WHEN (k + s.sleeve) % 5 = 0 THEN 2e-1 ELSE 0e0 END AS weight, CASE WHEN s.sleeve < 3 THEN CASE WHEN (k + s.sleeve) % 4 = 0 THEN 15e-2 ELSE 0e0 END END AS next_weight, CASE s.sleeve WHEN 0 THEN DATE '2002-01-31' WHEN 1 THEN DATE '2002-02-20' END AS next_trade, CAST('2002-02-0' || (s.sleeve + 1) AS DATE) AS as_of
+ FROM (SELECT DISTINCT sleeve FROM fills) s, (SELECT symbol, CAST(substr(symbol, 7) AS INTEGER) AS k FROM prices GROUP BY 1) o),
+ cw AS (SELECT sleeve, symbol, coalesce(CASE WHEN next_trade <= DATE '2002-02-10' THEN next_weight ELSE weight END, 0) AS weight, CASE WHEN next_trade <= DATE '2002-02-10' THEN 'due' WHEN next_trade IS NOT NULL AND max((coalesce(next_weight, 0) <> weight)::INT) OVER (PARTITION BY sleeve) = 1 THEN 'scheduled' WHEN next_trade IS NOT NULL THEN 'none' END AS change FROM sg)"""
+
+
+def _signals(spark, d):
+    s, o = v.fills(spark, d).select("sleeve").distinct(), v.prices(spark, d).select("symbol", F.expr("cast(substr(symbol, 7) as int)").alias("k")).distinct()
+    weight = F.when((F.col("k") + F.col("sleeve")) % 5 == 0, 0.2).otherwise(0.0)
+    later = F.when(F.col("sleeve") < 3, F.when((F.col("k") + F.col("sleeve")) % 4 == 0, 0.15).otherwise(0.0))
+    trade = F.when(F.col("sleeve") == 0, F.lit("2002-01-31")).when(F.col("sleeve") == 1, F.lit("2002-02-20")).cast("date")
+    return s.join(F.broadcast(o)).select("sleeve", "symbol", weight.alias("weight"), later.alias("next_weight"), trade.alias("next_trade"), F.concat(F.lit("2002-02-0"), (F.col("sleeve") + 1).cast("string")).cast("date").alias("as_of"))
+
+
+@query(f"{v.with_views('fills', 'prices')}, {SIGNALS} SELECT sleeve, symbol, {r('weight')} AS weight, change FROM cw")
+def current_weights(spark, d):
+    return rounded(od.current_weights(_signals(spark, d), "2002-02-10"))
+
+
+@query(f"{v.with_views('fills', 'prices')}, {SIGNALS}, x AS (SELECT DISTINCT sleeve, as_of, next_trade FROM sg), y AS (SELECT *, (SELECT count(*) FROM generate_series(as_of + INTERVAL 1 DAY, TIMESTAMP '2002-03-03', INTERVAL 1 DAY) g(t) WHERE isodow(t) <= 5) AS days FROM x) SELECT sleeve, as_of, CAST(days AS INTEGER) AS days, CASE WHEN next_trade IS NOT NULL THEN DATE '2002-03-04' >= date_trunc('month', next_trade + INTERVAL 1 MONTH) ELSE days > 1 END AS stale FROM y")
+def is_stale(spark, d):
+    return od.is_stale(_signals(spark, d).select("sleeve", "as_of", "next_trade").distinct(), "2002-03-04").select("sleeve", "as_of", "days", "stale")
+
+
+PLAN = f"""{v.with_views('fills', 'prices', 'instruments')}, {SIGNALS}, hd AS (SELECT sleeve, symbol, sum(qty) AS qty FROM fills WHERE (CAST(substr(symbol, 7) AS INTEGER) + sleeve) % 5 = 0 GROUP BY 1, 2 HAVING abs(sum(qty)) > 1e-9), lp AS (SELECT symbol, max_by(close, date) AS price FROM prices GROUP BY 1),
+ bt AS (SELECT coalesce(c.sleeve, h.sleeve) AS sleeve, coalesce(c.symbol, h.symbol) AS symbol, coalesce(weight, 0) AS weight, coalesce(qty, 0) AS qty FROM (SELECT * FROM cw WHERE weight > 0) c FULL JOIN hd h ON c.sleeve = h.sleeve AND c.symbol = h.symbol),
+ wt AS (SELECT *, 1e6 * (sleeve + 1) AS capital, 1e6 * (sleeve + 1) * weight / (price * multiplier) AS u, qty * price * multiplier / (1e6 * (sleeve + 1)) AS cur FROM bt JOIN lp USING (symbol) JOIN instruments USING (symbol)),
+ tg AS (SELECT *, CASE WHEN future THEN round_even(u, 0) ELSE floor(u + 1e-9) END AS target_qty FROM wt), st AS (SELECT *, max(((weight > 0) <> (abs(qty) > 1e-9))::INT) OVER (PARTITION BY sleeve) AS flips, max(abs(cur - weight)) OVER (PARTITION BY sleeve) AS drift FROM tg)"""
+
+
+def _plan_inputs(spark, d):
+    held = v.fills(spark, d).where("(cast(substr(symbol, 7) as int) + sleeve) % 5 = 0").groupBy("sleeve", "symbol").agg(F.sum("qty").alias("qty"))
+    capital = held.select("sleeve").distinct().withColumn("capital", 1e6 * (F.col("sleeve") + 1))
+    return od.current_weights(_signals(spark, d), "2002-02-10"), held, od.last_prices(v.prices(spark, d)), capital, v.instruments(spark, d)
+
+
+@query(f"{PLAN} SELECT sleeve, symbol, CASE WHEN target_qty > qty THEN 'BUY' ELSE 'SELL' END AS side, abs(target_qty - qty) AS quantity, {r('price')} AS price, {r('abs(target_qty - qty) * price * multiplier', 3)} AS value, CASE WHEN flips = 1 THEN 'signal change' ELSE 'drift' END AS reason FROM st WHERE (flips = 1 OR drift > 0.1) AND abs(target_qty - qty) >= 1e-9")
 def plan_weights(spark, d):
-    o = v.prices(spark, d).groupBy("symbol").agg(F.max_by("close", "date").alias("price")).withColumn("k", F.expr("cast(substr(symbol, 7) as int)"))
-    targets = o.where("k % 2 = 0").select(F.lit(1).alias("sleeve"), "symbol", F.lit(0.04).alias("weight"), "price")
-    held = o.where("k % 2 = 1").select(F.lit(1).alias("sleeve"), "symbol", F.lit(10.0).alias("qty"))
-    return rounded(od.plan_weights(targets, held, 1e6))
+    x = od.plan_weights(*_plan_inputs(spark, d))
+    return rounded(x).withColumn("value", F.round("value", 3) + F.lit(0.0))
 
 
-@query(f"{lq.FILLS}, o AS (SELECT sleeve, symbol, side, abs(qty) AS quantity, CASE WHEN seq % 2 = 0 THEN 'open' ELSE 'close' END AS timing, CASE WHEN seq % 7 = 0 THEN 'limit' ELSE 'market' END AS kind FROM fills WHERE seq <= 40), n AS (SELECT symbol, timing, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) AS q, string_agg(DISTINCT CAST(sleeve AS VARCHAR), ', ' ORDER BY CAST(sleeve AS VARCHAR)) AS strategies FROM o WHERE kind = 'market' GROUP BY 1, 2) SELECT symbol, timing, CASE WHEN q > 0 THEN 'BUY' ELSE 'SELL' END AS side, abs(q) AS quantity, 'market' AS kind, strategies FROM n WHERE q <> 0 UNION ALL SELECT symbol, timing, side, quantity, kind, CAST(sleeve AS VARCHAR) FROM o WHERE kind <> 'market'")
-def net_orders_first_fills(spark, d):
-    return od.net_orders(_orders(v.fills(spark, d).where("seq <= 40")))
+@query(f"{PLAN}, m AS (SELECT sleeve, symbol, CASE WHEN CAST(substr(symbol, 7) AS INTEGER) % 3 = 0 THEN 'stop' ELSE '' END AS exit FROM cw WHERE weight > 0), h AS (SELECT * FROM hd WHERE qty > 1e-9) SELECT coalesce(h.sleeve, m.sleeve) AS sleeve, coalesce(h.symbol, m.symbol) AS symbol, CASE WHEN m.symbol IS NULL THEN 'not in model' WHEN h.symbol IS NULL THEN 'not held' WHEN exit <> '' THEN 'exit' ELSE 'hold' END AS status FROM h FULL JOIN m ON h.sleeve = m.sleeve AND h.symbol = m.symbol WHERE h.symbol IS NOT NULL OR exit = ''")
+def missing_vs_model(spark, d):
+    targets, held, *_ = _plan_inputs(spark, d)
+    model = targets.where("weight > 0").select("sleeve", "symbol", F.when(F.expr("cast(substr(symbol, 7) as int) % 3 = 0"), "stop").otherwise("").alias("exit"))
+    return od.missing_vs_model(held, model)
 
 
-@query()
+@query(f"{lq.SLEEVE}, n AS (SELECT sleeve, max_by(nav, date) AS nav FROM sl GROUP BY 1) SELECT sleeve, {r('(SELECT sum(nav) FROM n) * 0.9 * (0.1 + 0.05 * sleeve)', 2)} AS capital FROM n")
+def order_plans(spark, d):
+    nav = lq._daily(spark, d).groupBy("sleeve").agg(F.max_by("nav", "date").alias("nav"))
+    account = nav.agg(F.sum("nav")).first()[0]
+    return rounded(od.order_capital(account, 0.9, nav.select("sleeve", (0.1 + 0.05 * F.col("sleeve")).alias("weight"))), 2)
+
+
+@query(f"{lq.FP}, {lq.POS} SELECT sleeve, symbol, {r('max_by(qty, date)')} AS qty FROM val GROUP BY 1, 2 HAVING abs(max_by(qty, date)) > 1e-9")
+def sleeve_positions(spark, d):
+    return rounded(od.sleeve_positions(lq._positions(spark, d)))
+
+
+#: Nets every fill: orders of both timings, one of seven a limit order.
+NET = f"{lq.FILLS}, o AS (SELECT sleeve, symbol, side, abs(qty) AS quantity, CASE WHEN seq % 2 = 0 THEN 'open' ELSE 'close' END AS timing, CASE WHEN seq % 7 = 0 THEN 'limit' ELSE 'market' END AS kind FROM fills), n AS (SELECT symbol, timing, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) AS q, string_agg(DISTINCT CAST(sleeve AS VARCHAR), ', ' ORDER BY CAST(sleeve AS VARCHAR)) AS strategies FROM o WHERE kind = 'market' GROUP BY 1, 2) SELECT symbol, timing, CASE WHEN q > 0 THEN 'BUY' ELSE 'SELL' END AS side, abs(q) AS quantity, 'market' AS kind, strategies FROM n WHERE q <> 0 UNION ALL SELECT symbol, timing, side, quantity, kind, CAST(sleeve AS VARCHAR) FROM o WHERE kind <> 'market'"
+
+
+@query(NET)
 def net_orders(spark, d):
     return od.net_orders(_orders(v.fills(spark, d)))
 

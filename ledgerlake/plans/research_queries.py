@@ -16,7 +16,7 @@ from ..sources import testdata as v
 from . import ledger_queries as lq
 from .book import Book
 from .metric_queries import MOMENTS, phi_sql
-from .registry import query, r, rounded
+from .registry import f, fine, query, r, rounded
 
 RET, BOTH, PX = v.with_views("returns"), v.with_views("returns", "bench"), v.with_views("prices")
 RAW = f"{v.with_views('fills')}, raw AS (SELECT sleeve, symbol, seq, date, CASE WHEN seq % 11 = 0 THEN 'HOLD' ELSE lower(side) END AS side, CASE WHEN seq % 13 = 0 THEN NULL ELSE abs(qty) END AS quantity, CASE WHEN seq % 17 = 0 THEN -price ELSE price END AS price FROM fills)"
@@ -56,11 +56,11 @@ def validate_cashflows(spark, d):
 MARKS = "mk AS (SELECT symbol, date, floor(close) + 0.25 AS price FROM prices WHERE day(date) = 9 UNION ALL SELECT DISTINCT symbol, DATE '2030-01-01', 7.0 FROM prices)"
 
 
-@query(f"{PX}, {MARKS} SELECT coalesce(p.symbol, m.symbol) AS symbol, coalesce(p.date, m.date) AS date, {r('coalesce(m.price, p.close) + 0.0000013', 5)} AS close FROM prices p FULL JOIN mk m ON p.symbol = m.symbol AND p.date = m.date")
+@query(f"{PX}, {MARKS} SELECT coalesce(p.symbol, m.symbol) AS symbol, coalesce(p.date, m.date) AS date, {f('coalesce(m.price, p.close)')} AS close FROM prices p FULL JOIN mk m ON p.symbol = m.symbol AND p.date = m.date")
 def apply_marks(spark, d):
     p = v.prices(spark, d)
     marks = p.where("day(date) = 9").select("symbol", "date", (F.floor("close") + F.lit(0.25)).cast("double").alias("price")).union(p.select("symbol").distinct().selectExpr("symbol", "date'2030-01-01'", "7.0D"))
-    return rounded(jn.apply_marks(p, marks).withColumn("close", F.col("close") + 0.0000013), 5)
+    return fine(jn.apply_marks(p, marks))
 
 
 @query(f"{PX} SELECT symbol, CASE WHEN symbol < 'Brand#3' THEN 'marks' ELSE 'local' END AS source, count(*) AS n FROM prices GROUP BY 1, 2")
@@ -144,9 +144,17 @@ def capm_hac(spark, d):
     return x.select("series_id", (F.round("alpha", 6) + 0.0).alias("alpha"), (F.round("beta", 6) + 0.0).alias("beta"), (F.round("beta_t", 4) + 0.0).alias("beta_t"))
 
 
-@query(f"{RET}, s AS (SELECT series_id, avg(ret) FILTER (WHERE date <= DATE '1998-12-31') / stddev_samp(ret) FILTER (WHERE date <= DATE '1998-12-31') * sqrt(252) AS a, avg(ret) FILTER (WHERE date > DATE '1998-12-31') / stddev_samp(ret) FILTER (WHERE date > DATE '1998-12-31') * sqrt(252) AS b FROM returns GROUP BY 1) SELECT series_id, {r('a')} AS is_sr, {r('b')} AS oos_sr, a > 0 AS g1, b > 0 AS g2, b >= 0.5 * a AS g3, a > 0 AND b > 0 AND b >= 0.5 * a AS passed FROM s")
+GATES = f"""{v.with_views("returns", "bench")}, w AS (SELECT r.series_id, r.date, r.ret, b.ret AS b, r.ret - CASE WHEN day(r.date) = 1 THEN 0.0005 ELSE 0 END AS twice FROM returns r JOIN bench b USING (date) WHERE r.date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'),
+ c AS (SELECT *, product(1 + ret) OVER v AS wr, product(1 + b) OVER v AS wb FROM w WINDOW v AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), e AS (SELECT *, wr / greatest(max(wr) OVER v, 1) - 1 AS dr, wb / greatest(max(wb) OVER v, 1) - 1 AS db, DATE '1996-01-01' + CAST(date_diff('day', DATE '1996-01-01', DATE '2000-12-31') // 2 AS INTEGER) AS mid FROM c WINDOW v AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ s AS (SELECT series_id, avg(ret) / stddev_samp(ret) * sqrt(252) AS sr, avg(b) / stddev_samp(b) * sqrt(252) AS sb, min(dr) AS dr, min(db) AS db, avg(ret) FILTER (WHERE date <= mid) / stddev_samp(ret) FILTER (WHERE date <= mid) * sqrt(252) AS h1, avg(ret) FILTER (WHERE date > mid) / stddev_samp(ret) FILTER (WHERE date > mid) * sqrt(252) AS h2, avg(twice) / stddev_samp(twice) * sqrt(252) AS s2 FROM e GROUP BY 1)"""
+
+
+@query(f"{GATES} SELECT series_id, {r('sr')} AS sharpe, {r('dr')} AS max_drawdown, {r('h1')} AS first_half, {r('h2')} AS second_half, {r('s2')} AS twice_cost, sr >= sb AS g1, dr > db AS g2, h1 > 0 AND h2 > 0 AS g3, s2 >= sb AS g4, sr >= sb AND dr > db AND h1 > 0 AND h2 > 0 AND s2 >= sb AS survives FROM s")
 def survival_gates(spark, d):
-    return rounded(si.survival_gates(v.returns(spark, d), "1998-12-31"))
+    x, b = v.returns(spark, d), v.bench(spark, d)
+    x = x.join(b.select("date"), "date", "left_semi")
+    twice = x.withColumn("ret", F.col("ret") - F.when(F.dayofmonth("date") == 1, 0.0005).otherwise(0.0))
+    return rounded(si.survival_gates(x, twice, b, "1996-01-01", "2000-12-31"))
 
 
 @query(f"{RET}, f AS (SELECT series_id AS config, year(date) AS fold, avg(ret) FILTER (WHERE month(date) <= 6) / stddev_samp(ret) FILTER (WHERE month(date) <= 6) AS a, avg(ret) FILTER (WHERE month(date) > 6) / stddev_samp(ret) FILTER (WHERE month(date) > 6) AS b FROM returns GROUP BY 1, 2) SELECT config, CAST(fold AS INTEGER) AS fold, CAST(rank() OVER (PARTITION BY fold ORDER BY a DESC) AS INTEGER) AS is_rank, CAST(rank() OVER (PARTITION BY fold ORDER BY b DESC) AS INTEGER) AS oos_rank FROM f WHERE fold < 2001")
@@ -194,10 +202,10 @@ def macro_walk_forward(spark, d):
 
 
 def _book(spark, d):
-    return Book(v.fills(spark, d), v.cashflows(spark, d), v.prices(spark, d), v.returns(spark, d))
+    return Book(v.fills(spark, d), v.cashflows(spark, d), v.prices(spark, d), v.returns(spark, d), v.dividends(spark, d), v.instruments(spark, d))
 
 
-@query(f"{lq.FP}, {lq.POS}, p AS (SELECT *, value - coalesce(lag(value) OVER (PARTITION BY sleeve, symbol ORDER BY date), 0) - notional AS pnl FROM val) SELECT sleeve, symbol, {r('sum(pnl)', 2)} AS pnl FROM p GROUP BY ROLLUP (sleeve, symbol)")
+@query(f"{lq.FP}, {lq.POS} SELECT sleeve, symbol, {r('sum(pnl)', 2)} AS pnl FROM val GROUP BY ROLLUP (sleeve, symbol)")
 def attribution(spark, d):
     return rounded(_book(spark, d).attribution(), 2)
 

@@ -67,6 +67,12 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol"), F.when(future, 10.0).otherwise(1.0).alias("multiplier"), F.when(future, "future").otherwise("stock").alias("kind")).distinct()
 
 
+def yields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, yield): a bill's yearly yield in percent, every fifth day of the month; some lie outside 0 to 25."""
+    o = read(spark, sf_dir, "orders").where(F.dayofmonth("o_orderdate") % 5 == 0)
+    return o.groupBy(F.to_date("o_orderdate").alias("date")).agg((F.avg("o_totalprice") / 20000 - 3).alias("yield"))
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", F.from_json("props", "k int")["k"].alias("k"))
 
@@ -84,6 +90,7 @@ SQL = {
         CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'deposit' WHEN '2' THEN 'withdrawal' WHEN '3' THEN 'transfer' WHEN '4' THEN 'dividend' WHEN '5' THEN 'fee' END AS type,
         o_totalprice * CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 1.0 WHEN '2' THEN -0.1 WHEN '3' THEN (CASE WHEN o_orderkey % 2 = 1 THEN -0.1 ELSE 0.1 END) WHEN '4' THEN 0.01 WHEN '5' THEN -0.001 END AS value,
         substr(o_orderpriority, 1, 1) IN ('1', '2', '3') AS external FROM orders""",
+    "yields": "SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 20000 - 3 AS yield FROM orders WHERE day(o_orderdate) % 5 = 0 GROUP BY 1",
     "dividends": "SELECT symbol, unnest(generate_series(DATE '1995-03-15', DATE '2001-12-15', INTERVAL 3 MONTH))::DATE AS date, 0.25 AS dividend FROM (SELECT DISTINCT p_brand AS symbol FROM part)",
     "instruments": "SELECT DISTINCT p_brand AS symbol, CASE WHEN starts_with(p_brand, 'Brand#5') THEN 10.0 ELSE 1.0 END AS multiplier, starts_with(p_brand, 'Brand#5') AS future FROM part",
 }

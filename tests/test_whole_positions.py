@@ -1,20 +1,13 @@
-"""positions_daily covers every sleeve, symbol and day, not a year of them."""
-
-import glob
-
-import duckdb
+"""positions_daily covers every sleeve, symbol and day since the first fill."""
 
 import __spark_entry__
-from tests.test_oracle import SF, order_of, plain, same
+from ledgerlake.sources import testdata
+from tests.test_oracle import SF
 
 
 def test_positions_of_all_years(spark):
-    con = duckdb.connect()
-    for path in glob.glob(f"{SF}/*.parquet"):
-        con.execute(f"CREATE VIEW {path.split('/')[-1][:-8]} AS SELECT * FROM '{path}'")
-    of_a_year, filter_ = __spark_entry__.oracle_sql()["positions_daily_1998"], " WHERE year(date) = 1998"
-    assert of_a_year.endswith(filter_)
-    want = sorted((tuple(map(plain, r)) for r in con.execute(of_a_year[: -len(filter_)]).fetchall()), key=order_of)
-    found = sorted((tuple(map(plain, r)) for r in __spark_entry__.queries()["positions_daily"](spark, SF).select("sleeve", "symbol", "date", "qty", "mark").collect()), key=order_of)
-    assert len(found) == len(want) and all(same(a, b) for a, b in zip(found, want))
-    assert {r[2][:4] for r in found} == {str(r[0]) for r in con.execute("SELECT DISTINCT year(l_shipdate) FROM lineitem").fetchall()}
+    found = __spark_entry__.queries()["positions_daily"](spark, SF).select("sleeve", "symbol", "date").collect()
+    days, first = {r.date for r in testdata.returns(spark, SF).select("date").distinct().collect()}, {}
+    for r in testdata.fills(spark, SF).select("sleeve", "symbol", "date").collect():
+        first[r.sleeve, r.symbol] = min(r.date, first.get((r.sleeve, r.symbol), r.date))
+    assert {tuple(r) for r in found} == {(*k, d) for k, a in first.items() for d in days if d >= a} and len(found) == len(set(map(tuple, found)))
