@@ -253,7 +253,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     """(doc_id, text, label) of at most ``limit`` labelled rows, chosen by a hash of the id; every class keeps its share.
 
     ``usable`` is a condition on doc_id. Rows without id, text or a 0/1 label teach nothing. One label a document: the
-    largest where several disagree. ``limit`` bounds what is broadcast and what the model is fitted on.
+    largest where several disagree. One text: the least where rows repeat an id. So ``limit`` bounds the rows too, what is
+    broadcast and what the model is fitted on.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & usable)
@@ -263,7 +264,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
         .limit(limit)
     )
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id"), F.col("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def with_holdout(scored: DataFrame, held_out: Column) -> DataFrame:

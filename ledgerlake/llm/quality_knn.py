@@ -6,12 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from .common import LOWER, NOT_SPACE, filter_text, find_words, labelled_sample, materialise, mix, scan_text, text_bytes, word_hashes
+from .common import LOWER, NOT_SPACE, discard, filter_text, find_words, labelled_sample, materialise, mix, scan_text, text_bytes, word_hashes
 
 #: Hashed terms, latent dimensions, neighbours that vote, labelled vectors that are broadcast at most (1 MB or so).
 TERMS, RANK, NEIGHBOURS, SAMPLE = 2048, 24, 25, 4_000
-#: Texts that one block of cosine products holds.
-BLOCK = 256
+#: Texts that one block of cosine products holds, and steps of a similarity (beyond the rounding of a product).
+BLOCK, STEPS = 256, 10_000
 
 #: The class of each byte in a word's shape: A upper, a lower case or beyond ASCII, 0 digit; others stand for themselves.
 SHAPE = np.arange(256, dtype=np.uint8)
@@ -62,14 +62,19 @@ class Model:
         return unit((counts * self.weight) @ self.projection)
 
     def score(self, texts: pa.LargeStringArray) -> np.ndarray:
-        """The similarity-weighted share of label 1 among the nearest labelled texts; texts without words get the overall share."""
+        """The similarity-weighted share of label 1 among the nearest labelled texts; texts without words get the overall share.
+
+        Similarities count in steps of 1 / STEPS; of equal ones the labelled text of the smaller id is nearer.
+        """
         prior = float(self.labels.mean()) if len(self.labels) else 1.0
         out = np.full(len(texts), prior)
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(texts) if k else 0, BLOCK):
             cosine = self.embed(term_counts(texts.slice(at, BLOCK))) @ self.vectors.T
-            near = np.argpartition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k :]
-            votes = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** 4
+            steps, n = np.rint(cosine * STEPS).astype(np.int64), cosine.shape[1]
+            near = np.argpartition(steps * n - np.arange(n), n - k, axis=1)[:, n - k :]
+            near.sort(axis=1)
+            votes = np.maximum(np.take_along_axis(steps, near, 1) / STEPS, 0) ** 4
             total = votes.sum(1)
             share = (votes * self.labels[near]).sum(1) / np.maximum(total, 1e-12)
             out[at : at + BLOCK] = np.clip(np.where(total > 1e-9, share, prior), 0, 1)
@@ -96,6 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
         return {"counts": pa.array([x.tobytes() for k in range(0, len(texts), BLOCK) for x in term_counts(texts.slice(k, BLOCK)).astype(np.float16)], pa.binary())}
 
     got = scan_text(rows, ["doc_id", "y"], "text", make, "counts binary").toPandas().sort_values("doc_id")
+    discard(rows)
     if not len(got):
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
     counts = np.frombuffer(b"".join(got.counts), np.float16).reshape(-1, TERMS).astype(np.float32)
@@ -106,12 +112,16 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every whole text: 0 to 1, higher is likelier good. Null texts score as empty ones: the overall share."""
+    """(id, score) of every whole text: 0 to 1, higher is likelier good. Null texts score as empty ones: the overall share.
+
+    Repeated rows give repeated scores, null ids stay, an empty table gives an empty result, and other columns do not matter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return scan_text(docs, [id_col], text_col, lambda texts: {"score": shared.value.score(texts)}, "score double")
 
 
 def drop_poor(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents that score at least ``threshold``, with all columns."""
+    """The documents that score at least ``threshold``, with all columns. Null texts score as empty ones; repeated rows stay or go
+    together; an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return filter_text(docs, text_col, lambda texts: shared.value.score(texts) >= threshold)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from .common import filter_text, labelled_sample, materialise, mix, scan_text
+from .common import discard, filter_text, labelled_sample, materialise, mix, scan_text
 
 #: Lengths of the character n-grams, and hash buckets.
 NGRAMS = (3, 4, 5)
@@ -140,6 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
         return {"features": pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(found.astype(np.int32)))}
 
     got = scan_text(rows, ["y"], "text", choose, "features array<int>").toPandas()
+    discard(rows)
     sizes = got.features.map(len).to_numpy()
     row = np.repeat(np.arange(len(got)), sizes)
     column = np.concatenate([*got.features, np.zeros(0, np.int64)]).astype(np.int64)
@@ -148,12 +149,16 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every whole text: 0 to 1, higher is likelier toxic. Null texts score as empty ones: the bias alone."""
+    """(id, score) of every whole text: 0 to 1, higher is likelier toxic. Null texts score as empty ones: the bias alone.
+
+    Repeated rows give repeated scores, null ids stay, an empty table gives an empty result, and other columns do not matter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return scan_text(docs, [id_col], text_col, lambda texts: {"score": shared.value.score(texts)}, "score double")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents that score under ``threshold``, with all columns."""
+    """The documents that score under ``threshold``, with all columns. Null texts score as empty ones; repeated rows stay or go
+    together; an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return filter_text(docs, text_col, lambda texts: shared.value.score(texts) < threshold)

@@ -221,7 +221,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Writes every page to archives in the shared folder and reads them back.
 
     A null html is an empty payload; a null url has no target field; a null page_id is written as ``null``. Rows that repeat
-    the largest id of a group are all responses, and so are all rows of a group without ids. The archives stay in the folder.
+    the largest id of a group are all responses, and so are all rows of a group without ids. Ids are whole numbers. An empty table
+    gives no archive and no rows; other columns do not matter. The archives stay in the folder, in which DICTIONARY_ROWS and
+    DICTIONARY_PART bound only what the dictionary is trained on: every payload is written whole.
     """
     folder = f"{work_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     written = materialise(write_archives(plan_records(pages), folder), "archives")

@@ -4,9 +4,10 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from ledgerlake.llm import bpe, quality_knn, simhash, toxicity
+from ledgerlake.llm import bpe, quality_knn, toxicity
 from ledgerlake.llm.common import id_crc
 from tests.llm.test_duplicates import brute_hits, windows_of
+from tests.llm.test_jaccard import brute_least
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,8 +22,7 @@ def test_stages_match_plain_versions(spark, documents, labels, benchmark):
             scores = {r.doc_id: r.score for r in module.score_texts(docs, module.fit(docs, labels, usable)).collect()}
             kept = {k: t for k, t in kept.items() if good(scores[k])}
         elif name == "near_duplicates":
-            found = simhash.near_duplicates(docs).collect()
-            kept = {k: kept[k] for k in {r.component_id for r in found}}
+            kept = {k: kept[k] for k in set(brute_least(kept).values())}
         else:
             windows = windows_of(benchmark)
             kept = {k: t for k, t in kept.items() if not brute_hits(t, windows)[1]}
