@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .timeseries import asof_backward, by, running
@@ -129,22 +131,34 @@ def purged_splits(n: int, folds: int, tests: int, purge: int) -> list[tuple[np.n
     return out
 
 
-def cpcv(returns: DataFrame, methods: list[str], folds: int = 10, tests: int = 2, purge: int = 5, cap: float = 1.0) -> DataFrame:
-    """(method, split, sharpe, n): each method fitted on each split's training days and applied to its test days; one task a pair."""
-    from .allocation import METHODS, YEAR, shrunk
+def cpcv(returns: DataFrame, methods: list[str], folds: int = 10, tests: int = 2, purge: int = 5, embargo: int = 5, cap: float = 1.0) -> DataFrame:
+    """(method, history, sharpe, max_drawdown): combinatorial purged cross-validation.
+
+    Every ``tests`` of the folds are test days once; weights are fitted on the others without ``purge`` days on either side of a test
+    fold and ``embargo`` more after it. Each fold is tested in as many splits as there are histories; history k strings together the
+    k-th test of every fold. A task has one split.
+    """
+    from .allocation import YEAR, weights_of
 
-    spark = returns.sparkSession
-    n_splits = len(purged_splits(folds, folds, tests, 0))
-    grid = spark.range(n_splits).select(F.col("id").cast("int").alias("split")).join(F.broadcast(spark.createDataFrame([(m,) for m in methods], "method string")))
+    chosen = list(itertools.combinations(range(folds), tests))
+    number = {(s, f): sum(f in c for c in chosen[:s]) for s, c in enumerate(chosen) for f in c}
+    splits = returns.sparkSession.range(len(chosen)).select(F.col("id").cast("int").alias("split"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        split, method = int(rows["split"].iloc[0]), rows["method"].iloc[0]
+        split = int(rows["split"].iloc[0])
         wide = rows.pivot_table(index="date", columns="series_id", values="ret").dropna().sort_index()
-        r = wide.to_numpy()
-        train, test = purged_splits(len(r), folds, tests, purge)[split]
-        w = METHODS[method](r[train], r[train].mean(0) * YEAR, shrunk(r[train]), cap)
-        x = r[test] @ w
-        sd = x.std(ddof=1)
-        return pd.DataFrame({"method": [method], "split": [split], "sharpe": [float(x.mean() / sd * YEAR**0.5) if sd > 0 else None], "n": [len(test)]})
-
-    return returns.select("series_id", "date", "ret").join(F.broadcast(grid)).groupBy("split", "method").applyInPandas(run, "method string, split int, sharpe double, n long")
+        r, edges = wide.to_numpy(), np.linspace(0, len(wide), folds + 1).astype(int)
+        train = np.ones(len(r), bool)
+        for f in chosen[split]:
+            train[max(0, edges[f] - purge) : edges[f + 1] + purge + embargo] = False
+        out = []
+        for m in methods:
+            w = weights_of(m, r[train], 0.0, cap)
+            out += [pd.DataFrame({"method": m, "history": number[split, f], "date": wide.index[edges[f] : edges[f + 1]], "ret": r[edges[f] : edges[f + 1]] @ w}) for f in chosen[split]]
+        return pd.concat(out)
+
+    days = returns.select("series_id", "date", "ret").join(F.broadcast(splits)).groupBy("split").applyInPandas(run, "method string, history int, date date, ret double")
+    w = Window.partitionBy("method", "history").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    x = days.withColumn("w", F.product(1 + F.col("ret")).over(w))
+    x = x.withColumn("dd", F.col("w") / F.greatest(F.max("w").over(w), F.lit(1.0)) - 1)
+    return x.groupBy("method", "history").agg((F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0)) * YEAR**0.5).alias("sharpe"), F.min("dd").alias("max_drawdown"))

@@ -300,7 +300,7 @@ def kpis(daily: DataFrame) -> DataFrame:
     at = lambda c: F.max_by(c, "date")
     x = last.groupBy("sleeve").agg(
         at("nav").alias("nav"), F.sum(F.col("flow_in") + F.col("flow_out")).alias("net_invested"), at("pnl").alias("day_pnl"), at("cash").alias("cash"), at(F.col("long") - F.col("short")).alias("gross"),
-        at(F.col("long") + F.col("short")).alias("net"), at("ret").alias("day_return"), since("month").alias("mtd"), since("year").alias("ytd"), (F.coalesce(F.product(1 + F.col("ret")), F.lit(1.0)) - 1).alias("itd"), F.max("date").alias("as_of"),
+        at(F.col("long") + F.col("short")).alias("net"), F.max_by("ret", F.when(F.col("ret").isNotNull(), F.col("date"))).alias("day_return"), since("month").alias("mtd"), since("year").alias("ytd"), (F.coalesce(F.product(1 + F.col("ret")), F.lit(1.0)) - 1).alias("itd"), F.max("date").alias("as_of"),
     )
     share = lambda c: (F.col(c) / F.nullif("nav", F.lit(0.0))).alias(c)
     return x.select("sleeve", "nav", "net_invested", (F.col("nav") - F.col("net_invested")).alias("pnl"), "day_pnl", "cash", share("gross"), share("net"), "day_return", "mtd", "ytd", "itd", "as_of")

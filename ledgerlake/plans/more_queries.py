@@ -10,25 +10,29 @@ from ..operators import metrics as m
 from ..operators import simulation as sim
 from ..sources import testdata as v
 from .metric_queries import DRAWDOWN
-from .portfolio_queries import AL, BLOCK, PATHS, STEPS, WT, aligned, weights
+from .portfolio_queries import AL, BLOCK, PATHS, RISK, STEPS, WT, aligned, weights
 from .registry import query, r, rounded
 
 RET = v.with_views("returns")
 CUM = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
-@query(f"""{AL}, {WT}, cm AS (SELECT date, sum(weight * ret) AS ret FROM al JOIN wt USING (series_id) GROUP BY 1), a AS (SELECT date, product(1 + ret) OVER (ORDER BY date {CUM}) AS wealth FROM cm), b AS (SELECT *, greatest(max(wealth) OVER (ORDER BY date {CUM}), 1) AS peak, coalesce(lag(wealth) OVER (ORDER BY date), 1) AS before FROM a),
- t AS (SELECT date AS trough, peak AS top FROM b ORDER BY wealth / peak, date LIMIT 1), s AS (SELECT max(date) AS pk FROM b, t WHERE date <= trough AND wealth >= top) SELECT series_id, {r('sum(weight * ret * before / top)')} AS contribution FROM al JOIN wt USING (series_id) JOIN b USING (date), t, s WHERE date <= trough AND (pk IS NULL OR date > pk) GROUP BY 1""")
+@query(f"""{AL}, {WT}, x AS (SELECT series_id, date, weight, date_trunc('month', date) AS p, weight * product(1 + ret) OVER (PARTITION BY series_id, date_trunc('month', date) ORDER BY date {CUM}) AS h FROM al JOIN wt USING (series_id)), y AS (SELECT *, coalesce(lag(h) OVER (PARTITION BY series_id, p ORDER BY date), weight) AS b FROM x),
+ cm AS (SELECT date, (sum(h) + 0.1) / (sum(b) + 0.1) - 1 AS ret, sum(b) + 0.1 AS base FROM y GROUP BY 1), a AS (SELECT *, product(1 + ret) OVER (ORDER BY date {CUM}) AS wealth FROM cm), b AS (SELECT *, greatest(max(wealth) OVER (ORDER BY date {CUM}), 1) AS peak, coalesce(lag(wealth) OVER (ORDER BY date), 1) AS before FROM a),
+ t AS (SELECT date AS trough, peak AS top FROM b ORDER BY wealth / peak, date LIMIT 1), s AS (SELECT max(date) AS pk FROM b, t WHERE date <= trough AND wealth >= top), c AS (SELECT series_id, sum((h - y.b) / base * before / top) AS c FROM y JOIN b USING (date), t, s WHERE date <= trough AND (pk IS NULL OR date > pk) GROUP BY 1) SELECT series_id, {r('c')} AS contribution, {r('c / sum(c) OVER ()')} AS share FROM c""")
 def drawdown_contributions(spark, d):
     return rounded(al.drawdown_contributions(aligned(spark, d), weights(spark)))
 
 
-PCOV = f"{AL}, {WT}, c AS (SELECT a.series_id AS a, b.series_id AS b, covar_samp(a.ret, b.ret) * 252 AS c FROM al a JOIN al b USING (date) GROUP BY 1, 2), e AS (SELECT a, b, wa.weight AS wa, wb.weight AS wb, c FROM c JOIN wt wa ON a = wa.series_id JOIN wt wb ON b = wb.series_id)"
+@query(f"""{v.with_views("returns", "bench")}{AL[len(RET):]}, {WT}, {RISK}, mx AS (SELECT date, sum(weight * ret) AS x FROM al JOIN wt USING (series_id) GROUP BY 1), mb AS (SELECT covar_samp(x, ret) / var_samp(ret) AS beta, var_samp(ret) AS vb, var_samp(x) AS vp FROM mx JOIN bench USING (date)), ow AS (SELECT sum(weight * volatility) / sum(contribution) AS ratio, 1 / sum(share * share) AS contributors FROM rc)
+ SELECT {r('ratio')} AS ratio, {r('contributors')} AS contributors, {r('beta')} AS beta, {r('least(1, beta * beta * vb / vp)')} AS beta_share FROM ow, mb""")
+def diversification(spark, d):
+    return rounded(al.diversification(aligned(spark, d), weights(spark), v.bench(spark, d)))
 
 
-@query(f"{PCOV}, p AS (SELECT a, sum(wa * wb * c) AS p FROM e GROUP BY 1), q AS (SELECT sum(p) AS v, 1 / sum(pow(p / (SELECT sum(p) FROM p), 2)) AS eff FROM p) SELECT {r('(SELECT sum(wa * sqrt(c)) FROM e WHERE a = b) / sqrt(v)')} AS ratio, {r('eff')} AS effective FROM q")
-def diversification(spark, d):
-    return rounded(al.diversification(aligned(spark, d), weights(spark)))
+@query()
+def effective_bets(spark, d):
+    return rounded(al.effective_bets(aligned(spark, d), weights(spark)))
 
 
 @query(f"{AL}, {WT}, x AS (SELECT series_id, date, ret, weight, (sum(weight * ret) OVER (PARTITION BY date) - weight * ret) / (sum(weight) OVER (PARTITION BY date) - weight) AS rest FROM al JOIN wt USING (series_id)), s AS (SELECT series_id, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe, corr(ret, rest) * avg(rest) / stddev_samp(rest) * sqrt(252) AS hurdle FROM x GROUP BY 1) SELECT series_id, {r('sharpe')} AS sharpe, {r('hurdle')} AS hurdle, sharpe > hurdle AS adds FROM s")

@@ -42,9 +42,13 @@ def stress_correlation(spark, d):
     return rounded(al.stress_correlation(v.returns(spark, d), v.bench(spark, d)))
 
 
-@query(f"""{AL}, ce AS (SELECT date, series_id, ret - avg(ret) OVER (PARTITION BY series_id) AS x FROM al), s AS (SELECT a.series_id AS a, b.series_id AS b, avg(a.x * b.x) AS s, count(*) AS t FROM ce a JOIN ce b USING (date) GROUP BY 1, 2),
+#: The shrunk yearly covariance of every ordered pair.
+LW = """ce AS (SELECT date, series_id, ret - avg(ret) OVER (PARTITION BY series_id) AS x FROM al), s AS (SELECT a.series_id AS a, b.series_id AS b, avg(a.x * b.x) AS s, count(*) AS t FROM ce a JOIN ce b USING (date) GROUP BY 1, 2),
  q AS (SELECT sum(z * z) AS q FROM (SELECT sum(x * x) AS z FROM ce GROUP BY date)), k AS (SELECT sum(s) FILTER (WHERE a = b) / 3 AS mu, sum(s * s) AS nm, sum(s) FILTER (WHERE a = b) AS tr, max(t) AS t FROM s),
- sh AS (SELECT mu, least(nm - mu * tr, (q - t * nm) / (t * t)) / (nm - mu * tr) AS share FROM k, q) SELECT a, b, {r('(share * CASE WHEN a = b THEN mu ELSE 0 END + (1 - share) * s) * 252', 9)} AS cov FROM s, sh WHERE a <= b""")
+ sh AS (SELECT mu, least(nm - mu * tr, (q - t * nm) / (t * t)) / (nm - mu * tr) AS share FROM k, q), lw AS (SELECT a, b, (share * CASE WHEN a = b THEN mu ELSE 0 END + (1 - share) * s) * 252 AS cov FROM s, sh)"""
+
+
+@query(f"{AL}, {LW} SELECT a, b, {r('cov', 9)} AS cov FROM lw WHERE a <= b")
 def ledoit_wolf(spark, d):
     return rounded(al.ledoit_wolf(aligned(spark, d)), 9)
 
@@ -60,9 +64,13 @@ def constant_mix(spark, d):
     return rounded(al.constant_mix(aligned(spark, d), weights(spark)), 8)
 
 
-@query(f"{AL}, {WT}, c AS (SELECT a.series_id AS a, b.series_id AS b, covar_samp(a.ret, b.ret) AS c FROM al a JOIN al b USING (date) GROUP BY 1, 2), p AS (SELECT a, sum(wa.weight * wb.weight * c) AS part FROM c JOIN wt wa ON a = wa.series_id JOIN wt wb ON b = wb.series_id GROUP BY 1) SELECT a AS series_id, {r('part / sum(part) OVER ()')} AS share FROM p")
+#: Risk parts of the weights with the shrunk covariance.
+RISK = f"""{LW}, rp AS (SELECT a, wa.weight AS w, sum(wb.weight * cov) AS slope, sqrt(max(CASE WHEN a = b THEN cov END)) AS volatility FROM lw JOIN wt wa ON a = wa.series_id JOIN wt wb ON b = wb.series_id GROUP BY 1, 2), rs AS (SELECT *, sqrt(sum(w * slope) OVER ()) AS vol FROM rp), rc AS (SELECT a AS series_id, w AS weight, volatility, slope / vol AS marginal, w * slope / vol AS contribution, w * slope / (vol * vol) AS share FROM rs)"""
+
+
+@query(f"{AL}, {WT}, {RISK} SELECT series_id, CAST(weight AS DOUBLE) AS weight, {', '.join(f'{r(c, 7)} AS {c}' for c in ('volatility', 'marginal', 'contribution', 'share'))} FROM rc")
 def risk_contributions(spark, d):
-    return rounded(al.risk_contributions(aligned(spark, d), weights(spark)))
+    return rounded(al.risk_contributions(aligned(spark, d), weights(spark)), 7)
 
 
 @query(f"{RET}, w(name, start, fin) AS (VALUES ('one', DATE '1995-06-01', DATE '1995-09-30'), ('two', DATE '1999-01-01', DATE '1999-03-31'), ('late', DATE '2001-06-01', DATE '2003-01-01')), s AS (SELECT series_id, min(date) AS lo, max(date) AS hi FROM returns GROUP BY 1) SELECT name, series_id, {r('product(1 + ret) - 1')} AS ret FROM returns JOIN s USING (series_id) JOIN w ON date > start AND date <= fin WHERE lo <= start AND hi >= fin GROUP BY 1, 2")
@@ -82,27 +90,62 @@ def powerset(spark, d):
     return al.powerset(v.returns(spark, d).select("series_id").distinct())
 
 
-@query()
-def optimise_methods(spark, d):
-    return rounded(al.optimise(aligned(spark, d).withColumn("grp", F.lit("all")), list(al.METHODS), cap=0.6))
+EXTRA = {"target": {"A": 3.0, "N": 1.0, "R": 1.0}, "budget": {"A": 0.5, "N": 0.3, "R": 0.2}}
 
 
 @query()
-def alloc_walk_forward(spark, d):
-    x = aligned(spark, d).withColumn("grp", F.date_format(F.add_months(F.date_trunc("quarter", "date"), 3), "yyyy-MM"))
-    return rounded(al.optimise(x, ["min_variance", "risk_parity"], cap=0.6))
+def optimise_methods(spark, d):
+    return rounded(al.optimise(aligned(spark, d).withColumn("grp", F.lit("all")), list(al.METHODS), cap=0.6, floor=0.05, extra=EXTRA))
 
 
-@query(f"{AL}, v AS (SELECT series_id, 1 / stddev_samp(ret) AS w FROM al GROUP BY 1) SELECT series_id, {r('w / sum(w) OVER ()')} AS weight FROM v")
-def opt_inverse_vol(spark, d):
-    x = aligned(spark, d).groupBy("series_id").agg((1 / F.stddev_samp("ret")).alias("w"))
-    return rounded(x.select("series_id", (F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(0)))).alias("weight")))
+def _one_method(spark, d, method):
+    return rounded(al.optimise(aligned(spark, d).withColumn("grp", F.lit("all")), [method], cap=0.6, extra=EXTRA).select("series_id", "weight"))
 
 
 @query(f"{AL} SELECT series_id, {r('1.0 / 3')} AS weight FROM al GROUP BY 1")
 def opt_equal(spark, d):
-    x = aligned(spark, d).select("series_id").distinct()
-    return rounded(x.select("series_id", (F.lit(1.0) / F.count("*").over(Window.partitionBy(F.lit(0)))).alias("weight")))
+    return _one_method(spark, d, "equal")
+
+
+@query("SELECT * FROM (VALUES ('A', 0.6e0), ('N', 0.2e0), ('R', 0.2e0)) t(series_id, weight)")
+def opt_target(spark, d):
+    return _one_method(spark, d, "target")
+
+
+@query(f"{AL}, {LW} SELECT a AS series_id, {r('1 / sqrt(cov) / sum(1 / sqrt(cov)) OVER ()')} AS weight FROM lw WHERE a = b")
+def opt_inverse_vol(spark, d):
+    return _one_method(spark, d, "inverse_vol")
+
+
+@query(f"""{AL}, n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS i, date_trunc('quarter', date) AS q FROM al), m AS (SELECT series_id, date, q, 1.0 / 3 * product(1 + ret) OVER (PARTITION BY series_id, q, date_trunc('month', date) ORDER BY date {CUM}) AS h, date_trunc('month', date) AS mo FROM n WHERE i >= 756),
+ b AS (SELECT *, coalesce(lag(h) OVER (PARTITION BY series_id, q, mo ORDER BY date), 1.0 / 3) AS b FROM m) SELECT 'equal' AS method, CAST(q AS DATE) AS quarter, date, {r('sum(h) / sum(b) - 1', 8)} AS ret FROM b GROUP BY q, date""")
+def alloc_walk_forward(spark, d):
+    return rounded(al.walk_forward(aligned(spark, d), ["equal"]).drop("weights"), 8)
+
+
+@query()
+def walk_forward_methods(spark, d):
+    return rounded(al.walk_forward(aligned(spark, d), ["min_variance", "risk_parity", "max_sharpe"], cap=0.6, extra=EXTRA).drop("weights"), 8)
+
+
+@query()
+def compare_methods(spark, d):
+    return rounded(al.compare_methods(aligned(spark, d), [m for m in al.METHODS if m not in ("min_cdar", "min_cvar")], cap=0.6, extra=EXTRA))
+
+
+@query()
+def recommend(spark, d):
+    return al.recommend(al.compare_methods(aligned(spark, d), ["equal", "inverse_vol", "min_variance"], cap=0.6))
+
+
+@query()
+def explore(spark, d):
+    return rounded(al.rank_combinations(al.explore(aligned(spark, d), ["equal", "risk_parity", "max_sharpe"], cap=0.6)))
+
+
+@query()
+def efficient_frontier(spark, d):
+    return rounded(al.efficient_frontier(aligned(spark, d), cap=0.6).drop("weights"))
 
 
 @query(f"{RET}, w AS (SELECT series_id, date_trunc('quarter', date) AS p, 1 / stddev_samp(ret) AS v FROM returns GROUP BY 1, 2), n AS (SELECT series_id, p, v / sum(v) OVER (PARTITION BY p) AS w FROM w), c AS (SELECT p, abs(w - lag(w) OVER (PARTITION BY series_id ORDER BY p)) AS d FROM n), t AS (SELECT p, sum(d) / 2 AS t FROM c WHERE d IS NOT NULL GROUP BY 1) SELECT 'inverse_vol' AS method, {r('avg(t)')} AS turnover FROM t")

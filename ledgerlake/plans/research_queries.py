@@ -190,7 +190,7 @@ def stock_event_loop(spark, d):
 
 @query()
 def cpcv_compare(spark, d):
-    return rounded(en.cpcv(inner_align(v.returns(spark, d), 3), ["equal", "min_variance"], 6, 2))
+    return rounded(en.cpcv(inner_align(v.returns(spark, d), 3), ["equal", "min_variance"]))
 
 
 @query()
