@@ -73,6 +73,13 @@ def yields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(F.to_date("o_orderdate").alias("date")).agg((F.avg("o_totalprice") / 20000 - 3).alias("yield"))
 
 
+def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(month, ur, ff, usrec): an unemployment and a policy rate in percent and a recession flag, one row a month."""
+    month = F.trunc("o_orderdate", "month")
+    x = read(spark, sf_dir, "orders").groupBy(month.alias("month")).agg((5 + (F.avg("o_totalprice") / 250000 - 1) * 60).alias("ur"), F.greatest(F.lit(0.0), 4 + (F.avg(F.col("o_custkey") % 100) - 49.5) / 2).alias("ff"))
+    return x.withColumn("usrec", ((F.year("month") * 12 + F.month("month")) % 40 < 9).cast("int"))
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", F.from_json("props", "k int")["k"].alias("k"))
 
@@ -91,6 +98,7 @@ SQL = {
         o_totalprice * CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 1.0 WHEN '2' THEN -0.1 WHEN '3' THEN (CASE WHEN o_orderkey % 2 = 1 THEN -0.1 ELSE 0.1 END) WHEN '4' THEN 0.01 WHEN '5' THEN -0.001 END AS value,
         substr(o_orderpriority, 1, 1) IN ('1', '2', '3') AS external FROM orders""",
     "yields": "SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 20000 - 3 AS yield FROM orders WHERE day(o_orderdate) % 5 = 0 GROUP BY 1",
+    "macro": "SELECT month, ur, ff, CAST((year(month) * 12 + month(month)) % 40 < 9 AS INTEGER) AS usrec FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, 5 + (avg(o_totalprice) / 250000 - 1) * 60 AS ur, greatest(0.0, 4 + (avg(o_custkey % 100) - 49.5) / 2) AS ff FROM orders GROUP BY 1)",
     "dividends": "SELECT symbol, unnest(generate_series(DATE '1995-03-15', DATE '2001-12-15', INTERVAL 3 MONTH))::DATE AS date, 0.25 AS dividend FROM (SELECT DISTINCT p_brand AS symbol FROM part)",
     "instruments": "SELECT DISTINCT p_brand AS symbol, CASE WHEN starts_with(p_brand, 'Brand#5') THEN 10.0 ELSE 1.0 END AS multiplier, starts_with(p_brand, 'Brand#5') AS future FROM part",
 }
