@@ -14,6 +14,7 @@ from ..operators import signals as sg
 from ..operators import significance as si
 from ..operators import simulation as sim
 from ..operators import studies as st
+from ..sources import series as sr
 from ..sources import testdata as v
 from . import ledger_queries as lq
 from .metric_queries import RF, _rf
@@ -355,3 +356,43 @@ def entry_candidates(spark, d):
 @query(f"{PANEL}, dy AS (SELECT date, count(*) FILTER (WHERE member) AS a, count(*) FILTER (WHERE member AND fscore IS NOT NULL) AS b, count(*) FILTER (WHERE member AND fscore >= 4) AS c, count(*) FILTER (WHERE enter) AS e FROM cd GROUP BY 1) SELECT CAST(year(date) AS INTEGER) AS year, {r('avg(a)')} AS members, {r('avg(b)')} AS scored, {r('avg(c)')} AS passing, {r('avg(e)')} AS candidates FROM dy GROUP BY 1")
 def coverage_report(spark, d):
     return rounded(pk.coverage_report(_panel(spark, d), 4, ["S3"]))
+
+
+RAWPX = f"""{PX}, rw AS (SELECT symbol, date, CASE WHEN day(date) % 9 = 0 THEN -1.0 WHEN day(date) % 11 = 0 THEN NULL ELSE close END AS close, 1 AS seq FROM prices UNION ALL SELECT symbol, date, close + 1, 2 FROM prices WHERE day(date) = 3), rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY seq DESC) AS k FROM rw), gd AS (SELECT symbol, date, close FROM rk WHERE k = 1 AND close > 0),
+ mv AS (SELECT *, close / lag(close) OVER w - 1 AS mv, date_diff('day', lag(date) OVER w, date) AS gap FROM gd WINDOW w AS (PARTITION BY symbol ORDER BY date))"""
+
+
+def _raw_prices(spark, d):
+    p = v.prices(spark, d)
+    day = F.dayofmonth("date")
+    odd = p.select("symbol", "date", F.when(day % 9 == 0, -1.0).when(day % 11 == 0, F.lit(None)).otherwise(F.col("close")).alias("close"), F.lit(1).alias("seq"))
+    return odd.union(p.where(day == 3).select("symbol", "date", F.col("close") + 1, F.lit(2)))
+
+
+@query(f"{RAWPX} SELECT symbol, date, {r('close')} AS close FROM gd")
+def clean_close(spark, d):
+    return rounded(sr.clean_close(_raw_prices(spark, d))[0])
+
+
+@query(f"{RAWPX}, a AS (SELECT symbol, count(*) AS raw, count(*) FILTER (WHERE k > 1) AS duplicates, count(*) FILTER (WHERE k = 1 AND close <= 0) AS invalid, count(*) FILTER (WHERE k = 1 AND close IS NULL) AS missing FROM rk GROUP BY 1), b AS (SELECT symbol, min(date) AS first, max(date) AS last, count(*) AS clean, count(*) FILTER (WHERE gap > 5) AS gaps, max(mv) AS rise, min(mv) AS fall, count(*) FILTER (WHERE abs(mv) > 0.1) AS extreme FROM mv GROUP BY 1) SELECT symbol, raw, duplicates, invalid, missing, first, last, clean, gaps, {r('rise')} AS rise, {r('fall')} AS fall, extreme FROM a JOIN b USING (symbol)")
+def close_quality(spark, d):
+    return rounded(sr.clean_close(_raw_prices(spark, d))[1])
+
+
+@query(f"{v.with_views('prices', 'dividends')}, x AS (SELECT symbol, date, close, coalesce(dividend, 0) AS dv FROM prices LEFT JOIN dividends USING (symbol, date)), y AS (SELECT *, CASE WHEN dv > 0 THEN coalesce(1 - dv / lag(close) OVER (PARTITION BY symbol ORDER BY date), 1) ELSE 1 END AS keep FROM x) SELECT symbol, date, {r('close * coalesce(product(keep) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1)')} AS adjusted FROM y")
+def scan_yf_adjusted(spark, d):
+    x = v.prices(spark, d).join(v.dividends(spark, d).withColumnRenamed("dividend", "dividends"), ["symbol", "date"], "left").na.fill(0.0, ["dividends"])
+    return rounded(sr.adjusted_closes(x).select("symbol", "date", "adjusted"))
+
+
+@query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, round(max_by(o_totalprice, (o_orderdate, o_orderkey)) FILTER (WHERE o_custkey % 3 = 0), 3) + 0.0 AS s0, round(max_by(o_totalprice, (o_orderdate, o_orderkey)) FILTER (WHERE o_custkey % 3 = 1), 3) + 0.0 AS s1 FROM orders GROUP BY 1 HAVING s0 IS NOT NULL OR s1 IS NOT NULL")
+def load_macro(spark, d):
+    o = v.read(spark, d, "orders").where("o_custkey % 3 < 2")
+    day = o.groupBy((F.col("o_custkey") % 3).alias("k"), F.to_date("o_orderdate").alias("date")).agg(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("value"))
+    return rounded(sr.load_macro(day.select(F.concat(F.lit("s"), F.col("k").cast("string")).alias("series_id"), "date", "value"), ["s0", "s1"]), 3)
+
+
+@query("WITH p AS (SELECT p_partkey % 100 AS cik, p_brand AS symbol, p_retailprice AS volume FROM part), m AS (SELECT DISTINCT cik, symbol FROM p), q AS (SELECT symbol, avg(volume) AS v FROM p GROUP BY 1) SELECT cik, first(symbol ORDER BY v DESC, symbol) AS symbol FROM m JOIN q USING (symbol) GROUP BY 1")
+def one_line_per_company(spark, d):
+    p = v.read(spark, d, "part")
+    return sr.one_line_per_company(p.select((F.col("p_partkey") % 100).alias("cik"), F.col("p_brand").alias("symbol")).distinct(), p.select(F.col("p_brand").alias("symbol"), F.col("p_retailprice").alias("volume")))

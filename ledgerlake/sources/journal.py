@@ -36,15 +36,17 @@ def split_valid(df: DataFrame, problems: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def validate_trades(raw: DataFrame, strategies: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Typed fills with signed quantities, and all violations. Zero quantities are left out; order within a day is the file's."""
+    """Typed fills with signed quantities, and all violations. Zero quantities are left out; order within a day is the file's. Empty fees
+    are none; fees that are not a number are a violation."""
     text = lambda c: F.upper(F.trim(F.col(c)))
     typed = raw.select(
         "seq", F.try_to_date("date").alias("date"), F.trim("strategy").alias("strategy"), text("symbol").alias("symbol"), text("side").alias("side"),
-        F.abs(F.col("quantity").try_cast("double")).alias("quantity"), F.col("price").try_cast("double").alias("price"), F.coalesce(F.abs(F.col("fees").try_cast("double")), F.lit(0.0)).alias("fees"), "note",
+        F.abs(F.col("quantity").try_cast("double")).alias("quantity"), F.col("price").try_cast("double").alias("price"), F.abs(F.when(F.trim(F.coalesce("fees", F.lit(""))) == "", F.lit(0.0)).otherwise(F.col("fees").try_cast("double"))).alias("fees"), "note",
     )
     problems = checks(
         ("date is not a date", F.col("date").isNull()), ("unknown strategy", ~F.coalesce(F.col("strategy").isin(*strategies, "cash"), F.lit(False))), ("unknown side", ~F.coalesce(F.col("side").isin(*SIDES), F.lit(False))),
         ("symbol is missing", F.coalesce(F.col("symbol"), F.lit("")).isin("", "NAN", "NONE")), ("quantity is not a number", F.col("quantity").isNull()), ("price must be positive", ~F.coalesce(F.col("price") > 0, F.lit(False))),
+        ("fees are not a number", F.col("fees").isNull()),
     )
     good, bad = split_valid(typed, problems)
     sign = F.create_map(*(F.lit(x) for p in SIDES.items() for x in p))[F.col("side")]
@@ -126,9 +128,33 @@ def read_signals(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("message is null and kind = 'weights'").select("strategy", "as_of", F.explode("weights").alias("symbol", "weight")), checked.where("message is not null").select("strategy", "message")
 
 
+def transfer_rows(spark: SparkSession, date: str, source: str, target: str, amount: float, note: str = "") -> DataFrame:
+    """The two journal rows of a transfer between sleeves, equal and opposite."""
+    if source == target or not amount > 0:
+        raise ValueError("a transfer moves a positive amount between two different sleeves")
+    rows = [(date, source, "transfer", str(-amount), note or f"to {target}", 0), (date, target, "transfer", str(amount), note or f"from {source}", 1)]
+    return spark.createDataFrame(rows, "date string, strategy string, type string, amount string, note string, seq long")
+
+
 def append_valid(valid: DataFrame, violations: DataFrame, path: str) -> int:
-    """Appends rows only if there is no violation; returns how many violations there are."""
+    """Appends rows only if there is no violation; returns how many violations there are. Give both as ``validate_*`` returned them:
+    they come from one checked table, which should be cached or written where reading it twice is dear."""
     broken = violations.count()
     if not broken:
         valid.write.mode("append").parquet(path)
     return broken
+
+
+def save_journal(rows: DataFrame, path: str, columns: list[str]) -> None:
+    """Replaces a journal, a folder of CSV files with a header, and keeps the version before as ``path.bak``.
+
+    The new version is written whole beside it before either is moved, so a lost executor leaves the old one in place."""
+    spark, jvm = rows.sparkSession, rows.sparkSession._jvm
+    here, new, old = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".new", ".bak"))
+    store = here.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    store.delete(new, True)
+    rows.select(*(F.col(c).cast("string").alias(c) for c in columns)).write.csv(path + ".new", header=True)
+    if store.exists(here):
+        store.delete(old, True)
+        store.rename(here, old)
+    store.rename(new, here)
