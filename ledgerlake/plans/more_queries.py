@@ -40,9 +40,10 @@ def marginal(spark, d):
     return rounded(al.marginal(aligned(spark, d), weights(spark)))
 
 
-@query()
+@query(f"""{AL}, me AS (SELECT series_id, avg(ret) * 252 AS m, row_number() OVER (ORDER BY series_id) AS k FROM al GROUP BY 1), ra AS (SELECT series_id, m, range AS mix, -ln(((k * 7919 + (range + 1) * 104729 + k * (range + 1) % 65521 * 31) % 9973 + 1) / 9974.0) AS u FROM me, range(1500)), w AS (SELECT *, u / sum(u) OVER (PARTITION BY mix) AS w FROM ra),
+ cv AS (SELECT a.series_id AS a, b.series_id AS b, covar_samp(a.ret, b.ret) * 252 AS c FROM al a JOIN al b USING (date) GROUP BY 1, 2), vr AS (SELECT x.mix, sqrt(sum(x.w * y.w * c)) AS vol FROM w x JOIN w y USING (mix) JOIN cv ON a = x.series_id AND b = y.series_id GROUP BY 1), mn AS (SELECT mix, sum(w * m) AS mean FROM w GROUP BY 1) SELECT CAST(mix AS INTEGER) AS mix, {r('mean')} AS mean, {r('vol')} AS vol FROM mn JOIN vr USING (mix)""")
 def frontier_cloud(spark, d):
-    return rounded(al.random_mixes(aligned(spark, d), 300))
+    return rounded(al.random_mixes(aligned(spark, d), 1500))
 
 
 def _indices(spark, x):

@@ -155,7 +155,7 @@ def weight_turnover(spark, d):
     return rounded(al.weight_turnover(x))
 
 
-PATHS, STEPS, BLOCK = 200, 60, 20
+PATHS, STEPS, BLOCK = 1000, 252, 63
 NUM = f"nm AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS i, ret FROM returns), sz AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM returns GROUP BY series_id))"
 SIM = f"{NUM}, ix AS (SELECT p.range AS path, s.range AS step, ((p.range * 7919 + (s.range // {BLOCK}) * 104729 + 31) % n + s.range % {BLOCK}) % n AS i FROM range({PATHS}) p, range({STEPS}) s, sz), sm AS (SELECT series_id, path, step, ret FROM ix JOIN nm USING (i))"
 PS = f"{SIM}, wl AS (SELECT *, product(1 + ret) OVER (PARTITION BY series_id, path ORDER BY step {CUM}) AS w FROM sm), dd AS (SELECT *, w / greatest(max(w) OVER (PARTITION BY series_id, path ORDER BY step {CUM}), 1.0) - 1 AS dd FROM wl), ps AS (SELECT series_id, path, product(1 + ret) - 1 AS total, stddev_samp(ret) * sqrt(252) AS volatility, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe, min(dd) AS max_drawdown, max_by(dd, step) AS last_drawdown, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS positive FROM dd GROUP BY 1, 2)"
@@ -312,7 +312,10 @@ def staleness(spark, d):
     return e.select("day", od.business_days(F.col("day"), F.expr("date'2024-02-15'")).cast("long").alias("stale"))
 
 
-@query()
+@query(f"""{lq.SLEEVE.replace('WITH ', 'WITH RECURSIVE ', 1)}, mf AS (SELECT sleeve, date, -value AS amount FROM cashflows WHERE external UNION ALL SELECT sleeve, max(date), max_by(nav, date) FROM sl GROUP BY 1), fd AS (SELECT sleeve, date, sum(amount) AS a FROM mf GROUP BY 1, 2),
+ ar AS (SELECT sleeve, list({{'t': date_diff('day', mn, date) / 365.0e0, 'a': a::DOUBLE}}) AS x, max(date_diff('day', mn, date)) / 365.0e0 AS years, bool_or(a > 0) AND bool_or(a < 0) AS mixed FROM (SELECT *, min(date) OVER (PARTITION BY sleeve) AS mn FROM fd) GROUP BY 1),
+ bi AS (SELECT sleeve, -60.0e0 AS lo, 60.0e0 AS hi, list_sum(list_transform(x, lambda v: v.a * exp(60 * v.t))) AS fa, 0 AS k FROM ar UNION ALL SELECT * FROM (SELECT b.sleeve, CASE WHEN fa * fm <= 0 THEN lo ELSE (lo + hi) / 2 END, CASE WHEN fa * fm <= 0 THEN (lo + hi) / 2 ELSE hi END, fa, k + 1 FROM (SELECT bi.*, list_sum(list_transform(x, lambda v: v.a * exp(-(lo + hi) / 2 * v.t))) AS fm FROM bi JOIN ar USING (sleeve) WHERE k < 100) b)),
+ rt AS (SELECT sleeve, CASE WHEN mixed AND fa * list_sum(list_transform(x, lambda v: v.a * exp(-60 * v.t))) <= 0 THEN (lo + hi) / 2 END AS r, years FROM bi JOIN ar USING (sleeve) WHERE k = 100) SELECT sleeve, {r('exp(r) - 1', 5)} AS annual, {r('exp(r * years) - 1', 5)} AS period, {r('years', 5)} AS years FROM rt""")
 def money_weighted_return(spark, d):
     c = v.cashflows(spark, d).where("external")
     end = lq._daily(spark, d).groupBy("sleeve").agg(F.max("date").alias("date"), F.max_by("nav", "date").alias("amount")).select("sleeve", "date", "amount")
