@@ -87,8 +87,9 @@ def text_bytes(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
 HOT_KEYS, HOT_ROWS = 100_000, 1_000
 
 
-def join_skewed(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` (``total`` of them) with ``table``, which has a row for each key and in ``_rows`` how many rows have it.
+def join_skewed(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """Join of ``rows`` (``total`` of them) with ``table``, which has a row for each key and in ``_rows`` how many rows have it. With
+    ``how`` "left", the table may lack keys, and ``total`` counts the rows of its keys alone.
 
     A key that many rows share is not one task's work: keys of HOT_ROWS rows and of a HOT_KEYS-th of all rows, so HOT_KEYS keys at
     most, are broadcast, and the other keys alone are joined by a shuffle. ``rows`` is read twice.
@@ -96,7 +97,7 @@ def join_skewed(rows: DataFrame, table: DataFrame, key: str, total: int) -> Data
     least = max(HOT_ROWS, -(-total // HOT_KEYS))
     hot, cold = table.where(F.col("_rows") >= least).drop("_rows"), table.where(F.col("_rows") < least).drop("_rows")
     often = rows.join(F.broadcast(hot), key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
     return often.unionByName(rest)
 
 
@@ -216,17 +217,18 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def scan_text(df: DataFrame, keep: list[str], text_col: str, make, schema: str) -> DataFrame:
+def scan_text(df: DataFrame, keep: list[str], text_col: str, make, schema: str, beside: list[str] = ()) -> DataFrame:
     """``keep`` columns and what ``make(texts) -> dict of arrays`` returns for each row, in Arrow batches.
 
-    Columns are picked by name before the scan, so others of any name do not matter. One row in, one row out.
+    Columns are picked by name before the scan, so others of any name do not matter. One row in, one row out. Numbers of the
+    columns ``beside``, which must not be null, follow the texts as arrays.
     """
-    picked = df.select(*dict.fromkeys([*keep, text_col]))
+    picked = df.select(*dict.fromkeys([*keep, text_col, *beside]))
 
     def run(batches):
         for batch in batches:
             for part, texts in slices(batch, text_col):
-                made = make(texts)
+                made = make(texts, *(part.column(c).to_numpy() for c in beside))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), *(v if isinstance(v, pa.Array) else pa.array(v) for v in made.values())],
                     [*keep, *made],

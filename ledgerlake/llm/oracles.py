@@ -32,6 +32,31 @@ PASSAGES = rf"""WITH dw AS (SELECT doc_id, regexp_extract_all({LOWERED.format("c
 ARCHIVES = """WITH p AS (SELECT page_id, coalesce(html, '') AS b, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS n FROM pages), g AS (SELECT *, max(page_id) OVER (PARTITION BY b) AS top FROM p)
  SELECT page_id, n AS payload_bytes, payload_digest, CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM g"""
 
+MIDDLES = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+ h AS (SELECT doc_id, t, length(t) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+ c AS (SELECT doc_id, t, n, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi FROM h),
+ p AS (SELECT *, substr(t, 1, lo) AS a, substr(t, lo + 1, hi - lo) AS b, substr(t, hi + 1) AS z FROM c)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+#: Every order is applied to every document; no subset is counted.
+AUDIT = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS low FROM documents),
+ lb AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
+ f AS (SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, list_concat(
+   CASE WHEN len(w) < 200 THEN ['A'] ELSE [] END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN ['B'] ELSE [] END,
+   CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN ['C'] ELSE [] END,
+   CASE WHEN regexp_matches(t, '[#$%&*|]') THEN ['D'] ELSE [] END, CASE WHEN d.doc_id > low THEN ['E'] ELSE [] END) AS fails FROM d LEFT JOIN lb USING (doc_id)),
+ l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+ o AS (SELECT a.c || b.c || x.c || y.c || z.c AS filter_order FROM l a, l b, l x, l y, l z WHERE len(list_distinct([a.c, b.c, x.c, y.c, z.c])) = 5),
+ s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS c, string_split(filter_order[1:step - 1], '') AS before FROM o, range(1, 6) r(step)),
+ k AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY 1, 2),
+ e AS (SELECT part, filter_order, step, c, sum(CASE WHEN NOT list_contains(fails, c) AND NOT list_has_any(fails, before) THEN n ELSE 0 END) AS kept,
+   sum(CASE WHEN list_contains(fails, c) AND NOT list_has_any(fails, before) THEN n ELSE 0 END) AS removed, sum(CASE WHEN list_contains(fails, c) AND list_has_any(fails, before) THEN n ELSE 0 END) AS redundant,
+   sum(CASE WHEN fails = [c] THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN list_contains(fails, c) AND NOT list_has_any(fails, before) THEN good ELSE 0 END) AS good_lost,
+   sum(CASE WHEN list_contains(fails, c) AND NOT list_has_any(fails, before) THEN bad ELSE 0 END) AS toxic_lost FROM k, s GROUP BY 1, 2, 3, 4)
+ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+ CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM e"""
+
 
 def rules() -> str:
     """The base counts, the histograms, each language's reference and the distances to them."""
