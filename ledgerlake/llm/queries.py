@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontam, filter_audit, fim, html_text, oracles, quality_knn, quality_rules, simhash, token_counts, toxicity, url_filter, warc
+from . import bpe, decontam, filter_audit, fim, html_text, oracles, partenum, quality_knn, quality_rules, simhash, token_counts, toxicity, url_filter, warc
 from .common import id_crc, table, with_holdout
 
 
@@ -64,11 +64,15 @@ def op11_checkpoint_fim(spark, sf_dir):
     return fim.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op12_partenum(spark, sf_dir):
+    return partenum.near_duplicates(table(spark, sf_dir, "documents")).drop("node")
+
+
 def op13_cube_audit(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nb_ngrams, op2_divergence_rules, op3_bloom_cascade, op4_bpe_segment_tree, op5_token_counts, op6_knn_votes, op7_winnowing, op8_simhash_components, op9_host_suffix_array, op10_warc_zstd, op11_checkpoint_fim, op13_cube_audit)}
+QUERIES = {f.__name__: f for f in (op1_nb_ngrams, op2_divergence_rules, op3_bloom_cascade, op4_bpe_segment_tree, op5_token_counts, op6_knn_votes, op7_winnowing, op8_simhash_components, op9_host_suffix_array, op10_warc_zstd, op11_checkpoint_fim, op12_partenum, op13_cube_audit)}
 
 ORACLES: dict[str, str] = {
     "op2_divergence_rules": oracles.rules(),
