@@ -250,14 +250,14 @@ def repeated_runs(pages: list[list[tuple[str, int]]], hosts: list[str]) -> tuple
 def main_texts(pages: list[list[tuple[str, int]]], hosts: list[str], is_repeated) -> list[str]:
     """The main text of each page: the blocks inside its article or main element, or without one those in no menu or the like.
 
-    Words in a stretch that ``is_repeated(keys, pages)`` knows are left out, unique runs stay.
+    Words outside articles in a stretch that ``is_repeated(keys, pages)`` knows are left out, unique runs stay.
     """
     s = Streams(pages)
     often = s.starts[is_repeated(s.keys(s.starts, host_hashes(hosts)), s.page[s.starts])]
     mark = np.zeros(len(s.words) + 1, np.int64)
     np.add.at(mark, often, 1)
     np.add.at(mark, often + MIN_WORDS, -1)
-    covered = np.cumsum(mark[:-1]) > 0
+    covered = (np.cumsum(mark[:-1]) > 0) & ~s.article  # an article is wanted whole, though menus and teasers quote it
     hit = np.unique(s.page[covered])
     texts = []
     for i, blocks in enumerate(pages):
@@ -309,7 +309,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """(id, url, text, n_chars) of every page.
 
     The text is that of the page's article or main element, or without one that of all blocks in no menu, footer, notice, advert,
-    form or the like. Stretches that MIN_PAGES different pages of the host repeat outside their articles are left out of both.
+    form or the like. Of such blocks, stretches that MIN_PAGES different pages of the host repeat outside their articles are left out;
+    articles come out whole, whatever quotes them.
     A null html is empty and gives an empty text; pages without a host are one host. Repeated rows give repeated results and count
     as one page. An empty table gives an empty result. Other columns of any name do not matter. Stretches are compared by 64-bit
     keys. Neither the order of rows nor their partitions change the result.
