@@ -35,11 +35,12 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
-def domains(host: Column) -> Column:
-    """The host and each parent domain."""
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+def domains(host: Column, labels: int) -> Column:
+    """The host and its parent domains of up to ``labels`` labels, each once. Linear in the length of the host for each label."""
+    if labels < 1:
+        return F.array().cast("array<string>")
+    last = F.transform(F.sequence(F.lit(1), F.lit(labels)), lambda i: F.call_function("substring_index", host, F.lit("."), -i))
+    return F.array_distinct(last)
 
 
 class Level:
@@ -111,15 +112,17 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], listed: list[str] | Data
     and the longest fitting rule decides. Other URLs are blocked if their host or a parent domain is in ``listed`` (strings, or
     a DataFrame with a column ``key``), decided by the cascade over all hosts of the corpus. A null URL and one without ``://``
     have an empty host and path and are allowed. Repeated rows give repeated results, an empty table an empty one; other columns of
-    any name do not matter.
+    any name do not matter. Hosts may have any number of labels: only parents as long as a listed key are made.
     """
     spark: SparkSession = pages.sparkSession
     host, path = url_parts(F.col(url_col))
     parts = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     keys = listed if isinstance(listed, DataFrame) else spark.createDataFrame([(x,) for x in listed], "key string")
-    universe = parts.select("host").distinct().select(F.explode(domains(F.col("host"))).alias("key"))
+    # a key of more labels than any listed one is not listed, so a host of many labels has few keys
+    labels = keys.agg(F.max(F.size(F.split("key", r"\."))).alias("n")).first().n or 0
+    universe = parts.select("host").distinct().select(F.explode(domains(F.col("host"), labels)).alias("key"))
     cascade = Cascade.build(keys.select("key"), universe)
-    judged = parts.withColumn("_listed", F.exists(domains(F.col("host")), cascade.has))
+    judged = parts.withColumn("_listed", F.exists(domains(F.col("host"), labels), cascade.has))
     rule = rule_of(F.col("host"), F.col("path"), rules)
     ruled = judged.select(id_col, "host", "path", rule.alias("rule"), F.coalesce("_listed", F.lit(False)).alias("_listed"))
     by_rule = F.create_map(*(F.lit(x) for pair in rules.items() for x in pair))[F.col("rule")] if rules else F.lit(None).cast("string")
