@@ -1,73 +1,109 @@
-"""Block bootstraps as joins on row numbers, statistics of simulated paths, and live-against-expected comparisons."""
+"""Block bootstraps of whole histories, statistics of simulated paths, and live-against-expected comparisons."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import YEAR, phi, safe_beta, safe_corr
+from ..functions.stats import YEAR, safe_beta, safe_corr
 from .timeseries import by, running
 
 
-def block_starts(spark: SparkSession, n: int, horizon: int, paths: int, block: int, seed: int = 7) -> DataFrame:
-    """(path, block, start): seeded random starts of circular blocks over n observations."""
-    blocks = -(-horizon // min(block, n))
-    starts = np.random.default_rng(seed).integers(0, n, size=(paths, blocks))
-    rows = [(p, b, int(starts[p, b])) for p in range(paths) for b in range(blocks)]
-    return spark.createDataFrame(rows, "path int, block int, start int")
+#: Paths of a series that one row's task makes in a row.
+CHUNK = 64
 
 
-def lcg_starts(spark: SparkSession, n: int, horizon: int, paths: int, block: int) -> DataFrame:
-    """(path, block, start) by a linear congruence of path and block: no driver rows, reproducible in SQL."""
-    blocks = -(-horizon // min(block, n))
-    i = spark.range(paths * blocks)
-    path, b = (F.col("id") / blocks).cast("int"), (F.col("id") % blocks).cast("int")
-    return i.select(path.alias("path"), b.alias("block"), ((path.cast("long") * 7919 + b * 104729 + 31) % n).cast("int").alias("start"))
+def uniform(*key: Column | str | int) -> Column:
+    """A number from 0 up to 1 of a key: the first 13 hexadecimal digits of the md5 of its parts, joined by bars. Keys that differ give
+    unrelated numbers, nothing is stored or sent, a lost task draws the same again, and SQL can repeat it."""
+    parts = [(F.lit(k) if isinstance(k, int) else F.col(k) if isinstance(k, str) else k).cast("string") for k in key]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def block_indices(starts: DataFrame, n: int, horizon: int, block: int) -> DataFrame:
-    """(path, step, i): step k of a path takes observation (start of its block + k within the block) mod n."""
-    size = min(block, n)
-    steps = starts.select("path", "block", "start", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("k"))
-    return steps.select("path", (F.col("block") * size + F.col("k")).alias("step"), ((F.col("start") + F.col("k")) % n).alias("i")).where(F.col("step") < horizon)
+def histories(returns: DataFrame, value: str = "ret") -> DataFrame:
+    """(series_id, n, h): the values of each series as one array in order of dates. A series is a record of days."""
+    rows = F.sort_array(F.collect_list(F.struct("date", F.col(value).alias("v"))))
+    return returns.groupBy("series_id").agg(F.count("*").cast("int").alias("n"), F.transform(rows, lambda x: x["v"]).alias("h"))
 
 
-def simulate(sample: DataFrame, indices: DataFrame) -> DataFrame:
-    """(series, path, step, ret): the sample (series_id, i, ret) gathered by the indices; the sample is a series' history of days."""
-    return indices.join(F.broadcast(sample), "i").select("series_id", "path", "step", "ret")
+def draw_paths(series: DataFrame, horizon: Column | int, paths: int, block: int, seed: int = 7, least: int = 20) -> DataFrame:
+    """``series`` (series_id, n, h, ...) with (path, x): ``paths`` resamples of each history, ``horizon`` long, of circular blocks from
+    independent uniform starts over its own n values. Histories under ``least`` values and horizons under 1 give none.
+
+    A path is one row, so its figures need neither a sort nor an exchange.
+    """
+    horizon = F.lit(horizon) if isinstance(horizon, int) else horizon
+    x = series.withColumn("_horizon", horizon.cast("int")).where((F.col("n") >= least) & (F.col("_horizon") >= 1))
+    x = x.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(paths - 1), F.lit(CHUNK))))
+    # a few histories make many paths: chunks of them are dealt out before they are made
+    x = x.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id", "_chunk")
+    x = x.withColumn("_block", F.least(F.lit(block), F.col("n"))).withColumn("_twice", F.concat("h", "h")).drop("h")
+    x = x.withColumn("path", F.explode(F.sequence(F.col("_chunk"), F.least(F.col("_chunk") + CHUNK, F.lit(paths)) - 1)))
+    start = lambda k: F.floor(uniform("series_id", "path", k, seed) * F.col("n")).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.col("_horizon") / F.col("_block")).cast("int") - 1), lambda k: F.slice("_twice", start(k) + 1, F.col("_block")))
+    return x.withColumn("x", F.slice(F.flatten(blocks), F.lit(1), F.col("_horizon"))).drop("_horizon", "_block", "_twice", "_chunk")
+
+
+def day_indices(spark: SparkSession, n: int, horizon: int, paths: int, block: int, seed: int = 7) -> DataFrame:
+    """(path, step, i): what ``draw_paths`` draws, as numbers of n days that several series share, so that their days stay together."""
+    size = max(1, min(block, n))
+    x = spark.range(paths * -(-horizon // size)).select((F.col("id") / -(-horizon // size)).cast("long").alias("path"), (F.col("id") % -(-horizon // size)).alias("k"))
+    x = x.withColumn("start", F.floor(uniform("path", "k", seed) * n)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    return x.select("path", (F.col("k") * size + F.col("j")).alias("step"), ((F.col("start") + F.col("j")) % n).alias("i")).where(F.col("step") < horizon)
 
 
 def numbered(returns: DataFrame) -> DataFrame:
     return returns.select("series_id", "date", (F.row_number().over(by("series_id")) - 1).cast("int").alias("i"), "ret")
 
 
-PATH = ("series_id", "path")
-
+def path_stats(paths: DataFrame, rates: Column | None = None, floor: Column | float = 0.0) -> DataFrame:
+    """(series_id, path, total, volatility, sharpe, max_drawdown, last_drawdown, positive) of paths (series_id, path, x) of excess returns.
 
-def path_stats(paths: DataFrame, floor: float = 0.0) -> DataFrame:
-    """Return, volatility, Sharpe ratio (deviation floored), worst and last drawdown, and share of positive steps of each path."""
-    w = by(*PATH, order="step")
-    wealth = paths.withColumn("w", F.product(1 + F.col("ret")).over(running(w)))
-    dd = wealth.withColumn("dd", F.col("w") / F.greatest(F.max("w").over(running(w)), F.lit(1.0)) - 1)
-    sd = F.greatest(F.stddev_samp("ret"), F.lit(floor))
-    return dd.groupBy(*PATH).agg(
-        (F.product(1 + F.col("ret")) - 1).alias("total"), (F.stddev_samp("ret") * F.sqrt(F.lit(float(YEAR)))).alias("volatility"),
-        (F.avg("ret") / F.nullif(sd, F.lit(0.0)) * F.sqrt(F.lit(float(YEAR)))).alias("sharpe"), F.min("dd").alias("max_drawdown"), F.max_by("dd", "step").alias("last_drawdown"),
-        F.avg((F.col("ret") > 0).cast("double")).alias("positive"),
+    ``rates``: the rate that each step adds, as an array. The Sharpe ratio is of the excess, over the larger of its deviation and
+    ``floor``; the other figures are of excess and rate together. One pass over a path's array.
+    """
+    floor = F.lit(float(floor)) if isinstance(floor, (int, float)) else floor
+    pair = lambda a, b: F.struct(a.alias("e"), b.alias("r"))
+    both = F.transform("x", lambda a: pair(a, a)) if rates is None else F.zip_with("x", rates, lambda a, b: pair(a, a + b))
+    names = ("w", "peak", "low", "up", "e1", "e2", "r1", "r2")
+    start = F.struct(*(F.lit(1.0 if k in ("w", "peak") else 0.0).alias(k) for k in names))
+
+    def step(a: Column, v: Column) -> Column:
+        e, r = v["e"], v["r"]
+        w = a["w"] * (1 + r)
+        peak = F.greatest(a["peak"], w)
+        values = (w, peak, F.least(a["low"], w / peak - 1), a["up"] + (r > 0).cast("double"), a["e1"] + e, a["e2"] + e * e, a["r1"] + r, a["r2"] + r * r)
+        return F.struct(*(v.alias(k) for k, v in zip(names, values, strict=True)))
+
+    y = paths.select("series_id", "path", F.size("x").alias("_n"), floor.alias("_floor"), F.aggregate(both, start, step).alias("_a"))
+    n = F.col("_n")
+    sd = lambda k: F.when(n > 1, F.sqrt(F.greatest(F.col(f"_a.{k}2") - F.col(f"_a.{k}1") * F.col(f"_a.{k}1") / n, F.lit(0.0)) / F.nullif(n - 1, F.lit(0))))
+    return y.select(
+        "series_id", "path", (F.col("_a.w") - 1).alias("total"), (sd("r") * YEAR**0.5).alias("volatility"), (F.col("_a.e1") / n / F.nullif(F.greatest(sd("e"), "_floor"), F.lit(0.0)) * YEAR**0.5).alias("sharpe"),
+        F.col("_a.low").alias("max_drawdown"), (F.col("_a.w") / F.col("_a.peak") - 1).alias("last_drawdown"), (F.col("_a.up") / n).alias("positive"),
     )
 
 
-def cone(paths: DataFrame, levels: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """Quantiles of wealth at each step."""
-    wealth = paths.withColumn("w", F.product(1 + F.col("ret")).over(running(by(*PATH, order="step"))))
+def steps(paths: DataFrame, rates: Column | None = None, keep: list[str] = ()) -> DataFrame:
+    """(series_id, path, step, ret) of paths of arrays, and the columns ``keep``."""
+    x = F.col("x") if rates is None else F.zip_with("x", rates, lambda a, b: a + b)
+    return paths.select("series_id", "path", *keep, F.posexplode(x).alias("step", "ret"))
+
+
+def cone(paths: DataFrame, rates: Column | None = None, start: Column | float = 1.0, levels: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """(series_id, step, quantiles) of wealth at each step, ``start`` before the first."""
+    start = F.lit(float(start)) if isinstance(start, (int, float)) else start
+    wealth = steps(paths.withColumn("_start", start), rates, ["_start"]).withColumn("w", F.col("_start") * F.product(1 + F.col("ret")).over(running(by("series_id", "path", order="step"))))
     q = F.percentile("w", F.array(*map(F.lit, levels)))
     return wealth.groupBy("series_id", "step").agg(q.alias("q")).select("series_id", "step", *(F.col("q")[k].alias(f"p{round(100 * x):02d}") for k, x in enumerate(levels)))
 
 
 def forward_risk(stats: DataFrame) -> DataFrame:
+    """The chance of a loss, the median and the worst of returns and drawdowns over the paths."""
+    q = lambda c, p: F.percentile(c, F.lit(p))
     return stats.groupBy("series_id").agg(
-        F.avg((F.col("total") < 0).cast("double")).alias("p_loss"), F.percentile("total", F.lit(0.5)).alias("median"), F.percentile("total", F.lit(0.05)).alias("p05"), F.percentile("max_drawdown", F.lit(0.05)).alias("dd05"),
+        F.avg((F.col("total") < 0).cast("double")).alias("p_loss"), q("total", 0.5).alias("median"), q("total", 0.05).alias("p05"),
+        q("max_drawdown", 0.5).alias("dd50"), q("max_drawdown", 0.05).alias("dd05"), q("max_drawdown", 0.01).alias("dd01"),
     )
 
 
@@ -77,18 +113,6 @@ def percentile_of(stats: DataFrame, live: DataFrame, value: str) -> DataFrame:
     return both.groupBy("series_id").agg(F.avg((F.col("sim") < F.col("live")).cast("double") + 0.5 * (F.col("sim") == F.col("live")).cast("double")).alias("percentile"))
 
 
-def status_label(percentile: Column, two_sided: bool = False) -> Column:
-    low = F.when(percentile < 0.05, "far below").when(percentile < 0.15, "below")
-    return (low.when(percentile > 0.95, "far above") if two_sided else low).otherwise("as expected")
-
-
-def sharpe_consistency(live: DataFrame, expected: DataFrame) -> DataFrame:
-    """z-test of two independent Sharpe ratios (series_id, sr, se): difference, z, and the one-sided probability."""
-    both = live.select("series_id", F.col("sr").alias("a"), F.col("se").alias("sa")).join(expected.select("series_id", F.col("sr").alias("b"), F.col("se").alias("sb")), "series_id")
-    z = (F.col("a") - F.col("b")) / F.sqrt(F.col("sa") * F.col("sa") + F.col("sb") * F.col("sb"))
-    return both.select("series_id", (F.col("a") - F.col("b")).alias("difference"), z.alias("z"), phi(z).alias("p"))
-
-
 def tracking(live: DataFrame, model: DataFrame, least: int = 5) -> DataFrame:
     """Shortfall, tracking error, correlation and beta of live against model returns on common dates."""
     both = live.join(model.select("series_id", "date", F.col("ret").alias("model")), ["series_id", "date"])

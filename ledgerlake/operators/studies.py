@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import YEAR, safe_corr
 from .metrics import cagr_of, drawdown, sharpe_of
+from .simulation import uniform
 from .timeseries import by
 
 
@@ -139,26 +140,20 @@ def lag_sensitivity(signals: DataFrame, keys: list[str], lags: list[int], bps: f
     return long.withColumn("ret", ret).groupBy(*keys, "lag").agg(sharpe_of(F.col("ret")).alias("sharpe"))
 
 
-def uniform(path: Column, step: Column, salt: int) -> Column:
-    """A number in (0, 1) of a path and step that SQL can repeat: a congruence, no stored draws."""
-    return (((path + 1) * 7919 + (step + 1) * 104729 + (path + 1) * (step + 1) % 65521 * 31 + salt * 15485863) % 1000003 + F.lit(0.5)) / 1000003
-
-
 def stationary_indices(spark: SparkSession, n: int, paths: int, mean_block: float) -> DataFrame:
     """(path, step, i): blocks of random length, ``mean_block`` on average, from random starts of a circle of n observations."""
     x = spark.range(paths * n).select((F.col("id") / n).cast("long").alias("path"), (F.col("id") % n).alias("step"))
-    begins = (F.col("step") == 0) | (uniform(F.col("path"), F.col("step"), 1) < 1 / mean_block)
-    start = F.floor(uniform(F.col("path"), F.col("step"), 2) * n).cast("long")
+    begins = (F.col("step") == 0) | (uniform("path", "step", 1) < 1 / mean_block)
     w = Window.partitionBy("path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_at", F.last(F.when(begins, F.struct(start.alias("s"), F.col("step").alias("t"))), True).over(w))
-    return x.select("path", "step", ((F.col("_at.s") + F.col("step") - F.col("_at.t")) % n).alias("i"))
+    x = x.withColumn("_t", F.last(F.when(begins, F.col("step")), True).over(w))
+    return x.select("path", "step", ((F.floor(uniform("path", "_t", 2) * n).cast("long") + F.col("step") - F.col("_t")) % n).alias("i"))
 
 
 def block_month_indices(spark: SparkSession, n: int, paths: int, block: int = 12) -> DataFrame:
     """(path, step, i): blocks of ``block`` months that do not run past the end."""
     x = spark.range(paths * n).select((F.col("id") / n).cast("long").alias("path"), (F.col("id") % n).alias("step"))
     b = F.floor(F.col("step") / block)
-    return x.select("path", "step", (F.floor(uniform(F.col("path"), b, 3) * (n - block + 1)) + F.col("step") % block).cast("long").alias("i"))
+    return x.select("path", "step", (F.floor(uniform("path", b, 3) * (n - block + 1)) + F.col("step") % block).cast("long").alias("i"))
 
 
 def sharpe_difference_test(pairs: DataFrame, indices: DataFrame, periods: int = YEAR) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import metrics as m
 from ..operators import simulation as sim
 from ..sources import testdata as v
 from .metric_queries import DRAWDOWN
-from .portfolio_queries import AL, BLOCK, PATHS, RISK, STEPS, WT, aligned, weights
+from .portfolio_queries import AL, RISK, WT, aligned, weights
 from .registry import query, r, rounded
 
 RET = v.with_views("returns")
@@ -46,25 +46,11 @@ def frontier_cloud(spark, d):
     return rounded(al.random_mixes(aligned(spark, d), 1500))
 
 
-def _indices(spark, x):
-    n = x.select("date").distinct().count()
-    return sim.block_indices(sim.lcg_starts(spark, n, STEPS, PATHS, BLOCK), n, STEPS, BLOCK)
-
-
-@query(f"""{AL}, k AS (SELECT date, max(ret) FILTER (WHERE series_id = 'A') AS x, max(ret) FILTER (WHERE series_id = 'N') AS y, row_number() OVER (ORDER BY date) - 1 AS i FROM al GROUP BY date), sz AS (SELECT count(*) AS n FROM k),
- ix AS (SELECT p.range AS path, s.range AS step, ((p.range * 7919 + (s.range // {BLOCK}) * 104729 + 31) % n + s.range % {BLOCK}) % n AS i FROM range({PATHS}) p, range({STEPS}) s, sz), g AS (SELECT path, avg(y) / stddev_samp(y) - avg(x) / stddev_samp(x) AS df FROM ix JOIN k USING (i) GROUP BY 1) SELECT count(*) AS n, {r('avg(df)')} AS difference, {r('avg(CASE WHEN df < 0 THEN 1.0 WHEN df = 0 THEN 0.5 ELSE 0.0 END)')} AS p FROM g""")
-def sharpe_diff_test(spark, d):
-    x = aligned(spark, d)
-    wide = x.groupBy("date").agg(F.max(F.when(F.col("series_id") == "A", F.col("ret"))).alias("x"), F.max(F.when(F.col("series_id") == "N", F.col("ret"))).alias("y"))
-    wide = wide.withColumn("i", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1).cast("int"))
-    return rounded(al.sharpe_difference(_indices(spark, x).join(F.broadcast(wide), "i")))
-
-
 @query()
 def opt_resampled(spark, d):
     x = aligned(spark, d)
     n = x.select("date").distinct().count()
-    few = sim.block_indices(sim.lcg_starts(spark, n, 120, 12, BLOCK), n, 120, BLOCK)
+    few = sim.day_indices(spark, n, 120, 12, 63, 11)
     return rounded(al.resampled(x, few, "min_variance", 0.6))
 
 

@@ -155,45 +155,7 @@ def weight_turnover(spark, d):
     return rounded(al.weight_turnover(x))
 
 
-PATHS, STEPS, BLOCK = 1000, 252, 63
-NUM = f"nm AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS i, ret FROM returns), sz AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM returns GROUP BY series_id))"
-SIM = f"{NUM}, ix AS (SELECT p.range AS path, s.range AS step, ((p.range * 7919 + (s.range // {BLOCK}) * 104729 + 31) % n + s.range % {BLOCK}) % n AS i FROM range({PATHS}) p, range({STEPS}) s, sz), sm AS (SELECT series_id, path, step, ret FROM ix JOIN nm USING (i))"
-PS = f"{SIM}, wl AS (SELECT *, product(1 + ret) OVER (PARTITION BY series_id, path ORDER BY step {CUM}) AS w FROM sm), dd AS (SELECT *, w / greatest(max(w) OVER (PARTITION BY series_id, path ORDER BY step {CUM}), 1.0) - 1 AS dd FROM wl), ps AS (SELECT series_id, path, product(1 + ret) - 1 AS total, stddev_samp(ret) * sqrt(252) AS volatility, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe, min(dd) AS max_drawdown, max_by(dd, step) AS last_drawdown, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS positive FROM dd GROUP BY 1, 2)"
-
-
-def _paths(spark, d):
-    x = sim.numbered(v.returns(spark, d))
-    n = x.groupBy("series_id").count().agg(F.min("count")).first()[0]
-    return sim.simulate(x, sim.block_indices(sim.lcg_starts(spark, n, STEPS, PATHS, BLOCK), n, STEPS, BLOCK))
-
-
-@query(f"{RET}, {SIM} SELECT series_id, CAST(path AS INTEGER) AS path, CAST(step AS INTEGER) AS step, {r('ret', 8)} AS ret FROM sm")
-def block_bootstrap(spark, d):
-    return rounded(_paths(spark, d), 8)
-
-
-@query(f"{RET}, {PS} SELECT series_id, CAST(path AS INTEGER) AS path, " + ", ".join(f"{r(c)} AS {c}" for c in "total volatility sharpe max_drawdown last_drawdown positive".split()) + " FROM ps")
-def path_stats(spark, d):
-    return rounded(sim.path_stats(_paths(spark, d)))
-
-
-@query(f"{RET}, {PS} SELECT series_id, CAST(step AS INTEGER) AS step, " + ", ".join(f"{r(f'quantile_cont(w, {q})')} AS p{round(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM wl GROUP BY 1, 2")
-def cone(spark, d):
-    return rounded(sim.cone(_paths(spark, d)))
-
-
-@query(f"{RET}, {PS} SELECT series_id, {r('avg(CASE WHEN total < 0 THEN 1.0 ELSE 0.0 END)')} AS p_loss, {r('median(total)')} AS median, {r('quantile_cont(total, 0.05)')} AS p05, {r('quantile_cont(max_drawdown, 0.05)')} AS dd05 FROM ps GROUP BY 1")
-def forward_risk(spark, d):
-    return rounded(sim.forward_risk(sim.path_stats(_paths(spark, d))))
-
-
-@query(f"{RET}, {PS}, lv AS (SELECT series_id, product(1 + ret) - 1 AS total FROM nm, sz WHERE i >= n - {STEPS} GROUP BY 1) SELECT series_id, {r('avg(CASE WHEN p.total < l.total THEN 1.0 WHEN p.total = l.total THEN 0.5 ELSE 0.0 END)')} AS percentile, CASE WHEN avg(CASE WHEN p.total < l.total THEN 1.0 WHEN p.total = l.total THEN 0.5 ELSE 0.0 END) < 0.05 THEN 'far below' WHEN avg(CASE WHEN p.total < l.total THEN 1.0 WHEN p.total = l.total THEN 0.5 ELSE 0.0 END) < 0.15 THEN 'below' ELSE 'as expected' END AS status FROM ps p JOIN lv l USING (series_id) GROUP BY 1")
-def compare_live(spark, d):
-    x = sim.numbered(v.returns(spark, d))
-    n = x.groupBy("series_id").count().agg(F.min("count")).first()[0]
-    live = x.where(F.col("i") >= n - STEPS).groupBy("series_id").agg((F.product(1 + F.col("ret")) - 1).alias("total"))
-    p = sim.percentile_of(sim.path_stats(_paths(spark, d)), live, "total")
-    return rounded(p.withColumn("status", sim.status_label(F.col("percentile"))))
+NUM = "nm AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS i, ret FROM returns)"
 
 
 @query(f"{RET}, m AS (SELECT series_id, date, ret, avg(ret) OVER (PARTITION BY date) AS mo FROM returns) SELECT series_id, count(*) AS n, {r('product(1 + ret) - product(1 + mo)')} AS shortfall, {r('stddev_samp(ret - mo) * sqrt(252)')} AS tracking_error, {r('corr(ret, mo)')} AS corr, {r('covar_samp(ret, mo) / var_samp(mo)')} AS beta FROM m GROUP BY 1")

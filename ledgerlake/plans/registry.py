@@ -40,3 +40,8 @@ def f(expression: str) -> str:
 def r(expression: str, digits: int = DIGITS) -> str:
     """The oracle's spelling of ``rounded`` for one column."""
     return f"round({expression}, {digits}) + 0.0"
+
+
+def u(*key) -> str:
+    """The oracle's spelling of ``simulation.uniform``."""
+    return f"(CAST('0x' || md5(concat_ws('|', {', '.join(map(str, key))}))[1:13] AS BIGINT) / 4503599627370496.0)"

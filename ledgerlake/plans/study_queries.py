@@ -19,7 +19,7 @@ from ..sources import testdata as v
 from . import ledger_queries as lq
 from .metric_queries import RF, _rf
 from .portfolio_queries import AL, aligned
-from .registry import query, r, rounded
+from .registry import u, query, r, rounded
 
 RET, PX, MACRO = v.with_views("returns"), v.with_views("prices"), v.with_views("macro")
 CUM = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
@@ -190,13 +190,9 @@ def signal_delay(spark, d):
     return rounded(st.lag_sensitivity(x, ["symbol"], [1, 2, 5], 5.0))
 
 
-def _u(path: str, step: str, salt: int) -> str:
-    return f"(((({path} + 1) * 7919 + ({step} + 1) * 104729 + ({path} + 1) * ({step} + 1) % 65521 * 31 + {salt * 15485863}) % 1000003 + 0.5) / 1000003)"
-
-
 PAIR = f"{AL}, pq AS (SELECT date, max(ret) FILTER (WHERE series_id = 'A') AS a, max(ret) FILTER (WHERE series_id = 'N') AS b, row_number() OVER (ORDER BY date) - 1 AS i FROM al GROUP BY date), nn AS (SELECT count(*) AS n FROM pq)"
 DIFF = "ob AS (SELECT avg(a) / stddev_samp(a) * sqrt({p}) - avg(b) / stddev_samp(b) * sqrt({p}) AS o FROM {t}), df AS (SELECT path, round(avg(a) / stddev_samp(a) * sqrt({p}) - avg(b) / stddev_samp(b) * sqrt({p}), 10) AS d FROM ix JOIN {t} USING (i) GROUP BY 1)"
-DRAWS = 500
+DRAWS = 2000
 
 
 def _pairs(spark, d):
@@ -206,7 +202,7 @@ def _pairs(spark, d):
     return wide.withColumn("i", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1).cast("long"))
 
 
-@query(f"""{PAIR}, g AS (SELECT p.range AS path, s.range AS step, n FROM range({DRAWS}) p, range(20000) s, nn WHERE s.range < n), h AS (SELECT path, step, n, CASE WHEN step = 0 OR {_u('path', 'step', 1)} < 1 / 63.0 THEN step END AS t FROM g), k AS (SELECT *, last_value(t IGNORE NULLS) OVER (PARTITION BY path ORDER BY step {CUM}) AS t0 FROM h), ix AS (SELECT path, step, (CAST(floor({_u('path', 't0', 2)} * n) AS BIGINT) + step - t0) % n AS i FROM k),
+@query(f"""{PAIR}, g AS (SELECT p.range AS path, s.range AS step, n FROM range({DRAWS}) p, range(20000) s, nn WHERE s.range < n), h AS (SELECT path, step, n, CASE WHEN step = 0 OR {u('path', 'step', 1)} < 1 / 63.0 THEN step END AS t FROM g), k AS (SELECT *, last_value(t IGNORE NULLS) OVER (PARTITION BY path ORDER BY step {CUM}) AS t0 FROM h), ix AS (SELECT path, step, (CAST(floor({u('path', 't0', 2)} * n) AS BIGINT) + step - t0) % n AS i FROM k),
  {DIFF.format(p=252, t='pq')} SELECT {r('any_value(o)')} AS difference, {r('quantile_cont(d, 0.025)', 5)} AS low, {r('quantile_cont(d, 0.975)', 5)} AS high, {r('(count(*) FILTER (WHERE d - o >= o) + 1) / (count(*) + 1)', 5)} AS p, {r('count(*) FILTER (WHERE d <= 0) / count(*)', 5)} AS not_better FROM df, ob""")
 def bootstrap_sharpe_diff_stationary(spark, d):
     x = _pairs(spark, d)
@@ -218,7 +214,7 @@ def _rounded_test(x):
 
 
 @query(f"""{AL}, pm AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, product(1 + ret) FILTER (WHERE series_id = 'A') - 1 AS a, product(1 + ret) FILTER (WHERE series_id = 'N') - 1 AS b FROM al GROUP BY 1), pq AS (SELECT *, row_number() OVER (ORDER BY month) - 1 AS i FROM pm), nn AS (SELECT count(*) AS n FROM pq),
- g AS (SELECT p.range AS path, s.range AS step, n FROM range(2000) p, range(2000) s, nn WHERE s.range < n), ix AS (SELECT path, step, CAST(floor({_u('path', '(step // 12)', 3)} * (n - 11)) + step % 12 AS BIGINT) AS i FROM g), {DIFF.format(p=12, t='pq')} SELECT {r('any_value(o)')} AS difference, {r('quantile_cont(d, 0.025)', 5)} AS low, {r('quantile_cont(d, 0.975)', 5)} AS high, {r('(count(*) FILTER (WHERE d - o >= o) + 1) / (count(*) + 1)', 5)} AS p, {r('count(*) FILTER (WHERE d <= 0) / count(*)', 5)} AS not_better FROM df, ob""")
+ g AS (SELECT p.range AS path, s.range AS step, n FROM range(2000) p, range(2000) s, nn WHERE s.range < n), ix AS (SELECT path, step, CAST(floor({u('path', 'step // 12', 3)} * (n - 11)) + step % 12 AS BIGINT) AS i FROM g), {DIFF.format(p=12, t='pq')} SELECT {r('any_value(o)')} AS difference, {r('quantile_cont(d, 0.025)', 5)} AS low, {r('quantile_cont(d, 0.975)', 5)} AS high, {r('(count(*) FILTER (WHERE d - o >= o) + 1) / (count(*) + 1)', 5)} AS p, {r('count(*) FILTER (WHERE d <= 0) / count(*)', 5)} AS not_better FROM df, ob""")
 def boot_sharpe_diff_monthly(spark, d):
     x = aligned(spark, d)
     grow = lambda k: F.product(F.when(F.col("series_id") == k, 1 + F.col("ret"))) - 1
@@ -271,35 +267,6 @@ def model_on_live_dates(spark, d):
     return rounded(ex.model_on_live_dates(v.returns(spark, d), _starts(spark, d)), 8)
 
 
-N_PATHS = 300
-COMPARE = f"""{v.with_views('returns', 'yields')}, {RF}, ew AS (SELECT r.series_id, r.date, r.ret, coalesce(rf, 0) AS rf FROM returns r LEFT JOIN rf USING (date)), eb AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS i FROM ew WHERE date < {LIVE} AND (series_id = 'A' OR date >= DATE '1996-01-01')), lv AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS step FROM ew WHERE date >= {LIVE}),
- sz AS (SELECT (SELECT min(n) FROM (SELECT count(*) AS n FROM eb GROUP BY series_id)) AS n, (SELECT max(n) FROM (SELECT count(*) AS n FROM lv GROUP BY series_id)) AS h), ix AS (SELECT p.range AS path, s.range AS step, ((p.range * 7919 + (s.range // 63) * 104729 + 31) % n + s.range % 63) % n AS i FROM range({N_PATHS}) p, range(2000) s, sz WHERE s.range < h),
- xr AS (SELECT series_id, path, step, eb.ret - eb.rf AS ex, eb.ret - eb.rf + lv.rf AS ret FROM ix JOIN eb USING (i) JOIN lv USING (series_id, step))"""
-
-
-def _indices(spark, d):
-    x, live = ex.expectation_window(v.returns(spark, d), _starts(spark, d)), ex.model_on_live_dates(v.returns(spark, d), _starts(spark, d))
-    n, h = (int(y.groupBy("series_id").count().agg(f("count")).first()[0]) for y, f in ((x, F.min), (live, F.max)))
-    return x, live, sim.block_indices(sim.lcg_starts(spark, n, h, N_PATHS, 63), n, h, 63)
-
-
-@query(f"{COMPARE} SELECT series_id, CAST(path AS INTEGER) AS path, count(*) AS days, {r('sum(ex)')} AS excess, {r('sum(ret)')} AS ret FROM xr GROUP BY 1, 2")
-def excess_rebase(spark, d):
-    x, live, ix = _indices(spark, d)
-    return rounded(ex.excess_rebase(x, live, ix, _rf(spark, d)).groupBy("series_id", "path").agg(F.count("*").alias("days"), F.sum("excess").alias("excess"), F.sum("ret").alias("ret")))
-
-
-@query(f"""{COMPARE}, fl AS (SELECT series_id, 0.1 * stddev_samp(ret - rf) AS fl FROM eb GROUP BY 1), pw AS (SELECT *, product(1 + ret) OVER (PARTITION BY series_id, path ORDER BY step {CUM}) AS w FROM xr), pd AS (SELECT *, w / greatest(max(w) OVER (PARTITION BY series_id, path ORDER BY step {CUM}), 1) - 1 AS dd FROM pw),
- ps AS (SELECT series_id, path, product(1 + ret) - 1 AS total, stddev_samp(ret) * sqrt(252) AS volatility, avg(ex) / greatest(stddev_samp(ex), any_value(fl)) * sqrt(252) AS sharpe, min(dd) AS max_drawdown, max_by(dd, step) AS last_drawdown, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS positive FROM pd JOIN fl USING (series_id) GROUP BY 1, 2),
- lw AS (SELECT *, product(1 + ret) OVER (PARTITION BY series_id ORDER BY date {CUM}) AS w FROM lv), ld AS (SELECT *, w / greatest(max(w) OVER (PARTITION BY series_id ORDER BY date {CUM}), 1) - 1 AS dd FROM lw), la AS (SELECT series_id, product(1 + ret) - 1 AS total, stddev_samp(ret) * sqrt(252) AS volatility, avg(ret - rf) / stddev_samp(ret - rf) * sqrt(252) AS sharpe, min(dd) AS max_drawdown, max_by(dd, date) AS last_drawdown, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS positive, count(*) AS days FROM ld GROUP BY 1),
- su AS (UNPIVOT ps ON total, volatility, sharpe, max_drawdown, last_drawdown, positive INTO NAME metric VALUE sim), au AS (UNPIVOT la ON total, volatility, sharpe, max_drawdown, last_drawdown, positive INTO NAME metric VALUE actual),
- cm AS (SELECT series_id, metric, median(sim) AS expected, quantile_cont(sim, 0.05) AS low, quantile_cont(sim, 0.95) AS high, any_value(actual) AS actual, CASE WHEN metric = 'sharpe' AND any_value(days) < 126 THEN NULL ELSE avg(CASE WHEN sim < actual THEN 1.0 WHEN sim = actual THEN 0.5 ELSE 0.0 END) END AS pc FROM su JOIN au USING (series_id, metric) GROUP BY 1, 2)
- SELECT series_id, metric, {r('expected', 5)} AS expected, {r('low', 5)} AS low, {r('high', 5)} AS high, {r('actual', 5)} AS actual, {r('pc', 5)} AS percentile, CASE WHEN pc IS NULL THEN CASE WHEN metric = 'sharpe' THEN 'Too early' ELSE 'n/a' END WHEN metric = 'volatility' THEN CASE WHEN pc < 0.05 THEN 'Lower than expected' WHEN pc > 0.95 THEN 'Higher than expected' ELSE 'In line' END WHEN pc < 0.05 THEN 'Below expectations' WHEN pc < 0.15 THEN 'Watch' WHEN pc > 0.95 THEN 'Above expectations' ELSE 'In line' END AS status FROM cm""")
-def comparison(spark, d):
-    x, live, ix = _indices(spark, d)
-    return rounded(ex.compare(live, x, ix, _rf(spark, d)), 5)
-
-
 @query(f"{lq.TWR} SELECT sleeve, {r('quantile_cont(ret, 0.05) * max_by(nav, date)', 2)} AS var95 FROM tw GROUP BY 1")
 def var_in_currency(spark, d):
     x = lg.twr_returns(lq._daily(spark, d))
