@@ -50,6 +50,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def few_parts(df: DataFrame) -> DataFrame:
+    """``df`` in a few partitions for each core at most: tables of links are small, and thousands of files of a few rows cost more than they hold."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of ``materialise`` that nothing reads any more."""
     spark, jvm = df.sparkSession, df.sparkSession._jvm

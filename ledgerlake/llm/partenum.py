@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_skewed, materialise, member, mix, scan_text
-from .jaccard import DOWN, SHINGLE, SKETCH, UP, WIDE, common_shingles, longs, node_of, of_size, shingle_sets, similar, sketch_of
+from .common import discard, few_parts, join_skewed, materialise, member, mix, scan_text, slices, small_batches, tidy
+from .jaccard import DOWN, MAX_BROADCAST_ROWS, SHINGLE, UP, WIDE, common_shingles, longs, node_of, of_size, shingle_sets, sketch_of
 from .simhash import components, with_components
 
 #: Factor from one size band to the next.
@@ -29,8 +29,8 @@ SLACK = 1.3
 NEXT = 4
 #: Rows of a bucket that one task pairs; larger ones are cut into blocks, and each two blocks meet in a task of their own.
 BLOCK_ROWS = 1 << 13
-#: Pairs that one vectorised step compares.
-PAIR_BLOCK = 1 << 18
+#: Pairs that one vectorised step compares, and longs of the sketches it compares.
+PAIR_BLOCK, MIDDLE = 1 << 16, 16
 
 
 def most_apart(m, n):
@@ -124,6 +124,9 @@ def first_pairs(rows: DataFrame) -> DataFrame:
         for batch in batches:
             s, n, node = (np.concatenate([x, np.asarray(batch.column(c))]) for x, c in zip(back, ("s", "n", "node"), strict=True))
             old = len(back[0])
+            first = np.ones(len(s), bool)  # a set that several tasks have read stands here several times
+            first[1:] = (s[1:] != s[:-1]) | (node[1:] != node[:-1])
+            s, n, node = s[first], n[first], node[first]
             pairs = []
             for step in range(1, min(NEXT, len(s) - 1) + 1):
                 near = np.flatnonzero((s[:-step] == s[step:]) & of_size(n[:-step], n[step:]))
@@ -146,28 +149,32 @@ def first_pairs(rows: DataFrame) -> DataFrame:
     return rows.repartition("s").sortWithinPartitions("s", "n", "node").mapInArrow(meet, "a long, b long, s long, n long")
 
 
-def later_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) pairs of each bucket (s, node, n, root, sketches) that have different roots and that sizes and sketches do not rule out.
+def later_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b) pairs of each bucket (s, node, n, root) that have different roots and that sizes and sketches do not rule out.
 
     ``rows`` are a written table. Buckets of one root fall away; the others are cut into blocks of BLOCK_ROWS rows.
     """
     stats = rows.groupBy("s").agg(F.count("*").alias("_rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s", "_rows")
-    stats = materialise(stats.withColumn("k", F.ceil(F.col("_rows") / BLOCK_ROWS)), "buckets")
+    stats = materialise(few_parts(stats.withColumn("k", F.ceil(F.col("_rows") / BLOCK_ROWS))), "buckets")
     total = stats.agg(F.sum("_rows")).first()[0] or 0
-    split = join_skewed(rows, stats, "s", total).withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")))
+    mixed = materialise(few_parts(join_skewed(rows, stats, "s", total)), "mixed")
+    held = sketches.join(mixed.select("node").distinct(), "node").dropDuplicates(["node"])
+    folds = WIDE // 64 // MIDDLE
+    middle = F.transform(F.sequence(F.lit(0), F.lit(MIDDLE - 1)), lambda i: _xor([F.get("wide", i + MIDDLE * k) for k in range(folds)]))
+    split = mixed.join(held.select("node", middle.alias("sketch")), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    split = split.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"), "root", "n", "node", *SKETCH)
-
-    def pair(s, i, j, right, root, n, node, *sketch):
-        sketch = np.stack(sketch).view(np.uint64)
-        key = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-        end = np.repeat(np.append(key[1:], len(s)), np.diff(np.append(key, len(s))))
-        turn = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (right[1:] != right[:-1]) | (root[1:] != root[:-1])]))
-        after_root = np.repeat(np.append(turn[1:], len(s)), np.diff(np.append(turn, len(s))))
-        side = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (right[1:] != right[:-1])]))
-        after_side = np.repeat(np.append(side[1:], len(s)), np.diff(np.append(side, len(s))))
+    split = split.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"), "root", "n", "node", "sketch")
+
+    def ends(*keys) -> np.ndarray:
+        """Where the run of equal keys of each row ends."""
+        new = np.ones(len(keys[0]), bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        at = np.append(np.flatnonzero(new), len(new))
+        return np.repeat(at[1:], np.diff(at))
+
+    def pair(s, i, j, right, root, n, node, sketch):
         # two blocks: a left row meets the right ones; one block: a row meets those of later roots
-        begin = np.where(i == j, after_root, np.where(right, end, after_side))
+        end, begin = ends(s, i, j), np.where(i == j, ends(s, i, j, root), ends(s, i, j, right))
         k = end - begin
         total, at = np.cumsum(k), 0
         while at < len(s):
@@ -177,26 +184,29 @@ def later_pairs(rows: DataFrame) -> DataFrame:
             other = np.repeat(begin[at:to], k[at:to]) + np.arange(len(left)) - np.repeat(np.cumsum(k[at:to]) - k[at:to], k[at:to])
             fit = of_size(n[left], n[other]) & (root[left] != root[other])
             left, other = left[fit], other[fit]
-            differ = np.bitwise_count(sketch[:, left] ^ sketch[:, other]).sum(axis=0, dtype=np.int64)
-            fit = differ <= most_apart(n[left], n[other])
+            fit = np.bitwise_count(sketch[left] ^ sketch[other]).sum(axis=1, dtype=np.int64) <= most_apart(n[left], n[other])
             if fit.any():
                 a, b = node[left[fit]], node[other[fit]]
                 a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield _pairs(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
             at = to
 
     names = split.columns
 
+    def column(batch, name):
+        x = batch.column(name)
+        return x.values.to_numpy().view(np.uint64)[x.offset * MIDDLE :].reshape(-1, MIDDLE)[: len(x)] if name == "sketch" else x.to_numpy(zero_copy_only=False)
+
     def meet(batches):
         held, n = [], 0
         for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            columns = [column(batch, c) for c in names]
             if not len(columns[0]):
                 continue
             held.append(columns)
             n += len(columns[0])
             last = [c[-1] for c in columns[:3]]
-            if n < 1 << 17 or all(c[0] == x for c, x in zip(held[0][:3], last, strict=True)):
+            if n < 1 << 14 or all(c[0] == x for c, x in zip(held[0][:3], last, strict=True)):
                 continue
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             open_ = (columns[0] == last[0]) & (columns[1] == last[1]) & (columns[2] == last[2])
@@ -206,7 +216,65 @@ def later_pairs(rows: DataFrame) -> DataFrame:
         if held:
             yield from pair(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return split.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "right", "root", "n").mapInArrow(meet, "a long, b long, s long, n long")
+    return split.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "right", "root", "n").mapInArrow(meet, "a long, b long")
+
+
+def _xor(columns):
+    out = columns[0]
+    for c in columns[1:]:
+        out = out.bitwiseXOR(c)
+    return out
+
+
+def wanted_of(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """One row of ``table`` for each node of the pairs (a, b)."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return table.join(nodes, "node").dropDuplicates(["node"])
+
+
+def near_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The different pairs (a, b) that the wide sketches (node, n, wide) do not rule out, as a written table."""
+    pairs = materialise(few_parts(pairs.distinct()), "pairs")
+    held = materialise(few_parts(wanted_of(pairs, sketches)), "sketches")
+    side = lambda k: held.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"wide_{k}"))
+    differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    fit = (UP + DOWN) * differ <= (DOWN - UP) * (F.col("n_a") + F.col("n_b"))
+    out = materialise(few_parts(pairs.join(side("a"), "a").join(side("b"), "b").where(fit).select("a", "b")), "near")
+    discard(pairs)
+    discard(held)
+    return out
+
+
+def similar_pairs(docs: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """The pairs of the written table ``near`` that are similar enough. The sets are made from the texts (_id, _text) of the nodes' least ids again."""
+    ids = materialise(few_parts(wanted_of(near, nodes).select("node", F.col("least").alias("_least"))), "wanted")
+    held = ids.select("_least").hint("broadcast" if ids.count() <= MAX_BROADCAST_ROWS else "shuffle_hash")
+    texts = docs.join(held, F.col("_id").eqNullSafe(F.col("_least")), "left_semi")
+
+    def make(texts):
+        sets = shingle_sets(texts, SHINGLE)
+        return {"node": pa.array([node_of(x) for x in sets], pa.int64()), "shingles": longs(sets)}
+
+    sets = materialise(few_parts(scan_text(texts, [], "_text", make, "node long, shingles array<long>").dropDuplicates(["node"])), "sets")
+    both = near.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b")
+    enough = (UP + DOWN) * F.size(F.array_intersect("s_a", "s_b")) >= UP * (F.size("s_a") + F.size("s_b"))
+    out = materialise(few_parts(both.where(enough).select("a", "b")), "similar")
+    discard(ids)
+    discard(sets)
+    return out
+
+
+def roots_of(pairs: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the nodes of the pairs (a, b). ``before``: roots that other pairs have led to, which are joined further."""
+    if before is not None:
+        one = lambda k: before.toDF(k, f"root_{k}")
+        pairs = pairs.join(one("a"), "a", "left").join(one("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    found = components(pairs)
+    found = found.union(found.select("root", "root").distinct()).toDF("node", "root")
+    if before is None:
+        return found
+    joined = before.join(found.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return joined.union(found.join(before, "node", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,31 +287,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     renamed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     common = common_shingles(renamed, "_id", "_text")
+    made = {"node": pa.int64(), "n": pa.int64(), "wide": pa.list_(pa.int64()), "signatures": pa.list_(pa.int64())}
 
-    def make(texts):
-        sets = shingle_sets(texts, SHINGLE)
-        wide = np.stack([sketch_of(x) for x in sets]) if sets else np.zeros((0, WIDE // 64), np.uint64)
-        sketches = np.bitwise_xor.reduce(wide.reshape(len(sets), -1, len(SKETCH)), axis=1).view(np.int64)
-        return {
-            "node": pa.array([node_of(x) for x in sets], pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()),
-            **{c: pa.array(np.ascontiguousarray(sketches[:, i])) for i, c in enumerate(SKETCH)}, "wide": longs(list(wide)), "signatures": longs(signatures(sets, common)),
-        }
-
-    schema = "node long, n long, " + ", ".join(f"{c} long" for c in SKETCH) + ", wide array<long>, signatures array<long>"
-    prints = materialise(scan_text(renamed, ["_id"], "_text", make, schema), "prints")
-    full = prints.where("n > 0")
-    nodes = materialise(full.groupBy("node", "n", *SKETCH).agg(F.min("_id").alias("least"), F.first("wide").alias("wide"), F.count("*").alias("_rows")), "nodes")
-    once = full.select("node", "n", "signatures").dropDuplicates(["node"])
-    pairs = materialise(first_pairs(once.select(F.explode("signatures").alias("s"), "n", "node")), "candidates")
-    found = similar(renamed, nodes, pairs, "_id", "_text")
-    roots = components(found)
-    linked = roots.union(roots.select("root", "root").distinct()).toDF("node", "root")
-    known = nodes.join(linked, "node", "left").select("node", *SKETCH, F.coalesce("root", "node").alias("root"))
-    rest = materialise(pairs.where("s is not null").select("s", F.col("a").alias("node"), "n").join(known, "node"), "members")
-    more_pairs = materialise(later_pairs(rest), "candidates")
-    more = similar(renamed, nodes, more_pairs, "_id", "_text")
-    for table in (pairs, rest, more_pairs):
-        discard(table)
-    within = with_components(full.select("_id", "node", "n"), nodes.select("node", "least", "_rows"), components(found.union(more)), "node")
+    def find(batches):
+        seen = set()  # of the task: copies are not sent again
+        for batch in batches:
+            for part, texts in slices(batch, "_text"):
+                sets = shingle_sets(texts, SHINGLE)
+                node = [node_of(x) for x in sets]
+                new = [i for i, x in enumerate(node) if len(sets[i]) and x not in seen and not seen.add(x)]
+                fresh = [sets[i] for i in new]
+                at = np.full(len(sets), -1)
+                at[new] = np.arange(len(new))
+                at = pa.array(at, mask=at < 0)
+                wide, signs = longs([sketch_of(x) for x in fresh]), longs(signatures(fresh, common))
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(node, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), wide.take(at), signs.take(at)], ["_id", *made])
+            tidy()
+
+    kind = renamed.schema["_id"].dataType.simpleString()
+    prints = materialise(small_batches(renamed).mapInArrow(find, f"_id {kind}, node long, n long, wide array<long>, signatures array<long>"), "prints")
+    full, fresh = prints.where("n > 0"), prints.where("wide is not null")
+    nodes = materialise(full.groupBy("node").agg(F.min("_id").alias("least"), F.count("*").alias("_rows")), "nodes")
+    sketches = fresh.select("node", "n", "wide")
+    pairs = materialise(first_pairs(fresh.select(F.explode("signatures").alias("s"), "n", "node")), "candidates")
+    roots = roots_of(similar_pairs(renamed, nodes, near_pairs(pairs.where("s is null").select("a", "b"), sketches)))
+    members = pairs.where("s is not null").select("s", F.col("a").alias("node"), "n")
+    rest = materialise(members.join(roots, "node", "left").select("s", "node", "n", F.coalesce("root", "node").alias("root")), "members")
+    discard(pairs)
+    more = similar_pairs(renamed, nodes, near_pairs(later_pairs(rest, sketches), sketches))
+    discard(rest)
+    if not more.isEmpty():
+        roots = roots_of(more, roots)
+    within = with_components(full.select("_id", "node", "n"), nodes, roots, "node", closed=True)
     alone = prints.where("n = 0").select("_id", "node", "n", F.col("_id").alias("component_id"))
     return within.select("_id", "node", "n", "component_id").union(alone).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "node", "component_id")

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, discard, find_words, join_skewed, materialise, mix, new_key, scan_text, text_bytes
+from .common import LOWER, NOT_SPACE, discard, few_parts, find_words, join_skewed, materialise, mix, new_key, scan_text, text_bytes
 
 SHINGLE = 4
 SEED = 42
@@ -220,19 +220,18 @@ def components(links: DataFrame) -> DataFrame:
     round is written to the shared folder.
     """
     order = lambda x, y: (F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
-    edges = materialise(links.where("a <> b").select(*order("a", "b")).distinct(), "links")
-    seen = None
+    edges = materialise(few_parts(links.where("a <> b").select(*order("a", "b")).distinct()), "links")
     while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        ends = edges.select("u", F.lit(1).alias("out")).union(edges.select("v", F.lit(0)))
+        degree = ends.groupBy("u").agg(F.sum("out").alias("out"), F.count("*").alias("all"))
+        if degree.where("out > 1 or (out = 1 and all > 1)").isEmpty():  # stars whose centres are the least
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = state
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        after = materialise(pairs.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        after = materialise(few_parts(pairs.select("e.u", "e.v").where("u <> v").distinct()), "links")
         discard(edges)
         edges = after
 
@@ -250,10 +249,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("_id").alias(id_col), "fingerprint", "component_id")
 
 
-def with_components(rows: DataFrame, nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+def with_components(rows: DataFrame, nodes: DataFrame, roots: DataFrame, key: str, closed: bool = False) -> DataFrame:
     """``rows`` with the least id of their component. ``nodes`` has a row for each ``key``, its least id and how many rows have it in
-    ``_rows``; ``roots`` has (node, root) of the linked ones. Rows and nodes are written tables."""
-    linked = roots.union(roots.select("root", "root").distinct()).toDF(key, "root")
+    ``_rows``; ``roots`` has (node, root) of the linked ones, of the roots too if it is ``closed``. Rows and nodes are written tables."""
+    linked = (roots if closed else roots.union(roots.select("root", "root").distinct())).toDF(key, "root")
     known = materialise(nodes.join(linked, key, "left").select(key, "least", "_rows", "root"), "known")
     of_root = known.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     of_root = materialise(of_root.withColumnRenamed("n", "_rows"), "roots")

@@ -54,6 +54,7 @@ def test_buckets_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(partenum, "NEXT", 1)
     monkeypatch.setattr(partenum, "BLOCK_ROWS", 4)
     monkeypatch.setattr(partenum, "PAIR_BLOCK", 16)
+    monkeypatch.setattr(partenum, "MAX_BROADCAST_ROWS", 3)
     rng, texts = random.Random(3), {}
     for _ in range(4):
         base = [f"w{rng.randrange(9000)}" for _ in range(60)]
