@@ -52,22 +52,6 @@ def shift_known(df: DataFrame, months: int = 1) -> DataFrame:
     return df.withColumn("month", F.add_months("month", months))
 
 
-def first_reported(facts: DataFrame, keys: list[str]) -> DataFrame:
-    """The earliest filing of each fact; ties by the best tag rank."""
-    return facts.groupBy(*keys).agg(F.min(F.struct("filed", "tag_rank", "value")).alias("f")).select(*keys, "f.filed", "f.value")
-
-
-def trailing_four(quarters: DataFrame, keys: list[str]) -> DataFrame:
-    """Sum of the last four quarters where they follow each other (80 to 100 days apart, 250 to 290 over three steps)."""
-    w = by(*keys, order="end")
-    four = w.rowsBetween(-3, 0)
-    step = F.datediff("end", F.lag("end").over(w))
-    x = quarters.withColumn("step", step)
-    ok = (F.count("*").over(four) == 4) & (F.datediff("end", F.first("end").over(four)).between(250, 290))
-    steady = F.max(F.col("step")).over(w.rowsBetween(-2, 0)).between(80, 100)
-    return x.withColumn("ttm", F.when(ok & steady, F.sum("value").over(four))).drop("step")
-
-
 def momentum_walk_forward(results: DataFrame, least: int = 200) -> DataFrame:
     """(year, config): each year the configuration with the best Sharpe ratio of all earlier days; ties go to the first name."""
     daily = results.groupBy("config", "date").agg(F.avg("ret").alias("ret"))

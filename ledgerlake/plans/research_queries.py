@@ -107,12 +107,6 @@ def _quarters(spark, d):
     return x.select("cik", F.date_sub(F.add_months("q", 3), 1).alias("end"), "value", F.date_add(F.add_months("q", 3), 40).alias("filed"), F.col("q").alias("start"))
 
 
-@query(f"""WITH {FACTS}, e AS (SELECT cik, (make_date(CAST(y AS BIGINT), CAST(q * 3 AS BIGINT), 1) + INTERVAL 1 MONTH - INTERVAL 1 DAY)::DATE AS fin, value FROM fa), w AS (SELECT *, count(*) OVER f AS n, date_diff('day', first_value(fin) OVER f, fin) AS span, sum(value) OVER f AS s FROM e WINDOW f AS (PARTITION BY cik ORDER BY fin ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
- SELECT cik, fin AS end, {r('CASE WHEN n = 4 AND span BETWEEN 250 AND 290 THEN s END', 2)} AS ttm FROM w""".replace("fin AS end", 'fin AS "end"'))
-def ttm(spark, d):
-    return rounded(sg.trailing_four(_quarters(spark, d), ["cik"]).select("cik", "end", "ttm"), 2)
-
-
 @query(f"""WITH {FACTS}, e AS (SELECT cik, (make_date(CAST(y AS BIGINT), CAST(q * 3 AS BIGINT), 1) + INTERVAL 1 MONTH - INTERVAL 1 DAY)::DATE AS fin, value FROM fa) SELECT cik, fin AS "end", {r('value', 2)} AS value FROM e""")
 def discrete_quarters(spark, d):
     q = _quarters(spark, d)

@@ -106,3 +106,56 @@ SQL = {
 
 def with_views(*names: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names)
+
+
+#: Figures of a company and quarter, from what its orders sum up to: (field, from the first of the year on, value). rev: order prices, k and n: sums of customer numbers and orders.
+FIGURES = (
+    ("total_assets", False, "1e6 + 3 * rev"), ("current_assets", False, "1.2 * rev + 1000 * n"), ("current_liabilities", False, "0.7 * rev + 500 * k"), ("lt_debt", False, "CASE WHEN n % 5 > 0 THEN 2000.0 * k END"),
+    ("revenue", True, "rev"), ("cogs", True, "rev * (0.55 + (k % 10) / 100)"), ("gross_profit", True, "CASE WHEN n % 3 = 0 THEN 0.4 * rev END"), ("net_income", True, "0.1 * rev - 900.0 * k"), ("ocf", True, "0.12 * rev - 2500.0 * n"),
+)
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cik, field, tag_rank, start, end, value, filed): filings of fifty companies. Flows are sums from the first of the year; some come
+    late; revenue has a second tag; shares come with those of the year before, restated by half the companies."""
+    o = read(spark, sf_dir, "orders").withColumn("q", F.trunc(F.col("o_orderdate").cast("date"), "quarter"))
+    q = o.groupBy((F.col("o_custkey") % 50).alias("cik"), "q").agg(F.sum("o_totalprice").alias("rev"), F.count("*").alias("n"), F.sum(F.col("o_custkey") % 13).alias("k"))
+    w = Window.partitionBy("cik", F.year("q")).orderBy("q").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.date_sub(F.add_months("q", 3), 1)
+    no_start, zero = F.lit(None).cast("date"), F.lit(0.0)
+
+    def fact(field: str, rank: int, start, fin, value, filed, own):
+        names = ("field", "tag_rank", "start", "end", "value", "filed", "own")
+        return F.struct(*(x.alias(n) for n, x in zip(names, (F.lit(field), F.lit(rank), start, fin, value.cast("double"), filed, own.cast("double")), strict=True)))
+
+    found = []
+    for field, flow, value in FIGURES:
+        if flow:
+            q = q.withColumn(f"ytd_{field}", F.sum(F.expr(value)).over(w))
+        amount = F.col(f"ytd_{field}") if flow else F.expr(value)
+        late = F.when(F.lit(field in ("cogs", "ocf")) & (F.col("k") % 4 == 0), 10).otherwise(0)
+        found.append(fact(field, 0, F.trunc("q", "year") if flow else no_start, end, amount, F.date_add(end, 40 + late), F.expr(value)))
+        if field == "revenue":
+            found.append(fact(field, 1, F.trunc("q", "year"), end, amount * 1.01, F.date_add(end, 40), F.expr(value)))
+    shares = 1000.0 + 10 * F.col("n")
+    found.append(fact("diluted_shares", 0, F.col("q"), end, shares, F.date_add(end, 40), zero))
+    found.append(fact("diluted_shares", 0, F.add_months("q", -12), F.date_sub(F.add_months("q", -9), 1), shares * F.when(F.col("cik") % 2 == 0, 2.0).otherwise(0.99), F.date_add(end, 40), zero))
+    return q.select("cik", F.explode(F.array(*found)).alias("f")).select("cik", "f.*").where("own is not null").drop("own")
+
+
+def _facts_sql() -> str:
+    parts = []
+    for field, flow, value in FIGURES:
+        amount = f"sum({value}) OVER (PARTITION BY cik, year(q) ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" if flow else value
+        late = "CASE WHEN k % 4 = 0 THEN 50 ELSE 40 END" if field in ("cogs", "ocf") else "40"
+        start = "CAST(date_trunc('year', q) AS DATE)" if flow else "CAST(NULL AS DATE)"
+        parts.append(f"SELECT cik, '{field}' AS field, 0 AS tag_rank, {start} AS st, fin, {amount} AS value, fin + {late} AS filed, {value} AS own FROM fq")
+    parts.append(parts[4].replace("0 AS tag_rank", "1 AS tag_rank").replace(") AS value", ") AS value").replace("ROW) AS value", "ROW) * 1.01 AS value"))
+    share = "SELECT cik, 'diluted_shares', 0, {st}, {fin}, (1000.0 + 10 * n){scale}, fin + 40, 0.0 FROM fq"
+    parts.append(share.format(st="q", fin="fin", scale=""))
+    parts.append(share.format(st="CAST(q - INTERVAL 12 MONTH AS DATE)", fin="CAST(q - INTERVAL 9 MONTH - INTERVAL 1 DAY AS DATE)", scale=" * CASE WHEN cik % 2 = 0 THEN 2.0 ELSE 0.99 END"))
+    base = "SELECT o_custkey % 50 AS cik, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS q, CAST(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS fin, sum(o_totalprice) AS rev, count(*) AS n, sum(o_custkey % 13) AS k FROM orders GROUP BY 1, 2, 3"
+    return f"SELECT cik, field, tag_rank, st, fin, value, filed FROM (WITH fq AS ({base}) {' UNION ALL '.join(parts)}) WHERE own IS NOT NULL"
+
+
+SQL["facts"] = _facts_sql()
