@@ -54,3 +54,14 @@ def safe_corr(x: Column | str, y: Column | str) -> Column:
 def safe_beta(y: Column | str, x: Column | str) -> Column:
     """Slope of y on x as an aggregate; null where x does not vary."""
     return F.covar_samp(y, x) / F.nullif(F.var_samp(x), F.lit(0.0))
+
+
+def chi_square_tail(x: Column, freedom: int) -> Column:
+    """The probability that a chi-square figure of so many degrees of freedom is over ``x``: a finite sum of the incomplete gamma function."""
+    z = F.greatest(x, F.lit(0.0)) / 2
+    odd = freedom % 2
+    out = 2 * phi(-F.sqrt(2 * z)) if odd else F.lit(0.0)
+    for i in range(freedom // 2):
+        power = i + odd / 2
+        out = out + F.exp(-z) * F.pow(z, F.lit(float(power))) / math.gamma(power + 1)
+    return out

@@ -34,17 +34,26 @@ def run_lookbacks(prices: DataFrame, days: list[int], bps: float) -> DataFrame:
     return longflat(long, ["config", "symbol"], bps)
 
 
-def alloc_proportional(confidence: Column, low: float = 0.0, high: float = 1.0, step: float = 0.25) -> Column:
-    """Confidence to a weight in steps (half-even rounding), within bounds."""
-    return F.least(F.lit(high), F.greatest(F.lit(low), F.bround(confidence / step, 0) * step))
+def stepped(confidence: Column, step: float = 0.1) -> Column:
+    """A confidence in steps (half-even rounding), between 0 and 1."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(F.bround(confidence / step, 0) * step, 4)))
 
 
-def alloc_tiered(confidence: Column, tiers: list[tuple[float, float]]) -> Column:
-    """The weight of the highest tier that the confidence reaches."""
-    out = None
+def alloc_proportional(confidence: Column, assets: int = 1) -> Column:
+    """The weight of each of ``assets`` risky assets that share the confidence equally."""
+    return confidence / assets
+
+
+def alloc_tiered(confidence: Column, tiers: list[tuple[float, float]], otherwise: float = 0.0) -> Column:
+    """An asset's weight in the highest tier (bound, weight) that the confidence reaches."""
+    out = F
     for bound, weight in sorted(tiers, reverse=True):
-        out = (F if out is None else out).when(confidence >= bound - 1e-9, F.lit(weight))
-    return out.otherwise(F.lit(0.0))
+        out = out.when(confidence >= bound - 1e-9, F.lit(weight))
+    return out.otherwise(F.lit(otherwise))
+
+
+def alloc_constant(weight: float) -> Column:
+    return F.lit(weight)
 
 
 def shift_known(df: DataFrame, months: int = 1) -> DataFrame:
