@@ -32,50 +32,6 @@ def regime_engine(returns: DataFrame, decisions: DataFrame, bps: float) -> DataF
     return gross.select("config", "date", F.col("drifted").alias("weight"), turnover.alias("turnover"), (F.col("gross") - turnover * bps / 1e4).alias("ret"))
 
 
-def event_loop(panel: DataFrame, configs: DataFrame) -> DataFrame:
-    """(config, date, equity, cash, n_positions): a daily stock-picking account for each configuration.
-
-    ``panel`` is (symbol, date, open, high, low, close, rank, ok): candidates are ok rows, best rank first. ``configs`` is (config,
-    slots, stop, target, max_days, fee_bps). Each day: positions past their days or no longer ok go at the open; free slots are
-    filled at the open in rank order with an equal share of equity as far as cash goes; stops, then targets, fill inside the day; the
-    rest is marked at the close. Cash couples the symbols, so a configuration is one task; its panel must fit that task.
-    """
-    grid = panel.join(F.broadcast(configs))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        c = rows.iloc[0]
-        slots, stop, target, max_days, fee = int(c.slots), float(c.stop), float(c.target), int(c.max_days), float(c.fee_bps) / 1e4
-        cash, held, out = 1.0, {}, []
-        for date, day in rows.sort_values(["date", "rank", "symbol"]).groupby("date", sort=True):
-            quotes = {r.symbol: r for r in day.itertuples()}
-            for s in [s for s, p in held.items() if s in quotes and (p["days"] >= max_days or not quotes[s].ok)]:
-                cash += held.pop(s)["qty"] * quotes[s].open * (1 - fee)
-            equity = cash + sum(p["qty"] * p["last"] for p in held.values())
-            for r in quotes.values():
-                if len(held) >= slots:
-                    break
-                budget = min(cash, equity / slots)
-                if r.ok and r.symbol not in held and budget > 0.02 * equity / slots and r.open > 0:
-                    held[r.symbol] = {"qty": budget / (r.open * (1 + fee)), "cost": r.open, "days": 0, "last": r.open}
-                    cash -= budget
-            for s in list(held):
-                p, q = held[s], quotes.get(s)
-                p["days"] += 1
-                if q is None:
-                    continue
-                low, high = p["cost"] * (1 - stop), p["cost"] * (1 + target)
-                exit_at = min(low, q.open) if q.low <= low else max(high, q.open) if q.high >= high else None
-                if exit_at is not None:
-                    cash += p["qty"] * exit_at * (1 - fee)
-                    del held[s]
-                else:
-                    p["last"] = q.close
-            out.append((c.config, date, cash + sum(p["qty"] * p["last"] for p in held.values()), cash, len(held)))
-        return pd.DataFrame(out, columns=["config", "date", "equity", "cash", "n_positions"])
-
-    return grid.groupBy("config").applyInPandas(run, "config string, date date, equity double, cash double, n_positions long")
-
-
 def signed_logit(x: np.ndarray, y: np.ndarray, signs: np.ndarray, l2: float, weights: np.ndarray | None = None, steps: int = 60) -> np.ndarray:
     """(intercept, coefficients) of an L2 logistic regression whose coefficients keep the given signs (0: free).
 

@@ -65,6 +65,32 @@ def truncation_audit(operator: Callable[[DataFrame], DataFrame], data: DataFrame
     return operator(data).where(until).exceptAll(operator(data.where(until)))
 
 
+def engine_causality(engine: Callable[[DataFrame], DataFrame], data: DataFrame, cuts: list[str], keys: list[str], values: list[str], shaken: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """(cut, test, rows, differing): whether an engine's results up to each cut change if it does not see what comes after it ("short"),
+    or sees garbage there ("shaken"). Both are 0 for an engine without look-ahead; rows counts what was compared.
+
+    ``engine`` maps dated data to dated results with ``keys`` and numeric ``values``; garbage are hashed multiples of the columns ``shaken``.
+    The whole run is made once for all cuts.
+    """
+    whole = engine(data).select(*keys, "date", *values)
+    out = None
+    for cut in cuts:
+        at = F.lit(cut).cast("date")
+        noise = lambda c: F.when(F.col("date") > at, F.col(c) * (0.5 + F.pmod(F.xxhash64("date", F.lit(c)), F.lit(1000)) / 500.0)).otherwise(F.col(c)).alias(c)  # noqa: E731, B023
+        garbage = data.select(*(noise(c) if c in shaken else F.col(c) for c in data.columns))
+        for test, seen in (("short", data.where(F.col("date") <= at)), ("shaken", garbage)):
+            a, b = (x.where(F.col("date") <= at).select(*keys, "date", *(F.col(v).cast("double").alias(f"{v}_{k}") for v in values)) for x, k in ((whole, "a"), (engine(seen), "b")))
+            same = F.lit(True)
+            for v in values:
+                x, y = F.col(f"{v}_a"), F.col(f"{v}_b")
+                same &= F.coalesce(F.abs(x - y) <= tolerance * F.greatest(F.lit(1.0), F.abs(x)), x.isNull() & y.isNull())
+            met = a.withColumn("_a", F.lit(1)).join(b.withColumn("_b", F.lit(1)), [*keys, "date"], "full_outer")
+            good = F.col("_a").isNotNull() & F.col("_b").isNotNull() & same
+            one = met.agg(F.count("*").alias("rows"), F.sum((~good).cast("long")).alias("differing")).select(F.lit(cut).alias("cut"), F.lit(test).alias("test"), "rows", F.coalesce("differing", F.lit(0)).alias("differing"))
+            out = one if out is None else out.union(one)
+    return out
+
+
 def walk_forward_efficiency(folds: DataFrame) -> DataFrame:
     """Mean out-of-sample over mean in-sample Sharpe ratio of (config, fold, is_sr, oos_sr)."""
     return folds.groupBy("config").agg((F.avg("oos_sr") / F.nullif(F.avg("is_sr"), F.lit(0.0))).alias("efficiency"))

@@ -173,15 +173,6 @@ def regime_engine(spark, d):
     return x.select("date", (F.round("weight", 6) + 0.0).alias("weight"), (F.round("turnover", 6) + 0.0).alias("turnover"), (F.round("ret", 8) + 0.0).alias("ret"))
 
 
-@query()
-def stock_event_loop(spark, d):
-    p = v.prices(spark, d)
-    w = Window.partitionBy("symbol").orderBy("date")
-    panel = p.withColumn("prev", F.lag("close").over(w)).where("prev is not null").select("symbol", "date", F.col("prev").alias("open"), F.greatest("close", "prev").alias("high"), F.least("close", "prev").alias("low"), "close", F.rank().over(Window.partitionBy("date").orderBy("prev")).alias("rank"), (F.col("prev") < F.avg("close").over(w.rowsBetween(-60, -1))).alias("ok"))
-    configs = spark.createDataFrame([(f"c{k}", 5 + k, 0.1, 0.2, 20, 5.0) for k in range(3)], "config string, slots int, stop double, target double, max_days int, fee_bps double")
-    return rounded(en.event_loop(panel, configs))
-
-
 @query()
 def cpcv_compare(spark, d):
     return rounded(en.cpcv(inner_align(v.returns(spark, d), 3), ["equal", "min_variance"]))

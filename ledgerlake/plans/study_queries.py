@@ -123,7 +123,8 @@ def autocorr_by_decade(spark, d):
 
 
 @query(f"{lq.LEGS} SELECT direction AS reason, count(*) AS trades, {r('avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END)')} AS win_rate, {r('avg(ret)', 5)} AS avg_return, {r('avg(days)')} AS avg_days FROM tp WHERE closed GROUP BY 1")
-def exit_reason_stats(spark, d):
+def direction_stats(spark, d):
+    """Round trips by long and short."""
     x = st.exit_reason_stats(lq._trips(spark, d).where("closed").withColumnRenamed("direction", "reason"))
     return rounded(x).withColumn("avg_return", F.round("avg_return", 5) + F.lit(0.0))
 

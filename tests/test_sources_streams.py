@@ -66,14 +66,6 @@ def test_streamed_windows_match_batch_windows(spark, tmp_path):
     assert {(r.event_type, r.start, r.n) for r in out.collect()} == {(r.event_type, r.w.start, r["count"]) for r in want.collect()}
 
 
-def test_event_loop_by_hand(spark):
-    days = [dt.date(2026, 1, d) for d in (5, 6, 7)]
-    panel = spark.createDataFrame([("A", days[0], 10.0, 11.0, 9.5, 10.0, 1, True), ("A", days[1], 10.0, 10.0, 7.0, 8.0, 1, True), ("A", days[2], 8.0, 8.0, 8.0, 8.0, 1, False)], "symbol string, date date, open double, high double, low double, close double, rank int, ok boolean")
-    configs = spark.createDataFrame([("c", 1, 0.2, 0.5, 99, 0.0), ("d", 2, 0.9, 0.05, 99, 0.0)], "config string, slots int, stop double, target double, max_days int, fee_bps double")
-    got = {(r.config, r.date): round(r.equity, 6) for r in engines.event_loop(panel, configs).collect()}
-    assert [got["c", d] for d in days] == [1.0, 0.8, 0.8] and got["d", days[0]] == 1.025
-
-
 def test_signed_logit_and_purged_splits():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 2))
