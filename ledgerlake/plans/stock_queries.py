@@ -98,8 +98,8 @@ CUTS = ["1998-06-30", "2000-03-31"]
  SELECT engine, cut, test, count(*) AS days, engine = 'leaking' AS leaks FROM e, c, t, dy WHERE date <= CAST(cut AS DATE) GROUP BY 1, 2, 3""")
 def engine_causality(spark, d):
     """An account up to two cuts, without what comes after and with garbage in its place; and one that looks a month ahead."""
-    honest = lambda x: sl.days_of(sl.run_accounts(x, ONE, RULES, START))
-    ahead = lambda x: honest(x.withColumn("ok", F.col("ok") & F.coalesce(F.lead("close", 20).over(by("symbol")) > F.col("close"), F.lit(False))))
+    honest = lambda x: sl.days_of(sl.run_accounts(x, ONE, sl.Rules(exit_score=6.0, stop=None, target=False), START))
+    ahead = lambda x: honest(x.withColumn("score", F.when(F.lead("close", 20).over(by("symbol")) > F.col("close"), 9.0).otherwise(0.0)))
     out = None
     for name, engine in (("account", honest), ("leaking", ahead)):
         found = sf.engine_causality(engine, panel(spark, d), CUTS, ["config"], ["equity", "invested", "positions"], ["open", "high", "low", "close", "slow"])

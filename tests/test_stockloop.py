@@ -198,8 +198,8 @@ def test_variants_walk_through_the_best_of_the_years_before(spark):
 def test_a_leak_in_an_engine_is_found(spark):
     panel = spark.createDataFrame(rows(60), SCHEMA)
     honest = lambda x: sl.days_of(sl.run_accounts(x, CONFIGS[:1], RULES[0]))
-    ahead = lambda x: honest(x.join(x.select("symbol", F.date_sub("date", 1).alias("date"), F.col("close").alias("_c")), ["symbol", "date"], "left").withColumn("ok", F.col("ok") & F.coalesce(F.col("_c") > F.col("close"), F.lit(False))).drop("_c"))
+    ahead = lambda x: honest(x.join(x.select("symbol", F.date_sub("date", 5).alias("date"), F.col("close").alias("_c")), ["symbol", "date"], "left").withColumn("score", F.when(F.col("_c") > F.col("close"), 9.0).otherwise(0.0)).drop("_c"))
     check = lambda e: {(r.test): r.differing for r in sf.engine_causality(e, panel, ["2020-02-10"], ["config"], ["equity"], ["open", "high", "low", "close"]).collect()}
     assert check(honest) == {"short": 0, "shaken": 0}
     leaked = check(ahead)
-    assert leaked["shaken"] > 0
+    assert leaked["shaken"] > 0 and leaked["short"] > 0
