@@ -104,34 +104,44 @@ def purged_splits(n: int, folds: int, tests: int, purge: int) -> list[tuple[np.n
     return out
 
 
-def cpcv(returns: DataFrame, methods: list[str], folds: int = 10, tests: int = 2, purge: int = 5, embargo: int = 5, cap: float = 1.0) -> DataFrame:
+def cpcv(returns: DataFrame, methods: list[str], folds: int = 10, tests: int = 2, purge: int = 5, embargo: int = 5, cap: float = 1.0, rf: float = 0.0, extra: dict | None = None) -> DataFrame:
     """(method, history, sharpe, max_drawdown): combinatorial purged cross-validation.
 
     Every ``tests`` of the folds are test days once; weights are fitted on the others without ``purge`` days on either side of a test
     fold and ``embargo`` more after it. Each fold is tested in as many splits as there are histories; history k strings together the
-    k-th test of every fold. A task has one split.
+    k-th test of every fold. The days of a few series are one row of arrays, which each split's task gets once.
     """
-    from .allocation import YEAR, weights_of
+    from .allocation import YEAR, day_vectors, weights_of
 
     chosen = list(itertools.combinations(range(folds), tests))
     number = {(s, f): sum(f in c for c in chosen[:s]) for s, c in enumerate(chosen) for f in c}
-    splits = returns.sparkSession.range(len(chosen)).select(F.col("id").cast("int").alias("split"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        split = int(rows["split"].iloc[0])
-        wide = rows.pivot_table(index="date", columns="series_id", values="ret").dropna().sort_index()
-        r, edges = wide.to_numpy(), np.linspace(0, len(wide), folds + 1).astype(int)
-        train = np.ones(len(r), bool)
-        for f in chosen[split]:
-            train[max(0, edges[f] - purge) : edges[f + 1] + purge + embargo] = False
-        out = []
-        for m in methods:
-            w = weights_of(m, r[train], 0.0, cap)
-            out += [pd.DataFrame({"method": m, "history": number[split, f], "date": wide.index[edges[f] : edges[f + 1]], "ret": r[edges[f] : edges[f + 1]] @ w}) for f in chosen[split]]
-        return pd.concat(out)
-
-    days = returns.select("series_id", "date", "ret").join(F.broadcast(splits)).groupBy("split").applyInPandas(run, "method string, history int, date date, ret double")
+    whole = day_vectors(returns.withColumn("_all", F.lit(0)), "_all").groupBy("_all", "names").agg(F.sort_array(F.collect_list(F.struct("date", "r"))).alias("days"))
+    splits = whole.select("names", "days", F.explode(F.sequence(F.lit(0), F.lit(len(chosen) - 1))).alias("split")).repartition(len(chosen), "split")
+
+    def run(batches):
+        for batch in batches:
+            for _, row in batch.iterrows():
+                split, names = int(row["split"]), list(row["names"])
+                dates, r = [x["date"] for x in row["days"]], np.array([x["r"] for x in row["days"]])
+                own = {k: np.array([v.get(c, 0.0) for c in names]) if isinstance(v, dict) else v for k, v in (extra or {}).items()}
+                edges, train = np.linspace(0, len(r), folds + 1).astype(int), np.ones(len(r), bool)
+                for f in chosen[split]:
+                    train[max(0, edges[f] - purge) : edges[f + 1] + purge + embargo] = False
+                for m in methods:
+                    w = weights_of(m, r[train], 0.0, cap, rf, own)
+                    for f in chosen[split]:
+                        yield pd.DataFrame({"method": m, "history": number[split, f], "date": dates[edges[f] : edges[f + 1]], "ret": r[edges[f] : edges[f + 1]] @ w})
+
+    days = splits.mapInPandas(run, "method string, history int, date date, ret double")
     w = Window.partitionBy("method", "history").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     x = days.withColumn("w", F.product(1 + F.col("ret")).over(w))
     x = x.withColumn("dd", F.col("w") / F.greatest(F.max("w").over(w), F.lit(1.0)) - 1)
-    return x.groupBy("method", "history").agg((F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0)) * YEAR**0.5).alias("sharpe"), F.min("dd").alias("max_drawdown"))
+    return x.groupBy("method", "history").agg((F.avg(F.col("ret") - rf / YEAR) / F.nullif(F.stddev_samp("ret"), F.lit(0.0)) * YEAR**0.5).alias("sharpe"), F.min("dd").alias("max_drawdown"))
+
+
+def cpcv_summary(histories: DataFrame, against: str = "target") -> DataFrame:
+    """(method, histories, median, low, high, worst_drawdown, beats): Sharpe ratios over the histories, and the share in which a method does better
+    than the method ``against``."""
+    base = histories.where(F.col("method") == against).select("history", F.col("sharpe").alias("_base"))
+    q = lambda p: F.percentile("sharpe", F.lit(p))
+    return histories.join(base, "history", "left").groupBy("method").agg(F.count("*").alias("histories"), q(0.5).alias("median"), q(0.1).alias("low"), q(0.9).alias("high"), F.min("max_drawdown").alias("worst_drawdown"), F.avg((F.col("sharpe") > F.col("_base")).cast("double")).alias("beats"))

@@ -69,6 +69,13 @@ def underwater(returns: DataFrame, level: float = -1e-12) -> DataFrame:
     ).withColumn("recovered", F.col("recovery").isNotNull())
 
 
+def drawdown_episodes(returns: DataFrame, level: float) -> DataFrame:
+    """(series_id, episodes, days): separate times, and days, that wealth was over ``level`` (negative) below its peak."""
+    under = drawdown(returns).withColumn("_u", F.col("drawdown") < level)
+    new = under.withColumn("_new", F.col("_u") & ~F.coalesce(F.lag("_u").over(W()), F.lit(False)))
+    return new.groupBy("series_id").agg(F.sum(F.col("_new").cast("long")).alias("episodes"), F.sum(F.col("_u").cast("long")).alias("days"))
+
+
 def drawdown_table(returns: DataFrame, top: int = 5) -> DataFrame:
     """The deepest episodes of each series."""
     w = by("series_id", order="depth").orderBy("depth", "peak")
@@ -236,7 +243,7 @@ def spell_stats(positions: DataFrame) -> DataFrame:
     return runs.groupBy("series_id", "island").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("length"), (grown("ret") - 1).alias("ret"), (grown("ret") - grown("cash")).alias("excess"))
 
 
-def health_checks(summary: DataFrame, limits: dict[str, float]) -> DataFrame:
+def limit_checks(summary: DataFrame, limits: dict[str, float]) -> DataFrame:
     """(level, scope, message) of each rule that a series (series_id, max_drawdown, volatility, sharpe) breaks."""
     d = F.col
     rules = [
@@ -246,3 +253,69 @@ def health_checks(summary: DataFrame, limits: dict[str, float]) -> DataFrame:
     ]
     found = F.array(*(F.when(broken, F.struct(F.lit(level).alias("level"), F.lit(text).alias("message"))) for level, broken, text in rules))
     return summary.select(d("series_id").alias("scope"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("x.level", "scope", "x.message")
+
+
+def _falls(frame: DataFrame) -> DataFrame:
+    """``frame`` with _dd, wealth below its highest so far (the start does not count), and _run, the days of each unbroken fall so far."""
+    w = W()
+    x = wealth(frame)
+    x = x.withColumn("_dd", F.col("wealth") / F.max("wealth").over(running(w)) - 1)
+    x = x.withColumn("_k", F.sum((F.col("_dd") >= 0).cast("int")).over(running(w)))
+    return x.withColumn("_run", F.sum((F.col("_dd") < 0).cast("int")).over(Window.partitionBy("series_id", "_k").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def regime_stats(frame: DataFrame, bench: DataFrame) -> DataFrame:
+    """The regime report's figures of (series_id, date, ret, rf, exposure, turnover) against (date, ret) of a benchmark.
+
+    Daily: growth, risk, drawdowns (in years of 252 days, from the highest wealth of the record itself), tails, exposure and turnover a
+    year. By calendar month: best and worst, shape, the probability that the Sharpe ratio is over 0, and beta, alpha, correlation,
+    tracking error, information ratio and captures against the benchmark, whose missing days count as 0. One pass over days, one over months.
+    """
+    r, x = F.col("ret"), F.col("ret") - F.col("rf")
+    days = _falls(frame.join(bench.select("date", F.col("ret").alias("_b")), "date", "left").withColumn("_b", F.coalesce("_b", F.lit(0.0))))
+    years, down = F.count("*") / F.lit(float(YEAR)), F.sqrt(F.avg(F.pow(F.least(x, F.lit(0.0)), F.lit(2)))) * ROOT
+    total = F.product(1 + r)
+    cut = days.groupBy("series_id").agg(F.percentile("ret", F.lit(0.05)).alias("var95"))
+    daily = days.join(cut, "series_id").groupBy("series_id").agg(
+        (F.pow(total, 1 / years) - 1).alias("cagr"), (total - 1).alias("total_return"), (F.stddev_samp(r) * ROOT).alias("volatility"), down.alias("downside"), (F.avg(x) / F.nullif(F.stddev_samp(x), F.lit(0.0)) * ROOT).alias("sharpe"),
+        (F.avg(x) * YEAR / F.nullif(down, F.lit(0.0))).alias("sortino"), F.min("_dd").alias("max_drawdown"), (F.max("_run") / YEAR).alias("longest_years"), F.sqrt(F.avg(F.col("_dd") * F.col("_dd"))).alias("ulcer"),
+        F.first("var95").alias("var95"), F.avg(F.when(r <= F.col("var95"), r)).alias("cvar95"), F.avg("exposure").alias("exposure"), F.avg((F.col("exposure") > 0.01).cast("double")).alias("invested"), (F.sum("turnover") / years).alias("turnover"),
+    ).withColumn("calmar", F.col("cagr") / F.nullif(F.abs("max_drawdown"), F.lit(0.0)))
+    month = days.groupBy("series_id", F.trunc("date", "month").alias("_m")).agg((F.product(1 + r) - 1).alias("m"), (F.product(1 + F.col("rf")) - 1).alias("f"), (F.product(1 + F.col("_b")) - 1).alias("b"))
+    month = month.withColumns({"e": F.col("m") - F.col("f"), "be": F.col("b") - F.col("f"), "act": F.col("m") - F.col("b")})
+    e, m, b, act = (F.col(c) for c in ("e", "m", "b", "act"))
+    mean_of = lambda c, when: F.avg(F.when(when, c))
+    error = F.stddev_samp(act) * 12**0.5
+    beta = F.covar_samp("e", "be") / F.nullif(F.var_samp("be"), F.lit(0.0))
+    monthly = month.groupBy("series_id").agg(
+        F.max(m).alias("best_month"), F.min(m).alias("worst_month"), F.avg((m > 0).cast("double")).alias("positive_months"), F.skewness(e).alias("skew"), (F.kurtosis(e) + 3).alias("kurtosis"), (F.avg(e) / F.nullif(F.stddev_samp(e), F.lit(0.0))).alias("_sr"), F.count("*").alias("_n"),
+        beta.alias("beta"), ((F.avg(e) - beta * F.avg("be")) * 12).alias("alpha"), safe_corr("m", "b").alias("correlation"), error.alias("tracking_error"), F.when(error > 1e-9, F.avg(act) * 12 / error).alias("information"),
+        (mean_of(m, b > 0) / F.nullif(mean_of(b, b > 0), F.lit(0.0))).alias("up_capture"), (mean_of(m, b < 0) / F.nullif(mean_of(b, b < 0), F.lit(0.0))).alias("down_capture"),
+    )
+    z = F.col("_sr") * F.sqrt(F.col("_n") - 1) / F.sqrt(1 - F.col("skew") * F.col("_sr") + (F.col("kurtosis") - 1) / 4 * F.col("_sr") * F.col("_sr"))
+    return daily.join(monthly.withColumn("psr", phi(z)).drop("_sr", "_n"), "series_id")
+
+
+def stock_stats(returns: DataFrame, bench: DataFrame, rf: float = 0.0) -> DataFrame:
+    """The stock report's figures of (series_id, date, ret) against (date, ret) of a benchmark; ``rf`` is a yearly rate spread evenly.
+
+    Drawdowns are from the highest wealth of the record itself; the longest is in calendar days from the first day under the peak to the
+    first day at one again, or to the end. Missing benchmark days count as 0. Records of under two days or without movement are left out.
+    """
+    r, x = F.col("ret"), F.col("ret") - rf / YEAR
+    days = _falls(returns.join(bench.select("date", F.col("ret").alias("_b")), "date", "left").withColumn("_b", F.coalesce("_b", F.lit(0.0))))
+    end = days.groupBy("series_id").agg(F.max("date").alias("_end"), F.percentile("ret", F.lit(0.05)).alias("var95"))
+    # a fall begins on its first day under the peak and ends where the next count of peaks begins
+    runs = days.where("_dd < 0").groupBy("series_id", "_k").agg(F.min("date").alias("a"))
+    tops = days.where("_dd >= 0").select("series_id", (F.col("_k") - 1).alias("_k"), F.col("date").alias("z"))
+    longest = runs.join(tops, ["series_id", "_k"], "left").join(end.drop("var95"), "series_id").groupBy("series_id").agg(F.max(F.datediff(F.coalesce("z", "_end"), "a")).alias("longest_days"))
+    down = F.sqrt(F.avg(F.pow(F.least(x, F.lit(0.0)), F.lit(2)))) * ROOT
+    act, beta = F.col("ret") - F.col("_b"), F.covar_samp("ret", "_b") / F.nullif(F.var_samp("_b"), F.lit(0.0))
+    daily = days.join(end.drop("_end"), "series_id").groupBy("series_id").agg(
+        F.count("*").alias("_n"), (F.product(1 + r) - 1).alias("total_return"), (F.pow(F.product(1 + r), F.lit(float(YEAR)) / F.count("*")) - 1).alias("cagr"), (F.stddev_samp(r) * ROOT).alias("volatility"), (F.avg(x) / F.nullif(F.stddev_samp(r), F.lit(0.0)) * ROOT).alias("sharpe"),
+        (F.avg(x) * YEAR / F.nullif(down, F.lit(0.0))).alias("sortino"), F.min("_dd").alias("max_drawdown"), F.sqrt(F.avg(F.col("_dd") * F.col("_dd"))).alias("ulcer"), F.skewness(r).alias("skew"), F.kurtosis(r).alias("excess_kurtosis"), F.first("var95").alias("var95"), F.avg(F.when(r <= F.col("var95"), r)).alias("cvar95"),
+        beta.alias("beta"), ((F.avg(r) - beta * F.avg("_b")) * YEAR).alias("alpha"), safe_corr("ret", "_b").alias("correlation"), (F.stddev_samp(act) * ROOT).alias("tracking_error"), (F.avg(act) / F.nullif(F.stddev_samp(act), F.lit(0.0)) * ROOT).alias("information"),
+    ).where((F.col("_n") >= 2) & (F.col("volatility") > 0)).drop("_n")
+    month = returns.groupBy("series_id", F.trunc("date", "month").alias("_m")).agg((F.product(1 + r) - 1).alias("m")).groupBy("series_id").agg(F.max("m").alias("best_month"), F.min("m").alias("worst_month"), F.avg((F.col("m") > 0).cast("double")).alias("positive_months"))
+    out = daily.join(month, "series_id").join(longest, "series_id", "left").withColumn("longest_days", F.coalesce("longest_days", F.lit(0)))
+    return out.withColumn("calmar", F.when(F.col("max_drawdown") < 0, F.col("cagr") / F.abs("max_drawdown")))

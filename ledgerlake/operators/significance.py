@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,18 +24,58 @@ def deflated_sharpe(returns: DataFrame, trials: int) -> DataFrame:
     return s.join(F.broadcast(spread)).select("series_id", (F.col("spread") * unit * YEAR**0.5).alias("hurdle"), phi((F.col("sr") - F.col("spread") * unit) / F.col("se")).alias("dsr"))
 
 
-def capm_hac(returns: DataFrame, bench: DataFrame, lags: int = 10) -> DataFrame:
-    """Least-squares alpha (yearly) and beta against the benchmark, and beta's Newey-West t-statistic from lagged products."""
-    both = with_bench(returns, bench).select("series_id", "date", F.col("ret").alias("y"), F.col("bench").alias("x"))
-    fit = both.groupBy("series_id").agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.covar_pop("x", "y").alias("cxy"))
-    fit = fit.withColumn("beta", F.col("cxy") / F.nullif("vx", F.lit(0.0))).withColumn("alpha", F.col("my") - F.col("beta") * F.col("mx"))
-    e = both.join(F.broadcast(fit), "series_id").withColumn("e", F.col("y") - F.col("alpha") - F.col("beta") * F.col("x"))
-    e = e.withColumn("v", F.col("e") * (F.col("x") - F.col("mx")))
+def ols_hac(frame: DataFrame, y: str, regressors: list[str], lags: int = 10) -> DataFrame:
+    """(series_id, term, coefficient, error, t): least squares with an intercept ("alpha") and Newey-West errors.
+
+    Errors come from the score products x e of each day and those of up to ``lags`` days before, with falling weights, summed in Spark; the
+    two small matrices of a series are inverted in a task. Rows that lack a figure are left out. ``frame``: (series_id, date, y, regressors).
+    """
+    p = len(regressors) + 1
+    x = frame.select("series_id", "date", F.col(y).cast("double").alias("_y"), F.lit(1.0).alias("_x0"), *(F.col(c).cast("double").alias(f"_x{i + 1}") for i, c in enumerate(regressors))).na.drop()
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
+    whole = lambda f: F.array(*(f(min(i, j), max(i, j)) for i in range(p) for j in range(p)))
+    sums = x.groupBy("series_id").agg(F.count("*").alias("n"), *(F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"a{i}{j}") for i, j in upper), *(F.sum(F.col(f"_x{i}") * F.col("_y")).alias(f"b{i}") for i in range(p)))
+    sums = sums.select("series_id", "n", whole(lambda i, j: F.col(f"a{i}{j}")).alias("a"), F.array(*(f"b{i}" for i in range(p))).alias("b"))
+
+    def solve(batches):
+        for rows in batches:
+            keep = [np.linalg.cond(np.reshape(a, (p, p))) < 1e14 for a in rows["a"]]
+            good = rows[keep]
+            yield pd.DataFrame({"series_id": good["series_id"], "w": [np.linalg.solve(np.reshape(a, (p, p)), b).tolist() for a, b in zip(good["a"], good["b"], strict=True)], "a": good["a"]})
+
+    kind = frame.schema["series_id"].dataType.simpleString()
+    fit = sums.mapInPandas(solve, f"series_id {kind}, w array<double>, a array<double>")
+    e = x.join(fit.select("series_id", "w"), "series_id").withColumn("_e", F.col("_y") - sum((F.col("w")[i] * F.col(f"_x{i}") for i in range(p)), F.lit(0.0)))
     w = by("series_id")
-    lagged = e.select("series_id", "n", "vx", "mx", "alpha", "beta", *((F.col("v") * F.lag("v", k).over(w) * (1.0 if k == 0 else 2 * (1 - k / (lags + 1)))).alias(f"_v{k}") for k in range(lags + 1)))
-    long_run = sum((F.coalesce(F.sum(f"_v{k}"), F.lit(0.0)) for k in range(lags + 1)), F.lit(0.0))
-    out = lagged.groupBy("series_id").agg(F.first("n").alias("n"), F.first("vx").alias("vx"), F.first("alpha").alias("alpha"), F.first("beta").alias("beta"), long_run.alias("sv"))
-    return out.select("series_id", (F.col("alpha") * YEAR).alias("alpha"), "beta", (F.col("beta") / F.sqrt(F.col("sv") / F.pow(F.col("n") * F.col("vx"), F.lit(2)))).alias("beta_t"))
+    score = [F.col(f"_x{i}") * F.col("_e") for i in range(p)]
+    e = e.select("series_id", "date", *(s.alias(f"_s{i}") for i, s in enumerate(score)))
+    for k in range(1, lags + 1):
+        e = e.withColumns({f"_s{i}_{k}": F.lag(f"_s{i}", k).over(w) for i in range(p)})
+
+    def long_run(i: int, j: int):
+        out = F.sum(F.col(f"_s{i}") * F.col(f"_s{j}"))
+        for k in range(1, lags + 1):
+            out += (1 - k / (lags + 1)) * F.coalesce(F.sum(F.col(f"_s{i}") * F.col(f"_s{j}_{k}") + F.col(f"_s{j}") * F.col(f"_s{i}_{k}")), F.lit(0.0))
+        return out
+
+    middle = e.groupBy("series_id").agg(*(long_run(i, j).alias(f"m{i}{j}") for i, j in upper)).select("series_id", whole(lambda i, j: F.col(f"m{i}{j}")).alias("m"))
+    names = ["alpha", *regressors]
+
+    def finish(batches):
+        for rows in batches:
+            for r in rows.itertuples():
+                inv = np.linalg.inv(np.reshape(r.a, (p, p)))
+                error = np.sqrt(np.maximum(np.diag(inv @ np.reshape(r.m, (p, p)) @ inv), 0))
+                yield pd.DataFrame({"series_id": r.series_id, "term": names, "coefficient": r.w, "error": error, "t": np.array(r.w) / np.where(error > 0, error, np.nan)})
+
+    return fit.join(middle, "series_id").mapInPandas(finish, f"series_id {kind}, term string, coefficient double, error double, t double")
+
+
+def capm_hac(returns: DataFrame, bench: DataFrame, lags: int = 10) -> DataFrame:
+    """(series_id, alpha, alpha_t, beta, beta_t): yearly alpha and beta against the benchmark with Newey-West t-statistics."""
+    both = with_bench(returns, bench).select("series_id", "date", "ret", "bench")
+    wide = ols_hac(both, "ret", ["bench"], lags).groupBy("series_id").pivot("term", ["alpha", "bench"]).agg(F.first("coefficient").alias("c"), F.first("t").alias("t"))
+    return wide.select("series_id", (F.col("alpha_c") * YEAR).alias("alpha"), F.col("alpha_t"), F.col("bench_c").alias("beta"), F.col("bench_t").alias("beta_t"))
 
 
 def survival_gates(returns: DataFrame, twice_cost: DataFrame, hold: DataFrame, start: str, end: str, rf: DataFrame | float = 0.0) -> DataFrame:

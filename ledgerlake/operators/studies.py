@@ -76,11 +76,11 @@ def most_traded(trips: DataFrame, k: int = 15) -> DataFrame:
     return trips.groupBy("symbol").agg(F.count("*").alias("trades")).orderBy(F.desc("trades"), "symbol").limit(k)
 
 
-def param_product(spark: SparkSession, grid: dict[str, list], keep: str | None = None) -> DataFrame:
-    """Every combination of a parameter grid, a driver-side list of configurations, without the redundant ones that ``keep`` rejects."""
+def param_product(spark: SparkSession, grid: dict[str, list | DataFrame], keep: str | None = None) -> DataFrame:
+    """Every combination of a parameter grid, lists or one-column tables of values, without the redundant ones that ``keep`` rejects."""
     out = None
     for name, values in grid.items():
-        one = spark.createDataFrame([(x,) for x in values], [name])
+        one = values.toDF(name) if isinstance(values, DataFrame) else spark.createDataFrame([(x,) for x in values], [name])
         out = one if out is None else out.crossJoin(one)  # configurations, not data
     return out.where(keep) if keep else out
 

@@ -61,7 +61,12 @@ _one("max_drawdown", lambda: F.min("drawdown"), "min(drawdown)")
 _one("ulcer_index", lambda: F.sqrt(F.avg(F.pow("drawdown", F.lit(2)))), "sqrt(avg(drawdown * drawdown))")
 _one("value_at_risk", lambda: F.percentile("ret", F.lit(0.05)), "quantile_cont(ret, 0.05)")
 _one("skew", lambda: F.skewness("ret"), "(avg(pow(ret, 3)) - 3 * avg(ret) * avg(pow(ret, 2)) + 2 * pow(avg(ret), 3)) / pow(var_pop(ret), 1.5)")
-_one("drawdown_episodes", lambda: F.sum(F.lit(1)).cast("double"), "CAST(count(*) AS DOUBLE)")
+
+
+@query(f"{RET}, {DRAWDOWN}, u AS (SELECT *, drawdown < -0.01 AS u FROM d), n AS (SELECT *, u AND NOT coalesce(lag(u) OVER ({OF}), false) AS st FROM u) SELECT series_id, count(*) FILTER (WHERE st) AS episodes, count(*) FILTER (WHERE u) AS days FROM n GROUP BY 1")
+def drawdown_episodes(spark, d):
+    """How often, and for how many days, wealth was over one percent below its peak."""
+    return m.drawdown_episodes(v.returns(spark, d), -0.01)
 
 
 @query(f"{ISLAND} SELECT series_id, peak, trough, CASE WHEN rec < DATE '9999-01-01' THEN rec END AS recovery, {r('depth')} AS depth, length, rec < DATE '9999-01-01' AS recovered FROM e")

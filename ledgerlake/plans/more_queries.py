@@ -46,12 +46,16 @@ def frontier_cloud(spark, d):
     return rounded(al.random_mixes(aligned(spark, d), 1500))
 
 
+@query()
+def weight_uncertainty(spark, d):
+    """Spread of three methods' weights over 200 resamples as long as the record."""
+    return rounded(al.weight_uncertainty(aligned(spark, d), ["risk_parity", "min_variance", "max_sharpe"], cap=0.6))
+
+
 @query()
 def opt_resampled(spark, d):
-    x = aligned(spark, d)
-    n = x.select("date").distinct().count()
-    few = sim.day_indices(spark, n, 120, 12, 63, 11)
-    return rounded(al.resampled(x, few, "min_variance", 0.6))
+    """Mean weights of the best Sharpe ratio over 200 resamples."""
+    return rounded(al.weight_uncertainty(aligned(spark, d), ["max_sharpe"], cap=0.6).drop("method"))
 
 
 @query(f"{RET}, f AS (SELECT *, ret > 0.0002 AS p FROM returns), g AS (SELECT *, CASE WHEN p AND NOT coalesce(lag(p) OVER (PARTITION BY series_id ORDER BY date), false) THEN 1 ELSE 0 END AS st FROM f), h AS (SELECT *, sum(st) OVER (PARTITION BY series_id ORDER BY date {CUM}) AS k FROM g) SELECT series_id, min(date) AS first, max(date) AS last, count(*) AS length, {r('product(1 + ret) - 1')} AS ret, {r('product(1 + ret) - pow(1.0001, count(*))')} AS excess FROM h WHERE p GROUP BY series_id, k")
@@ -61,5 +65,5 @@ def spell_stats(spark, d):
 
 
 @query(f"{RET}, {DRAWDOWN}, s AS (SELECT series_id, min(drawdown) AS dd, stddev_samp(ret) * sqrt(252) AS vol, avg(ret) / stddev_samp(ret) * sqrt(252) AS sr FROM d GROUP BY 1) SELECT 'alert' AS level, series_id AS scope, 'drawdown beyond the limit' AS message FROM s WHERE dd < -0.02 UNION ALL SELECT 'warning', series_id, 'volatility over the limit' FROM s WHERE vol > 0.03 UNION ALL SELECT 'warning', series_id, 'Sharpe ratio under the limit' FROM s WHERE sr < 1")
-def health_checks(spark, d):
-    return m.health_checks(m.stats_row(v.returns(spark, d)), {"drawdown": 0.02, "volatility": 0.03, "sharpe": 1.0})
+def limit_checks(spark, d):
+    return m.limit_checks(m.stats_row(v.returns(spark, d)), {"drawdown": 0.02, "volatility": 0.03, "sharpe": 1.0})

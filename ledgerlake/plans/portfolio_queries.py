@@ -130,12 +130,12 @@ def walk_forward_methods(spark, d):
 
 @query()
 def compare_methods(spark, d):
-    return rounded(al.compare_methods(aligned(spark, d), [m for m in al.METHODS if m not in ("min_cdar", "min_cvar")], cap=0.6, extra=EXTRA))
+    return rounded(al.compare_methods(aligned(spark, d), list(al.METHODS), cap=0.6, extra=EXTRA | {"resamples": 30}))
 
 
 @query()
 def recommend(spark, d):
-    return al.recommend(al.compare_methods(aligned(spark, d), ["equal", "inverse_vol", "min_variance"], cap=0.6))
+    return al.recommend(al.compare_methods(aligned(spark, d), list(al.METHODS), cap=0.6, extra=EXTRA | {"resamples": 30}))
 
 
 @query()

@@ -10,12 +10,14 @@ from ..operators import fundamentals as fu
 from ..operators import metrics as m
 from ..operators import significance as si
 from ..operators import signals as sg
+from ..operators.allocation import METHODS
 from ..operators.timeseries import inner_align
 from ..sources import journal as jn
 from ..sources import testdata as v
 from . import ledger_queries as lq
 from .book import Book
 from .metric_queries import MOMENTS, phi_sql
+from .portfolio_queries import EXTRA
 from .registry import f, fine, query, r, rounded
 
 RET, BOTH, PX = v.with_views("returns"), v.with_views("returns", "bench"), v.with_views("prices")
@@ -53,13 +55,16 @@ def validate_cashflows(spark, d):
     return rounded(good.groupBy(F.expr("substr(note, 3)").alias("kind")).agg(F.sum("value").alias("value")), 2)
 
 
-MARKS = "mk AS (SELECT symbol, date, floor(close) + 0.25 AS price FROM prices WHERE day(date) = 9 UNION ALL SELECT DISTINCT symbol, DATE '2030-01-01', 7.0 FROM prices)"
+MARKS = "mk AS (SELECT symbol, date, floor(close) + CASE WHEN month(date) % 2 = 0 THEN 1.25 ELSE 0.25 END AS price FROM prices WHERE day(date) = 9 UNION ALL SELECT DISTINCT symbol, DATE '2030-01-01', 7.0 FROM prices)"
 
 
 @query(f"{PX}, {MARKS} SELECT coalesce(p.symbol, m.symbol) AS symbol, coalesce(p.date, m.date) AS date, {f('coalesce(m.price, p.close)')} AS close FROM prices p FULL JOIN mk m ON p.symbol = m.symbol AND p.date = m.date")
 def apply_marks(spark, d):
+    """Marks of the ninth; in even months two on one day, the later of which counts."""
     p = v.prices(spark, d)
-    marks = p.where("day(date) = 9").select("symbol", "date", (F.floor("close") + F.lit(0.25)).cast("double").alias("price")).union(p.select("symbol").distinct().selectExpr("symbol", "date'2030-01-01'", "7.0D"))
+    ninth = p.where("day(date) = 9")
+    mark = lambda x, add, seq: x.select("symbol", "date", (F.floor("close") + F.lit(add)).cast("double").alias("price"), F.lit(seq).alias("seq"))
+    marks = mark(ninth.where("month(date) % 2 = 0"), 1.25, 2).union(mark(ninth, 0.25, 1)).union(p.select("symbol").distinct().selectExpr("symbol", "date'2030-01-01'", "7.0D", "1"))
     return fine(jn.apply_marks(p, marks))
 
 
@@ -83,6 +88,18 @@ def tests_summary(spark, d):
     return jn.tests_summary(meta).drop("failed")
 
 
+@query("""SELECT user_id AS series_id, 'cfg' || any_value(user_id % 7) AS selected, any_value(user_id % 3 = 0 OR user_id % 5 <> 0) AS chosen, count(*) FILTER (WHERE k % 3 = 0) AS passed, count(*) FILTER (WHERE k % 3 < 2) AS evaluated, count(*) FILTER (WHERE k % 3 = 1) AS failed
+ FROM (SELECT user_id, event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY 1""")
+def scan_meta(spark, d):
+    """Records of exported backtests, one a user: the choice is missing in a third of them, and so a yes."""
+    e = v.ticks(spark, d)
+    ok = F.when(F.col("k") % 3 < 2, F.col("k") % 3 == 0)
+    tests = e.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("event_id").cast("string"), ok))).alias("final_tests"))
+    said = F.when(F.col("user_id") % 3 != 0, F.col("user_id") % 5 != 0)
+    raw = tests.select(F.col("user_id").alias("series_id"), F.to_json(F.struct(F.concat(F.lit("cfg"), (F.col("user_id") % 7).cast("string")).alias("selected"), said.alias("passed_selection"), "final_tests")).alias("json"))
+    return jn.scan_meta(raw).withColumn("failed", F.size("failed").cast("long"))
+
+
 @query("SELECT 's' || CAST(n_nationkey AS VARCHAR) AS strategy, x AS symbol, round(n_nationkey / 100.0 * CASE x WHEN 'A' THEN 1 ELSE 2 END, 6) + 0.0 AS weight FROM nation, (VALUES ('A'), ('B')) t(x)")
 def scan_signals(spark, d):
     n = v.read(spark, d, "nation")
@@ -130,12 +147,16 @@ def deflated_sharpe(spark, d):
     return rounded(si.deflated_sharpe(v.returns(spark, d), 100).select("series_id", "dsr"), 4)
 
 
+def _lagged(c: str) -> str:
+    return " + ".join(f"coalesce({c} * lag({c}, {k}) OVER (PARTITION BY series_id ORDER BY date) * {1.0 if k == 0 else 2 * (1 - k / 11)}, 0)" for k in range(11))
+
+
 @query(f"""{BOTH}, j AS (SELECT series_id, date, r.ret AS y, b.ret AS x FROM returns r JOIN bench b USING (date)), f AS (SELECT series_id, count(*) AS n, avg(x) AS mx, var_pop(x) AS vx, covar_pop(y, x) / var_pop(x) AS beta, avg(y) - covar_pop(y, x) / var_pop(x) * avg(x) AS alpha FROM j GROUP BY 1),
- e AS (SELECT series_id, date, (y - alpha - beta * x) * (x - mx) AS v FROM j JOIN f USING (series_id)), l AS (SELECT series_id, """ + " + ".join(f"coalesce(v * lag(v, {k}) OVER (PARTITION BY series_id ORDER BY date) * {1.0 if k == 0 else 2 * (1 - k / 11)}, 0)" for k in range(11)) + f""" AS s FROM e), t AS (SELECT series_id, sum(s) AS sv FROM l GROUP BY 1)
- SELECT series_id, {r('alpha * 252')} AS alpha, {r('beta')} AS beta, {r('beta / sqrt(sv / pow(n * vx, 2))', 4)} AS beta_t FROM f JOIN t USING (series_id)""")
+ e AS (SELECT series_id, date, (y - alpha - beta * x) * (x - mx) / (n * vx) AS v, (y - alpha - beta * x) * (1 - mx * (x - mx) / vx) / n AS u FROM j JOIN f USING (series_id)), l AS (SELECT series_id, {_lagged('v')} AS s, {_lagged('u')} AS q FROM e), t AS (SELECT series_id, sum(s) AS sv, sum(q) AS su FROM l GROUP BY 1)
+ SELECT series_id, {r('alpha * 252')} AS alpha, {r('alpha / sqrt(su)', 4)} AS alpha_t, {r('beta')} AS beta, {r('beta / sqrt(sv)', 4)} AS beta_t FROM f JOIN t USING (series_id)""")
 def capm_hac(spark, d):
     x = si.capm_hac(v.returns(spark, d), v.bench(spark, d))
-    return x.select("series_id", (F.round("alpha", 6) + 0.0).alias("alpha"), (F.round("beta", 6) + 0.0).alias("beta"), (F.round("beta_t", 4) + 0.0).alias("beta_t"))
+    return rounded(x).select("series_id", "alpha", (F.round("alpha_t", 4) + F.lit(0.0)).alias("alpha_t"), "beta", (F.round("beta_t", 4) + F.lit(0.0)).alias("beta_t"))
 
 
 GATES = f"""{v.with_views("returns", "bench")}, w AS (SELECT r.series_id, r.date, r.ret, b.ret AS b, r.ret - CASE WHEN day(r.date) = 1 THEN 0.0005 ELSE 0 END AS twice FROM returns r JOIN bench b USING (date) WHERE r.date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'),
@@ -158,9 +179,27 @@ def degradation_table(spark, d):
     return si.rank_table(f)
 
 
-@query("SELECT 0 AS changed")
+def audited(data: str, cut: str, where: str = "<=") -> str:
+    """The oracle of an audit: the rows it looks at, and that only the leaking rule's results change."""
+    return f"{v.with_views(data)}, n AS (SELECT count(*) AS rows FROM {data} WHERE date {where} DATE '{cut}') SELECT unnest(['honest', 'leaking']) AS rule, rows, unnest([false, true]) AS leaks FROM n"
+
+
+def audit(rules: dict, test, data, seen):
+    """(rule, rows, leaks) of ``test(rule)``, the rows that an audit finds changed; ``seen``: the rows of the data that it looks at."""
+    out = None
+    for name, rule in rules.items():
+        one = test(rule).agg((F.count("*") > 0).alias("leaks")).join(data.where(seen).agg(F.count("*").alias("rows"))).select(F.lit(name).alias("rule"), "rows", "leaks")  # one row
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(audited("returns", "1999-06-30"))
 def truncation_audit(spark, d):
-    return si.truncation_audit(lambda x: m.rolling(x, 63).select("series_id", "date", F.round("rolling_vol", 9).alias("v")), v.returns(spark, d), "1999-06-30").agg(F.count("*").cast("int").alias("changed"))
+    """A rolling figure does not change without the days after; a centred one does."""
+    x, cut = v.returns(spark, d), "1999-06-30"
+    rolling = lambda y: m.rolling(y, 63).select("series_id", "date", F.round("rolling_vol", 9).alias("v"))
+    centred = lambda y: y.select("series_id", "date", F.round(F.avg("ret").over(Window.partitionBy("series_id").orderBy("date").rowsBetween(-10, 10)), 9).alias("v"))
+    return audit({"honest": rolling, "leaking": centred}, lambda rule: si.truncation_audit(rule, x, cut), x, F.col("date") <= cut)
 
 
 @query(f"""{BOTH}, days AS (SELECT date, ret, 0.0001 AS cash FROM bench), dc AS (SELECT date AS fill, CASE WHEN month(date) % 2 = 0 THEN 0.8 ELSE 0.3 END AS weight FROM bench WHERE day(date) = 3), x AS (SELECT date, ret, cash, fill, weight FROM days ASOF JOIN dc ON days.date > dc.fill),
@@ -175,7 +214,9 @@ def regime_engine(spark, d):
 
 @query()
 def cpcv_compare(spark, d):
-    return rounded(en.cpcv(inner_align(v.returns(spark, d), 3), ["equal", "min_variance"]))
+    """Nine histories of every method over 45 splits, and how often it beats the target weights."""
+    x = en.cpcv(inner_align(v.returns(spark, d), 3), list(METHODS), cap=0.6, extra=EXTRA | {"resamples": 10})
+    return rounded(en.cpcv_summary(x))
 
 
 @query()

@@ -17,9 +17,10 @@ from ..operators import studies as st
 from ..sources import series as sr
 from ..sources import testdata as v
 from . import ledger_queries as lq
-from .metric_queries import RF, _rf
+from .metric_queries import RF, _rf, phi_sql
 from .portfolio_queries import AL, aligned
-from .registry import u, query, r, rounded
+from .registry import query, r, rounded, u
+from .research_queries import audit, audited
 
 RET, PX, MACRO = v.with_views("returns"), v.with_views("prices"), v.with_views("macro")
 CUM = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
@@ -152,9 +153,12 @@ def sector_mix(spark, d):
     return rounded(st.sector_mix(h, 3))
 
 
-@query("SELECT * FROM (VALUES (5, 10, 0.1e0), (5, 20, 0.1e0), (10, 10, 0.1e0), (10, 20, 0.1e0), (20, 20, 0.1e0), (5, 10, 0.2e0), (5, 20, 0.2e0), (10, 10, 0.2e0), (10, 20, 0.2e0), (20, 20, 0.2e0)) t(size, cap, stop)")
+@query("SELECT CAST(size AS INTEGER) AS size, CAST(cap AS INTEGER) AS cap, stop FROM (SELECT DISTINCT l_linenumber AS size FROM lineitem), (SELECT DISTINCT p_size AS cap FROM part WHERE p_size % 5 = 0), (SELECT DISTINCT l_discount AS stop FROM lineitem) WHERE cap >= 5 * size")
 def param_product(spark, d):
-    return st.param_product(spark, {"size": [5, 10, 20], "cap": [10, 20], "stop": [0.1, 0.2]}, "cap >= size").select(F.col("size").cast("int").alias("size"), F.col("cap").cast("int").alias("cap"), "stop")
+    """Every set of values that the tables have, without those that contradict each other."""
+    line, part = v.read(spark, d, "lineitem"), v.read(spark, d, "part")
+    grid = {"size": line.select("l_linenumber").distinct(), "cap": part.where("p_size % 5 = 0").select("p_size").distinct(), "stop": line.select("l_discount").distinct()}
+    return st.param_product(spark, grid, "cap >= 5 * size").select(F.col("size").cast("int").alias("size"), F.col("cap").cast("int").alias("cap"), "stop")
 
 
 @query(f"{RET}, f AS (SELECT series_id AS config, year(date) AS fold, avg(ret) FILTER (WHERE month(date) <= 6) / stddev_samp(ret) FILTER (WHERE month(date) <= 6) AS a, avg(ret) FILTER (WHERE month(date) > 6) / stddev_samp(ret) FILTER (WHERE month(date) > 6) AS b FROM returns GROUP BY 1, 2) SELECT config, {r('avg(b) / avg(a)')} AS efficiency FROM f GROUP BY 1")
@@ -231,16 +235,31 @@ def circular_shift_p(spark, d):
     return rounded(st.shift_test(sim.circular_shift(x.select("series_id", "i", "ret"), pos, shifts)), 8).withColumn("p", F.round("p", 5) + F.lit(0.0))
 
 
-@query("SELECT 0 AS changed")
+def _rules():
+    """A momentum rule, and one that takes the day's own sign."""
+    momentum = lambda p: sg.longflat(sg.momentum_signal(p, 90), ["symbol"], 5).select("symbol", "date", F.col("position").cast("double").alias("position"))
+    w = Window.partitionBy("symbol").orderBy("date")
+    ahead = lambda p: p.select("symbol", "date", (F.lead("close", 5).over(w) > F.lag("close").over(w)).cast("double").alias("position"))
+    same = lambda p: p.select("symbol", "date", (F.col("close") > F.lag("close").over(w)).cast("double").alias("position"))
+    return momentum, ahead, same
+
+
+@query(audited("prices", "1998-06-30"))
 def perturbation_audit(spark, d):
-    rule = lambda p: sg.longflat(sg.momentum_signal(p, 90), ["symbol"], 5).select("symbol", "date", "position", F.round("ret", 10).alias("ret"))
-    return st.perturbation_audit(rule, v.prices(spark, d), "1998-06-30").agg(F.count("*").cast("int").alias("changed"))
+    """Positions do not change when all later closes are shaken; those of a rule that looks five days ahead do."""
+    x, (momentum, ahead, _) = v.prices(spark, d), _rules()
+    return audit({"honest": momentum, "leaking": ahead}, lambda rule: st.perturbation_audit(rule, x, "1998-06-30"), x, F.col("date") <= "1998-06-30")
+
+
+BAR = "1998-06-30"
 
 
-@query("SELECT 0 AS changed")
+@query(f"{v.with_views('prices')}, b AS (SELECT max(date) AS day FROM prices WHERE date <= DATE '{BAR}'), n AS (SELECT count(*) AS rows FROM prices, b WHERE date = day) SELECT unnest(['honest', 'leaking']) AS rule, rows, unnest([false, true]) AS leaks FROM n")
 def same_bar_audit(spark, d):
-    rule = lambda p: sg.longflat(sg.momentum_signal(p, 90), ["symbol"], 5).select("symbol", "date", "position")
-    return st.same_bar_audit(rule, v.prices(spark, d), "1998-06-30").agg(F.count("*").cast("int").alias("changed"))
+    """A day's positions do not change when its own closes are shaken; those of a rule that trades on them do."""
+    x, (momentum, _, same) = v.prices(spark, d), _rules()
+    day = str(x.where(F.col("date") <= BAR).agg(F.max("date")).first()[0])
+    return audit({"honest": momentum, "leaking": same}, lambda rule: st.same_bar_audit(rule, x, day), x, F.col("date") == day)
 
 
 @query(f"""{v.with_views('returns', 'yields')}, {RF}, fr AS (SELECT series_id, date, ret, coalesce(rf, 0) AS rf, CASE WHEN ret > 0.0002 THEN 1.0 ELSE 0.0 END AS position, CASE WHEN day(date) = 1 THEN 1.0 ELSE 0.0 END AS turnover FROM returns LEFT JOIN rf USING (date)), w AS (SELECT *, product(1 + ret) OVER v AS w FROM fr WINDOW v AS (PARTITION BY series_id ORDER BY date {CUM})), q AS (SELECT *, w / greatest(max(w) OVER v, 1) - 1 AS dd FROM w WINDOW v AS (PARTITION BY series_id ORDER BY date {CUM})),
@@ -364,3 +383,42 @@ def load_macro(spark, d):
 def one_line_per_company(spark, d):
     p = v.read(spark, d, "part")
     return sr.one_line_per_company(p.select((F.col("p_partkey") % 100).alias("cik"), F.col("p_brand").alias("symbol")).distinct(), p.select(F.col("p_brand").alias("symbol"), F.col("p_retailprice").alias("volume")))
+
+
+RG = f"""{v.with_views('returns', 'bench', 'yields')}, {RF}, fr AS (SELECT series_id, r.date, r.ret, coalesce(rf, 0) AS rf, coalesce(b.ret, 0) AS b, CASE WHEN r.ret > 0.0002 THEN 0.75 ELSE 0.0 END AS exposure, CASE WHEN day(r.date) = 1 THEN 1.0 ELSE 0.0 END AS turnover FROM returns r LEFT JOIN rf USING (date) LEFT JOIN bench b USING (date)),
+ wl AS (SELECT *, product(1 + ret) OVER (PARTITION BY series_id ORDER BY date {CUM}) AS w FROM fr), wd AS (SELECT *, w / max(w) OVER (PARTITION BY series_id ORDER BY date {CUM}) - 1 AS dd FROM wl), wk AS (SELECT *, sum(CASE WHEN dd >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY date {CUM}) AS k FROM wd),
+ lg AS (SELECT series_id, max(n) / 252.0 AS longest_years FROM (SELECT series_id, k, count(*) FILTER (WHERE dd < 0) AS n FROM wk GROUP BY 1, 2) GROUP BY 1), vr AS (SELECT series_id, quantile_cont(ret, 0.05) AS var95 FROM fr GROUP BY 1),
+ dl AS (SELECT series_id, pow(product(1 + ret), 252.0 / count(*)) - 1 AS cagr, product(1 + ret) - 1 AS total_return, stddev_samp(ret) * sqrt(252) AS volatility, sqrt(avg(pow(least(ret - rf, 0), 2))) * sqrt(252) AS downside, avg(ret - rf) / stddev_samp(ret - rf) * sqrt(252) AS sharpe, avg(ret - rf) * 252 / (sqrt(avg(pow(least(ret - rf, 0), 2))) * sqrt(252)) AS sortino,
+  min(dd) AS max_drawdown, sqrt(avg(dd * dd)) AS ulcer, any_value(var95) AS var95, avg(ret) FILTER (WHERE ret <= var95) AS cvar95, avg(exposure) AS exposure, avg(CASE WHEN exposure > 0.01 THEN 1.0 ELSE 0.0 END) AS invested, sum(turnover) / (count(*) / 252.0) AS turnover FROM wk JOIN vr USING (series_id) GROUP BY 1),
+ mo AS (SELECT series_id, m, f, b, m - f AS e, b - f AS be, m - b AS act FROM (SELECT series_id, product(1 + ret) - 1 AS m, product(1 + rf) - 1 AS f, product(1 + b) - 1 AS b FROM fr GROUP BY series_id, date_trunc('month', date))),
+ ml AS (SELECT series_id, max(m) AS best_month, min(m) AS worst_month, avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END) AS positive_months, (avg(pow(e, 3)) - 3 * avg(e) * avg(pow(e, 2)) + 2 * pow(avg(e), 3)) / pow(var_pop(e), 1.5) AS skew, kurtosis_pop(e) + 3 AS kurtosis, avg(e) / stddev_samp(e) AS sr, count(*) AS n,
+  covar_samp(e, be) / var_samp(be) AS beta, (avg(e) - covar_samp(e, be) / var_samp(be) * avg(be)) * 12 AS alpha, corr(m, b) AS correlation, stddev_samp(act) * sqrt(12) AS tracking_error, avg(act) * 12 / (stddev_samp(act) * sqrt(12)) AS information, avg(m) FILTER (WHERE b > 0) / avg(b) FILTER (WHERE b > 0) AS up_capture, avg(m) FILTER (WHERE b < 0) / avg(b) FILTER (WHERE b < 0) AS down_capture FROM mo GROUP BY 1),
+ al AS (SELECT *, cagr / abs(max_drawdown) AS calmar, {phi_sql('(sr * sqrt(n - 1) / sqrt(1 - skew * sr + (kurtosis - 1) / 4 * sr * sr))')} AS psr FROM dl JOIN lg USING (series_id) JOIN ml USING (series_id))"""
+RG_FIGURES = "cagr total_return volatility downside sharpe sortino max_drawdown longest_years ulcer var95 cvar95 exposure invested turnover calmar best_month worst_month positive_months skew kurtosis beta alpha correlation tracking_error information up_capture down_capture psr".split()
+
+
+@query(f"{RG} SELECT series_id, {', '.join(f'{r(c, 5)} AS {c}' for c in RG_FIGURES)} FROM al")
+def rg_perf_stats(spark, d):
+    x = v.returns(spark, d).join(_rf(spark, d), "date", "left").na.fill(0.0, ["rf"])
+    x = x.withColumns({"exposure": F.when(F.col("ret") > 0.0002, 0.75).otherwise(0.0), "turnover": (F.dayofmonth("date") == 1).cast("double")})
+    return rounded(m.regime_stats(x, v.bench(spark, d)).select("series_id", *RG_FIGURES), 5)
+
+
+@query(f"{RET}, y AS (SELECT DISTINCT CAST(year(date) AS INTEGER) AS year FROM returns), p AS (SELECT year, series_id, count(*) AS n, round(avg(ret) / stddev_samp(ret), 9) AS sr FROM returns, y WHERE year(date) < year GROUP BY 1, 2 HAVING count(*) >= 200) SELECT year, min_by(series_id, (-sr, series_id)) AS config FROM p GROUP BY 1")
+def momentum_walk_forward(spark, d):
+    """Each year the series that did best before it."""
+    return sg.momentum_walk_forward(v.returns(spark, d).select(F.col("series_id").alias("config"), "date", "ret"))
+
+
+SP = f"""{v.with_views('returns', 'bench')}, fr AS (SELECT series_id, r.date, r.ret, coalesce(b.ret, 0) AS b FROM returns r LEFT JOIN bench b USING (date)), wl AS (SELECT *, product(1 + ret) OVER (PARTITION BY series_id ORDER BY date {CUM}) AS w FROM fr), wd AS (SELECT *, w / max(w) OVER (PARTITION BY series_id ORDER BY date {CUM}) - 1 AS dd FROM wl),
+ us AS (SELECT *, lead(date) OVER (PARTITION BY series_id ORDER BY date) AS nx, CASE WHEN dd < 0 AND NOT coalesce(lag(dd) OVER (PARTITION BY series_id ORDER BY date) < 0, false) THEN 1 ELSE 0 END AS st FROM wd), uk AS (SELECT *, sum(st) OVER (PARTITION BY series_id ORDER BY date {CUM}) AS k FROM us),
+ lg AS (SELECT series_id, max(n) AS longest_days FROM (SELECT series_id, k, date_diff('day', min(date), coalesce(max_by(nx, date) FILTER (WHERE nx IS NOT NULL), max(date))) AS n FROM uk WHERE dd < 0 GROUP BY 1, 2) GROUP BY 1), vr AS (SELECT series_id, quantile_cont(ret, 0.05) AS var95 FROM fr GROUP BY 1),
+ dl AS (SELECT series_id, product(1 + ret) - 1 AS total_return, pow(product(1 + ret), 252.0 / count(*)) - 1 AS cagr, stddev_samp(ret) * sqrt(252) AS volatility, avg(ret - 0.02 / 252) / stddev_samp(ret) * sqrt(252) AS sharpe, avg(ret - 0.02 / 252) * 252 / (sqrt(avg(pow(least(ret - 0.02 / 252, 0), 2))) * sqrt(252)) AS sortino, min(dd) AS max_drawdown, sqrt(avg(dd * dd)) AS ulcer,
+  (avg(pow(ret, 3)) - 3 * avg(ret) * avg(pow(ret, 2)) + 2 * pow(avg(ret), 3)) / pow(var_pop(ret), 1.5) AS skew, kurtosis_pop(ret) AS excess_kurtosis, any_value(var95) AS var95, avg(ret) FILTER (WHERE ret <= var95) AS cvar95, covar_samp(ret, b) / var_samp(b) AS beta, (avg(ret) - covar_samp(ret, b) / var_samp(b) * avg(b)) * 252 AS alpha, corr(ret, b) AS correlation, stddev_samp(ret - b) * sqrt(252) AS tracking_error, avg(ret - b) / stddev_samp(ret - b) * sqrt(252) AS information FROM wd JOIN vr USING (series_id) GROUP BY 1),
+ mo AS (SELECT series_id, max(m) AS best_month, min(m) AS worst_month, avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END) AS positive_months FROM (SELECT series_id, product(1 + ret) - 1 AS m FROM fr GROUP BY series_id, date_trunc('month', date)) GROUP BY 1), al AS (SELECT *, cagr / abs(max_drawdown) AS calmar FROM dl JOIN mo USING (series_id) JOIN lg USING (series_id))"""
+SP_FIGURES = "total_return cagr volatility sharpe sortino max_drawdown ulcer skew excess_kurtosis var95 cvar95 beta alpha correlation tracking_error information best_month worst_month positive_months calmar".split()
+
+
+@query(f"{SP} SELECT series_id, {', '.join(f'{r(c, 5)} AS {c}' for c in SP_FIGURES)}, CAST(longest_days AS INTEGER) AS longest_days FROM al")
+def sp_perf_stats(spark, d):
+    return rounded(m.stock_stats(v.returns(spark, d), v.bench(spark, d), 0.02).select("series_id", *SP_FIGURES, "longest_days"), 5)

@@ -83,9 +83,11 @@ def read_prices(spark: SparkSession, pattern: str) -> DataFrame:
     return keep_last(rows.where("close is not null and date is not null"), ["symbol", "date"], "_i").drop("_i")
 
 
-def apply_marks(prices: DataFrame, marks: DataFrame) -> DataFrame:
-    """Marks override closes and may add dates, on which there are no dividends or splits."""
-    m = marks.select("symbol", "date", F.col("price").alias("_mark"))
+def apply_marks(prices: DataFrame, marks: DataFrame, order: str = "seq") -> DataFrame:
+    """Marks override closes and may add dates, on which there are no dividends or splits. Of marks of one symbol and date the last by
+    ``order`` counts, where they have such a column; else the greatest."""
+    last = F.max_by("price", order) if order in marks.columns else F.max("price")
+    m = marks.groupBy("symbol", "date").agg(last.alias("_mark"))
     both = prices.join(m, ["symbol", "date"], "full_outer")
     return both.select("symbol", "date", F.coalesce("_mark", "close").alias("close"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("dividends", "splits") if c in prices.columns))
 
@@ -111,6 +113,15 @@ def split_percent_files(returns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return returns.join(bad, "series_id", "left_anti"), bad.select("series_id", F.lit("daily returns beyond 150 %: percentages?").alias("message"))
 
 
+def scan_meta(raw: DataFrame) -> DataFrame:
+    """(series_id, selected, chosen, passed, evaluated, failed) of the records (series_id, json) that come with exported backtests: the name
+    of the configuration, whether it is what the research settled on (yes, unless the record says otherwise), and its last tests. Unreadable records are left out."""
+    s = F.from_json("json", "selected string, passed_selection boolean, final_tests map<string,boolean>")
+    x = raw.select("series_id", s.alias("s")).where("s is not null and (s.selected is not null or s.final_tests is not null or s.passed_selection is not null)")
+    x = x.select("series_id", "s.selected", F.coalesce("s.passed_selection", F.lit(True)).alias("chosen"), F.to_json("s.final_tests").alias("final_tests"))
+    return x.drop("final_tests").join(tests_summary(x), "series_id", "left")
+
+
 def tests_summary(meta: DataFrame) -> DataFrame:
     """(series_id, passed, evaluated, failed): of the JSON map ``final_tests`` of name to true, false or null."""
     tests = F.from_json("final_tests", "map<string,boolean>")

@@ -18,15 +18,27 @@ def test_health_rules(spark):
     close = spark.createDataFrame([("bad", "good", 0.9, 50), ("bad", "low", 0.95, 10), ("good", "low", 0.2, 50)], "a string, b string, corr double, n long")
     found = {(r.level, r.scope, r.message) for r in ex.health_checks(compared, live, vol, tracked, weights, close, LIMITS).collect()}
     assert found == {
-        ("red", "bad", "drawdown worse than expected"), ("red", "bad", "return at the bottom of the expectation"), ("amber", "bad", "volatility over the backtest's"),
-        ("amber", "low", "return low in the expectation"), ("amber", "low", "tracking error against the model"), ("green", "good", "live record consistent with the backtest"),
-        ("info", "young", "few live days: percentiles are indicative only"), ("green", "young", "live record consistent with the backtest"), ("info", "none", "no live record yet"), ("info", "alone", "no backtest expectation"),
-        ("amber", "portfolio", "allocation drift: bad"), ("amber", "portfolio", "correlation of bad and good"),
+        ("red", "bad", "fell further than nearly all paths"), ("red", "bad", "earned less than nearly all paths"), ("amber", "bad", "swings more than its history"),
+        ("amber", "low", "earned less than most paths"), ("amber", "low", "strays from its model"), ("green", "good", "as its history led to expect"),
+        ("info", "young", "short record: ranks mean little"), ("green", "young", "as its history led to expect"), ("info", "none", "nothing traded so far"), ("info", "alone", "no history to expect from"),
+        ("amber", "portfolio", "off its weight: bad"), ("amber", "portfolio", "move together: bad and good"),
     }
     calm = ex.health_checks(compared.where("series_id = 'good'"), live.where("series_id = 'good'"), vol, tracked, weights.where("series_id = 'good'"), close.where("corr < 0.5"), LIMITS).collect()
     assert {(r.level, r.scope) for r in calm} == {("green", "good"), ("green", "portfolio")}
 
 
+def test_how_a_strategy_was_chosen_is_looked_at(spark):
+    compared = spark.createDataFrame([(s, m, 0.5, 0.1) for s in "abcd" for m in ("max_drawdown", "total", "volatility")], "series_id string, metric string, percentile double, actual double")
+    live = spark.createDataFrame([(s, 100) for s in "abcd"], "series_id string, days long")
+    none = lambda schema: spark.createDataFrame([], schema)
+    chosen = spark.createDataFrame([("a", True, 0), ("b", False, 0), ("c", True, 2)], "series_id string, chosen boolean, failed int")
+    found = ex.health_checks(compared, live, none("series_id string, volatility double"), none("series_id string, n long, tracking_error double"), none("series_id string, weight double, target double"), none("a string, b string, corr double, n long"), LIMITS, chosen)
+    assert {(r.level, r.scope, r.message) for r in found.collect()} == {
+        ("green", "a", "as its history led to expect"), ("amber", "b", "not what the research chose"), ("amber", "c", "failed some of its last tests"), ("info", "d", "no record of how it was chosen"),
+        ("green", "d", "as its history led to expect"), ("green", "portfolio", "all weights within their bands"),
+    }
+
+
 def test_folds_and_grids(spark):
     d = dt.date.fromisoformat
     assert st.make_folds("2010-03-01", "2015-04-15") == [
