@@ -84,14 +84,15 @@ def asof_membership(days: DataFrame, changes: DataFrame, keys: list[str]) -> Dat
 
 
 def asof_forward(left: DataFrame, calendar: DataFrame, order: str = "date", out: str = "snapped") -> DataFrame:
-    """Each left row with the first calendar day at or after it, else the last calendar day."""
+    """Each left row with the first calendar day at or after it, else the last calendar day. Rows without a date are left out.
+
+    Every date up to the calendar's end is mapped to its day once, a few thousand rows; ``left`` is neither sorted nor exchanged."""
     days = calendar.select(F.col(order).alias("_day")).distinct()
-    wanted = left.select(order).distinct()
-    end = days.agg(F.max("_day").alias("_end"))
-    both = wanted.select(F.col(order), F.lit(None).cast("date").alias("_day"), F.lit(0).alias("_side")).union(days.select(F.col("_day").alias(order), "_day", F.lit(1)))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(order), F.desc("_side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("_day", F.last("_day", ignorenulls=True).over(w)).where("_side = 0").select(order, "_day")
-    return left.join(found, order).join(F.broadcast(end)).withColumn(out, F.coalesce("_day", "_end")).drop("_day", "_end")
+    before = F.lag("_day").over(Window.partitionBy(F.lit(0)).orderBy("_day"))  # one calendar
+    each = days.withColumn("_from", F.coalesce(F.date_add(before, 1), F.col("_day"))).select(F.explode(F.sequence("_from", "_day")).alias(order), "_day")
+    span = days.agg(F.min("_day").alias("_first"), F.max("_day").alias("_end"))
+    near = left.where(F.col(order).isNotNull()).join(F.broadcast(each), order, "left").join(F.broadcast(span))  # days, and one row
+    return near.withColumn(out, F.coalesce("_day", F.when(F.col(order) < F.col("_first"), F.col("_first")).otherwise(F.col("_end")))).select(*left.columns, out)
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], tolerance: int, order: str = "date") -> DataFrame:

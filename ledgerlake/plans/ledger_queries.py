@@ -45,16 +45,23 @@ def calendar(spark, d):
     return lg.build_calendar(v.returns(spark, d).select("date"), v.fills(spark, d), v.cashflows(spark, d))
 
 
-def _positions(spark, d):
-    return lg.positions_daily(v.fills(spark, d), v.prices(spark, d), calendar(spark, d), v.dividends(spark, d), v.instruments(spark, d))
+def known_calendar(spark, d):
+    """The calendar made once, as a local table: it is days, a few thousand whatever the journals hold, and many joins read it."""
+    x = calendar(spark, d)
+    return spark.createDataFrame(x.toArrow()).select(*(F.col(c).cast(t).alias(c) for c, t in x.dtypes))
+
+
+def _positions(spark, d, days=None):
+    return lg.positions_daily(v.fills(spark, d), v.prices(spark, d), days or known_calendar(spark, d), v.dividends(spark, d), v.instruments(spark, d))
 
 
 def _daily(spark, d):
-    return lg.sleeve_daily(_positions(spark, d), v.cashflows(spark, d), calendar(spark, d))
+    days = known_calendar(spark, d)
+    return lg.sleeve_daily(_positions(spark, d, days), v.cashflows(spark, d), days)
 
 
 def _trips(spark, d):
-    return lg.round_trips(v.fills(spark, d), calendar(spark, d), v.instruments(spark, d))
+    return lg.round_trips(v.fills(spark, d), known_calendar(spark, d), v.instruments(spark, d))
 
 
 @query(f"{v.with_views('fills', 'cashflows')}, {CAL} SELECT date, CAST(i AS BIGINT) AS i FROM ci")
@@ -123,7 +130,7 @@ def twr_returns(spark, d):
 @query(f"""{SLEEVE}, mv AS (SELECT date, sum(value) AS net FROM bc WHERE type = 'transfer' GROUP BY 1), ow AS (SELECT date, sum(greatest(value, 0)) AS i, sum(least(value, 0)) AS o FROM (SELECT date, sleeve, sum(value) AS value FROM bc WHERE external AND type <> 'transfer' GROUP BY 1, 2) GROUP BY 1),
  t AS (SELECT date, sum(nav) AS nav, sum(pnl) AS pnl FROM sl GROUP BY 1) SELECT date, {r('nav', 2)} AS nav, {r('pnl', 2)} AS pnl, {r('coalesce(i, 0) + greatest(coalesce(net, 0), 0)', 3)} AS flow_in, {r('coalesce(o, 0) + least(coalesce(net, 0), 0)', 3)} AS flow_out FROM t LEFT JOIN mv USING (date) LEFT JOIN ow USING (date)""")
 def book_total(spark, d):
-    b = lg.book_total(_daily(spark, d), v.cashflows(spark, d), calendar(spark, d))
+    b = lg.book_total(_daily(spark, d), v.cashflows(spark, d), known_calendar(spark, d))
     return b.select("date", *((F.round(c, k) + F.lit(0.0)).alias(c) for c, k in (("nav", 2), ("pnl", 2), ("flow_in", 3), ("flow_out", 3))))
 
 
@@ -162,7 +169,7 @@ def trade_summary_by_strategy(spark, d):
  SELECT sleeve, symbol, {f('quantity')} AS quantity, {f('x.v')} AS avg_cost, {f('last')} AS last, {f('quantity * last * mu')} AS market_value, {f('(last - x.v) * quantity * mu')} AS unrealized, {r('(last - x.v) * quantity / (x.v * abs(quantity))', 5)} AS unrealized_pct, {f('x.z * mu - fees')} AS realized, entry_date,
  CAST(date_diff('day', entry_date, z) AS INTEGER) AS days, CAST((SELECT max(i) FROM ci) - ci.i AS BIGINT) AS bars, {r('quantity * last * mu / nav', 5)} AS weight FROM fo JOIN ls USING (symbol) JOIN nl USING (sleeve) JOIN ci ON ci.date = entry_date, fin""")
 def open_positions(spark, d):
-    cal, fills = calendar(spark, d), v.fills(spark, d)
+    cal, fills = known_calendar(spark, d), v.fills(spark, d)
     last = lg.marks(lg.on_calendar(fills, cal), v.prices(spark, d), cal).groupBy("symbol").agg(F.max_by("mark", "date").alias("last"))
     nav = _daily(spark, d).groupBy("sleeve").agg(F.max_by("nav", "date").alias("nav"))
     x = lg.open_positions(fills, last, cal, nav, v.instruments(spark, d))
@@ -192,7 +199,7 @@ CAPITAL = f"""{TWR}, sm AS (SELECT sleeve, coalesce(sum(value) FILTER (WHERE typ
 
 @query(f"""{CAPITAL} SELECT sleeve, {r('deposited', 2)} AS deposited, {r('withdrawn', 2)} AS withdrawn, {r('transfers_in', 2)} AS transfers_in, {r('transfers_out', 2)} AS transfers_out, {r('net_invested', 2)} AS net_invested, {r('nav', 2)} AS nav, {r('nav - net_invested', 2)} AS pnl, {r('income - cf', 2)} AS income, {r('fees - cf', 2)} AS fees, {r('time_weighted', 5)} AS time_weighted, first_flow FROM en JOIN sm USING (sleeve)""")
 def capital_summary(spark, d):
-    x = lg.capital_summary(lg.twr_returns(_daily(spark, d)), v.cashflows(spark, d), calendar(spark, d))
+    x = lg.capital_summary(lg.twr_returns(_daily(spark, d)), v.cashflows(spark, d), known_calendar(spark, d))
     return rounded(x.drop("time_weighted"), 2).join(x.select("sleeve", (F.round("time_weighted", 5) + F.lit(0.0)).alias("time_weighted")), "sleeve")
 
 
