@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeseries import by, lookback
+from .timeseries import asof_backward, by, lookback
 
 
 def momentum_signal(prices: DataFrame, days: int, threshold: float = 0.0) -> DataFrame:
@@ -15,6 +15,20 @@ def momentum_signal(prices: DataFrame, days: int, threshold: float = 0.0) -> Dat
     return out.withColumn("signal", F.when(F.col("momentum").isNotNull(), (F.col("momentum") > threshold).cast("int")))
 
 
+def current_signals(prices: DataFrame, lookbacks: dict[str, int], threshold: float = 0.0) -> DataFrame:
+    """(symbol, lookback, date, start, reference_date, reference_close, close, momentum, signal): what each symbol's last close says for the
+    next session under each look-back of calendar days; null where there is no close that far back."""
+    last = prices.groupBy("symbol").agg(F.max_by(F.struct("date", "close"), "date").alias("p")).select("symbol", F.col("p.date").alias("_at"), F.col("p.close").alias("_close"))
+    each = last.select("*", F.explode(F.create_map(*(F.lit(x) for pair in lookbacks.items() for x in pair))).alias("lookback", "_days"))
+    asked = each.withColumn("date", F.date_sub("_at", F.col("_days")))
+    found = asof_backward(asked, prices.select("symbol", "date", F.col("date").alias("_from"), F.col("close").alias("_ref")), ["symbol"], ["_from", "_ref"])
+    momentum = F.col("_close") / F.col("_ref") - 1
+    return found.select(
+        "symbol", "lookback", F.col("_at").alias("date"), F.col("date").alias("start"), F.col("_from").alias("reference_date"), F.col("_ref").alias("reference_close"), F.col("_close").alias("close"),
+        momentum.alias("momentum"), F.when(momentum.isNotNull(), (momentum > threshold).cast("int")).alias("signal"),
+    )
+
+
 def longflat(signals: DataFrame, keys: list[str], bps: float, cash: float = 0.0, first_cost: bool = True) -> DataFrame:
     """Positions are yesterday's signals; returns are position x asset + (1 - position) x cash less the cost of each change."""
     w = by(*keys)

@@ -422,3 +422,9 @@ SP_FIGURES = "total_return cagr volatility sharpe sortino max_drawdown ulcer ske
 @query(f"{SP} SELECT series_id, {', '.join(f'{r(c, 5)} AS {c}' for c in SP_FIGURES)}, CAST(longest_days AS INTEGER) AS longest_days FROM al")
 def sp_perf_stats(spark, d):
     return rounded(m.stock_stats(v.returns(spark, d), v.bench(spark, d), 0.02).select("series_id", *SP_FIGURES, "longest_days"), 5)
+
+
+@query(f"""{PX}, l AS (SELECT symbol, max(date) AS date, max_by(close, date) AS close FROM prices GROUP BY 1), k AS (SELECT * FROM (VALUES ('week', 7), ('month', 30), ('quarter', 91), ('year', 365)) t(lookback, n)), a AS (SELECT symbol, lookback, date, close, CAST(date - n AS DATE) AS start FROM l, k), j AS (SELECT a.*, p.date AS reference_date, p.close AS ref FROM a ASOF LEFT JOIN prices p ON a.symbol = p.symbol AND a.start >= p.date)
+ SELECT symbol, lookback, date, start, reference_date, {r('ref')} AS reference_close, {r('close')} AS close, {r('close / ref - 1')} AS momentum, CAST(close / ref - 1 > 0 AS INTEGER) AS signal FROM j""")
+def current_signals(spark, d):
+    return rounded(sg.current_signals(v.prices(spark, d), {"week": 7, "month": 30, "quarter": 91, "year": 365}))
