@@ -134,10 +134,11 @@ def windows_of(benchmark):
     return out
 
 
-@pytest.mark.parametrize(("bits", "batch"), [(28, 20_000), (6, 7)])
-def test_passages_match_brute_force(spark, documents, benchmark, odd_documents, no_documents, bits, batch, monkeypatch):
-    monkeypatch.setattr(decontam, "MAX_BITS", bits)  # a map that is full lets all windows through to the join
+@pytest.mark.parametrize(("bits", "batch", "hot"), [(28, 20_000, 64), (6, 7, 64), (28, 20_000, 0), (28, 20_000, 1)])
+def test_passages_match_brute_force(spark, documents, benchmark, odd_documents, no_documents, bits, batch, hot, monkeypatch):
+    monkeypatch.setattr(decontam, "MAX_BITS", bits)  # a map that is full lets all fingerprints through to the join
     monkeypatch.setattr(decontam, "BATCH_WINDOWS", batch)
+    monkeypatch.setattr(decontam, "HOT_PLACES", hot)  # 0: every fingerprint is joined with its windows; 1: all but those of one place
     extra = spark.createDataFrame([(None, "no id at ALL"), (900, "word1"), (901, None), (902, ""), (903, "word5 word6 word7 word8 word9 word10 word11 word12 word13 word14 word15"), (903, "same row"), (904, "same row")], "item_id long, text string")
     bench = benchmark.select("item_id", "text").union(extra)
     windows = windows_of(bench)
@@ -150,11 +151,48 @@ def test_passages_match_brute_force(spark, documents, benchmark, odd_documents,
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in documents.collect() if not brute_hits(r.text, windows)[1]}
 
 
-def test_windows_of_equal_fingerprints_are_told_apart(spark):
-    """Where all fingerprints collide, the join still compares words."""
-    windows = spark.createDataFrame([(7, 2, bytearray(b"a b"), "i"), (7, 2, bytearray(b"c d"), None), (7, 3, bytearray(b"c d"), "k")], "print long, n int, window binary, item string")
-    found = spark.createDataFrame([("x", 7, 2, 0, bytearray(b"a b")), ("x", 7, 2, 5, bytearray(b"c d")), ("y", 7, 2, 1, bytearray(b"b a")), ("y", 7, 2, 1, None)], "_key string, print long, n int, place long, window binary")
-    assert sorted(map(tuple, decontam.join_windows(found, windows).collect())) == [("x", 0, 2, "i"), ("x", 5, 2, None)]
+CONTEXT = "print long, n int, left array<string>, gram array<string>, right array<string>, window string"
+
+
+@pytest.mark.parametrize("hot", [64, 0])
+def test_equal_fingerprints_are_told_apart_and_extended(spark, hot, monkeypatch):
+    """Where all fingerprints collide, the join still compares words; hits reach as far as the words agree."""
+    monkeypatch.setattr(decontam, "HOT_PLACES", hot)
+    w = [f"w{i}" for i in range(30)]
+    item = lambda p, name: (7, 10, w[max(0, p - 5) : p][::-1], w[p : p + 5], w[p + 5 : p + 10], None, name)
+    items = [item(10, "i"), item(3, None), (7, 2, None, None, None, "a b", "s"), (7, 3, None, None, None, "a b", "k")]
+    prints = spark.createDataFrame(items, f"{CONTEXT}, item string")
+    other = ["x1", "x2", "x3"]
+    rows = [
+        ("whole", 7, 10, 40, w[5:10][::-1], w[10:15], w[15:20], None), ("edge", 7, 10, 2, w[8:10][::-1], w[10:15], [*w[15:18], *other[:2]], None), ("short", 7, 10, 2, w[8:10][::-1], w[10:15], [*w[15:17], *other], None),
+        ("gram", 7, 10, 2, w[8:10][::-1], [*w[10:14], "z"], w[15:20], None), ("pair", 7, 2, 6, None, None, None, "a b"), ("pair", 7, 3, 1, None, None, None, "b a"), ("none", None, None, None, None, None, None, None),
+    ]
+    found = spark.createDataFrame(rows, f"_key string, print long, n int, place long, {CONTEXT.split(', ', 2)[2]}")
+    hits = {}
+    for r in decontam.join_prints(found, prints).collect():
+        hits.setdefault((r._key, r.item), set()).update(range(r.place, r.place + r.n))
+    assert hits == {("whole", "i"): set(range(35, 50)), ("edge", "i"): set(range(0, 10)), ("pair", "s"): {6, 7}}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("abc"), min_size=10, max_size=40), st.lists(st.sampled_from("abc"), max_size=8), st.lists(st.sampled_from("abc"), max_size=8))
+def test_equal_windows_choose_the_same_place(words, before, after):
+    """A text inside another: every window of it chooses the same k-gram there, and few are chosen."""
+    codes = lambda x: np.array([ord(c) for c in x], np.uint64)
+    alone, inside = codes(words), codes([*before, *words, *after])
+    a, prints = decontam.selected(alone, np.array([0, len(alone)]))
+    b, others = decontam.selected(inside, np.array([0, len(inside)]))
+    assert set(zip((a + len(before)).tolist(), prints.tolist())) <= set(zip(b.tolist(), others.tolist()))
+    for q in range(len(words) - 9):
+        assert any(q <= p <= q + 5 for p in a.tolist())
+
+
+def test_few_places_are_chosen():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 1 << 62, 5000).astype(np.uint64)
+    bounds = np.array([0, 2000, 2004, 5000])
+    at, _ = decontam.selected(x, bounds)
+    assert 0.24 < len(at) / len(x) < 0.34 and not set(range(1996, 2004)) & set(at.tolist())
 
 
 def test_an_empty_benchmark_hits_nothing(documents, benchmark):
