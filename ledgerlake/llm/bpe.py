@@ -209,16 +209,6 @@ class PieceIds(dict):
         return [b"".join(map(self.__getitem__, pieces)) for pieces in found]
 
 
-def encode(self, found: list[list[str]]) -> list[bytes]:
-        """The packed ids of each list of pre-tokens."""
-        new = set()
-        for pieces in found:
-            new.update(pieces)
-        missing = new.difference(self)
-        self.add(missing if len(self) + len(missing) <= CACHE_ENTRIES else new)
-        return [b"".join(map(self.__getitem__, pieces)) for pieces in found]
-
-
 def vocabulary_key(what: str, ranks: dict[bytes, int]) -> str:
     """The same for the same ranks, so that a worker's tables serve later runs too."""
     return f"{what}-{len(ranks)}-{zlib.crc32(b' '.join(ranks))}-{zlib.crc32(array('I', ranks.values()).tobytes())}"
@@ -228,7 +218,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
     """(id, n_tokens, ids): the ids of every whole text, packed as little-endian unsigned 32-bit integers.
 
     Each match of ``pattern`` is encoded on its own; there are no special tokens. Null and empty texts have no ids. Repeated
-    rows give repeated results; a null id stays null. ``ranks`` (bounded by the vocabulary file) is broadcast.
+    rows give repeated results, an empty table an empty one; a null id stays null. Other columns of any name do not matter. ``ranks`` (bounded by the vocabulary file) is broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     key = vocabulary_key("ids", ranks)

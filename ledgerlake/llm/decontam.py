@@ -245,7 +245,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents without any hit word, with all columns. Null and empty texts stay; repeated rows stay or go together."""
+    """The documents without any hit word, with all columns, whatever their names. Null and empty texts stay, and rows with null ids are judged
+    by their text; repeated rows stay or go together. An empty table gives an empty one, an empty benchmark drops nothing."""
     prints = materialise(benchmark_prints(benchmark), "prints")
     hits = join_prints(materialise(candidate_prints(docs, prints, [], text_col), "candidates"), prints)
     name = f"_key_{new_key()}"  # no column of the documents has this name

@@ -176,7 +176,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Similarity is that of the sets of SHINGLE words in a row; equal sets are one node. No pair is missed: two sets of that
     similarity share a shingle of their prefixes, and where the first of them stands leaves room for what they must have in common.
-    Texts without words are alike. Null ids are never the least id; a component of null ids alone has none. Time is quadratic in
+    Texts without words are alike. Repeated rows give repeated results, an empty table gives an empty one; other columns of any name do not
+    matter. Null ids are never the least id; a component of null ids alone has none. Time is quadratic in
     what a bucket holds beside its components, in vectorised blocks.
     """
     common = common_shingles(docs, id_col, text_col)

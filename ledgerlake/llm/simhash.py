@@ -169,7 +169,7 @@ def deal(cell: np.ndarray, prints: np.ndarray, large: np.ndarray, blocks: np.nda
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links between different fingerprints that connect exactly what all links connect. ``prints`` are distinct longs.
 
-    Cells of over CELL_ROWS rows are cut, so no task holds a whole large cell; the number of comparisons stays that of the grid.
+    Cells of over CELL_ROWS rows are cut, so no task holds a whole large cell; rows of one block are compared in each part that the block is in, about twice the grid's comparisons.
     """
     sizes = cell_counts(prints).where(F.col("rows") > CELL_ROWS).orderBy("cell").toArrow()
     large = sizes.column("cell").to_numpy().astype(np.int64)
@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Copies share a fingerprint, so only distinct fingerprints enter the grid. Null texts and texts without words have
     fingerprint zero and link like others. Null ids are never the least id; a component of null ids alone has none. Repeated
-    rows give repeated results. An empty table gives an empty result.
+    rows give repeated results. An empty table gives an empty result. Other columns of any name do not matter.
     """
     prints = materialise(fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text"), "prints")
     nodes = materialise(prints.groupBy("fingerprint").agg(F.min("_id").alias("least"), F.count("*").alias("_rows")), "nodes")
@@ -270,7 +270,7 @@ def hex16(col: str) -> Column:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near=near_duplicates) -> DataFrame:
     """The documents without near-duplicates of smaller id: one document of each component of ``near`` stays, with all columns.
 
-    Rows with a null id stay only where their component has no id at all. Ids should be unique; of rows that repeat both id and text, one stays.
+    Rows with a null id stay only where their component has no id at all. Ids should be unique; of rows that repeat both id and text, one stays. Columns may have any name; an empty table stays empty.
     """
     found = near(docs, id_col, text_col).select(id_col, "component_id")
     kept = materialise(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).count(), "kept")

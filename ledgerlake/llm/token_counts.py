@@ -89,7 +89,7 @@ def count_tokens(df: DataFrame, vocabulary: Vocabulary, limit: int, id_col: str
     """(id, n_bytes, n_tokens, over_limit) of every whole text; null texts count as empty.
 
     A special string inside a text is one token and splits the text, as the library does by default. Repeated rows give
-    repeated results. The vocabulary is broadcast; its size is that of its file.
+    repeated results, an empty table an empty one; a null id stays null. Other columns of any name do not matter. The vocabulary is broadcast; its size is that of its file.
     """
     shared = df.sparkSession.sparkContext.broadcast((vocabulary.whole, vocabulary.pairs, vocabulary.special))
     key = new_key()
