@@ -97,9 +97,10 @@ CUTS = ["1998-06-30", "2000-03-31"]
 @query(f"""{v.with_views('prices')}, dy AS (SELECT DISTINCT date FROM (SELECT date, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS o FROM prices) WHERE o IS NOT NULL AND date >= DATE '{START}'), e AS (SELECT unnest(['account', 'leaking']) AS engine), c AS (SELECT unnest({CUTS}) AS cut), t AS (SELECT unnest(['short', 'shaken']) AS test)
  SELECT engine, cut, test, count(*) AS days, engine = 'leaking' AS leaks FROM e, c, t, dy WHERE date <= CAST(cut AS DATE) GROUP BY 1, 2, 3""")
 def engine_causality(spark, d):
-    """An account up to two cuts, without what comes after and with garbage in its place; and one that looks a month ahead."""
+    """An account up to two cuts, without what comes after and with garbage in its place; and one that is marked to closes of five days later."""
     honest = lambda x: sl.days_of(sl.run_accounts(x, ONE, sl.Rules(exit_score=6.0, stop=None, target=False), START))
-    ahead = lambda x: honest(x.withColumn("score", F.when(F.lead("close", 20).over(by("symbol")) > F.col("close"), 9.0).otherwise(0.0)))
+    later = lambda x: x.withColumn("_l", F.lead("close", 5).over(by("symbol"))).groupBy("date").agg(F.coalesce(F.avg(F.col("_l") / F.col("close")), F.lit(1.0)).alias("_r"))
+    ahead = lambda x: honest(x).join(later(x), "date").withColumn("equity", F.col("equity") * F.col("_r"))
     out = None
     for name, engine in (("account", honest), ("leaking", ahead)):
         found = sf.engine_causality(engine, panel(spark, d), CUTS, ["config"], ["equity", "invested", "positions"], ["open", "high", "low", "close", "slow"])
