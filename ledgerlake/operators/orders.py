@@ -51,9 +51,28 @@ def sleeve_positions(positions: DataFrame) -> DataFrame:
     return positions.groupBy("sleeve", "symbol").agg(F.max_by("qty", "date").alias("qty")).where("abs(qty) > 1e-9")
 
 
-def order_capital(account: float, invest: float, weights: DataFrame) -> DataFrame:
-    """(sleeve, capital): the account times the share that is invested times each sleeve's weight."""
-    return weights.select("sleeve", (F.lit(account * invest) * F.col("weight")).alias("capital"))
+def order_capital(nav: DataFrame, weights: DataFrame, invest: float = 1.0) -> DataFrame:
+    """(sleeve, capital): all sleeves' NAV times the share that is invested times each sleeve's weight. ``nav``: (sleeve, nav)."""
+    account = nav.agg(F.sum("nav").alias("_account"))
+    return weights.join(F.broadcast(account)).select("sleeve", (F.col("_account") * invest * F.col("weight")).alias("capital"))  # one row
+
+
+def order_plans(targets: DataFrame, holdings: DataFrame, prices: DataFrame, nav: DataFrame, weights: DataFrame, invest: float = 1.0, instruments: DataFrame | None = None, model: DataFrame | None = None, entries: DataFrame | None = None, band: float = 0.1) -> DataFrame:
+    """(sleeve, symbol, side, quantity, kind, limit, reason): the orders of every sleeve on its share of the account.
+
+    Sleeves in ``targets`` go to their weights (``plan_weights``); those in ``model`` or ``entries`` follow their picks (``plan_stock_picks``).
+    A sleeve without a weight has no capital and plans nothing. ``weights``: (sleeve, weight)."""
+    sleeves = targets.select("sleeve").union(holdings.select("sleeve")).distinct()
+    whole = sleeves.join(weights.select("sleeve", "weight"), "sleeve", "left").na.fill(0.0, ["weight"])
+    capital = order_capital(nav, whole, invest)
+    picked = None if model is None else model.select("sleeve").union(entries.select("sleeve")).distinct()
+    of_weights = holdings if picked is None else holdings.join(picked, "sleeve", "left_anti")
+    none = F.lit(None).cast("double")
+    out = plan_weights(targets, of_weights, prices, capital, instruments, band).select("sleeve", "symbol", "side", "quantity", F.lit("market").alias("kind"), none.alias("limit"), "reason")
+    if picked is not None:
+        funds = order_capital(nav, picked.join(weights.select("sleeve", "weight"), "sleeve", "left").na.fill(0.0, ["weight"]), invest)
+        out = out.unionByName(plan_stock_picks(model, entries, holdings.join(picked, "sleeve", "left_semi"), prices, funds))
+    return out
 
 
 def weight_table(targets: DataFrame, holdings: DataFrame, prices: DataFrame, capital: DataFrame, instruments: DataFrame | None = None) -> DataFrame:

@@ -243,11 +243,28 @@ def missing_vs_model(spark, d):
     return od.missing_vs_model(held, model)
 
 
-@query(f"{lq.SLEEVE}, n AS (SELECT sleeve, max_by(nav, date) AS nav FROM sl GROUP BY 1) SELECT sleeve, {r('(SELECT sum(nav) FROM n) * 0.9 * (0.1 + 0.05 * sleeve)', 2)} AS capital FROM n")
-def order_plans(spark, d):
+NAVS = f"{lq.SLEEVE}, n AS (SELECT sleeve, max_by(nav, date) AS nav FROM sl GROUP BY 1), oc AS (SELECT sleeve, (SELECT sum(nav) FROM n) * 0.9 * (0.1 + 0.05 * sleeve) AS capital FROM n)"
+
+
+def _navs(spark, d):
     nav = lq._daily(spark, d).groupBy("sleeve").agg(F.max_by("nav", "date").alias("nav"))
-    account = nav.agg(F.sum("nav")).first()[0]
-    return rounded(od.order_capital(account, 0.9, nav.select("sleeve", (0.1 + 0.05 * F.col("sleeve")).alias("weight"))), 2)
+    return nav, nav.select("sleeve", (0.1 + 0.05 * F.col("sleeve")).alias("weight"))
+
+
+@query(f"{NAVS} SELECT sleeve, {r('capital', 2)} AS capital FROM oc")
+def order_capital(spark, d):
+    return rounded(od.order_capital(*_navs(spark, d), 0.9), 2)
+
+
+#: The plan on each sleeve's share of the account.
+ORDERS = PLAN[len(v.with_views("fills", "prices", "instruments")) :].replace("1e6 * (sleeve + 1) AS capital", "capital").replace("1e6 * (sleeve + 1)", "capital").replace("FROM bt JOIN lp", "FROM bt JOIN oc USING (sleeve) JOIN lp")
+
+
+@query(f"{NAVS}{ORDERS} SELECT sleeve, symbol, CASE WHEN target_qty > qty THEN 'BUY' ELSE 'SELL' END AS side, abs(target_qty - qty) AS quantity, CASE WHEN flips = 1 THEN 'signal change' ELSE 'drift' END AS reason FROM st WHERE (flips = 1 OR drift > 0.1) AND abs(target_qty - qty) >= 1e-9 AND capital > 0")
+def order_plans(spark, d):
+    """Every sleeve's orders to its signal's weights, on its share of nine tenths of the account."""
+    targets, held, prices, _, instruments = _plan_inputs(spark, d)
+    return od.order_plans(targets, held, prices, *_navs(spark, d), 0.9, instruments).select("sleeve", "symbol", "side", "quantity", "reason")
 
 
 @query(f"{lq.FP}, {lq.POS} SELECT sleeve, symbol, {r('max_by(qty, date)')} AS qty FROM val GROUP BY 1, 2 HAVING abs(max_by(qty, date)) > 1e-9")

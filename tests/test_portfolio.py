@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
+from ledgerlake.operators import orders
 from ledgerlake.operators import portfolio as po
 from ledgerlake.operators import signals as sg
 
@@ -84,3 +85,18 @@ def test_current_signals(spark):
     assert (got["x", "short"].reference_date, got["x", "short"].signal) == (D0 + dt.timedelta(5), 0) and got["x", "short"].momentum == pytest.approx(11 / 12 - 1)
     assert (got["x", "long"].reference_date, got["x", "long"].signal) == (D0, 1)
     assert got["y", "long"].signal is None and got["y", "long"].reference_close is None
+
+
+def test_orders_of_all_sleeves(spark):
+    """A sleeve of weights and one of picks share an account; a sleeve without a weight plans nothing."""
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    targets = frame([("w", "A", 0.5), ("idle", "A", 1.0)], "sleeve string, symbol string, weight double")
+    held = frame([("p", "C", 1.0), ("p", "D", 2.0)], "sleeve string, symbol string, qty double")
+    prices = frame([("A", 10.0), ("B", 20.0), ("C", 30.0), ("D", 5.0)], "symbol string, price double")
+    nav, weights = frame([("w", 150.0), ("p", 50.0)], "sleeve string, nav double"), frame([("w", 0.5), ("p", 0.5)], "sleeve string, weight double")
+    model = frame([("p", "D", "", 7.0, None)], "sleeve string, symbol string, exit string, take_profit double, stop double")
+    entries = frame([("p", 1, "B", 0.5)], "sleeve string, rank int, symbol string, weight double")
+    got = {(r.sleeve, r.symbol, r.side, r.quantity, r.kind, r.limit) for r in orders.order_plans(targets, held, prices, nav, weights, 0.9, model=model, entries=entries).collect()}
+    assert got == {("w", "A", "BUY", 4.0, "market", None), ("p", "C", "SELL", 1.0, "market on open", None), ("p", "D", "SELL", 2.0, "limit", 7.0), ("p", "B", "BUY", 2.0, "market on open", None)}
+    alone = orders.order_plans(targets, held, prices, nav, weights, 0.9)
+    assert {(r.sleeve, r.symbol, r.side) for r in alone.collect()} == {("w", "A", "BUY"), ("p", "C", "SELL"), ("p", "D", "SELL")}
