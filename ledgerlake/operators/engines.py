@@ -67,27 +67,6 @@ def signed_logit(x: np.ndarray, y: np.ndarray, signs: np.ndarray, l2: float, wei
     return w
 
 
-def walk_forward_logit(panel: DataFrame, features: list[str], signs: list[int], refits: DataFrame, least: int = 60, l2: float = 0.05) -> DataFrame:
-    """(month, p): at each refit month a fit on all earlier labelled months, applied until the next refit.
-
-    ``panel`` is (month, features, y); ``refits`` is (month, until). Each refit is one task over the history before it.
-    """
-    p = panel.select(F.col("month").alias("_m"), *features, "y")
-    grid = p.join(F.broadcast(refits), F.col("_m") < F.col("until"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        at = rows["month"].iloc[0]
-        past, now = rows[(rows["_m"] < at) & rows["y"].notna()], rows[rows["_m"] >= at]
-        if len(past) < least or past["y"].nunique() < 2:
-            return pd.DataFrame({"month": pd.Series([], dtype=object), "p": pd.Series([], dtype=float)})
-        mean, sd = past[features].mean(), past[features].std().replace(0, 1)
-        scale = lambda d: ((d[features] - mean) / sd).clip(-3, 3).to_numpy(float)
-        w = signed_logit(scale(past), past["y"].to_numpy(float), np.array(signs), l2)
-        return pd.DataFrame({"month": now["_m"], "p": 1 / (1 + np.exp(-(w[0] + scale(now) @ w[1:])))})
-
-    return grid.groupBy("month").applyInPandas(run, "month date, p double")
-
-
 def purged_splits(n: int, folds: int, tests: int, purge: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(train, test) rows of combinatorial cross-validation: training rows within ``purge`` of a test fold are left out."""
     from itertools import combinations

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import allocation as al
 from ..operators import metrics as m
-from ..operators import simulation as sim
 from ..sources import testdata as v
 from .metric_queries import DRAWDOWN
 from .portfolio_queries import AL, RISK, WT, aligned, weights

@@ -29,6 +29,12 @@ def market(spark, d):
     return v.bench(spark, d).withColumn("cash", F.lit(0.0001))
 
 
+@query()
+def macro_walk_forward(spark, d):
+    """The forecasts of all inputs, refitted every six months on the labels known by then."""
+    return rounded(forecasts(spark, d, [("expanding", LOOKBACK, HORIZON, None, None)]).drop("variant"), 5)
+
+
 @query()
 def train_scheme_comparison(spark, d):
     """Brier score and AUC before and after a day, and accounts, of forecasts trained on all months, a window of them, or with decay."""

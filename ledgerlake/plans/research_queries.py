@@ -9,7 +9,6 @@ from ..operators import engines as en
 from ..operators import fundamentals as fu
 from ..operators import metrics as m
 from ..operators import significance as si
-from ..operators import signals as sg
 from ..operators.allocation import METHODS
 from ..operators.timeseries import inner_align
 from ..sources import journal as jn
@@ -219,14 +218,6 @@ def cpcv_compare(spark, d):
     return rounded(en.cpcv_summary(x))
 
 
-@query()
-def macro_walk_forward(spark, d):
-    b = v.bench(spark, d).groupBy(F.trunc("date", "month").alias("month")).agg(F.avg("ret").alias("a"), F.stddev_samp("ret").alias("b"))
-    panel = b.withColumn("y", (F.lead("a").over(Window.partitionBy(F.lit(0)).orderBy("month")) > 0).cast("int"))
-    refits = spark.createDataFrame([(f"{y}-01-01", f"{y + 1}-01-01") for y in (2000, 2001)], "m string, u string").selectExpr("date(m) month", "date(u) until")
-    return rounded(en.walk_forward_logit(panel, ["a", "b"], [1, -1], refits, least=36), 5)
-
-
 def _book(spark, d):
     return Book(v.fills(spark, d), v.cashflows(spark, d), v.prices(spark, d), v.returns(spark, d), v.dividends(spark, d), v.instruments(spark, d))
 
