@@ -44,6 +44,14 @@ def sharpe_error(sr: Column, n: Column, skew: Column, kurtosis: Column) -> Colum
     return F.sqrt(inner / F.greatest(n - 1, F.lit(1)))
 
 
+def over(x: Column, y: Column, unbounded: bool = False) -> Column:
+    """x / y: null where y is 0 or, ``unbounded``, infinite with the sign of x there (0 / 0 is not a number)."""
+    if not unbounded:
+        return x / F.nullif(y, F.lit(0.0))
+    ends = F.when(x > 0, float("inf")).when(x < 0, float("-inf")).when(x == 0, float("nan"))
+    return F.when(y == 0, ends).otherwise(x / F.nullif(y, F.lit(0.0)))
+
+
 def safe_corr(x: Column | str, y: Column | str) -> Column:
     """Correlation as an aggregate of the rows that have both; null, not an error, where either does not vary."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))

@@ -1,4 +1,6 @@
-"""Return metrics of keyed daily series ``(series_id, date, ret)``: undefined figures are null, never NaN."""
+"""Return metrics of keyed daily series ``(series_id, date, ret)``: undefined figures are null, never NaN.
+
+With ``unbounded``, ratios over a risk of zero are infinite instead, as a plain division of doubles gives them, however few the days."""
 
 from __future__ import annotations
 
@@ -7,7 +9,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.stats import YEAR, phi, phi_inverse, safe_beta, safe_corr, sharpe_error
+from ..functions.stats import YEAR, over, phi, phi_inverse, safe_beta, safe_corr, sharpe_error
 from .rates import with_rf
 from .timeseries import by, full, islands, running, running_product
 
@@ -40,14 +42,17 @@ def excess(rf: float = 0.0) -> Column:
     return F.col("ret") - ((1 + rf) ** (1 / YEAR) - 1)
 
 
-
-def sharpe_of(x: Column) -> Column:
+def sharpe_of(x: Column, unbounded: bool = False) -> Column:
     sd = F.stddev_samp(x)
+    if unbounded:
+        return over(F.avg(x), sd, True) * ROOT
     return F.when((F.count(x) > 2) & (sd > 0), F.avg(x) / F.nullif(sd, F.lit(0.0)) * ROOT)
 
 
-def sortino_of(x: Column) -> Column:
+def sortino_of(x: Column, unbounded: bool = False) -> Column:
     low = F.sqrt(F.avg(F.pow(F.least(x, F.lit(0.0)), F.lit(2))))
+    if unbounded:
+        return over(F.avg(x), low, True) * ROOT
     return F.when((F.count(x) > 2) & (low > 0), F.avg(x) / F.nullif(low, F.lit(0.0)) * ROOT)
 
 
@@ -135,17 +140,18 @@ def days_since_peak(returns: DataFrame) -> DataFrame:
     return dd.groupBy("series_id").agg((F.count("*") - F.coalesce(F.max(F.when(F.col("drawdown") >= -1e-12, F.col("i"))), F.lit(0))).alias("days"))
 
 
-def perf_summary(returns: DataFrame, rf: DataFrame | float = 0.0, bench: DataFrame | None = None) -> DataFrame:
+def perf_summary(returns: DataFrame, rf: DataFrame | float = 0.0, bench: DataFrame | None = None, unbounded: bool = False) -> DataFrame:
     """The tear sheet of each series, 30 figures, and 8 more against a benchmark (date, ret). ``rf``: (date, rf) or a yearly rate.
 
-    Only clean returns count. One grouped aggregate of days, one of months, one of episodes, one of the tail.
+    Only clean returns count. One grouped aggregate of days, one of months, one of episodes, one of the tail. With ``unbounded`` the tail
+    ratio is also given where the low tail is no loss, and gain to pain is null without a gain.
     """
     clean = with_rf(clean_returns(returns), rf)
     dd = drawdown(clean).withColumn("i", F.row_number().over(W()))
     r, x = F.col("ret"), F.col("ret") - F.col("rf")
     daily = dd.groupBy("series_id").agg(
         F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("days"), (F.product(1 + r) - 1).alias("total_return"), cagr_of(r).alias("cagr"), (F.stddev_samp(r) * ROOT).alias("volatility"),
-        sharpe_of(x).alias("sharpe"), sortino_of(x).alias("sortino"), F.min("drawdown").alias("max_drawdown"), F.max_by("drawdown", "date").alias("current_drawdown"),
+        sharpe_of(x, unbounded).alias("sharpe"), sortino_of(x, unbounded).alias("sortino"), F.min("drawdown").alias("max_drawdown"), F.max_by("drawdown", "date").alias("current_drawdown"),
         (F.count("*") - F.coalesce(F.max(F.when(F.col("drawdown") >= -1e-12, F.col("i"))), F.lit(0))).alias("days_since_peak"),
         F.sqrt(F.avg(F.pow("drawdown", F.lit(2)))).alias("ulcer"), F.percentile(r, F.lit(0.05)).alias("var95"), F.percentile(r, F.lit(0.01)).alias("var99"),
         F.percentile(r, F.lit(0.95)).alias("p95"), F.skewness(r).alias("skew"), F.kurtosis(r).alias("excess_kurtosis"), F.max(r).alias("best_day"), F.min(r).alias("worst_day"),
@@ -158,25 +164,31 @@ def perf_summary(returns: DataFrame, rf: DataFrame | float = 0.0, bench: DataFra
     if bench is not None:
         act = F.col("ret") - F.coalesce("bench", F.lit(0.0))
         both = with_bench(clean, bench, "left").groupBy("series_id").agg((F.stddev_samp(act) * ROOT).alias("tracking_error"), (F.avg(act) * YEAR).alias("_act"), (F.product(1 + F.coalesce("bench", F.lit(0.0))) - 1).alias("benchmark_return"))
-        both = both.withColumn("information_ratio", F.col("_act") / F.nullif("tracking_error", F.lit(0.0))).drop("_act")
+        both = both.withColumn("information_ratio", over(F.col("_act"), F.col("tracking_error"), unbounded)).drop("_act")
         out = out.join(beta_alpha(clean.drop("rf"), bench, rf), "series_id", "left").join(both, "series_id", "left").join(capture(clean, bench), "series_id", "left")
+    gain = F.col("gain") if unbounded else F.coalesce("gain", F.lit(0.0))
+    tail_ratio = over(F.col("p95"), F.abs("var95"), True) if unbounded else F.when(F.col("var95") < 0, F.abs(F.col("p95") / F.col("var95")))
     return out.na.fill(0, ["longest_drawdown"]).select(
-        "*", (F.col("days") / YEAR).alias("years"), F.when(F.col("max_drawdown") < 0, F.col("cagr") / F.abs("max_drawdown")).alias("calmar"), F.when(F.col("pain") > 0, F.coalesce("gain", F.lit(0.0)) / F.col("pain")).alias("gain_to_pain"),
-        F.when(F.col("var95") < 0, F.abs(F.col("p95") / F.col("var95"))).alias("tail_ratio"),
+        "*", (F.col("days") / YEAR).alias("years"), over(F.col("cagr"), F.abs("max_drawdown"), unbounded).alias("calmar"), F.when(F.col("pain") > 0, gain / F.col("pain")).alias("gain_to_pain"),
+        tail_ratio.alias("tail_ratio"),
     ).drop("gain", "pain", "p95")
 
 
-def summary_frame(returns: DataFrame, rf: DataFrame | float = 0.0, bench: DataFrame | None = None) -> DataFrame:
+def summary_frame(returns: DataFrame, rf: DataFrame | float = 0.0, bench: DataFrame | None = None, unbounded: bool = False) -> DataFrame:
     """(series_id, metric, value): every number of ``perf_summary``, one row each."""
-    x = perf_summary(returns, rf, bench)
+    return figures_of(perf_summary(returns, rf, bench, unbounded))
+
+
+def figures_of(x: DataFrame) -> DataFrame:
+    """(series_id, metric, value): every number of a table of figures, one row each."""
     numbers = [c for c, t in x.dtypes if t in ("double", "bigint", "int")]
     return x.select("series_id", *(F.col(c).cast("double").alias(c) for c in numbers)).unpivot("series_id", numbers, "metric", "value")
 
 
-def stats_row(returns: DataFrame, rf: float = 0.0, least: int = 20) -> DataFrame:
+def stats_row(returns: DataFrame, rf: float = 0.0, least: int = 20, unbounded: bool = False) -> DataFrame:
     dd = drawdown(returns)
     r = F.col("ret")
-    return dd.groupBy("series_id").agg(F.count("*").alias("n"), cagr_of(r).alias("cagr"), (F.stddev_samp(r) * ROOT).alias("volatility"), sharpe_of(excess(rf)).alias("sharpe"), sortino_of(excess(rf)).alias("sortino"), F.min("drawdown").alias("max_drawdown")).where(F.col("n") >= least)
+    return dd.groupBy("series_id").agg(F.count("*").alias("n"), cagr_of(r).alias("cagr"), (F.stddev_samp(r) * ROOT).alias("volatility"), sharpe_of(excess(rf), unbounded).alias("sharpe"), sortino_of(excess(rf), unbounded).alias("sortino"), F.min("drawdown").alias("max_drawdown")).where(F.col("n") >= least)
 
 
 def trade_summary(trips: DataFrame, *keys: str) -> DataFrame:
@@ -264,7 +276,7 @@ def _falls(frame: DataFrame) -> DataFrame:
     return x.withColumn("_run", F.sum((F.col("_dd") < 0).cast("int")).over(Window.partitionBy("series_id", "_k").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def regime_stats(frame: DataFrame, bench: DataFrame) -> DataFrame:
+def regime_stats(frame: DataFrame, bench: DataFrame, unbounded: bool = False) -> DataFrame:
     """The regime report's figures of (series_id, date, ret, rf, exposure, turnover) against (date, ret) of a benchmark.
 
     Daily: growth, risk, drawdowns (in years of 252 days, from the highest wealth of the record itself), tails, exposure and turnover a
@@ -277,10 +289,10 @@ def regime_stats(frame: DataFrame, bench: DataFrame) -> DataFrame:
     total = F.product(1 + r)
     cut = days.groupBy("series_id").agg(F.percentile("ret", F.lit(0.05)).alias("var95"))
     daily = days.join(cut, "series_id").groupBy("series_id").agg(
-        (F.pow(total, 1 / years) - 1).alias("cagr"), (total - 1).alias("total_return"), (F.stddev_samp(r) * ROOT).alias("volatility"), down.alias("downside"), (F.avg(x) / F.nullif(F.stddev_samp(x), F.lit(0.0)) * ROOT).alias("sharpe"),
-        (F.avg(x) * YEAR / F.nullif(down, F.lit(0.0))).alias("sortino"), F.min("_dd").alias("max_drawdown"), (F.max("_run") / YEAR).alias("longest_years"), F.sqrt(F.avg(F.col("_dd") * F.col("_dd"))).alias("ulcer"),
+        (F.pow(total, 1 / years) - 1).alias("cagr"), (total - 1).alias("total_return"), (F.stddev_samp(r) * ROOT).alias("volatility"), down.alias("downside"), (over(F.avg(x), F.stddev_samp(x), unbounded) * ROOT).alias("sharpe"),
+        over(F.avg(x) * YEAR, down, unbounded).alias("sortino"), F.min("_dd").alias("max_drawdown"), (F.max("_run") / YEAR).alias("longest_years"), F.sqrt(F.avg(F.col("_dd") * F.col("_dd"))).alias("ulcer"),
         F.first("var95").alias("var95"), F.avg(F.when(r <= F.col("var95"), r)).alias("cvar95"), F.avg("exposure").alias("exposure"), F.avg((F.col("exposure") > 0.01).cast("double")).alias("invested"), (F.sum("turnover") / years).alias("turnover"),
-    ).withColumn("calmar", F.col("cagr") / F.nullif(F.abs("max_drawdown"), F.lit(0.0)))
+    ).withColumn("calmar", over(F.col("cagr"), F.abs("max_drawdown"), unbounded))
     month = days.groupBy("series_id", F.trunc("date", "month").alias("_m")).agg((F.product(1 + r) - 1).alias("m"), (F.product(1 + F.col("rf")) - 1).alias("f"), (F.product(1 + F.col("_b")) - 1).alias("b"))
     month = month.withColumns({"e": F.col("m") - F.col("f"), "be": F.col("b") - F.col("f"), "act": F.col("m") - F.col("b")})
     e, m, b, act = (F.col(c) for c in ("e", "m", "b", "act"))
@@ -289,14 +301,14 @@ def regime_stats(frame: DataFrame, bench: DataFrame) -> DataFrame:
     beta = F.covar_samp("e", "be") / F.nullif(F.var_samp("be"), F.lit(0.0))
     monthly = month.groupBy("series_id").agg(
         F.max(m).alias("best_month"), F.min(m).alias("worst_month"), F.avg((m > 0).cast("double")).alias("positive_months"), F.skewness(e).alias("skew"), (F.kurtosis(e) + 3).alias("kurtosis"), (F.avg(e) / F.nullif(F.stddev_samp(e), F.lit(0.0))).alias("_sr"), F.count("*").alias("_n"),
-        beta.alias("beta"), ((F.avg(e) - beta * F.avg("be")) * 12).alias("alpha"), safe_corr("m", "b").alias("correlation"), error.alias("tracking_error"), F.when(error > 1e-9, F.avg(act) * 12 / error).alias("information"),
+        beta.alias("beta"), ((F.avg(e) - beta * F.avg("be")) * 12).alias("alpha"), safe_corr("m", "b").alias("correlation"), error.alias("tracking_error"), (over(F.avg(act) * 12, error, True) if unbounded else F.when(error > 1e-9, F.avg(act) * 12 / error)).alias("information"),
         (mean_of(m, b > 0) / F.nullif(mean_of(b, b > 0), F.lit(0.0))).alias("up_capture"), (mean_of(m, b < 0) / F.nullif(mean_of(b, b < 0), F.lit(0.0))).alias("down_capture"),
     )
     z = F.col("_sr") * F.sqrt(F.col("_n") - 1) / F.sqrt(1 - F.col("skew") * F.col("_sr") + (F.col("kurtosis") - 1) / 4 * F.col("_sr") * F.col("_sr"))
     return daily.join(monthly.withColumn("psr", phi(z)).drop("_sr", "_n"), "series_id")
 
 
-def stock_stats(returns: DataFrame, bench: DataFrame, rf: float = 0.0) -> DataFrame:
+def stock_stats(returns: DataFrame, bench: DataFrame, rf: float = 0.0, unbounded: bool = False) -> DataFrame:
     """The stock report's figures of (series_id, date, ret) against (date, ret) of a benchmark; ``rf`` is a yearly rate spread evenly.
 
     Drawdowns are from the highest wealth of the record itself; the longest is in calendar days from the first day under the peak to the
@@ -313,8 +325,8 @@ def stock_stats(returns: DataFrame, bench: DataFrame, rf: float = 0.0) -> DataFr
     act, beta = F.col("ret") - F.col("_b"), F.covar_samp("ret", "_b") / F.nullif(F.var_samp("_b"), F.lit(0.0))
     daily = days.join(end.drop("_end"), "series_id").groupBy("series_id").agg(
         F.count("*").alias("_n"), (F.product(1 + r) - 1).alias("total_return"), (F.pow(F.product(1 + r), F.lit(float(YEAR)) / F.count("*")) - 1).alias("cagr"), (F.stddev_samp(r) * ROOT).alias("volatility"), (F.avg(x) / F.nullif(F.stddev_samp(r), F.lit(0.0)) * ROOT).alias("sharpe"),
-        (F.avg(x) * YEAR / F.nullif(down, F.lit(0.0))).alias("sortino"), F.min("_dd").alias("max_drawdown"), F.sqrt(F.avg(F.col("_dd") * F.col("_dd"))).alias("ulcer"), F.skewness(r).alias("skew"), F.kurtosis(r).alias("excess_kurtosis"), F.first("var95").alias("var95"), F.avg(F.when(r <= F.col("var95"), r)).alias("cvar95"),
-        beta.alias("beta"), ((F.avg(r) - beta * F.avg("_b")) * YEAR).alias("alpha"), safe_corr("ret", "_b").alias("correlation"), (F.stddev_samp(act) * ROOT).alias("tracking_error"), (F.avg(act) / F.nullif(F.stddev_samp(act), F.lit(0.0)) * ROOT).alias("information"),
+        over(F.avg(x) * YEAR, down, unbounded).alias("sortino"), F.min("_dd").alias("max_drawdown"), F.sqrt(F.avg(F.col("_dd") * F.col("_dd"))).alias("ulcer"), F.skewness(r).alias("skew"), F.kurtosis(r).alias("excess_kurtosis"), F.first("var95").alias("var95"), F.avg(F.when(r <= F.col("var95"), r)).alias("cvar95"),
+        beta.alias("beta"), ((F.avg(r) - beta * F.avg("_b")) * YEAR).alias("alpha"), safe_corr("ret", "_b").alias("correlation"), (F.stddev_samp(act) * ROOT).alias("tracking_error"), (over(F.avg(act), F.stddev_samp(act), unbounded) * ROOT).alias("information"),
     ).where((F.col("_n") >= 2) & (F.col("volatility") > 0)).drop("_n")
     month = returns.groupBy("series_id", F.trunc("date", "month").alias("_m")).agg((F.product(1 + r) - 1).alias("m")).groupBy("series_id").agg(F.max("m").alias("best_month"), F.min("m").alias("worst_month"), F.avg((F.col("m") > 0).cast("double")).alias("positive_months"))
     out = daily.join(month, "series_id").join(longest, "series_id", "left").withColumn("longest_days", F.coalesce("longest_days", F.lit(0)))
