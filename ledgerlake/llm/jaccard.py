@@ -1,4 +1,5 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: a prefix filter that finds every pair, and connected components."""
+"""Near-duplicates by SimHash with an exact check: fingerprints and their segment-popcount grid name pairs, the Jaccard similarity of word
+shingles decides, a prefix filter adds every pair that fingerprints miss, and components follow."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, scan_text, word_hashes
-from .simhash import components, shingle_bytes, with_components
+from .simhash import components, links, shingle_bytes, simhash, with_components
 
 SHINGLE = 5
 #: Documents link at a similarity of 4/5 or more. The prefixes, the sizes and the distances below follow from it.
@@ -171,11 +172,21 @@ def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, te
     return materialise(both.where((UP + DOWN) * shared >= UP * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "similar")
 
 
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(a, b): candidate pairs of (node, n, fingerprint) that SimHash names: each node with the least of its fingerprint, and the least nodes of
+    linked fingerprints (``simhash.links``, whose links connect all that differ in few bits). Nodes without shingles have no pairs."""
+    first = materialise(nodes.where("n > 0").groupBy("fingerprint").agg(F.min("node").alias("first")), "fingerprints")
+    of = lambda k, x: first.select(F.col("fingerprint").alias(k), F.col("first").alias(x))
+    linked = links(first.select("fingerprint")).join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+    same = nodes.where("n > 0").join(first, "fingerprint").where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    return linked.union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, node, component_id) of every row: the least id among all documents reachable over pairs of similarity 4/5 or more.
 
-    Similarity is that of the sets of SHINGLE words in a row; equal sets are one node. No pair is missed: two sets of that
-    similarity share a shingle of their prefixes, and where the first of them stands leaves room for what they must have in common.
+    Similarity is that of the sets of SHINGLE words in a row; equal sets are one node. Pairs that SimHash fingerprints name are checked
+    first, with those of next neighbours; what they link is not compared again. No pair is missed: two sets of that similarity share a shingle of their prefixes, and where the first of them stands leaves room for what they must have in common.
     Texts without words are alike. Repeated rows give repeated results, an empty table gives an empty one; other columns of any name do not
     matter. Null ids are never the least id; a component of null ids alone has none. Time is quadratic in
     what a bucket holds beside its components, in vectorised blocks.
@@ -187,17 +198,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wide = np.stack([sketch_of(x) for x in sets]) if sets else np.zeros((0, WIDE // 64), np.uint64)
         sketches = np.bitwise_xor.reduce(wide.reshape(len(sets), -1, 4), axis=1).view(np.int64)
         return {
-            "node": pa.array([node_of(x) for x in sets], pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()),
+            "node": pa.array([node_of(x) for x in sets], pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()), "fingerprint": simhash(texts).view(np.int64),
             **{c: pa.array(np.ascontiguousarray(sketches[:, i])) for i, c in enumerate(SKETCH)}, "wide": longs(list(wide)), "prefix": longs([prefix_of(x, common) for x in sets]),
         }
 
-    schema = "node long, n long, " + ", ".join(f"{c} long" for c in SKETCH) + ", wide array<long>, prefix array<long>"
+    schema = "node long, n long, fingerprint long, " + ", ".join(f"{c} long" for c in SKETCH) + ", wide array<long>, prefix array<long>"
     renamed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     prints = materialise(scan_text(renamed, ["_id"], "_text", make, schema), "prints")
-    nodes = materialise(prints.groupBy("node", "n", *SKETCH).agg(F.min("_id").alias("least"), F.first("wide").alias("wide"), F.count("*").alias("_rows")), "nodes")
+    nodes = materialise(prints.groupBy("node", "n", *SKETCH).agg(F.min("_id").alias("least"), F.first("wide").alias("wide"), F.min("fingerprint").alias("fingerprint"), F.count("*").alias("_rows")), "nodes")
     once = prints.where("n > 0").select("node", "n", "prefix").dropDuplicates(["node"])
     rows = once.select(F.posexplode("prefix").alias("pos", "s"), "node", "n").select("s", "node", "n", F.col("pos").cast("long").alias("pos"))
-    pairs = materialise(buckets(rows, neighbours), "candidates")
+    none = (F.lit(None).cast("long").alias(c) for c in ("s", "n", "pos"))
+    pairs = materialise(buckets(rows, neighbours).union(by_fingerprint(nodes).select("a", "b", *none)), "candidates")
     found = similar(renamed, nodes, pairs, "_id", "_text")
     roots = components(found)
     large = pairs.where("s is not null").select("s", F.col("a").alias("node"), "n", "pos")

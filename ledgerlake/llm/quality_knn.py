@@ -88,8 +88,11 @@ def unit(x: np.ndarray) -> np.ndarray:
 def latent_space(counts: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
     """Inverse-document-frequency weights of the terms and the leading right singular vectors of the weighted matrix."""
     weight = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
-    x = counts * weight
-    values, vectors = np.linalg.eigh(x.T.astype(np.float64) @ x)
+    square = np.zeros((counts.shape[1],) * 2)
+    for k in range(0, len(counts), BLOCK):
+        x = (counts[k : k + BLOCK] * weight).astype(np.float64)
+        square += x.T @ x
+    values, vectors = np.linalg.eigh(square)
     return weight, vectors[:, ::-1][:, :rank].astype(np.float32)
 
 
@@ -100,13 +103,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
     def make(texts):
         return {"counts": pa.array([x.tobytes() for k in range(0, len(texts), BLOCK) for x in term_counts(texts.slice(k, BLOCK)).astype(np.float16)], pa.binary())}
 
-    got = scan_text(rows, ["doc_id", "y"], "text", make, "counts binary").toPandas().sort_values("doc_id")
+    got = scan_text(rows, ["doc_id", "y"], "text", make, "counts binary").toArrow().sort_by("doc_id")
     discard(rows)
     if not len(got):
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
-    counts = np.frombuffer(b"".join(got.counts), np.float16).reshape(-1, TERMS).astype(np.float32)
+    counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
     weight, projection = latent_space(counts)
-    model = Model(weight, projection, np.zeros((0, RANK)), got.y.to_numpy().astype(np.float64))
+    model = Model(weight, projection, np.zeros((0, RANK)), np.asarray(got.column("y")).astype(np.float64))
     model.vectors = model.embed(counts)
     return model
 

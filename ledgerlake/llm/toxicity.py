@@ -16,6 +16,8 @@ SAMPLE = 8_000
 #: A bucket needs so many labelled texts, and a log-count ratio so many standard errors from zero.
 MIN_TEXTS, MIN_ERRORS = 3, 3.0
 L2, STEPS = 1e-3, 400
+#: Entries of the fitted matrix that one vectorised step takes.
+ENTRIES = 1 << 18
 
 
 def _letters() -> np.ndarray:
@@ -76,16 +78,27 @@ class Model:
 
 
 def fit_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
-    """L2 logistic regression on a sparse matrix by accelerated gradient steps; the bias is not penalised."""
+    """L2 logistic regression on a sparse matrix by accelerated gradient steps; the bias is not penalised. ``values`` are those of the columns,
+    ``rows`` ascend. Entries are taken in blocks, so only their two indices are held."""
     n = max(1, len(y))
-    norms = np.bincount(rows, values**2, n)
+    cuts = range(0, max(1, len(rows)), ENTRIES)
+
+    def total(by: np.ndarray, weight, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        for k in cuts:
+            at = slice(k, k + ENTRIES)
+            out += np.bincount(by[at], weight(at), size)
+        return out
+
+    norms = total(rows, lambda at: values[columns[at]] ** 2, n)
     step = 1 / (0.25 * (norms.max(initial=0) + 1) + L2)
     w, b = np.zeros(width), 0.0
     v, c, t = w.copy(), b, 1.0
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, values * v[columns], n) + c, -30, 30)))
+        scaled = values * v
+        p = 1 / (1 + np.exp(-np.clip(total(rows, lambda at: scaled[columns[at]], n) + c, -30, 30)))
         g = p - y
-        new_w = v - step * (np.bincount(columns, values * g[rows], width) / n + L2 * v)
+        new_w = v - step * (values * total(columns, lambda at: g[rows[at]], width) / n + L2 * v)
         new_b = c - step * g.mean()
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, c = new_w + (t - 1) / t2 * (new_w - w), new_b + (t - 1) / t2 * (new_b - b)
@@ -139,12 +152,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
         bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
         return {"features": pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(found.astype(np.int32)))}
 
-    got = scan_text(rows, ["y"], "text", choose, "features array<int>").toPandas()
+    got = scan_text(rows, ["y"], "text", choose, "features array<int>").toArrow()
     discard(rows)
-    sizes = got.features.map(len).to_numpy()
-    row = np.repeat(np.arange(len(got)), sizes)
-    column = np.concatenate([*got.features, np.zeros(0, np.int64)]).astype(np.int64)
-    w, b = fit_logistic(row, column, ratio[chosen][column], got.y.to_numpy().astype(float), len(chosen))
+    lists = got.column("features").combine_chunks()
+    row = np.repeat(np.arange(len(got), dtype=np.int32), np.asarray(lists.value_lengths()))
+    w, b = fit_logistic(row, np.asarray(lists.flatten()), ratio[chosen], np.asarray(got.column("y")).astype(float), len(chosen))
     return Model(feature, np.append(w * ratio[chosen], 0.0), b)
 
 

@@ -60,3 +60,32 @@ def test_every_pair_is_found(spark):
     stage = corpus_pipeline.STAGES[2][1]
     assert {r.doc_id for r in stage(spark, df, "").collect()} == set(want.values())
     assert {r.component_id for r in simhash.near_duplicates(df).collect()} != set(want.values())  # four of 64 bits miss pairs
+
+
+def test_the_stage_asks_fingerprints_first(spark, monkeypatch):
+    texts = {k: t for k, t in edited().items() if shingles(t)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    asked, ask = [], jaccard.by_fingerprint
+
+    def seen(nodes):
+        pairs = ask(nodes)
+        asked.append([tuple(r) for r in pairs.collect()])
+        return pairs
+
+    monkeypatch.setattr(jaccard, "by_fingerprint", seen)
+    stage = corpus_pipeline.STAGES[2][1]
+    assert {r.doc_id for r in stage(spark, df, "").collect()} == set(brute_least(texts).values())
+    # what the pairs connect is what operator 8 connects, but for documents of one shingle set
+    root = {}
+
+    def find(k):
+        while root.setdefault(k, k) != k:
+            k = root[k]
+        return k
+
+    for a, b in asked[0]:
+        root[find(b)] = find(a)
+    node = {r.doc_id: r.node for r in jaccard.near_duplicates(df).collect()}
+    for r in simhash.near_duplicates(df).collect():
+        assert find(node[r.doc_id]) == find(node[r.component_id])
+    assert len(asked[0]) > 0
