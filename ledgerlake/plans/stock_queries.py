@@ -24,11 +24,16 @@ ONE = [c for c in CONFIGS if c["config"] == "f20 s2 q6 n6 eq"]
 RULES = sl.Rules(exit_score=6.0, stop=0.15, max_days=250, market="hold")
 
 
+def known(df):
+    """``df`` made once, as a local table, for figures of days that many plans read."""
+    return df.sparkSession.createDataFrame(df.toArrow()).select(*(F.col(c).cast(t).alias(c) for c, t in df.dtypes))
+
+
 def panel(spark, d):
-    """A brand is a stock, its maker the sector; opens are the closes before; scores change each quarter."""
+    """Closes and the benchmark are made once: brands by days, and days, whatever the journals hold. A brand is a stock, its maker the sector; opens are the closes before; scores change each quarter."""
     w = by("symbol")
     mean = lambda n: F.when(F.count("close").over(last_rows(w, n)) >= int(0.95 * n), F.avg("close").over(last_rows(w, n)))
-    x = v.prices(spark, d).withColumn("open", F.lag("close").over(w))
+    x = known(v.prices(spark, d)).withColumn("open", F.lag("close").over(w))
     x = x.withColumn("slow", mean(SLOW)).withColumn("_move", F.col("close") / F.col("open") - 1)
     x = x.withColumn("fast", F.array(*(F.coalesce((F.col("close") > mean(n)).cast("int"), F.lit(0)) for n in FAST)))
     x = x.withColumn("vol", F.when(F.count("_move").over(last_rows(w, VOL)) >= int(0.8 * VOL), F.stddev_samp("_move").over(last_rows(w, VOL))))
@@ -36,7 +41,7 @@ def panel(spark, d):
     score = lambda q: (4 + (brand * 7 + q * 5 + brand * q) % 6).cast("double")
     x = x.withColumns({"score": score(quarter), "before": score(quarter - 1), "size": F.col("close") * (1000 + brand), "sector": F.substring("symbol", 7, 1), "adjust": F.lit(1.0)})
     ok = F.coalesce((F.col("close") < F.col("slow")) & (F.col("size") > 0), F.lit(False))
-    bench = v.bench(spark, d).withColumn("level", F.product(1 + F.col("ret")).over(Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
+    bench = known(v.bench(spark, d)).withColumn("level", F.product(1 + F.col("ret")).over(Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
     bench = bench.select("date", (F.col("level") >= F.avg("level").over(last_rows(Window.partitionBy(F.lit(0)).orderBy("date"), SLOW))).alias("market"))
     ref = x.groupBy("date").agg(F.median("vol").alias("reference"))
     y = x.withColumn("ok", ok).join(ref, "date").join(bench, "date", "left").withColumn("market", F.coalesce("market", F.lit(True)))
@@ -101,9 +106,9 @@ def engine_causality(spark, d):
     honest = lambda x: sl.days_of(sl.run_accounts(x, ONE, sl.Rules(exit_score=6.0, stop=None, target=False), START))
     later = lambda x: x.withColumn("_l", F.lead("close", 5).over(by("symbol"))).groupBy("date").agg(F.coalesce(F.avg(F.col("_l") / F.col("close")), F.lit(1.0)).alias("_r"))
     ahead = lambda x: honest(x).join(later(x), "date").withColumn("equity", F.col("equity") * F.col("_r"))
-    out = None
+    out, data = None, panel(spark, d)
     for name, engine in (("account", honest), ("leaking", ahead)):
-        found = sf.engine_causality(engine, panel(spark, d), CUTS, ["config"], ["equity", "invested", "positions"], ["open", "high", "low", "close", "slow"])
+        found = sf.engine_causality(engine, data, CUTS, ["config"], ["equity", "invested", "positions"], ["open", "high", "low", "close", "slow"])
         found = found.select(F.lit(name).alias("engine"), "cut", "test", F.col("rows").alias("days"), (F.col("differing") > 0).alias("leaks"))
         out = found if out is None else out.union(found)
     return out
