@@ -165,8 +165,9 @@ def ledger_weights(daily: DataFrame) -> DataFrame:
     return daily.withColumn("weight", F.when(F.abs(total) > 1e-6, F.col("nav") / F.nullif(total, F.lit(0.0))))
 
 
-def legs(fills: DataFrame) -> DataFrame:
-    """Fills with the position before and after; a fill that flips the sign is two legs with fees in proportion."""
+def episodes(fills: DataFrame) -> DataFrame:
+    """Fills with the position before, in the number of their flat-to-flat episode; a fill that flips the sign is two legs with fees in
+    proportion. One sort of a key's fills serves all: episodes are counted before flips are cut in two."""
     w = by(*KEY, order="seq")
     size = lambda c: F.when(F.abs(c) <= TINY, F.lit(0.0)).otherwise(c)
     after = fills.withColumn("after", size(F.sum("qty").over(running(w)))).withColumn("before", F.coalesce(F.lag("after").over(w), F.lit(0.0)))
@@ -174,35 +175,32 @@ def legs(fills: DataFrame) -> DataFrame:
     share = lambda q: F.struct(q.alias("q"), (F.col("fees") * F.abs(q / F.col("qty"))).alias("fee"))
     one = F.array(F.struct(F.col("qty").alias("q"), F.col("fees").alias("fee")))
     two = F.array(share(-F.col("before")), share(F.col("after")))
-    cut = after.select(*KEY, "seq", "date", "price", "before", flip.alias("flip"), F.posexplode(F.when(flip, two).otherwise(one)).alias("leg", "x"))
-    return cut.select(*KEY, "seq", "leg", "date", "price", "x.q", "x.fee", F.when(F.col("leg") == 1, F.lit(0.0)).otherwise(F.col("before")).alias("before"))
-
-
-def episodes(fills: DataFrame) -> DataFrame:
-    """Legs with the number of their flat-to-flat episode."""
-    w = Window.partitionBy(*KEY).orderBy("seq", "leg")
-    return legs(fills).withColumn("episode", F.sum((F.col("before") == 0).cast("int")).over(running(w)))
+    begun = F.sum((F.col("before") == 0).cast("int") + flip.cast("int")).over(running(w))
+    after = after.withColumns({"flip": flip, "begun": begun})  # before the cut, where a row is a fill
+    cut = after.select(*KEY, "seq", "date", "price", "before", "flip", "begun", F.posexplode(F.when(flip, two).otherwise(one)).alias("leg", "x"))
+    episode = F.col("begun") - (F.col("flip") & (F.col("leg") == 0)).cast("int")
+    return cut.select(*KEY, "seq", "leg", "date", "price", "x.q", "x.fee", F.when(F.col("leg") == 1, F.lit(0.0)).otherwise(F.col("before")).alias("before"), episode.alias("episode"))
 
 
 def round_trips(fills: DataFrame, calendar: DataFrame | None = None, instruments: DataFrame | None = None) -> DataFrame:
     """Flat-to-flat episodes of each sleeve and symbol, closed or open. Net of fees, without dividends, with the multiplier.
 
     For a closed episode the average-cost profit is exit value less entry value, so it needs sums alone. With a calendar, dates are
-    booked days and ``bars`` counts them. ``quantity`` is the largest position.
+    booked days and ``bars`` counts them. ``quantity`` is the largest position. An episode keeps its sign and ends where nothing is left, so
+    each leg tells its side and whether it closes; the sums need no order.
     """
     rows = fills if calendar is None else on_calendar(fills, calendar)
     e = multipliers(episodes(rows), instruments).withColumn("after", F.col("before") + F.col("q"))
-    last_after = F.max(F.struct("seq", "leg", "after"))["after"]
-    e = e.withColumn("q0", F.first("q").over(Window.partitionBy(*KEY, "episode").orderBy("seq", "leg")))
-    enters = F.col("q") * F.col("q0") > 0
+    e = e.withColumn("side", F.signum(F.when(F.col("before") != 0, F.col("before")).otherwise(F.col("q"))))
+    enters = F.col("q") * F.col("side") > 0
     value = F.abs(F.col("q")) * F.col("price") * F.col("multiplier")
     part = lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0.0))
     price = lambda v, q: v / F.nullif(q * F.col("multiplier"), F.lit(0.0))
     out = e.groupBy(*KEY, "episode").agg(
-        F.when(F.max("q0") > 0, "long").otherwise("short").alias("direction"), F.min("date").alias("entry_date"), F.max("date").alias("exit_date"), F.max("seq").alias("exit_seq"),
+        F.when(F.max("side") > 0, "long").otherwise("short").alias("direction"), F.min("date").alias("entry_date"), F.max("date").alias("exit_date"), F.max("seq").alias("exit_seq"),
         F.max(F.abs("after")).alias("quantity"), part(enters, value).alias("entry_value"), part(~enters, value).alias("exit_value"), F.sum("fee").alias("fees"),
         part(enters, F.abs("q")).alias("entry_qty"), part(~enters, F.abs("q")).alias("exit_qty"), F.count("*").alias("fills"), F.max("multiplier").alias("multiplier"),
-        (F.abs(last_after) <= TINY).alias("closed"), F.signum(F.max("q0")).alias("side"),
+        F.max(F.abs("after") <= TINY).alias("closed"), F.max("side").alias("side"),
     )
     pnl = F.col("side") * (F.col("exit_value") - F.col("entry_value")) - F.col("fees")
     done = out.withColumns({
@@ -222,7 +220,7 @@ def open_positions(fills: DataFrame, last: DataFrame, calendar: DataFrame, nav:
     Returns quantity, avg_cost, last, market_value, unrealized, unrealized_pct, realized (net of fees), entry_date, days, bars, weight.
     """
     e = episodes(on_calendar(fills, calendar))
-    whole = e.groupBy(*KEY, "episode").agg(F.sum("q").alias("quantity"), F.array_sort(F.collect_list(F.struct("seq", "leg", "q", "price"))).alias("legs"), F.sum("fee").alias("fees"), F.min("date").alias("entry_date"))
+    whole = e.groupBy(*KEY, "episode").agg(F.sum("q").alias("quantity"), F.sort_array(F.collect_list(F.struct("seq", "leg", "q", "price"))).alias("legs"), F.sum("fee").alias("fees"), F.min("date").alias("entry_date"))
     start = F.struct(*(F.lit(0.0).alias(c) for c in ("q", "avg", "realized")))
 
     def step(acc: Column, x: Column) -> Column:
