@@ -6,7 +6,7 @@ are written as window expressions; only the average cost of open positions needs
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .timeseries import asof_forward, by, running
@@ -165,43 +165,82 @@ def ledger_weights(daily: DataFrame) -> DataFrame:
     return daily.withColumn("weight", F.when(F.abs(total) > 1e-6, F.col("nav") / F.nullif(total, F.lit(0.0))))
 
 
-def episodes(fills: DataFrame) -> DataFrame:
-    """Fills with the position before, in the number of their flat-to-flat episode; a fill that flips the sign is two legs with fees in
-    proportion. One sort of a key's fills serves all: episodes are counted before flips are cut in two."""
-    w = by(*KEY, order="seq")
-    size = lambda c: F.when(F.abs(c) <= TINY, F.lit(0.0)).otherwise(c)
-    after = fills.withColumn("after", size(F.sum("qty").over(running(w)))).withColumn("before", F.coalesce(F.lag("after").over(w), F.lit(0.0)))
+def size_of(shares: Column) -> Column:
+    return F.when(F.abs(shares) <= TINY, F.lit(0.0)).otherwise(shares)
+
+
+def legs_of(held: DataFrame, w: WindowSpec, *keep: str) -> DataFrame:
+    """Legs of fills with the position ``before`` and ``after``, in the number of their flat-to-flat episode within the window; a fill
+    that flips the sign is two legs with fees in proportion. Episodes are counted before flips are cut in two, where a row is a fill."""
     flip = F.col("before") * F.col("after") < 0
     share = lambda q: F.struct(q.alias("q"), (F.col("fees") * F.abs(q / F.col("qty"))).alias("fee"))
     one = F.array(F.struct(F.col("qty").alias("q"), F.col("fees").alias("fee")))
     two = F.array(share(-F.col("before")), share(F.col("after")))
     begun = F.sum((F.col("before") == 0).cast("int") + flip.cast("int")).over(running(w))
-    after = after.withColumns({"flip": flip, "begun": begun})  # before the cut, where a row is a fill
-    cut = after.select(*KEY, "seq", "date", "price", "before", "flip", "begun", F.posexplode(F.when(flip, two).otherwise(one)).alias("leg", "x"))
+    held = held.withColumns({"flip": flip, "begun": begun})
+    cut = held.select(*KEY, *keep, "seq", "date", "price", "before", "flip", "begun", F.posexplode(F.when(flip, two).otherwise(one)).alias("leg", "x"))
     episode = F.col("begun") - (F.col("flip") & (F.col("leg") == 0)).cast("int")
-    return cut.select(*KEY, "seq", "leg", "date", "price", "x.q", "x.fee", F.when(F.col("leg") == 1, F.lit(0.0)).otherwise(F.col("before")).alias("before"), episode.alias("episode"))
+    return cut.select(*KEY, *keep, "seq", "leg", "date", "price", "x.q", "x.fee", F.when(F.col("leg") == 1, F.lit(0.0)).otherwise(F.col("before")).alias("before"), episode.alias("episode"))
+
+
+def episodes(fills: DataFrame) -> DataFrame:
+    """Legs of fills with the position before, in the number of their episode. One sort of a key's fills serves all."""
+    w = by(*KEY, order="seq")
+    after = fills.withColumn("after", size_of(F.sum("qty").over(running(w)))).withColumn("before", F.coalesce(F.lag("after").over(w), F.lit(0.0)))
+    return legs_of(after, w)
+
+
+def day_legs(fills: DataFrame, unordered: DataFrame) -> DataFrame:
+    """Legs of fills whose episodes are counted anew on each day of a key (``day``); 0 goes on from the day before. ``unordered``: the same
+    fills in any order, summed up to the position that a key's day begins with.
+
+    A task sorts days, never a key's whole history, and days are dealt to all partitions: merged by their compressed size they would be
+    millions of fills in a task."""
+    keys = [*KEY, "day"]
+    sums = unordered.groupBy(*KEY, F.col("date").alias("day")).agg(F.sum("qty").alias("_sum"))
+    start = F.coalesce(F.sum("_sum").over(by(*KEY, order="day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    starts = sums.select(*keys, start.alias("qty"), F.lit(False).alias("_fill"))  # a day's first row, so no join is needed
+    parts = int(fills.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = fills.select(*KEY, F.col("date").alias("day"), "seq", "date", "price", "fees", "qty", F.lit(True).alias("_fill"))
+    rows = rows.unionByName(starts, allowMissingColumns=True).repartition(parts, *keys)
+    w = Window.partitionBy(*keys).orderBy("_fill", "seq")
+    held = rows.withColumns({"after": size_of(F.sum("qty").over(running(w))), "before": size_of(F.sum("qty").over(w.rowsBetween(Window.unboundedPreceding, -1)))})
+    return legs_of(held.where("_fill"), w, "day")
 
 
-def round_trips(fills: DataFrame, calendar: DataFrame | None = None, instruments: DataFrame | None = None) -> DataFrame:
+def days_joined(pieces: DataFrame) -> DataFrame:
+    """One row for each episode of a key from one for each of its days, in the numbers that the whole history gives."""
+    whole = pieces.withColumn("episode", F.sum((F.col("episode") > 0).cast("int")).over(running(Window.partitionBy(*KEY).orderBy("day", "episode"))))
+    how = {c: F.min if c == "entry_date" else F.max if c in ("exit_date", "exit_seq", "quantity", "multiplier", "closed", "side") else F.sum for c in pieces.columns if c not in (*KEY, "day", "episode", "direction")}
+    return whole.groupBy(*KEY, "episode").agg(F.when(F.max("side") > 0, "long").otherwise("short").alias("direction"), *(f(c).alias(c) for c, f in how.items()))
+
+
+def round_trips(fills: DataFrame, calendar: DataFrame | None = None, instruments: DataFrame | None = None, unordered: DataFrame | None = None) -> DataFrame:
     """Flat-to-flat episodes of each sleeve and symbol, closed or open. Net of fees, without dividends, with the multiplier.
 
     For a closed episode the average-cost profit is exit value less entry value, so it needs sums alone. With a calendar, dates are
     booked days and ``bars`` counts them. ``quantity`` is the largest position. An episode keeps its sign and ends where nothing is left, so
     each leg tells its side and whether it closes; the sums need no order.
+
+    ``unordered``, the same fills without ``seq``, says that dates never fall as ``seq`` rises: fills are then summed within days, and a
+    key's days put together, so that a task holds days and not a key's history.
     """
-    rows = fills if calendar is None else on_calendar(fills, calendar)
-    e = multipliers(episodes(rows), instruments).withColumn("after", F.col("before") + F.col("q"))
+    book = lambda x: x if calendar is None else on_calendar(x, calendar)
+    legs = episodes(book(fills)) if unordered is None else day_legs(book(fills), book(unordered))
+    e = multipliers(legs, instruments).withColumn("after", F.col("before") + F.col("q"))
     e = e.withColumn("side", F.signum(F.when(F.col("before") != 0, F.col("before")).otherwise(F.col("q"))))
     enters = F.col("q") * F.col("side") > 0
     value = F.abs(F.col("q")) * F.col("price") * F.col("multiplier")
     part = lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0.0))
     price = lambda v, q: v / F.nullif(q * F.col("multiplier"), F.lit(0.0))
-    out = e.groupBy(*KEY, "episode").agg(
+    out = e.groupBy(*KEY, *(() if unordered is None else ("day",)), "episode").agg(
         F.when(F.max("side") > 0, "long").otherwise("short").alias("direction"), F.min("date").alias("entry_date"), F.max("date").alias("exit_date"), F.max("seq").alias("exit_seq"),
         F.max(F.abs("after")).alias("quantity"), part(enters, value).alias("entry_value"), part(~enters, value).alias("exit_value"), F.sum("fee").alias("fees"),
         part(enters, F.abs("q")).alias("entry_qty"), part(~enters, F.abs("q")).alias("exit_qty"), F.count("*").alias("fills"), F.max("multiplier").alias("multiplier"),
         F.max(F.abs("after") <= TINY).alias("closed"), F.max("side").alias("side"),
     )
+    if unordered is not None:
+        out = days_joined(out)
     pnl = F.col("side") * (F.col("exit_value") - F.col("entry_value")) - F.col("fees")
     done = out.withColumns({
         "pnl": F.when(F.col("closed"), pnl), "ret": F.when(F.col("closed"), pnl / F.nullif("entry_value", F.lit(0.0))), "days": F.datediff("exit_date", "entry_date"),

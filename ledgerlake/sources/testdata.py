@@ -30,8 +30,8 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("symbol", F.to_date("l_shipdate").alias("date")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"))
 
 
-def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq, date, sleeve, symbol, side, qty, price, fees): qty is signed; seq orders the whole row.
+def fills(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
+    """(seq, date, sleeve, symbol, side, qty, price, fees): qty is signed; seq orders the whole row. Without ``numbered`` there is no seq.
 
     Rows are numbered within their day and moved up by the count of the days before, so no task sorts a symbol's whole history."""
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
@@ -39,16 +39,18 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     sign = F.when(F.col("l_linestatus") == "F", -1).otherwise(1)
     sleeve = (F.col("l_suppkey") % 5).cast("int").alias("sleeve")
     rows = rows.withColumns({"sleeve": sleeve, "date": F.to_date("l_shipdate")})
+    row = [
+        "date", "sleeve", "symbol", F.when(F.col("l_linestatus") == "F", "SELL").otherwise("BUY").alias("side"), (F.col("l_quantity") * sign).alias("qty"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), (F.col("l_tax") * 0.01 * F.col("l_extendedprice")).alias("fees"),
+    ]
+    if not numbered:
+        return rows.select(*row)
     days = rows.groupBy("sleeve", "symbol", "date").count()  # a day without a date comes first
     before = F.sum("count").over(Window.partitionBy("sleeve", "symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, -1))
     days = days.select("sleeve", "symbol", "date", before.alias("_before"))
     order = Window.partitionBy("sleeve", "symbol", "date").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
     rows = rows.withColumn("_i", F.row_number().over(order)).join(days, ["sleeve", "symbol", "date"], "left")
-    return rows.select(
-        (F.col("_i") + F.coalesce("_before", F.lit(0))).cast("long").alias("seq"), "date", "sleeve", "symbol",
-        F.when(F.col("l_linestatus") == "F", "SELL").otherwise("BUY").alias("side"), (F.col("l_quantity") * sign).alias("qty"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), (F.col("l_tax") * 0.01 * F.col("l_extendedprice")).alias("fees"),
-    )
+    return rows.select((F.col("_i") + F.coalesce("_before", F.lit(0))).cast("long").alias("seq"), *row)
 
 
 def cashflows(spark: SparkSession, sf_dir: str) -> DataFrame:

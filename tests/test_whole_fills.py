@@ -28,6 +28,22 @@ def test_trips_sort_a_history_once(spark):
     assert got == {1: ("long", True, 2.0, 2), 2: ("long", True, 3.0, 2), 3: ("short", True, 2.0, 3)}
 
 
+def test_trips_of_days_are_those_of_the_history(spark):
+    """Flips, days that begin flat or held, parts of shares, a key that is null and one that stays open."""
+    qty = [2.0, -3.0, 1.0, 1.0, -1.0, 0.1, 0.2, -0.3, 5.0, -2.0, -4.0, -1.0, 3.0, -3.0, 7.0, 1.0, 1.0, -20.0, 11.0, 4.0]
+    rows = [(s, "a", i, 5.0 + i % 3, 0.5, q * (k + 1), 1 + i // (k + 1)) for k, s in enumerate(("s", None, "t")) for i, q in enumerate(qty)]
+    fills = spark.createDataFrame(rows, "sleeve string, symbol string, seq long, price double, fees double, qty double, d int").withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d"))).drop("d")
+    number = lambda x: round(x, 9) if isinstance(x, float) else x
+    rows_of = lambda x: sorted([tuple(number(v) for v in r) for r in x.select(sorted(x.columns)).collect()], key=str)
+    want, got = ledger.round_trips(fills), ledger.round_trips(fills, unordered=fills.drop("seq"))
+    assert got.columns == want.columns and rows_of(got) == rows_of(want) and len(rows_of(got)) > 20
+
+
+def test_trips_sort_days_and_no_history(spark):
+    windows = [x for x in plan_of(ledger_queries._trips(spark, SF)).splitlines() if " Sort [" in x and "seq#" in x]
+    assert windows and all("day#" in x.split("seq#")[0] for x in windows)
+
+
 def test_a_panel_reads_its_tables_once(spark):
     plan = plan_of(stock_queries.panel(spark, SF))
     assert "lineitem" not in plan and "l_partkey" not in plan
