@@ -190,17 +190,17 @@ def episodes(fills: DataFrame) -> DataFrame:
     return legs_of(after, w)
 
 
-def day_legs(fills: DataFrame, unordered: DataFrame) -> DataFrame:
+def day_legs(fills: DataFrame, unordered: DataFrame, parts: int | None = None) -> DataFrame:
     """Legs of fills whose episodes are counted anew on each day of a key (``day``); 0 goes on from the day before. ``unordered``: the same
     fills in any order, summed up to the position that a key's day begins with.
 
-    A task sorts days, never a key's whole history, and days are dealt to all partitions: merged by their compressed size they would be
-    millions of fills in a task."""
+    A task sorts days, never a key's whole history, and days are dealt to ``parts`` partitions, else the session's: merged by their
+    compressed size they would be millions of fills in a task."""
     keys = [*KEY, "day"]
     sums = unordered.groupBy(*KEY, F.col("date").alias("day")).agg(F.sum("qty").alias("_sum"))
     start = F.coalesce(F.sum("_sum").over(by(*KEY, order="day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     starts = sums.select(*keys, start.alias("qty"), F.lit(False).alias("_fill"))  # a day's first row, so no join is needed
-    parts = int(fills.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(fills.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = fills.select(*KEY, F.col("date").alias("day"), "seq", "date", "price", "fees", "qty", F.lit(True).alias("_fill"))
     rows = rows.unionByName(starts, allowMissingColumns=True).repartition(parts, *keys)
     w = Window.partitionBy(*keys).orderBy("_fill", "seq")
@@ -215,7 +215,7 @@ def days_joined(pieces: DataFrame) -> DataFrame:
     return whole.groupBy(*KEY, "episode").agg(F.when(F.max("side") > 0, "long").otherwise("short").alias("direction"), *(f(c).alias(c) for c, f in how.items()))
 
 
-def round_trips(fills: DataFrame, calendar: DataFrame | None = None, instruments: DataFrame | None = None, unordered: DataFrame | None = None) -> DataFrame:
+def round_trips(fills: DataFrame, calendar: DataFrame | None = None, instruments: DataFrame | None = None, unordered: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Flat-to-flat episodes of each sleeve and symbol, closed or open. Net of fees, without dividends, with the multiplier.
 
     For a closed episode the average-cost profit is exit value less entry value, so it needs sums alone. With a calendar, dates are
@@ -223,10 +223,10 @@ def round_trips(fills: DataFrame, calendar: DataFrame | None = None, instruments
     each leg tells its side and whether it closes; the sums need no order.
 
     ``unordered``, the same fills without ``seq``, says that dates never fall as ``seq`` rises: fills are then summed within days, and a
-    key's days put together, so that a task holds days and not a key's history.
+    key's days put together, so that a task holds days and not a key's history. ``parts`` of them, which should grow with the fills.
     """
     book = lambda x: x if calendar is None else on_calendar(x, calendar)
-    legs = episodes(book(fills)) if unordered is None else day_legs(book(fills), book(unordered))
+    legs = episodes(book(fills)) if unordered is None else day_legs(book(fills), book(unordered), parts)
     e = multipliers(legs, instruments).withColumn("after", F.col("before") + F.col("q"))
     e = e.withColumn("side", F.signum(F.when(F.col("before") != 0, F.col("before")).otherwise(F.col("q"))))
     enters = F.col("q") * F.col("side") > 0

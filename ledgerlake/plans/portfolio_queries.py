@@ -201,7 +201,7 @@ SIGNALS = """sg AS (SELECT s.sleeve, o.symbol, CASE WHEN (k + s.sleeve) % 5 = 0
 
 
 def _signals(spark, d):
-    s, o = v.fills(spark, d).select("sleeve").distinct(), v.prices(spark, d).select("symbol", F.expr("cast(substr(symbol, 7) as int)").alias("k")).distinct()
+    s, o = v.fills(spark, d, numbered=False).select("sleeve").distinct(), v.prices(spark, d).select("symbol", F.expr("cast(substr(symbol, 7) as int)").alias("k")).distinct()
     weight = F.when((F.col("k") + F.col("sleeve")) % 5 == 0, 0.2).otherwise(0.0)
     later = F.when(F.col("sleeve") < 3, F.when((F.col("k") + F.col("sleeve")) % 4 == 0, 0.15).otherwise(0.0))
     trade = F.when(F.col("sleeve") == 0, F.lit("2002-01-31")).when(F.col("sleeve") == 1, F.lit("2002-02-20")).cast("date")
@@ -225,7 +225,7 @@ PLAN = f"""{v.with_views('fills', 'prices', 'instruments')}, {SIGNALS}, hd AS (S
 
 
 def _plan_inputs(spark, d):
-    held = v.fills(spark, d).where("(cast(substr(symbol, 7) as int) + sleeve) % 5 = 0").groupBy("sleeve", "symbol").agg(F.sum("qty").alias("qty"))
+    held = v.fills(spark, d, numbered=False).where("(cast(substr(symbol, 7) as int) + sleeve) % 5 = 0").groupBy("sleeve", "symbol").agg(F.sum("qty").alias("qty"))
     capital = held.select("sleeve").distinct().withColumn("capital", 1e6 * (F.col("sleeve") + 1))
     return od.current_weights(_signals(spark, d), "2002-02-10"), held, od.last_prices(v.prices(spark, d)), capital, v.instruments(spark, d)
 

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Flow types by order priority, and the share of the order's price that flows.
 FLOWS = {"1": ("deposit", 1.0), "2": ("withdrawal", 0.1), "3": ("transfer", 0.1), "4": ("dividend", 0.01), "5": ("fee", 0.001)}
+#: Fills that one task sorts, about 240 bytes each.
+TASK_ROWS = 200_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fill_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions for the days of fills: ``TASK_ROWS`` each, one a core at least. The count is that of the files' footers."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(read(spark, sf_dir, "lineitem").count() / TASK_ROWS))
+
+
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_id, date, ret): three strategies, one a return flag."""
     day = F.to_date("l_shipdate").alias("date")
@@ -33,7 +42,8 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fills(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
     """(seq, date, sleeve, symbol, side, qty, price, fees): qty is signed; seq orders the whole row. Without ``numbered`` there is no seq.
 
-    Rows are numbered within their day and moved up by the count of the days before, so no task sorts a symbol's whole history."""
+    Rows are numbered within their day and moved up by the count of the days before, so no task sorts a symbol's whole history. Days are
+    dealt to as many partitions as their rows need: merged by compressed size, or in a fixed count, a task's rows would grow."""
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
     rows = read(spark, sf_dir, "lineitem").join(part, "l_partkey")
     sign = F.when(F.col("l_linestatus") == "F", -1).otherwise(1)
@@ -49,7 +59,7 @@ def fills(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
     before = F.sum("count").over(Window.partitionBy("sleeve", "symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, -1))
     days = days.select("sleeve", "symbol", "date", before.alias("_before"))
     order = Window.partitionBy("sleeve", "symbol", "date").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    rows = rows.withColumn("_i", F.row_number().over(order)).join(days, ["sleeve", "symbol", "date"], "left")
+    rows = rows.repartition(fill_parts(spark, sf_dir), "sleeve", "symbol", "date").withColumn("_i", F.row_number().over(order)).join(days, ["sleeve", "symbol", "date"], "left")
     return rows.select((F.col("_i") + F.coalesce("_before", F.lit(0))).cast("long").alias("seq"), *row)
 
 

@@ -44,6 +44,22 @@ def test_trips_sort_days_and_no_history(spark):
     assert windows and all("day#" in x.split("seq#")[0] for x in windows)
 
 
+def test_tasks_grow_in_number_with_the_fills(spark, monkeypatch):
+    """Days of fills are dealt by the count of rows, whatever the session's partitions (4 here) and however small they compress."""
+    monkeypatch.setattr(v, "TASK_ROWS", 250)
+    rows = v.read(spark, SF, "lineitem").count()
+    assert v.fill_parts(spark, SF) == -(-rows // 250) > 20
+    most = v.fills(spark, SF).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 4 * 250
+    for key in ("date", "day"):
+        dealt = [x for x in plan_of(ledger_queries._trips(spark, SF)).splitlines() if "REPARTITION_BY_NUM" in x and f", {key}#" in x]
+        assert dealt and all(f", {v.fill_parts(spark, SF)})" in x for x in dealt)
+
+
+def test_dates_alone_need_no_numbers(spark):
+    assert "REPARTITION_BY_NUM" not in plan_of(ledger_queries.calendar(spark, SF))
+
+
 def test_a_panel_reads_its_tables_once(spark):
     plan = plan_of(stock_queries.panel(spark, SF))
     assert "lineitem" not in plan and "l_partkey" not in plan
