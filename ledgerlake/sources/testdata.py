@@ -18,8 +18,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fill_parts(spark: SparkSession, sf_dir: str) -> int:
-    """Partitions for the days of fills: ``TASK_ROWS`` each, one a core at least. The count is that of the files' footers."""
-    return max(spark.sparkContext.defaultParallelism, math.ceil(read(spark, sf_dir, "lineitem").count() / TASK_ROWS))
+    """Partitions for the days of fills: ``TASK_ROWS`` each, one a core at least. The count is that of the files' footers.
+
+    For over 200 partitions (spark.shuffle.sort.bypassMergeThreshold) the tasks that deal rows hold and sort them, so there are no more of
+    them until each would get ten times ``TASK_ROWS``."""
+    rows = read(spark, sf_dir, "lineitem").count()
+    return max(spark.sparkContext.defaultParallelism, min(200, math.ceil(rows / TASK_ROWS)), math.ceil(rows / (10 * TASK_ROWS)))
 
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,14 @@ def test_tasks_grow_in_number_with_the_fills(spark, monkeypatch):
         assert dealt and all(f", {v.fill_parts(spark, SF)})" in x for x in dealt)
 
 
+def test_dealt_fills_are_not_held_to_be_sorted(spark, monkeypatch):
+    """200 partitions are written as they come; more of them only where a partition would be large."""
+    rows = v.read(spark, SF, "lineitem").count()
+    for task, parts in ((rows // 600, 200), (rows // 6000, -(-rows // (10 * (rows // 6000))))):
+        monkeypatch.setattr(v, "TASK_ROWS", task)
+        assert v.fill_parts(spark, SF) == parts
+
+
 def test_dates_alone_need_no_numbers(spark):
     assert "REPARTITION_BY_NUM" not in plan_of(ledger_queries.calendar(spark, SF))
 
