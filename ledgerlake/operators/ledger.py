@@ -6,14 +6,21 @@ are written as window expressions; only the average cost of open positions needs
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .timeseries import asof_forward, by, running
 
 #: Shares under this size are none.
 TINY = 1e-9
 KEY = ["sleeve", "symbol"]
+#: Legs in a row of a key's history.
+PACK = 256
 
 
 def split_restate(fills: DataFrame, splits: DataFrame) -> DataFrame:
@@ -81,9 +88,13 @@ def positions_daily(fills: DataFrame, prices: DataFrame, calendar: DataFrame, di
     traded notional plus income. ``instruments``: (symbol, multiplier, kind); ``dividends``: (symbol, date, dividend).
     """
     booked = on_calendar(fills, calendar)
-    day = daily_fills(booked)
+    return positions_of_days(daily_fills(booked), marks(booked, prices, calendar), calendar, dividends, instruments)
+
+
+def positions_of_days(day: DataFrame, marked: DataFrame, calendar: DataFrame, dividends: DataFrame | None = None, instruments: DataFrame | None = None) -> DataFrame:
+    """``positions_daily`` from what ``daily_fills`` gives of booked fills, and from marks."""
     dense = grid(day.groupBy(*KEY).agg(F.min("date").alias("first")), calendar)
-    rows = multipliers(dense.join(day, [*KEY, "date"], "left").join(marks(booked, prices, calendar), ["symbol", "date"], "left"), instruments)
+    rows = multipliers(dense.join(day, [*KEY, "date"], "left").join(marked, ["symbol", "date"], "left"), instruments)
     w = by(*KEY)
     if dividends is None:
         rows = rows.withColumn("dividend", F.lit(0.0))
@@ -190,24 +201,48 @@ def episodes(fills: DataFrame) -> DataFrame:
     return legs_of(after, w)
 
 
-def day_legs(fills: DataFrame, unordered: DataFrame, parts: int | None = None) -> DataFrame:
-    """Legs of fills whose episodes are counted anew on each day of a key (``day``); 0 goes on from the day before. ``unordered``: the same
-    fills in any order, summed up to the position that a key's day begins with.
+def parts_of(fills: DataFrame, parts: int | None) -> int:
+    return parts or int(fills.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    A task sorts days, never a key's whole history, and days are dealt to ``parts`` partitions, else the session's: merged by their
-    compressed size they would be millions of fills in a task."""
-    keys = [*KEY, "day"]
+
+def day_starts(unordered: DataFrame) -> DataFrame:
+    """(sleeve, symbol, day, qty, begins): the position that a key's day begins with, and whether an episode surely begins on the day: it
+    begins flat, or ends on the other side by more than a sum's rounding."""
     sums = unordered.groupBy(*KEY, F.col("date").alias("day")).agg(F.sum("qty").alias("_sum"))
     start = F.coalesce(F.sum("_sum").over(by(*KEY, order="day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    starts = sums.select(*keys, start.alias("qty"), F.lit(False).alias("_fill"))  # a day's first row, so no join is needed
-    parts = parts or int(fills.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = fills.select(*KEY, F.col("date").alias("day"), "seq", "date", "price", "fees", "qty", F.lit(True).alias("_fill"))
-    rows = rows.unionByName(starts, allowMissingColumns=True).repartition(parts, *keys)
-    w = Window.partitionBy(*keys).orderBy("_fill", "seq")
+    qty, end = F.col("qty"), F.col("qty") + F.coalesce("_sum", F.lit(0.0))
+    begins = (size_of(qty) == 0) | ((qty * end < 0) & (F.abs(end) > 1e-6 * (1 + F.abs(qty))))
+    return sums.withColumn("qty", start).select(*KEY, "day", "qty", begins.alias("begins"))
+
+
+def day_legs(fills: DataFrame, starts: DataFrame, parts: int | None = None, order: tuple[str, ...] = ("seq",), values: dict[str, Column] | None = None) -> DataFrame:
+    """Legs of fills whose episodes are counted anew on each day of a key (``day``); 0 goes on from the day before. ``starts``: the
+    position that a key's day begins with. Of another ``order`` than by seq, seq is the number within the day. ``values``: qty, price and
+    fees as Columns of ``order``, made where the rows are dealt to, so that they are not exchanged besides.
+
+    A task sorts days, never a key's whole history, and days are dealt to ``parts`` partitions, else the session's: merged by their
+    compressed size they would be millions of fills in a task."""
+    keys, values = [*KEY, "day"], values or {}
+    starts = starts.select(*keys, F.col("qty").alias("_start"), F.lit(False).alias("_fill"))  # a day's first row, so no join is needed
+    rows = fills.select(*KEY, F.col("date").alias("day"), *order, *(c for c in ("price", "fees", "qty") if c not in values), F.lit(True).alias("_fill"))
+    rows = rows.unionByName(starts, allowMissingColumns=True).repartition(parts_of(fills, parts), *keys)
+    rows = rows.withColumns({"date": F.col("day"), **values}).withColumn("qty", F.when(F.col("_fill"), F.col("qty")).otherwise(F.col("_start")))
+    w = Window.partitionBy(*keys).orderBy("_fill", *order)
     held = rows.withColumns({"after": size_of(F.sum("qty").over(running(w))), "before": size_of(F.sum("qty").over(w.rowsBetween(Window.unboundedPreceding, -1)))})
+    if order != ("seq",):
+        held = held.withColumn("seq", F.row_number().over(w))
     return legs_of(held.where("_fill"), w, "day")
 
 
+def last_legs(fills: DataFrame, unordered: DataFrame, parts: int | None = None, order: tuple[str, ...] = ("seq",), values: dict[str, Column] | None = None) -> DataFrame:
+    """``day_legs`` of the days from which on a key's last episode may have begun; those before can't be of it. A row a key is broadcast."""
+    starts = day_starts(unordered).withColumn("_first", F.max(F.when(F.col("begins"), F.col("day"))).over(Window.partitionBy(*KEY))).where("day >= _first")
+    first = starts.groupBy(*KEY).agg(F.min("day").alias("_first")).select(*(F.col(k).alias(f"_{k}") for k in KEY), "_first")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY]
+    late = fills.join(F.broadcast(first), [*same, F.col("date") >= F.col("_first")]).select(fills.columns)
+    return day_legs(late, starts, parts, order, values)
+
+
 def days_joined(pieces: DataFrame) -> DataFrame:
     """One row for each episode of a key from one for each of its days, in the numbers that the whole history gives."""
     whole = pieces.withColumn("episode", F.sum((F.col("episode") > 0).cast("int")).over(running(Window.partitionBy(*KEY).orderBy("day", "episode"))))
@@ -226,7 +261,7 @@ def round_trips(fills: DataFrame, calendar: DataFrame | None = None, instruments
     key's days put together, so that a task holds days and not a key's history. ``parts`` of them, which should grow with the fills.
     """
     book = lambda x: x if calendar is None else on_calendar(x, calendar)
-    legs = episodes(book(fills)) if unordered is None else day_legs(book(fills), book(unordered), parts)
+    legs = episodes(book(fills)) if unordered is None else day_legs(book(fills), day_starts(book(unordered)), parts)
     e = multipliers(legs, instruments).withColumn("after", F.col("before") + F.col("q"))
     e = e.withColumn("side", F.signum(F.when(F.col("before") != 0, F.col("before")).otherwise(F.col("q"))))
     enters = F.col("q") * F.col("side") > 0
@@ -252,33 +287,91 @@ def round_trips(fills: DataFrame, calendar: DataFrame | None = None, instruments
     return done.join(at("entry"), "entry_date").join(at("exit"), "exit_date").withColumn("bars", F.col("_exit") - F.col("_entry")).select(*done.columns, "bars")
 
 
-def open_positions(fills: DataFrame, last: DataFrame, calendar: DataFrame, nav: DataFrame | None = None, instruments: DataFrame | None = None) -> DataFrame:
+def costs_of(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """(sleeve, symbol, quantity, avg, realized, fees, entry_date) of each key's last episode. ``rows``: (sleeve, symbol, day, episode, qs,
+    prices, quantity, fees, entry_date) in order, some legs each. An episode of 0 goes on. None is SQL's null, also in sums."""
+    add = lambda a, b: b if a is None else a if b is None else a + b
+    key = now = None
+    for sleeve, symbol, day, episode, qs, prices, quantity, fees, entry in rows:
+        if key != (sleeve, symbol) or (episode > 0 and now != (day, episode)):
+            if key not in (None, (sleeve, symbol)):
+                yield *key, total, avg, gain, paid, first
+            key, now, q, avg, gain, total, paid, first = (sleeve, symbol), (day, episode), 0.0, 0.0, 0.0, None, None, entry
+        total, paid, first = add(total, quantity), add(paid, fees), min(first, entry)
+        for x, p in zip(qs, prices, strict=True):
+            if q is None or x is None:
+                q = gain = None
+            elif q * x >= 0:
+                left = q + x
+                avg = None if avg is None or p is None else (avg * abs(q) + p * abs(x)) / abs(left) if left else math.nan
+                q = left
+            else:
+                gain = None if gain is None or avg is None or p is None else gain + (p - avg) * abs(x) * (1.0 if q > 0 else -1.0)
+                q += x
+    if key:
+        yield *key, total, avg, gain, paid, first
+
+
+def average_costs(legs: DataFrame, parts: int | None = None) -> DataFrame:
+    """(sleeve, symbol, quantity, avg, realized, fees, entry_date) of each key's last episode, from the legs of ``episodes`` or of days.
+
+    Legs are packed, ``PACK`` of them a row at most, before a key's are put in order; a task then reads them as a stream. They are folded
+    one by one, as in SQL, so that every bit is the same; days folded apart and put together would round otherwise."""
+    of_days = "day" in legs.columns
+    legs = legs if of_days else legs.withColumn("day", F.lit(None).cast("date"))
+    packed = legs.withColumn("pack", F.floor(F.col("seq") / PACK)).groupBy(*KEY, "day", "episode", "pack").agg(
+        F.sort_array(F.collect_list(F.struct("seq", "leg", "q", "price"))).alias("x"), F.sum("q").alias("quantity"), F.sum("fee").alias("fees"), F.min("date").alias("entry_date")
+    )
+    packed = packed.select(*KEY, "day", "episode", F.col("x.q").alias("qs"), F.col("x.price").alias("prices"), "quantity", "fees", "entry_date", "pack")
+    if of_days:
+        packed = packed.repartition(parts_of(legs, parts), *KEY)
+    rows = packed.sortWithinPartitions(*KEY, "day", "episode", "pack").drop("pack")
+    sums = ("quantity", "avg", "realized", "fees")
+    out = StructType([*(rows.schema[k] for k in KEY), *(StructField(c, DoubleType()) for c in sums), rows.schema["entry_date"]])
+
+    def value(x):
+        return x.as_py() if not isinstance(x, pa.ListScalar) else x.values.to_pylist() if x.values.null_count else x.values.to_numpy().tolist()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {}
+
+        def each():
+            for b in batches:
+                types.update({c: b.schema.field(c).type for c in (*KEY, "entry_date")})
+                for row in zip(*b.columns, strict=True):
+                    yield tuple(map(value, row))
+
+        for r in costs_of(each()):
+            yield pa.RecordBatch.from_arrays([pa.array([x], types.get(c, pa.float64())) for c, x in zip(out.names, r, strict=True)], out.names)
+
+    return rows.mapInArrow(fold, out)
+
+
+def open_positions(
+    fills: DataFrame, last: DataFrame, calendar: DataFrame, nav: DataFrame | None = None, instruments: DataFrame | None = None,
+    unordered: DataFrame | None = None, parts: int | None = None, order: tuple[str, ...] = ("seq",), values: dict[str, Column] | None = None,
+) -> DataFrame:
     """What each sleeve holds at the calendar's end, with its average cost: a fold over the ordered legs of each open episode.
 
     Adding averages in, reducing realises profit at the average. ``last``: (symbol, last); ``nav``: (sleeve, nav) gives the weights.
     Returns quantity, avg_cost, last, market_value, unrealized, unrealized_pct, realized (net of fees), entry_date, days, bars, weight.
+
+    ``unordered``, the same fills or their sums by day, says that dates never fall in the ``order`` of fills, as in ``round_trips``: no task
+    then sorts a key's history, and days before the last episode are not exchanged. ``parts`` of them, which should grow with the fills;
+    ``order`` and ``values`` as in ``day_legs``.
     """
-    e = episodes(on_calendar(fills, calendar))
-    whole = e.groupBy(*KEY, "episode").agg(F.sum("q").alias("quantity"), F.sort_array(F.collect_list(F.struct("seq", "leg", "q", "price"))).alias("legs"), F.sum("fee").alias("fees"), F.min("date").alias("entry_date"))
-    start = F.struct(*(F.lit(0.0).alias(c) for c in ("q", "avg", "realized")))
-
-    def step(acc: Column, x: Column) -> Column:
-        adds, left = acc.q * x.q >= 0, acc.q + x.q
-        return F.struct(
-            left.alias("q"), F.when(adds, (acc.avg * F.abs(acc.q) + x.price * F.abs(x.q)) / F.abs(left)).otherwise(acc.avg).alias("avg"),
-            F.when(adds, acc.realized).otherwise(acc.realized + (x.price - acc.avg) * F.abs(x.q) * F.signum(acc.q)).alias("realized"),
-        )
-
-    held = multipliers(whole.where(F.abs("quantity") > TINY).withColumn("x", F.aggregate("legs", start, step)).drop("legs"), instruments)
+    booked = on_calendar(fills, calendar)
+    legs = episodes(booked) if unordered is None else last_legs(booked, on_calendar(unordered, calendar), parts, order, values)
+    held = multipliers(average_costs(legs, parts).where(F.abs("quantity") > TINY), instruments)
     held = held.join(F.broadcast(last.select("symbol", "last")), "symbol", "left")
     held = held.withColumn("nav", F.lit(None).cast("double")) if nav is None else held.join(F.broadcast(nav.select("sleeve", "nav")), "sleeve", "left")
     end = F.broadcast(calendar.agg(F.max("date").alias("_end"), F.max("i").alias("_last")))
     held = held.join(F.broadcast(calendar.select(F.col("date").alias("entry_date"), "i")), "entry_date").join(end)
-    gain = (F.col("last") - F.col("x.avg")) * F.col("quantity") * F.col("multiplier")
+    gain = (F.col("last") - F.col("avg")) * F.col("quantity") * F.col("multiplier")
     value = F.col("quantity") * F.col("last") * F.col("multiplier")
     return held.select(
-        *KEY, "quantity", F.col("x.avg").alias("avg_cost"), "last", value.alias("market_value"), gain.alias("unrealized"),
-        (gain / F.nullif(F.col("x.avg") * F.abs("quantity") * F.col("multiplier"), F.lit(0.0))).alias("unrealized_pct"), (F.col("x.realized") * F.col("multiplier") - F.col("fees")).alias("realized"),
+        *KEY, "quantity", F.col("avg").alias("avg_cost"), "last", value.alias("market_value"), gain.alias("unrealized"),
+        (gain / F.nullif(F.col("avg") * F.abs("quantity") * F.col("multiplier"), F.lit(0.0))).alias("unrealized_pct"), (F.col("realized") * F.col("multiplier") - F.col("fees")).alias("realized"),
         "entry_date", F.datediff("_end", "entry_date").alias("days"), (F.col("_last") - F.col("i")).alias("bars"), F.when(F.abs("nav") > 1.0, value / F.col("nav")).alias("weight"),
     )
 

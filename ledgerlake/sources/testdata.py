@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Flow types by order priority, and the share of the order's price that flows.
 FLOWS = {"1": ("deposit", 1.0), "2": ("withdrawal", 0.1), "3": ("transfer", 0.1), "4": ("dividend", 0.01), "5": ("fee", 0.001)}
 #: Fills that one task sorts, about 240 bytes each.
 TASK_ROWS = 200_000
+#: What orders the fills of a sleeve and symbol.
+ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,30 +45,54 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("symbol", F.to_date("l_shipdate").alias("date")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"))
 
 
-def fills(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
-    """(seq, date, sleeve, symbol, side, qty, price, fees): qty is signed; seq orders the whole row. Without ``numbered`` there is no seq.
+def _sign() -> Column:
+    return F.when(F.col("l_linestatus") == "F", -1).otherwise(1)
+
+
+def _when_whose() -> tuple[Column, ...]:
+    return (F.col("l_suppkey") % 5).cast("int").alias("sleeve"), F.to_date("l_shipdate").alias("date")
+
+
+def traded(sign: Column | None = None) -> dict[str, Column]:
+    """Signed quantity, price and fees of a line."""
+    q, paid = F.col("l_quantity"), F.col("l_extendedprice")
+    return {"qty": q * (_sign() if sign is None else sign), "price": paid / q, "fees": F.col("l_tax") * 0.01 * paid}
+
+
+def fills(spark: SparkSession, sf_dir: str, numbered: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(seq, date, sleeve, symbol, side, qty, price, fees): qty is signed; seq orders the whole row. Without ``numbered`` there is no seq,
+    but columns of the table to ``keep``, as ``ORDER``.
 
     Rows are numbered within their day and moved up by the count of the days before, so no task sorts a symbol's whole history. Days are
     dealt to as many partitions as their rows need: merged by compressed size, or in a fixed count, a task's rows would grow."""
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
     rows = read(spark, sf_dir, "lineitem").join(part, "l_partkey")
-    sign = F.when(F.col("l_linestatus") == "F", -1).otherwise(1)
-    sleeve = (F.col("l_suppkey") % 5).cast("int").alias("sleeve")
-    rows = rows.withColumns({"sleeve": sleeve, "date": F.to_date("l_shipdate")})
-    row = [
-        "date", "sleeve", "symbol", F.when(F.col("l_linestatus") == "F", "SELL").otherwise("BUY").alias("side"), (F.col("l_quantity") * sign).alias("qty"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), (F.col("l_tax") * 0.01 * F.col("l_extendedprice")).alias("fees"),
-    ]
+    rows = rows.select("*", *_when_whose())
+    row = ["date", "sleeve", "symbol", F.when(F.col("l_linestatus") == "F", "SELL").otherwise("BUY").alias("side"), *(c.alias(k) for k, c in traded().items())]
     if not numbered:
-        return rows.select(*row)
+        return rows.select(*row, *keep)
     days = rows.groupBy("sleeve", "symbol", "date").count()  # a day without a date comes first
     before = F.sum("count").over(Window.partitionBy("sleeve", "symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, -1))
     days = days.select("sleeve", "symbol", "date", before.alias("_before"))
-    order = Window.partitionBy("sleeve", "symbol", "date").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    order = Window.partitionBy("sleeve", "symbol", "date").orderBy(*ORDER)
     rows = rows.repartition(fill_parts(spark, sf_dir), "sleeve", "symbol", "date").withColumn("_i", F.row_number().over(order)).join(days, ["sleeve", "symbol", "date"], "left")
     return rows.select((F.col("_i") + F.coalesce("_before", F.lit(0))).cast("long").alias("seq"), *row)
 
 
+def fill_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sleeve, symbol, date, qty, notional, fees, price, paid, shares): fills summed by sleeve, symbol and day, as many rows whatever the
+    journal holds. ``price`` is that of some fill; ``paid`` over ``shares``, summed over sleeves, is the close of ``prices``.
+
+    Columns are narrowed before ``part`` is joined, which exchanges every row where it is too large to broadcast."""
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
+    rows = read(spark, sf_dir, "lineitem").select("l_partkey", *_when_whose(), _sign().alias("sign"), "l_quantity", "l_extendedprice", "l_tax").join(part, "l_partkey")
+    qty, price, fees = traded(F.col("sign")).values()
+    return rows.groupBy("sleeve", "symbol", "date").agg(
+        F.sum(qty).alias("qty"), F.sum(qty * price).alias("notional"), F.sum(fees).alias("fees"), F.max(price).alias("price"),
+        F.sum("l_extendedprice").alias("paid"), F.sum("l_quantity").alias("shares"),
+    )
+
+
 def cashflows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, sleeve, type, value, external): signed by type; transfers alternate in sign."""
     kind = F.substring("o_orderpriority", 1, 1)
