@@ -83,3 +83,11 @@ def test_days_of_fills_have_their_sums_and_closes(spark):
     closes = {(r.symbol, r.date): r.close for r in days.groupBy("symbol", "date").agg((F.sum("paid") / F.sum("shares")).alias("close")).collect()}
     prices = {(r.symbol, r.date): r.close for r in v.prices(spark, SF).collect()}
     assert closes.keys() == prices.keys() and all(closes[k] == pytest.approx(prices[k], rel=1e-12) for k in closes)
+
+
+def test_fills_mark_what_has_no_close(spark, monkeypatch):
+    make, brand = v.fill_days, "Brand#11"
+    monkeypatch.setattr(v, "fill_days", lambda *a: make(*a).withColumn("paid", F.when(F.col("symbol") != brand, F.col("paid"))))
+    found = {r.last for r in ledger_queries.open_positions(spark, SF).where(F.col("symbol") == brand).collect()}
+    want = v.fills(spark, SF).where(F.col("symbol") == brand).agg(F.max_by("price", F.struct("date", "seq", "sleeve"))).first()[0]
+    assert found == {round(want * 1024) / 1024}
